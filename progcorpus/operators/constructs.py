@@ -1,0 +1,74 @@
+"""Construct inventories (A5, A8; with the syntax tree also J2, J3, P8).
+
+Each construct is a filter of the token table; positions are token
+positions (whitespace tokens included, D4), collected per text and construct
+value and sorted, so the result does not depend on row order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The operator set the inventories recognise (twenty entries,
+# no "*", no augmented assignment, no word operators; "@" and ":=" included).
+OPERATORS = ["+", "-", "**", "/", "//", "%", "@", "<<", ">>", "&", "|", "^", "~", ":=",
+             "<", ">", "<=", ">=", "==", "!="]
+CONSTRUCTS = ["variables", "strings", "operators", "numbers"]
+
+
+def operator_relation(spark, operators: list[str] | None = None) -> DataFrame:
+    """The operator set as a relation (20 rows: a proven-small broadcast side);
+    callers may pass their own list."""
+    return spark.createDataFrame([(o,) for o in (operators or OPERATORS)], "op string")
+
+
+def positions_of(tokens: DataFrame, construct: str, cond: Column) -> DataFrame:
+    """``code_id, construct, src, positions, n`` for tokens matching ``cond``;
+    ``positions`` is the sorted, comma-joined token positions."""
+    return (tokens.where(cond).groupBy("code_id", "src")
+            .agg(F.array_sort(F.collect_list("pos")).alias("_p"))
+            .select("code_id", F.lit(construct).alias("construct"), "src",
+                    F.array_join(F.col("_p"), ",").alias("positions"),
+                    F.size("_p").cast("long").alias("n")))
+
+
+def operator_tokens(tokens: DataFrame, ops: DataFrame) -> DataFrame:
+    """Tokens whose text is in the operator relation (broadcast: fixed size)."""
+    return tokens.join(F.broadcast(ops), tokens["src"] == ops["op"], "left_semi")
+
+
+def construct_inventory(tokens: DataFrame, ops: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """A5: operators and numbers from tokens alone; with ``variables``
+    (``code_id, ident``) also variable locations (J2) and strings that are
+    not variable names (J3)."""
+    out = positions_of(operator_tokens(tokens, ops), "operators", F.lit(True)) \
+        .unionByName(positions_of(tokens, "numbers", F.col("kind") == "NUMBER"))
+    if variables is not None:
+        out = out.unionByName(variable_locations(tokens, variables)).unionByName(string_tokens(tokens, variables))
+    return out
+
+
+def variable_locations(tokens: DataFrame, variables: DataFrame) -> DataFrame:
+    """Tokens whose text is one of the program's variables."""
+    v = variables.select("code_id", F.col("ident").alias("src")).distinct()
+    return positions_of(tokens.join(v, on=["code_id", "src"], how="left_semi"), "variables", F.lit(True))
+
+
+def string_tokens(tokens: DataFrame, variables: DataFrame) -> DataFrame:
+    """STRING tokens whose text is not a variable name (anti join)."""
+    v = variables.select("code_id", F.col("ident").alias("src")).distinct()
+    s = tokens.where(F.col("kind") == "STRING").join(v, on=["code_id", "src"], how="left_anti")
+    return positions_of(s, "strings", F.lit(True))
+
+
+def operator_histogram(tokens: DataFrame, ops: DataFrame, subs: DataFrame,
+                       group: str = "func_name") -> DataFrame:
+    """Corpus count per (question, operator).  Operators are counted once
+    per distinct text, then weighted by how many submissions carry the text,
+    so a popular program is tokenised once."""
+    per_text = operator_tokens(tokens, ops).groupBy("code_id", "src").agg(F.count(F.lit(1)).alias("_k"))
+    copies = subs.groupBy("code_id", group).agg(F.count(F.lit(1)).alias("_m"))
+    return (per_text.join(copies, on="code_id", how="inner")
+            .groupBy(group, F.col("src").alias("operator"))
+            .agg(F.sum(F.col("_k") * F.col("_m")).cast("long").alias("n")))

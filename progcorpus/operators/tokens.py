@@ -26,8 +26,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lexer import LEX, indent_width, token_kind
+from progcorpus.session import materialize
 
-TOKEN_COLS = ["code_id", "pos", "kind", "src", "line", "off", "bracket_depth", "indent_depth"]
+TOKEN_COLS = ["code_id", "pos", "kind", "src", "line", "seg", "off", "bracket_depth", "indent_depth"]
+
+
+class TokenJob:
+    """Outputs of ``token_table``: ``tokens``, ``status`` (P6) and
+    ``blocks`` (one row per logical line: ``code_id, seg, w, is_indent,
+    end_seg, start_pos, start_off``; ``end_seg`` is the next logical line
+    indented at most as deep, ``start_pos`` the position where the line's
+    DEDENT tokens begin)."""
+
+    def __init__(self, tokens: DataFrame, status: DataFrame, blocks: DataFrame):
+        self.tokens, self.status, self.blocks = tokens, status, blocks
 
 
 def code_dim(df: DataFrame, code_col: str = "func_code") -> DataFrame:
@@ -36,9 +48,9 @@ def code_dim(df: DataFrame, code_col: str = "func_code") -> DataFrame:
     ``groupBy(code_id)`` with ``any_value`` is partially aggregated, so a text
     repeated in a third of the corpus is reduced map-side before the shuffle;
     the result is hash-partitioned by ``code_id`` for every later step."""
-    return (df.where(F.col(code_col).isNotNull())
-            .select(F.sha2(F.col(code_col), 256).alias("code_id"), F.col(code_col).alias("code"))
-            .groupBy("code_id").agg(F.any_value("code").alias("code")))
+    return materialize(df.where(F.col(code_col).isNotNull())
+                       .select(F.sha2(F.col(code_col), 256).alias("code_id"), F.col(code_col).alias("code"))
+                       .groupBy("code_id").agg(F.any_value("code").alias("code")))
 
 
 def with_code_id(df: DataFrame, code_col: str = "func_code") -> DataFrame:
@@ -118,15 +130,15 @@ def _levels(lines: DataFrame) -> DataFrame:
     return own
 
 
-def token_table(dim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(tokens, status)``.
+def token_table(dim: DataFrame) -> TokenJob:
+    """Tokens, tokenizer status and logical-line blocks.
 
     ``tokens``: ``code_id, pos, kind, src, line, off, bracket_depth,
     indent_depth`` — concatenating ``src`` in ``pos`` order rebuilds the text.
     ``status``: ``code_id, tokenizes, n_lines`` (P6) per text."""
-    t = _raw_tokens(dim)
-    ln = _lines(t)
-    lines = ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner")
+    t = materialize(_raw_tokens(dim))
+    ln = materialize(_lines(t))
+    lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"))
     # dedents inserted before the first token of each closing line
     closing = lines.where(F.col("is_indent") & F.col("close_seg").isNotNull()) \
         .groupBy("code_id", F.col("close_seg").alias("seg")).agg(F.count(F.lit(1)).alias("n_dedent"))
@@ -146,15 +158,15 @@ def token_table(dim: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("code_id").orderBy("rpos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     tk = tk.withColumn("kind", kind).withColumn("n_dedent", F.coalesce("n_dedent", F.lit(0)))
-    tk = tk.withColumn("_shift", F.sum("n_dedent").over(upto))
+    tk = materialize(tk.withColumn("_shift", F.sum("n_dedent").over(upto)))
     raw = tk.select("code_id", (F.col("rpos") + F.col("_shift")).cast("int").alias("pos"), "kind", "src",
-                    "line", "off", "bracket_depth", "n_dedent", "rpos")
+                    "line", "seg", "off", "bracket_depth", "n_dedent", "rpos")
     # zero-width DEDENT tokens
     ded = (raw.where(F.col("n_dedent") > 0)
-           .select("code_id", "line", "off", "bracket_depth",
+           .select("code_id", "line", "seg", "off", "bracket_depth",
                    F.explode(F.sequence(F.lit(1), F.col("n_dedent"))).alias("_i"), "pos", "n_dedent")
            .select("code_id", (F.col("pos") - F.col("n_dedent") + F.col("_i") - 1).cast("int").alias("pos"),
-                   F.lit("DEDENT").alias("kind"), F.lit("").alias("src"), "line", "off", "bracket_depth"))
+                   F.lit("DEDENT").alias("kind"), F.lit("").alias("src"), "line", "seg", "off", "bracket_depth"))
 
     # end of text: NEWLINE '' when the last logical line is open, DEDENTs, ENDMARKER
     last = tk.groupBy("code_id").agg(
@@ -178,7 +190,8 @@ def token_table(dim: DataFrame) -> tuple[DataFrame, DataFrame]:
     weof = Window.partitionBy("code_id").orderBy(F.when(F.col("kind") == "NEWLINE", 0)
                                                  .when(F.col("kind") == "DEDENT", 1).otherwise(2))
     eof = eof.select("code_id", (F.col("_p0") + F.row_number().over(weof) - 1).cast("int").alias("pos"),
-                     "kind", F.lit("").alias("src"), "line", "off", F.lit(0).alias("bracket_depth"))
+                     "kind", F.lit("").alias("src"), "line", F.lit(None).cast("int").alias("seg"), "off",
+                     F.lit(0).alias("bracket_depth"))
 
     allt = raw.drop("n_dedent", "rpos").unionByName(ded).unionByName(eof)
     wt = Window.partitionBy("code_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -199,7 +212,11 @@ def token_table(dim: DataFrame) -> tuple[DataFrame, DataFrame]:
                       & (F.coalesce(F.col("_end_depth._db"), F.lit(0)) == 0)
                       & (F.coalesce(F.col("_end_depth._dc"), F.lit(0)) == 0)
                       & F.coalesce(F.col("_dedent_ok"), F.lit(True))).alias("tokenizes")))
-    return tokens.select(*TOKEN_COLS), status
+    starts = raw.select("code_id", F.col("rpos").alias("fpos"),
+                        (F.col("pos") - F.col("n_dedent")).alias("start_pos"), F.col("off").alias("start_off"))
+    blocks = lines.join(starts, on=["code_id", "fpos"], how="inner").select(
+        "code_id", "seg", "w", "is_indent", "end_seg", "start_pos", "start_off")
+    return TokenJob(materialize(tokens.select(*TOKEN_COLS)), materialize(status), materialize(blocks))
 
 
 def rebuild(tokens: DataFrame) -> DataFrame:
@@ -207,3 +224,47 @@ def rebuild(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("code_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"]), "")
         .alias("text"))
+
+
+_LAYOUT = ["UNIMPORTANT_WS", "INDENT", "DEDENT", "NEWLINE", "NL", "COMMENT", "ESCAPED_NL", "ENDMARKER"]
+
+
+def tokenized(job: TokenJob) -> DataFrame:
+    """Tokens of the texts that tokenize (D34: any tokenizer error means no tokens)."""
+    ok = job.status.where(F.col("tokenizes")).select("code_id")
+    return job.tokens.join(ok, on="code_id", how="left_semi")
+
+
+def clean_programs(job: TokenJob, dim: DataFrame) -> DataFrame:
+    """T2 ``clean_code``: ``code_id, cleaned`` — comments, statement-level
+    literals (docstrings, bare strings/numbers) and blank lines removed, line
+    ends normalised, trailing blanks of lines dropped, text stripped.  Token
+    based (D29: not re-printed through a syntax tree); null for a text that
+    does not tokenize."""
+    from progcorpus.functions.lines import py_rstrip, py_strip, splitlines
+
+    tk = tokenized(job)
+    sig = ~F.col("kind").isin(*_LAYOUT)
+    literal_lines = (tk.where(sig & F.col("seg").isNotNull()).groupBy("code_id", "seg")
+                     .agg(F.bool_and(F.col("kind").isin("STRING", "NUMBER")).alias("_lit"))
+                     .where(F.col("_lit")).select("code_id", "seg"))
+    kept = (tk.where(F.col("kind") != "COMMENT")
+            .join(literal_lines, on=["code_id", "seg"], how="left_anti"))
+    text = kept.groupBy("code_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"]), "")
+        .alias("_t"))
+    lines = F.filter(F.transform(splitlines(F.col("_t")), lambda l: py_rstrip(l)), lambda l: l != "")
+    cleaned = py_strip(F.array_join(lines, "\n"))
+    return (dim.select("code_id").join(text, on="code_id", how="left")
+            .join(job.status, on="code_id", how="inner")
+            .select("code_id", F.when(F.col("tokenizes"), F.coalesce(cleaned, F.lit(""))).alias("cleaned")))
+
+
+def indent_profile(job: TokenJob) -> DataFrame:
+    """W9 over a table: per text the number of INDENT/DEDENT tokens and the
+    deepest running indentation depth."""
+    tk = tokenized(job)
+    return tk.groupBy("code_id").agg(
+        F.max("indent_depth").cast("int").alias("max_indent_depth"),
+        F.count_if(F.col("kind") == "INDENT").cast("long").alias("n_indent"),
+        F.count_if(F.col("kind") == "DEDENT").cast("long").alias("n_dedent"))

@@ -51,3 +51,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="progcorpus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
+    shared checkpoint folder (kept partitioning, survives executor loss).
+    Used where one intermediate feeds several branches of a plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
