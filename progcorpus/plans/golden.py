@@ -22,6 +22,9 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 1,
      'def_positions': '0',
      'max_indent_depth': 1,
+     'operator_seq': '+',
+     'adjacency_md5': '85d6a864edfb2173472e9d2aff9c7549',
+     'tree_functions': [('task_0', 'def task_0(a, b):\n    c = a + b\n    return c')],
      'n_indent': 1,
      'n_dedent': 1},
  1: {'tokenizes': True,
@@ -38,6 +41,9 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 1,
      'def_positions': '0',
      'max_indent_depth': 1,
+     'operator_seq': '+',
+     'adjacency_md5': '85d6a864edfb2173472e9d2aff9c7549',
+     'tree_functions': [('task_0', 'def task_0(x, y):\n    total = x + y\n    return total')],
      'n_indent': 1,
      'n_dedent': 1},
  2: {'tokenizes': True,
@@ -54,6 +60,9 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 1,
      'def_positions': '0',
      'max_indent_depth': 1,
+     'operator_seq': '+',
+     'adjacency_md5': '538cc8bca97f3e9760656e66ee418a0b',
+     'tree_functions': [('task_0', 'def task_0(a, b):\n    return a + b')],
      'n_indent': 1,
      'n_dedent': 1},
  3: {'tokenizes': True,
@@ -70,6 +79,14 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 1,
      'def_positions': '0',
      'max_indent_depth': 1,
+     'operator_seq': '+',
+     'adjacency_md5': 'd2a5bedd01cb06965e0ecb8ed5c0a8f1',
+     'tree_functions': [('task_0',
+                         'def task_0(a, b):\n'
+                         '    """Add two numbers."""\n'
+                         '    # add\n'
+                         '    c = a + b\n'
+                         '    return c')],
      'n_indent': 1,
      'n_dedent': 1},
  4: {'tokenizes': True,
@@ -86,6 +103,10 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 2,
      'def_positions': '0,19',
      'max_indent_depth': 1,
+     'operator_seq': '** //',
+     'adjacency_md5': '6dd966bebe23f62385dc8a6a7ac14a77',
+     'tree_functions': [('helper', 'def helper(u):\n    return u ** 2'),
+                        ('task_0', 'def task_0(a, b):\n    return helper(a) // b')],
      'n_indent': 2,
      'n_dedent': 2},
  5: {'tokenizes': True,
@@ -102,6 +123,11 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 2,
      'def_positions': '0,12',
      'max_indent_depth': 2,
+     'operator_seq': '-',
+     'adjacency_md5': 'f4a6c6c04a9e950925614dd9ab237a1f',
+     'tree_functions': [('task_0',
+                         'def task_0(a, b):\n    def inner(k):\n        return k - b\n    return inner(a)'),
+                        ('inner', 'def inner(k):\n        return k - b')],
      'n_indent': 2,
      'n_dedent': 2},
  6: {'tokenizes': True,
@@ -118,6 +144,9 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 1,
      'def_positions': '0',
      'max_indent_depth': 1,
+     'operator_seq': '+',
+     'adjacency_md5': None,
+     'tree_functions': [],
      'n_indent': 1,
      'n_dedent': 1},
  7: {'tokenizes': True,
@@ -134,6 +163,9 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 1,
      'def_positions': '0',
      'max_indent_depth': 0,
+     'operator_seq': '+',
+     'adjacency_md5': None,
+     'tree_functions': [],
      'n_indent': 0,
      'n_dedent': 0},
  8: {'tokenizes': False,
@@ -150,6 +182,9 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 0,
      'def_positions': '',
      'max_indent_depth': 0,
+     'operator_seq': '',
+     'adjacency_md5': None,
+     'tree_functions': [],
      'n_indent': 0,
      'n_dedent': 0},
  9: {'tokenizes': True,
@@ -166,6 +201,9 @@ GOLDEN = {0: {'tokenizes': True,
      'defs': 1,
      'def_positions': '0',
      'max_indent_depth': 0,
+     'operator_seq': '+',
+     'adjacency_md5': '538cc8bca97f3e9760656e66ee418a0b',
+     'tree_functions': [('task_0', 'def task_0(a, b): return a + b')],
      'n_indent': 0,
      'n_dedent': 0},
  10: {'tokenizes': True,
@@ -182,6 +220,10 @@ GOLDEN = {0: {'tokenizes': True,
       'defs': 2,
       'def_positions': '0,17',
       'max_indent_depth': 1,
+      'operator_seq': '',
+      'adjacency_md5': '9e9d05734352748c3758b4806da085e1',
+      'tree_functions': [('task_0', 'def task_0(a, b):\n    return a'),
+                         ('task_0', 'def task_0(a, b):\n    return b')],
       'n_indent': 2,
       'n_dedent': 2},
  11: {'tokenizes': True,
@@ -202,6 +244,16 @@ GOLDEN = {0: {'tokenizes': True,
       'defs': 1,
       'def_positions': '0',
       'max_indent_depth': 3,
+      'operator_seq': '<= !=',
+      'adjacency_md5': '8f70b917e3b7f724b1750a5138230c73',
+      'tree_functions': [('task_0',
+                          'def task_0(items, limit):\n'
+                          '    out = []\n'
+                          '    for it in items:\n'
+                          '        if it <= limit and it != 0:\n'
+                          '            out.append(it)\n'
+                          '    s = "items"\n'
+                          '    return out')],
       'n_indent': 3,
       'n_dedent': 3},
  12: {'tokenizes': True,
@@ -218,6 +270,9 @@ GOLDEN = {0: {'tokenizes': True,
       'defs': 1,
       'def_positions': '0',
       'max_indent_depth': 1,
+      'operator_seq': '+',
+      'adjacency_md5': '538cc8bca97f3e9760656e66ee418a0b',
+      'tree_functions': [('other', 'def other(a, b):\n    return a + b')],
       'n_indent': 1,
       'n_dedent': 1},
  13: {'tokenizes': True,
@@ -234,6 +289,9 @@ GOLDEN = {0: {'tokenizes': True,
       'defs': 1,
       'def_positions': '2',
       'max_indent_depth': 1,
+      'operator_seq': '',
+      'adjacency_md5': '5c1b06001ba9b14a048f23a62436b0f3',
+      'tree_functions': [('task_0', 'def task_0(a, b):\r\n    return a * b')],
       'n_indent': 1,
       'n_dedent': 1},
  14: {'tokenizes': True,
@@ -250,6 +308,9 @@ GOLDEN = {0: {'tokenizes': True,
       'defs': 0,
       'def_positions': '',
       'max_indent_depth': 0,
+      'operator_seq': '',
+      'adjacency_md5': '53b3cae42737979c884275593a01f468',
+      'tree_functions': [],
       'n_indent': 0,
       'n_dedent': 0},
  15: {'tokenizes': True,
@@ -267,6 +328,41 @@ GOLDEN = {0: {'tokenizes': True,
       'defs': 1,
       'def_positions': '0',
       'max_indent_depth': 1,
+      'operator_seq': '+ + + + + + + + + + + + + + + + + + + + + + + + + + + + + +',
+      'adjacency_md5': 'dbae1e741bc22483d867c850eabc6747',
+      'tree_functions': [('task_0',
+                          'def task_0(a, b):\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    a = a + 1\n'
+                          '    return a')],
       'n_indent': 1,
       'n_dedent': 1}}
 

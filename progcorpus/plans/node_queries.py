@@ -1 +1,279 @@
-"""Registered syntax-tree queries."""
+"""Registered syntax-tree and equivalence queries (T6, P7, P9, A6, A11, A7,
+T5, T3, A5, J2, J3, P8, T7, J6-B, A10, J1, W6, A3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from progcorpus.operators import constructs as C
+from progcorpus.operators import dedup as D
+from progcorpus.operators import functions as FN
+from progcorpus.operators import nodes as N
+from progcorpus.operators import tokens as T
+from progcorpus.plans.golden import FUNCS, GOLDEN
+from progcorpus.plans.oracle_sql import DIM, _values, ctes, golden_constructs, golden_funcs, golden_scalars
+from progcorpus.plans.registry import query
+from progcorpus.sources import fixtures as fx
+from progcorpus.sources.tables import read_table
+
+
+class _Corpus:
+    """Submissions with ``code_id``, their distinct texts, tokens and nodes
+    (each built on first use and materialised once)."""
+
+    def __init__(self, spark, sf, code_col="func_code", source="submissions"):
+        base = fx.submissions(spark, sf) if source == "submissions" else fx.completions(spark, sf)
+        self.code_col = code_col
+        self.subs = T.with_code_id(base, code_col)
+        self.dim = T.code_dim(self.subs, code_col)
+        self._job = self._nt = self._ft = None
+
+    @property
+    def job(self):
+        if self._job is None:
+            self._job = T.token_table(self.dim)
+        return self._job
+
+    @property
+    def nt(self):
+        if self._nt is None:
+            self._nt = N.node_table(self.dim)
+        return self._nt
+
+    @property
+    def ft(self):
+        if self._ft is None:
+            self._ft = FN.function_table(self.job, self.dim)
+        return self._ft
+
+    def pairs(self):
+        return self.subs.select("code_id", "func_name").distinct()
+
+
+def _tree_functions_sql() -> str:
+    rows = []
+    for v, g in GOLDEN.items():
+        if g["compile_error"] is None:
+            rows += [(v, i, name, text) for i, (name, text) in enumerate(g["tree_functions"])]
+        elif g["tokenizes"]:
+            rows += [(v, 1000 + i, name, text) for i, (name, text) in enumerate(FUNCS[v])]
+    return _values("gtf", ["v", "ord", "name", "string"], rows, ["INTEGER", "INTEGER", "VARCHAR", "VARCHAR"])
+
+
+def _named(expr: str, f: str = "d.func_name") -> str:
+    """Golden text with the question's name in place of ``task_0`` / ``{f}``."""
+    return f"replace(replace({expr}, 'task_0', {f}), '{{f}}', {f})"
+
+
+# --- T6 / P7 / P9 / A6 / A11 -----------------------------------------------------
+
+@query("node_table", "SELECT d.code_id, gs.n_nodes, gs.compile_error FROM d JOIN gs USING (v)",
+       ctes(DIM, golden_scalars()))
+def q_node_table(spark, sf):
+    c = _Corpus(spark, sf)
+    counts = N.nodes_only(c.nt).groupBy("code_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return (N.parse_status(c.nt).join(counts, on="code_id", how="left")
+            .select("code_id", F.coalesce("n_nodes", F.lit(0)).cast("long").alias("n_nodes"), "compile_error"))
+
+
+@query("compile_status", "SELECT s.sub_id, gs.compile_error FROM submissions s JOIN gs USING (v)",
+       ctes(golden_scalars()))
+def q_compile_status(spark, sf):
+    c = _Corpus(spark, sf)
+    return c.subs.join(N.parse_status(c.nt), on="code_id", how="left").select("sub_id", "compile_error")
+
+
+@query("multi_function", "SELECT d.code_id, gs.multi_function FROM d JOIN gs USING (v)",
+       ctes(DIM, golden_scalars()))
+def q_multi_function(spark, sf):
+    c = _Corpus(spark, sf)
+    return N.multi_function(c.nt, c.dim)
+
+
+@query("variable_list", "SELECT d.code_id, gs.variables FROM d JOIN gs USING (v)", ctes(DIM, golden_scalars()))
+def q_variable_list(spark, sf):
+    c = _Corpus(spark, sf)
+    return (c.dim.select("code_id").join(N.variable_string(c.nt), on="code_id", how="left")
+            .select("code_id", F.coalesce("variables", F.lit("")).alias("variables")))
+
+
+_ADJ = _values("ga", ["v", "adjacency_md5"], [(v, g["adjacency_md5"]) for v, g in GOLDEN.items()
+                                             if g["adjacency_md5"]], ["INTEGER", "VARCHAR"])
+
+
+@query("adjacency_list", "SELECT d.code_id, ga.adjacency_md5 FROM d JOIN ga USING (v)", ctes(DIM, _ADJ))
+def q_adjacency_list(spark, sf):
+    c = _Corpus(spark, sf)
+    adj = N.adjacency_list(c.nt)
+    item = F.concat(F.col("type"), F.lit(":"), F.array_join(F.col("children"), ","))
+    return adj.groupBy("code_id").agg(F.md5(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("node_id", item.alias("s")))), lambda s: s["s"]), ";"))
+        .alias("adjacency_md5"))
+
+
+# --- A7 / T5 / T3 ---------------------------------------------------------------------
+
+@query("function_map", f"""
+SELECT d.code_id, {_named('gtf.name')} AS name,
+       CAST(row_number() OVER (PARTITION BY d.code_id, gtf.name ORDER BY gtf.ord) - 1 AS INTEGER) AS ix,
+       CASE WHEN gtf.string = 'WHOLE' THEN substr(d.func_code, strpos(d.func_code, 'def'))
+            ELSE {_named('gtf.string')} END AS definition
+FROM d JOIN gtf USING (v)""", ctes(DIM, _tree_functions_sql()))
+def q_function_map(spark, sf):
+    c = _Corpus(spark, sf)
+    return N.function_map(c.nt, c.dim, c.ft)
+
+
+@query("first_function_name", f"SELECT d.code_id, {_named('gs.first_function')} AS first_function "
+                              "FROM d JOIN gs USING (v)", ctes(DIM, golden_scalars()))
+def q_first_function_name(spark, sf):
+    c = _Corpus(spark, sf)
+    return N.first_function_name(c.nt, c.dim, c.ft)
+
+
+@query("strip_docstrings", """
+SELECT d.code_id,
+       CASE WHEN v = 3 THEN 'def ' || d.func_name || '(a, b):' || chr(10) || '    # add' || chr(10) ||
+                            '    c = a + b' || chr(10) || '    return c'
+            ELSE regexp_replace(d.func_code, '\\r\\n|\\r', chr(10), 'g') END AS stripped,
+       CASE WHEN v = 3 THEN 'Add two numbers.' ELSE '' END AS docstrings
+FROM d JOIN gs USING (v) WHERE gs.compile_error IS NULL""", ctes(DIM, golden_scalars()))
+def q_strip_docstrings(spark, sf):
+    c = _Corpus(spark, sf)
+    return N.strip_docstrings(c.nt, c.dim)
+
+
+# --- A5 / J2 / J3 / P8 / T7 ---------------------------------------------------------------
+
+def _inventory(c):
+    ops = C.operator_relation(c.subs.sparkSession)
+    return C.construct_inventory(T.tokenized(c.job), ops, N.variable_list(c.nt))
+
+
+@query("construct_inventory", "SELECT d.code_id, gc.construct, gc.src, gc.positions, gc.n FROM d JOIN gc USING (v)",
+       ctes(DIM, golden_constructs()))
+def q_construct_inventory(spark, sf):
+    return _inventory(_Corpus(spark, sf))
+
+
+@query("variable_locations", """
+SELECT d.code_id, gc.src, gc.positions, gc.n FROM d JOIN gc USING (v) WHERE gc.construct = 'variables'""",
+       ctes(DIM, golden_constructs()))
+def q_variable_locations(spark, sf):
+    c = _Corpus(spark, sf)
+    return C.variable_locations(T.tokenized(c.job), N.variable_list(c.nt)).select("code_id", "src", "positions", "n")
+
+
+@query("string_tokens", """
+SELECT d.code_id, gc.src, gc.positions, gc.n FROM d JOIN gc USING (v) WHERE gc.construct = 'strings'""",
+       ctes(DIM, golden_constructs()))
+def q_string_tokens(spark, sf):
+    c = _Corpus(spark, sf)
+    return C.string_tokens(T.tokenized(c.job), N.variable_list(c.nt)).select("code_id", "src", "positions", "n")
+
+
+@query("has_no_constructs", """
+SELECT d.code_id, (SELECT count(*) FROM gc WHERE gc.v = d.v) = 0 AS is_empty FROM d""",
+       ctes(DIM, golden_constructs()))
+def q_has_no_constructs(spark, sf):
+    c = _Corpus(spark, sf)
+    counts = _inventory(c).groupBy("code_id").agg(F.sum("n").alias("_n"))
+    return c.dim.select("code_id").join(counts, on="code_id", how="left").select(
+        "code_id", (F.coalesce("_n", F.lit(0)) == 0).alias("is_empty"))
+
+
+@query("submission_profile", f"""
+SELECT s.sub_id, gs.compile_error, CASE WHEN gs.tokenizes THEN gs.n_tokens ELSE 0 END AS n_tokens,
+       {_named('gs.variables', 's.func_name')} AS variables, go.operator_seq AS operators
+FROM submissions s JOIN gs USING (v) JOIN go USING (v)""",
+       ctes(golden_scalars(), _values("go", ["v", "operator_seq"],
+                                      [(v, g["operator_seq"]) for v, g in GOLDEN.items()], ["INTEGER", "VARCHAR"])))
+def q_submission_profile(spark, sf):
+    c = _Corpus(spark, sf)
+    return submission_profile(c)
+
+
+def submission_profile(c):
+    """The per-program wrapper's state as one row per submission."""
+    tk = T.tokenized(c.job)
+    ops = C.operator_relation(c.subs.sparkSession)
+    n_tok = tk.groupBy("code_id").agg(F.count(F.lit(1)).alias("_nt"))
+    op_seq = C.operator_tokens(tk, ops).groupBy("code_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"]), " ").alias("_ops"))
+    per_text = (c.dim.select("code_id").join(N.parse_status(c.nt), on="code_id", how="left")
+                .join(n_tok, on="code_id", how="left").join(N.variable_string(c.nt), on="code_id", how="left")
+                .join(op_seq, on="code_id", how="left"))
+    return c.subs.join(per_text, on="code_id", how="left").select(
+        "sub_id", "compile_error", F.coalesce("_nt", F.lit(0)).cast("long").alias("n_tokens"),
+        F.coalesce("variables", F.lit("")).alias("variables"), F.coalesce("_ops", F.lit("")).alias("operators"))
+
+
+# --- J6-B --------------------------------------------------------------------------------
+
+@query("predicted_function_b", """
+SELECT c.sub_id, coalesce(CASE WHEN f1.s = 'WHOLE' THEN substr(c.completion, strpos(c.completion, 'def'))
+                               ELSE replace(f1.s, '{f}', c.func_name) END, c.completion) AS predicted
+FROM completions c LEFT JOIN (SELECT v, arg_min(string, ix) AS s FROM gf WHERE name = '{f}' GROUP BY v) f1
+  USING (v)""", ctes(golden_funcs()))
+def q_predicted_function_b(spark, sf):
+    c = _Corpus(spark, sf, code_col="completion", source="completions")
+    fm = N.function_map(c.nt, c.dim, c.ft)
+    first = fm.where(F.col("ix") == 0).select("code_id", F.col("name").alias("func_name"),
+                                              F.col("definition").alias("_f"))
+    return (c.subs.join(first, on=["code_id", "func_name"], how="left")
+            .select("sub_id", F.coalesce("_f", F.col("completion")).alias("predicted")))
+
+
+# --- A10 / J1 / W6 / A3 -------------------------------------------------------------------
+
+_CLASS_SQL = """
+cl AS (SELECT s.*, gs.cls FROM submissions s JOIN gs USING (v) WHERE gs.cls IS NOT NULL),
+cc AS (SELECT func_name, cls, func_code, count(*) AS n, min(sub_id) AS first_seen FROM cl
+       GROUP BY func_name, cls, func_code),
+rep AS (SELECT func_name, cls, func_code AS representative FROM (
+          SELECT *, row_number() OVER (PARTITION BY func_name, cls ORDER BY n DESC, first_seen) AS rn FROM cc)
+        WHERE rn = 1),
+kept AS (SELECT cl.sub_id, cl.func_name, cl.func_code, rep.representative
+         FROM cl JOIN rep USING (func_name, cls) WHERE cl.func_code = rep.representative)"""
+
+
+@query("canonical_form", """
+SELECT s.sub_id, CASE WHEN gs.cls IS NULL THEN NULL ELSE
+         min(s.sub_id) OVER (PARTITION BY s.func_name, gs.cls) END AS class_label
+FROM submissions s JOIN gs USING (v)""", ctes(golden_scalars()))
+def q_canonical_form(spark, sf):
+    c = _Corpus(spark, sf)
+    canon = D.canonical_form(c.nt, c.pairs())
+    classed = D.with_classes(c.subs, canon)
+    label = classed.where(F.col("normalized").isNotNull()).groupBy("func_name", "normalized") \
+        .agg(F.min("sub_id").alias("class_label"))
+    return classed.join(label, on=["func_name", "normalized"], how="left").select("sub_id", "class_label")
+
+
+@query("representative_rows", "SELECT sub_id, func_name, representative FROM kept",
+       ctes(golden_scalars(), _CLASS_SQL))
+def q_representative_rows(spark, sf):
+    c = _Corpus(spark, sf)
+    canon = D.canonical_form(c.nt, c.pairs())
+    return D.representative_rows(D.with_classes(c.subs, canon)).select("sub_id", "func_name", "representative")
+
+
+@query("unique_solutions", """
+SELECT sub_id, func_name, func_code FROM (
+  SELECT *, row_number() OVER (PARTITION BY representative ORDER BY func_name DESC, sub_id DESC) AS rn FROM kept)
+WHERE rn = 1""", ctes(golden_scalars(), _CLASS_SQL))
+def q_unique_solutions(spark, sf):
+    c = _Corpus(spark, sf)
+    canon = D.canonical_form(c.nt, c.pairs())
+    return D.unique_solutions(c.subs, canon).select("sub_id", "func_name", "func_code")
+
+
+@query("last_duplicate", """
+SELECT doc_id, lang FROM (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY text ORDER BY lang DESC, doc_id DESC) AS rn FROM documents)
+WHERE rn = 1""")
+def q_last_duplicate(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return D.last_duplicate(docs, "text", ["lang", "doc_id"]).select("doc_id", "lang")
+
+

@@ -72,6 +72,26 @@ def golden_for(text: str) -> dict:
         depth += (k == "INDENT") - (k == "DEDENT")
         top = max(top, depth)
     g["max_indent_depth"] = top
+    g["operator_seq"] = " ".join(s for k, s in toks if s in OPERATORS)
+    g["adjacency_md5"] = None
+    g["tree_functions"] = []
+    if tree:
+        import hashlib
+        full = ast.parse(text)  # positions in the original text
+        order, kids = [], {}
+
+        def pre(node):
+            order.append(node)
+            kids[len(order) - 1] = []
+            me = len(order) - 1
+            for c in ast.iter_child_nodes(node):
+                kids[me].append(len(order))
+                pre(c)
+        pre(full)
+        adj = ";".join(f"{type(n).__name__}:{','.join(map(str, kids[i]))}" for i, n in enumerate(order))
+        g["adjacency_md5"] = hashlib.md5(adj.encode()).hexdigest()
+        g["tree_functions"] = [(n.name, ast.get_source_segment(text, n)) for n in ast.walk(full)
+                               if isinstance(n, ast.FunctionDef)]
     g["n_indent"] = sum(1 for k, _ in toks if k == "INDENT")
     g["n_dedent"] = sum(1 for k, _ in toks if k == "DEDENT")
     return g
