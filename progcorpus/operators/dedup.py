@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from progcorpus.operators.nodes import nodes_only
 from progcorpus.operators.sampling import modal_program
 
-_BINDING = ((F.col("type") == "arg")
+def _binding():
+    """Nodes that bind a name in their scope."""
+    return ((F.col("type") == "arg")
             | ((F.col("type") == "Name") & F.col("ctx").isin("Store", "Del"))
             | F.col("type").isin("FunctionDef", "AsyncFunctionDef", "ClassDef", "alias", "ExceptHandler",
                                  "MatchAs", "MatchStar"))
@@ -38,7 +40,7 @@ def wanted_function(nt: DataFrame, pairs: DataFrame) -> DataFrame:
 def local_names(nt: DataFrame, target: DataFrame) -> DataFrame:
     """Local names of the wanted function with their ordinal:
     ``code_id, func_name, ident, new_ident``."""
-    binds = nodes_only(nt).where(_BINDING & F.col("ident").isNotNull()) \
+    binds = nodes_only(nt).where(_binding() & F.col("ident").isNotNull()) \
         .select("code_id", "scope_id", "ident", "node_id")
     loc = binds.join(target.withColumnRenamed("fid", "scope_id"), on=["code_id", "scope_id"], how="inner") \
         .groupBy("code_id", "func_name", "ident").agg(F.min("node_id").alias("_first"))
