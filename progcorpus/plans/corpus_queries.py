@@ -394,3 +394,14 @@ def q_sink_text(spark, sf):
     path = _scratch(spark, "text")
     sinks.sink_text(manifest, path, "content", clear=True, partition_by=["question_id"])
     return spark.read.text(path).select("question_id", "value")
+
+
+@query("sink_json", """
+SELECT '{"event_id":' || CAST(event_id AS VARCHAR) || ',"user_id":' || CAST(user_id AS VARCHAR)
+       || ',"event_type":"' || event_type || '"}' AS value
+FROM events""")
+def q_sink_json(spark, sf):
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    path = _scratch(spark, "jsonl")
+    json_io.sink_json(ev, path)
+    return spark.read.text(path).select("value")

@@ -25,6 +25,7 @@ GOLDEN = {0: {'tokenizes': True,
      'operator_seq': '+',
      'adjacency_md5': '85d6a864edfb2173472e9d2aff9c7549',
      'tree_functions': [('task_0', 'def task_0(a, b):\n    c = a + b\n    return c')],
+     'positional_args': 'a b',
      'n_indent': 1,
      'n_dedent': 1},
  1: {'tokenizes': True,
@@ -44,6 +45,7 @@ GOLDEN = {0: {'tokenizes': True,
      'operator_seq': '+',
      'adjacency_md5': '85d6a864edfb2173472e9d2aff9c7549',
      'tree_functions': [('task_0', 'def task_0(x, y):\n    total = x + y\n    return total')],
+     'positional_args': 'x y',
      'n_indent': 1,
      'n_dedent': 1},
  2: {'tokenizes': True,
@@ -63,6 +65,7 @@ GOLDEN = {0: {'tokenizes': True,
      'operator_seq': '+',
      'adjacency_md5': '538cc8bca97f3e9760656e66ee418a0b',
      'tree_functions': [('task_0', 'def task_0(a, b):\n    return a + b')],
+     'positional_args': 'a b',
      'n_indent': 1,
      'n_dedent': 1},
  3: {'tokenizes': True,
@@ -87,6 +90,7 @@ GOLDEN = {0: {'tokenizes': True,
                          '    # add\n'
                          '    c = a + b\n'
                          '    return c')],
+     'positional_args': 'a b',
      'n_indent': 1,
      'n_dedent': 1},
  4: {'tokenizes': True,
@@ -107,6 +111,7 @@ GOLDEN = {0: {'tokenizes': True,
      'adjacency_md5': '6dd966bebe23f62385dc8a6a7ac14a77',
      'tree_functions': [('helper', 'def helper(u):\n    return u ** 2'),
                         ('task_0', 'def task_0(a, b):\n    return helper(a) // b')],
+     'positional_args': 'a b',
      'n_indent': 2,
      'n_dedent': 2},
  5: {'tokenizes': True,
@@ -128,6 +133,7 @@ GOLDEN = {0: {'tokenizes': True,
      'tree_functions': [('task_0',
                          'def task_0(a, b):\n    def inner(k):\n        return k - b\n    return inner(a)'),
                         ('inner', 'def inner(k):\n        return k - b')],
+     'positional_args': 'a b',
      'n_indent': 2,
      'n_dedent': 2},
  6: {'tokenizes': True,
@@ -147,6 +153,7 @@ GOLDEN = {0: {'tokenizes': True,
      'operator_seq': '+',
      'adjacency_md5': None,
      'tree_functions': [],
+     'positional_args': None,
      'n_indent': 1,
      'n_dedent': 1},
  7: {'tokenizes': True,
@@ -166,6 +173,7 @@ GOLDEN = {0: {'tokenizes': True,
      'operator_seq': '+',
      'adjacency_md5': None,
      'tree_functions': [],
+     'positional_args': None,
      'n_indent': 0,
      'n_dedent': 0},
  8: {'tokenizes': False,
@@ -185,6 +193,7 @@ GOLDEN = {0: {'tokenizes': True,
      'operator_seq': '',
      'adjacency_md5': None,
      'tree_functions': [],
+     'positional_args': None,
      'n_indent': 0,
      'n_dedent': 0},
  9: {'tokenizes': True,
@@ -204,6 +213,7 @@ GOLDEN = {0: {'tokenizes': True,
      'operator_seq': '+',
      'adjacency_md5': '538cc8bca97f3e9760656e66ee418a0b',
      'tree_functions': [('task_0', 'def task_0(a, b): return a + b')],
+     'positional_args': 'a b',
      'n_indent': 0,
      'n_dedent': 0},
  10: {'tokenizes': True,
@@ -224,6 +234,7 @@ GOLDEN = {0: {'tokenizes': True,
       'adjacency_md5': '9e9d05734352748c3758b4806da085e1',
       'tree_functions': [('task_0', 'def task_0(a, b):\n    return a'),
                          ('task_0', 'def task_0(a, b):\n    return b')],
+      'positional_args': 'a b',
       'n_indent': 2,
       'n_dedent': 2},
  11: {'tokenizes': True,
@@ -254,6 +265,7 @@ GOLDEN = {0: {'tokenizes': True,
                           '            out.append(it)\n'
                           '    s = "items"\n'
                           '    return out')],
+      'positional_args': 'items limit',
       'n_indent': 3,
       'n_dedent': 3},
  12: {'tokenizes': True,
@@ -273,6 +285,7 @@ GOLDEN = {0: {'tokenizes': True,
       'operator_seq': '+',
       'adjacency_md5': '538cc8bca97f3e9760656e66ee418a0b',
       'tree_functions': [('other', 'def other(a, b):\n    return a + b')],
+      'positional_args': None,
       'n_indent': 1,
       'n_dedent': 1},
  13: {'tokenizes': True,
@@ -292,6 +305,7 @@ GOLDEN = {0: {'tokenizes': True,
       'operator_seq': '',
       'adjacency_md5': '5c1b06001ba9b14a048f23a62436b0f3',
       'tree_functions': [('task_0', 'def task_0(a, b):\r\n    return a * b')],
+      'positional_args': 'a b',
       'n_indent': 1,
       'n_dedent': 1},
  14: {'tokenizes': True,
@@ -311,6 +325,7 @@ GOLDEN = {0: {'tokenizes': True,
       'operator_seq': '',
       'adjacency_md5': '53b3cae42737979c884275593a01f468',
       'tree_functions': [],
+      'positional_args': None,
       'n_indent': 0,
       'n_dedent': 0},
  15: {'tokenizes': True,
@@ -363,6 +378,7 @@ GOLDEN = {0: {'tokenizes': True,
                           '    a = a + 1\n'
                           '    a = a + 1\n'
                           '    return a')],
+      'positional_args': 'a b',
       'n_indent': 1,
       'n_dedent': 1}}
 
@@ -398,3 +414,162 @@ CLEAN = {
     5: "WHOLE", 6: "WHOLE", 7: "WHOLE", 8: None, 9: "WHOLE", 10: "WHOLE", 11: "WHOLE", 12: "WHOLE",
     13: "def {f}(a, b):\n    return a * b", 14: "", 15: "WHOLE",
 }
+
+# Whitespace-preserving token stream per template (stdlib tokenizer).
+TOKENS = {0: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+     ('NAME', 'c'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+     ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('NEWLINE', '\n'),
+     ('UNIMPORTANT_WS', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'c'), ('NEWLINE', ''),
+     ('DEDENT', ''), ('ENDMARKER', '')],
+ 1: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'x'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'y'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+     ('NAME', 'total'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'x'),
+     ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NAME', 'y'), ('NEWLINE', '\n'),
+     ('UNIMPORTANT_WS', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'total'),
+     ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')],
+ 2: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+     ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')],
+ 3: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+     ('STRING', '"""Add two numbers."""'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '),
+     ('COMMENT', '# add'), ('NL', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'c'), ('UNIMPORTANT_WS', ' '),
+     ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '),
+     ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'c'), ('NEWLINE', ''), ('DEDENT', ''),
+     ('ENDMARKER', '')],
+ 4: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'helper'), ('OP', '('), ('NAME', 'u'), ('OP', ')'),
+     ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '),
+     ('NAME', 'u'), ('UNIMPORTANT_WS', ' '), ('OP', '**'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '2'),
+     ('NEWLINE', '\n'), ('NL', '\n'), ('DEDENT', ''), ('NAME', 'def'), ('UNIMPORTANT_WS', ' '),
+     ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','), ('UNIMPORTANT_WS', ' '), ('NAME', 'b'),
+     ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '), ('NAME', 'return'),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'helper'), ('OP', '('), ('NAME', 'a'), ('OP', ')'),
+     ('UNIMPORTANT_WS', ' '), ('OP', '//'), ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('NEWLINE', ''),
+     ('DEDENT', ''), ('ENDMARKER', '')],
+ 5: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+     ('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'inner'), ('OP', '('), ('NAME', 'k'), ('OP', ')'),
+     ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '        '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '),
+     ('NAME', 'k'), ('UNIMPORTANT_WS', ' '), ('OP', '-'), ('UNIMPORTANT_WS', ' '), ('NAME', 'b'),
+     ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('DEDENT', ''), ('NAME', 'return'),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'inner'), ('OP', '('), ('NAME', 'a'), ('OP', ')'), ('NEWLINE', ''),
+     ('DEDENT', ''), ('ENDMARKER', '')],
+ 6: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('NEWLINE', '\n'), ('INDENT', '    '),
+     ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')],
+ 7: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('NAME', 'return'),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
+     ('NAME', 'b'), ('NEWLINE', ''), ('ENDMARKER', '')],
+ 8: [],
+ 9: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('UNIMPORTANT_WS', ' '),
+     ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('NEWLINE', ''), ('ENDMARKER', '')],
+ 10: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+      ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('NEWLINE', '\n'), ('DEDENT', ''),
+      ('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+      ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('NEWLINE', ''), ('DEDENT', ''),
+      ('ENDMARKER', '')],
+ 11: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'items'),
+      ('OP', ','), ('UNIMPORTANT_WS', ' '), ('NAME', 'limit'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'),
+      ('INDENT', '    '), ('NAME', 'out'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '),
+      ('OP', '['), ('OP', ']'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'for'),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'it'), ('UNIMPORTANT_WS', ' '), ('NAME', 'in'),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'items'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '        '),
+      ('NAME', 'if'), ('UNIMPORTANT_WS', ' '), ('NAME', 'it'), ('UNIMPORTANT_WS', ' '), ('OP', '<='),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'limit'), ('UNIMPORTANT_WS', ' '), ('NAME', 'and'),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'it'), ('UNIMPORTANT_WS', ' '), ('OP', '!='), ('UNIMPORTANT_WS', ' '),
+      ('NUMBER', '0'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '            '), ('NAME', 'out'),
+      ('OP', '.'), ('NAME', 'append'), ('OP', '('), ('NAME', 'it'), ('OP', ')'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('DEDENT', ''), ('DEDENT', ''), ('NAME', 's'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '='), ('UNIMPORTANT_WS', ' '), ('STRING', '"items"'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'out'),
+      ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')],
+ 12: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'other'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+      ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')],
+ 13: [('NL', '\n'), ('NL', '\n'), ('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('),
+      ('NAME', 'a'), ('OP', ','), ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'),
+      ('NEWLINE', '\r\n'), ('INDENT', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '*'), ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('NEWLINE', '\r\n'),
+      ('DEDENT', ''), ('ENDMARKER', '')],
+ 14: [('ENDMARKER', '')],
+ 15: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+      ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
+      ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+      ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '),
+      ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
+      ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+      ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '),
+      ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
+      ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+      ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '),
+      ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
+      ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+      ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '),
+      ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
+      ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+      ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '),
+      ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
+      ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+      ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '),
+      ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
+      ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'),
+      ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '),
+      ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '),
+      ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='), ('UNIMPORTANT_WS', ' '), ('NAME', 'a'),
+      ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '), ('NUMBER', '1'), ('NEWLINE', '\n'),
+      ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
+      ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'return'),
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')]}

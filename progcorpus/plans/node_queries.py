@@ -10,7 +10,7 @@ from progcorpus.operators import dedup as D
 from progcorpus.operators import functions as FN
 from progcorpus.operators import nodes as N
 from progcorpus.operators import tokens as T
-from progcorpus.plans.golden import FUNCS, GOLDEN
+from progcorpus.plans.golden import FUNCS, GOLDEN, TOKENS
 from progcorpus.plans.oracle_sql import DIM, _values, ctes, golden_constructs, golden_funcs, golden_scalars
 from progcorpus.plans.registry import query
 from progcorpus.sources import fixtures as fx
@@ -277,3 +277,63 @@ def q_last_duplicate(spark, sf):
     return D.last_duplicate(docs, "text", ["lang", "doc_id"]).select("doc_id", "lang")
 
 
+
+
+# --- J7 / J8 --------------------------------------------------------------------------------
+
+def _pair_job(spark, sf):
+    from progcorpus.operators import rename as R
+
+    p = (fx.pairs(spark, sf).withColumn("src_id", F.sha2("source", 256))
+         .withColumn("dst_id", F.sha2("destination", 256)))
+    triples = p.select("src_id", "dst_id", "func_name").distinct()
+    texts = p.select(F.col("src_id").alias("code_id"), F.col("source").alias("func_code"), "func_name") \
+        .unionByName(p.select(F.col("dst_id").alias("code_id"), F.col("destination").alias("func_code"),
+                              "func_name"))
+    dim = T.code_dim(texts)
+    nt = N.node_table(dim)
+    wanted = texts.select("code_id", "func_name").distinct()
+    args = R.positional_arguments(nt, wanted)
+    defined = D.wanted_function(nt, wanted).select("code_id", "func_name")
+    triples = (triples.join(defined.withColumnRenamed("code_id", "src_id"), on=["src_id", "func_name"], how="left_semi")
+               .join(defined.withColumnRenamed("code_id", "dst_id"), on=["dst_id", "func_name"], how="left_semi"))
+    return p, dim, triples, R.argument_pairs(triples, args)
+
+
+def _rename_ctes() -> str:
+    toks = [(v, i, k, s) for v, ts in TOKENS.items() for i, (k, s) in enumerate(ts)]
+    gt = _values("gt", ["v", "pos", "kind", "src"], toks, ["INTEGER", "INTEGER", "VARCHAR", "VARCHAR"])
+    gargs = _values("gargs", ["v", "args"], [(v, g["positional_args"]) for v, g in GOLDEN.items()
+                                            if g["positional_args"] is not None], ["INTEGER", "VARCHAR"])
+    m = """m AS (SELECT pair_id, func_name, dst_v, CAST(ix - 1 AS INTEGER) AS arg_ix,
+              string_split(sa.args, ' ')[ix] AS src_arg, string_split(da.args, ' ')[ix] AS dst_arg
+       FROM (SELECT pairs.*, unnest(generate_series(1, least(len(string_split(sa.args, ' ')),
+                                                           len(string_split(da.args, ' ')))))  AS ix, sa.args AS sa_args
+             FROM pairs JOIN gargs sa ON sa.v = pairs.src_v JOIN gargs da ON da.v = pairs.dst_v) q
+       JOIN gargs sa ON sa.v = q.src_v JOIN gargs da ON da.v = q.dst_v)"""
+    return ctes(gt, gargs, m)
+
+
+@query("argument_pairs", "SELECT pair_id, arg_ix, src_arg, dst_arg FROM m", _rename_ctes())
+def q_argument_pairs(spark, sf):
+    p, _, _, ap = _pair_job(spark, sf)
+    return p.join(ap, on=["src_id", "dst_id", "func_name"], how="inner").select(
+        "pair_id", "arg_ix", "src_arg", "dst_arg")
+
+
+@query("rename_arguments", """
+SELECT pp.pair_id, CASE WHEN bool_and(ok) THEN string_agg(CASE WHEN gt.kind = 'NAME' AND m.src_arg IS NOT NULL
+                 THEN m.src_arg ELSE replace(gt.src, 'task_0', pp.func_name) END, '' ORDER BY gt.pos) END AS renamed
+FROM (SELECT pairs.*, (sa.v IS NOT NULL AND da.v IS NOT NULL AND gsd.tokenizes) AS ok FROM pairs
+      LEFT JOIN gargs sa ON sa.v = pairs.src_v LEFT JOIN gargs da ON da.v = pairs.dst_v
+      JOIN gs gsd ON gsd.v = pairs.dst_v) pp
+LEFT JOIN gt ON gt.v = pp.dst_v
+LEFT JOIN m ON m.pair_id = pp.pair_id AND m.dst_arg = gt.src
+GROUP BY pp.pair_id""", _rename_ctes() + ",\n" + golden_scalars())
+def q_rename_arguments(spark, sf):
+    from progcorpus.operators import rename as R
+
+    p, dim, triples, ap = _pair_job(spark, sf)
+    job = T.token_table(dim)
+    ren = R.rename_arguments(triples, ap, job)
+    return p.join(ren, on=["src_id", "dst_id", "func_name"], how="left").select("pair_id", "renamed")

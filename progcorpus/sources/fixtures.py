@@ -88,6 +88,19 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit(COMPLETION_HEADER), body).alias("completion"))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pair_id, func_name, source, destination``: every wrong submission
+    with its question's most frequent correct program (ties: first seen)."""
+    from progcorpus.operators.sampling import modal_program
+
+    subs = submissions(spark, sf_dir)
+    modal = modal_program(subs.where(F.col("correct")), "func_name", "func_code", "sub_id") \
+        .select("func_name", F.col("modal_code").alias("destination"))
+    return (subs.where(~F.col("correct")).join(modal, on="func_name", how="inner")
+            .select(F.col("sub_id").alias("pair_id"), "func_name", F.col("func_code").alias("source"),
+                    "destination"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
@@ -130,7 +143,14 @@ completions AS (
          {sql_str(COMPLETION_HEADER)} || replace({_sql_template('CAST(p_partkey % 16 AS INTEGER)')}, '{{f}}',
                  'task_' || CAST(p_partkey % 10 AS VARCHAR)) AS completion,
          CAST(p_partkey % 16 AS INTEGER) AS v
-  FROM part)"""
+  FROM part),
+cmodal AS (SELECT func_name, func_code AS destination FROM (
+  SELECT func_name, func_code, row_number() OVER (PARTITION BY func_name ORDER BY count(*) DESC, min(sub_id)) AS rn
+  FROM submissions WHERE correct GROUP BY func_name, func_code) WHERE rn = 1),
+pairs AS (
+  SELECT s.sub_id AS pair_id, s.func_name, s.func_code AS source, m.destination, s.v AS src_v,
+         (SELECT any_value(v) FROM submissions x WHERE x.func_code = m.destination) AS dst_v
+  FROM submissions s JOIN cmodal m USING (func_name) WHERE NOT s.correct)"""
 
 
 def with_views(body: str, ctes: str = "") -> str:

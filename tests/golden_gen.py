@@ -92,6 +92,13 @@ def golden_for(text: str) -> dict:
         g["adjacency_md5"] = hashlib.md5(adj.encode()).hexdigest()
         g["tree_functions"] = [(n.name, ast.get_source_segment(text, n)) for n in ast.walk(full)
                                if isinstance(n, ast.FunctionDef)]
+    g["positional_args"] = None
+    if tree:
+        tops = [n for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == F]
+        if tops:
+            a = tops[-1].args
+            g["positional_args"] = " ".join(x.arg for x in a.posonlyargs + a.args)
+    g["tokens"] = toks
     g["n_indent"] = sum(1 for k, _ in toks if k == "INDENT")
     g["n_dedent"] = sum(1 for k, _ in toks if k == "DEDENT")
     return g
