@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def _at(arr, i):
+    """1-based array element, null when out of range (ANSI-safe)."""
+    return F.try_element_at(arr, i if isinstance(i, Column) else F.lit(i))
+
+
 # Line terminators of Python's ``str.splitlines``.
 LINE_BREAK = "\\r\\n|[\\n\\r\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
 LINE_BREAK_AT_END = "[\\n\\r\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]\\z"
@@ -77,7 +83,7 @@ def body_indentation(cleaned) -> Column:
     """F10 ``get_code_identation`` applied to already-cleaned text: leading
     whitespace of line 1; null for a single-line program (the reference raises)."""
     lines = F.split(_c(cleaned), "\n", -1)
-    return F.when(F.size(lines) > 1, leading_space(F.element_at(lines, 2)))
+    return F.when(F.size(lines) > 1, leading_space(_at(lines, 2)))
 
 
 def indent_docstring(docstring, indentation) -> Column:
@@ -89,7 +95,7 @@ def indent_docstring(docstring, indentation) -> Column:
                        lambda l: F.concat(ind, l))
     joined = F.array_join(F.concat(F.slice(lines, 1, 1), rest), "\n")
     return (F.when(F.size(lines) == 0, F.lit(None).cast("string"))
-            .when(F.size(lines) == 1, F.concat(ind, F.lit('"""'), F.element_at(lines, 1), F.lit('"""')))
+            .when(F.size(lines) == 1, F.concat(ind, F.lit('"""'), _at(lines, 1), F.lit('"""')))
             .otherwise(F.concat(ind, F.lit('"""'), joined, F.lit("\n"), ind, F.lit('"""'))))
 
 
@@ -97,7 +103,7 @@ def attach_docstring(code, docstring) -> Column:
     """F8 ``add_docstring``: insert the indented docstring after line 0,
     indented like line 1; null for one-line code (the reference raises)."""
     lines = F.split(_c(code), "\n", -1)
-    ind = leading_space(F.element_at(lines, 2))
+    ind = leading_space(_at(lines, 2))
     doc = indent_docstring(docstring, ind)
     merged = F.concat(F.slice(lines, 1, 1), F.array(doc),
                       F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))
@@ -121,7 +127,7 @@ def dedent(col) -> Column:
         return F.substring(acc, 1, n)
 
     margin = F.when(F.size(margins) == 0, F.lit("")).otherwise(
-        F.aggregate(margins, F.element_at(margins, 1), common))
+        F.aggregate(margins, _at(margins, 1), common))
     return F.array_join(F.transform(lines, lambda l: F.when(l.startswith(margin),
                                                               F.substring(l, F.length(margin) + 1, 1 << 30))
                                     .otherwise(l)), "\n")

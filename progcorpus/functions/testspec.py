@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from progcorpus.functions.lines import py_strip
+from progcorpus.functions.lines import _at, py_strip
 
 CASE_TYPE = "array<struct<case_no:int,input:string,expected:string>>"
 
@@ -38,8 +38,8 @@ def split_asserts(test) -> Column:
         parts = F.split(case, "==", -1)
         ok = F.size(parts) == 2
         return F.struct(i.cast("int").alias("case_no"),
-                        F.when(ok, F.element_at(parts, 1)).otherwise(case).alias("input"),
-                        F.when(ok, py_strip(F.element_at(parts, 2))).alias("expected"))
+                        F.when(ok, _at(parts, 1)).otherwise(case).alias("input"),
+                        F.when(ok, py_strip(_at(parts, 2))).alias("expected"))
 
     return F.when(body.isNull(), F.array().cast(CASE_TYPE)).otherwise(F.transform(cases, one))
 
@@ -54,8 +54,8 @@ def split_call_asserts(test) -> Column:
         parts = F.split(case, "\\)==", -1)
         ok = F.size(parts) == 2
         return F.struct(i.cast("int").alias("case_no"),
-                        F.when(ok, F.concat(F.element_at(parts, 1), F.lit(")"))).otherwise(case).alias("input"),
-                        F.when(ok, py_strip(F.element_at(parts, 2))).alias("expected"))
+                        F.when(ok, F.concat(_at(parts, 1), F.lit(")"))).otherwise(case).alias("input"),
+                        F.when(ok, py_strip(_at(parts, 2))).alias("expected"))
 
     return F.when(body.isNull(), F.array().cast(CASE_TYPE)).otherwise(F.transform(cases, one))
 

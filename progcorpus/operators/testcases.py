@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from progcorpus.functions.lines import _at
 from progcorpus.functions.testspec import split_asserts, split_call_asserts, test_prelude
 from progcorpus.operators.grading import is_tested
 
@@ -38,3 +39,108 @@ def test_preludes(df: DataFrame, group: str = "func_name", order_col: str = "sub
     first = first_tested(df, group, order_col, test_col)
     return (questions.join(first, on=group, how="left")
             .select(group, test_prelude("first_test").alias("prelude")))
+
+
+def _scalar_type(tok, nxt=None):
+    """Python type name of a literal from its first token (and the next one
+    after a sign)."""
+    num = lambda t: (F.when(t.rlike("[jJ]$"), F.lit("complex"))
+                     .when(~t.rlike("^0[xXoObB]") & t.rlike("[.eE]"), F.lit("float"))
+                     .otherwise(F.lit("int")))
+    out = (F.when(tok.rlike("^[rRuUfF]*['\"]"), F.lit("str"))
+           .when(tok.rlike("^[rRbB]*[bB][rR]*['\"]"), F.lit("bytes"))
+           .when(tok.rlike("^\\.?\\d"), num(tok))
+           .when(tok.isin("True", "False"), F.lit("bool"))
+           .when(tok == "None", F.lit("NoneType")))
+    if nxt is not None:
+        out = F.when(tok.isin("-", "+") & nxt.rlike("^\\.?\\d"), num(nxt)).otherwise(out)
+    return out
+
+
+def literal_types(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Type names of the comma-separated top-level literals of ``text_col``:
+    ``key, types`` (array in order).  The text is cut by the library lexer;
+    a running bracket depth (window per row key) finds the top-level commas."""
+    from pyspark.sql import Window
+
+    from progcorpus.functions.lexer import LEX
+
+    t = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(LEX), 0)).alias("p", "tok"))
+    t = t.where(~F.col("tok").rlike("^[ \\t\\f\\r\\n\\\\]"))
+    w = Window.partitionBy(key).orderBy("p")
+    step = F.when(F.col("tok").isin("(", "[", "{"), 1).when(F.col("tok").isin(")", "]", "}"), -1).otherwise(0)
+    t = t.withColumn("_d", F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = t.withColumn("_cut", (F.col("tok") == ",") & (F.col("_d") == 0))
+    t = t.withColumn("piece", F.sum(F.col("_cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.where(~F.col("_cut"))
+    pieces = t.groupBy(key, "piece").agg(
+        F.min_by("tok", "p").alias("_t0"),
+        _at(F.array_sort(F.collect_list(F.struct("p", "tok"))), 2)["tok"].alias("_t1"),
+        F.count(F.lit(1)).alias("_n"),
+        F.max(((F.col("tok") == ":") & (F.col("_d") == 1)).cast("int")).alias("_colon"),
+        F.max(((F.col("tok") == ",") & (F.col("_d") == 1)).cast("int")).alias("_comma"))
+    paren = F.when((F.col("_n") == 2) | (F.col("_comma") == 1), F.lit("tuple")) \
+        .otherwise(_scalar_type(F.coalesce(F.col("_t1"), F.lit(""))))
+    brace = F.when((F.col("_n") == 2) | (F.col("_colon") == 1), F.lit("dict")).otherwise(F.lit("set"))
+    ty = (F.when(F.col("_t0") == "[", F.lit("list"))
+          .when(F.col("_t0") == "{", brace)
+          .when(F.col("_t0") == "(", paren)
+          .otherwise(_scalar_type(F.col("_t0"), F.col("_t1"))))
+    return pieces.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("piece", ty.alias("ty")))),
+                                               lambda s: s["ty"]).alias("types"))
+
+
+def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_code",
+                    doc_col: str = "description", test_col: str = "test") -> DataFrame:
+    """F7 ``rest_docstring``: ``key, typed`` = docstring, a ``:type arg: T``
+    line per positional argument of line 0 (arguments with a default are
+    skipped; names trimmed, none for a zero-argument header, D28), ``:rtype:``,
+    and an ``:Example:`` block with every case.  Types come from the literals
+    of the first case.  Null when a piece cannot be typed (the reference
+    raises) or there is no ``assert`` (D15)."""
+    from progcorpus.functions.lines import py_strip, splitlines
+
+    t = F.col(test_col)
+    pos = F.instr(t, "assert")
+    body = py_strip(F.substring(t, pos + 6, 1 << 30))
+    cases = F.split(body, " and ", -1)
+    first = F.split(_at(cases, 1), "==", -1)
+    inp = py_strip(_at(first, 1))
+    i = F.col("_inp")
+    open_ = F.instr(i, "(")
+    close = F.length(i) - F.instr(F.reverse(i), ")") + 1
+    # the call's argument text: inp[inp.find('(') + 1 : inp.rfind(')')]
+    call_args = F.when((open_ > 0) & (F.instr(i, ")") > 0) & (close > open_),
+                       F.substring(i, open_ + 1, close - open_ - 1))
+    line0 = _at(splitlines(F.col(code_col)), 1)
+    lo = F.instr(line0, "(")
+    hi = F.length(line0) - F.instr(F.reverse(line0), ")") + 1
+    # Python slice line0[find('(') + 1 : rfind(')')] (rfind -1 means "up to the last character")
+    end = F.when(F.instr(line0, ")") > 0, hi - 1).otherwise(F.length(line0) - 1)
+    arg_text = F.when(end >= lo + 1, F.substring(line0, lo + 1, end - lo)).otherwise(F.lit(""))
+    args = F.filter(F.transform(F.split(arg_text, ",", -1), lambda a: py_strip(a)),
+                    lambda a: (a != "") & ~a.contains("="))
+    base = (df.where(t.isNotNull() & (pos > 0) & (F.size(first) == 2) & line0.isNotNull())
+            .select(key, F.col(doc_col).alias("_doc"), cases.alias("_cases"), args.alias("_args"),
+                    inp.alias("_inp"), py_strip(_at(first, 2)).alias("_out")))
+    base = base.withColumn("_call", call_args)
+    in_types = literal_types(base.where(F.col("_call").isNotNull()), key, "_call") \
+        .withColumnRenamed("types", "_in")
+    out_types = literal_types(base, key, "_out").withColumnRenamed("types", "_ot")
+    j = base.join(in_types, on=key, how="left").join(out_types, on=key, how="left")
+    n_args, n_in = F.size("_args"), F.coalesce(F.size("_in"), F.lit(0))
+    # one parameter takes the whole tuple; several parameters zip with the pieces
+    param_types = F.when(n_args == 1, F.array(F.when(n_in != 1, F.lit("tuple")).otherwise(_at("_in", 1)))) \
+        .otherwise(F.coalesce(F.col("_in"), F.array().cast("array<string>")))
+    # zip stops at the shorter list: padded pairs give null lines, dropped below
+    type_lines = F.zip_with(F.col("_args"), param_types,
+                            lambda a, ty: F.concat(F.lit(":type "), a, F.lit(": "), ty))
+    rtype = F.when(F.size("_ot") > 1, F.lit("tuple")).otherwise(_at("_ot", 1))
+    lines = F.concat(F.filter(type_lines, lambda l: l.isNotNull()), F.array(F.concat(F.lit(":rtype: "), rtype)))
+    example = F.concat(F.lit(":Example:\n"), F.array_join(F.transform("_cases", lambda c: F.concat(F.lit("  >>> "), c)),
+                                                          "\n"))
+    typed = F.concat(F.col("_doc"), F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n\n"), example)
+    typed_all = ~F.exists(F.slice(param_types, 1, F.least(n_args, F.size(param_types))), lambda x: x.isNull())
+    # several parameters need a tuple of inputs (a lone literal does not unpack)
+    ok = typed_all & rtype.isNotNull() & ((n_args <= 1) | (n_in != 1))
+    return j.select(key, F.when(ok, typed).alias("typed"))

@@ -405,3 +405,19 @@ def q_sink_json(spark, sf):
     path = _scratch(spark, "jsonl")
     json_io.sink_json(ev, path)
     return spark.read.text(path).select("value")
+
+
+_TYPED = {1: ":type x: int\n:type y: int\n", 4: ":type u: tuple\n", 11: ":type items: int\n:type limit: int\n",
+          13: ""}
+
+
+@query("typed_docstring", """
+SELECT sub_id, CASE WHEN v = 14 THEN NULL ELSE
+  description || chr(10) || chr(10) || (CASE v """ + " ".join(
+    f"WHEN {v} THEN {fx.sql_str(t)}" for v, t in _TYPED.items()) + """
+     ELSE ':type a: int' || chr(10) || ':type b: int' || chr(10) END) || ':rtype: int' || chr(10) || chr(10) ||
+  ':Example:' || chr(10) || '  >>> ' || func_name || '(1, 2) == 3' || chr(10) || '  >>> ' || func_name || '(2, 2) == 4'
+  END AS typed
+FROM submissions WHERE test IS NOT NULL AND strpos(test, 'assert') > 0 AND v <> 14""")
+def q_typed_docstring(spark, sf):
+    return testcases.typed_docstring(fx.submissions(spark, sf))
