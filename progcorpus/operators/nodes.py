@@ -155,7 +155,7 @@ def _parse_batches(batches):
 def node_table(dim: DataFrame) -> DataFrame:
     """Node rows (plus one error row per text that does not parse),
     materialised once: every tree job reads it."""
-    return materialize(dim.select("code_id", "code").mapInArrow(_parse_batches, NODE_SCHEMA))
+    return materialize(dim.select("code_id", "code").mapInArrow(_parse_batches, NODE_SCHEMA), key="code_id")
 
 
 def nodes_only(nt: DataFrame) -> DataFrame:

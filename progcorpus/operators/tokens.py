@@ -42,15 +42,20 @@ class TokenJob:
         self.tokens, self.status, self.blocks = tokens, status, blocks
 
 
-def code_dim(df: DataFrame, code_col: str = "func_code") -> DataFrame:
+def code_dim(df: DataFrame, code_col: str = "func_code", num_partitions: int | None = None) -> DataFrame:
     """One row per distinct program text: ``code_id, code``.
 
     ``groupBy(code_id)`` with ``any_value`` is partially aggregated, so a text
-    repeated in a third of the corpus is reduced map-side before the shuffle;
-    the result is hash-partitioned by ``code_id`` for every later step."""
-    return materialize(df.where(F.col(code_col).isNotNull())
-                       .select(F.sha2(F.col(code_col), 256).alias("code_id"), F.col(code_col).alias("code"))
-                       .groupBy("code_id").agg(F.any_value("code").alias("code")))
+    repeated in a third of the corpus is reduced map-side before the shuffle.
+    The distinct texts (much smaller than the corpus) are then hash-partitioned
+    into a fixed number of partitions (default ``spark.sql.shuffle.partitions``),
+    sized for the token and node rows they expand into, which every later
+    window and join keyed by ``code_id`` reuses without another shuffle."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = (df.where(F.col(code_col).isNotNull())
+                .select(F.sha2(F.col(code_col), 256).alias("code_id"), F.col(code_col).alias("code"))
+                .groupBy("code_id").agg(F.any_value("code").alias("code")))
+    return materialize(distinct.repartition(n, "code_id"), key="code_id", num_buckets=n)
 
 
 def with_code_id(df: DataFrame, code_col: str = "func_code") -> DataFrame:
@@ -136,9 +141,9 @@ def token_table(dim: DataFrame) -> TokenJob:
     ``tokens``: ``code_id, pos, kind, src, line, off, bracket_depth,
     indent_depth`` — concatenating ``src`` in ``pos`` order rebuilds the text.
     ``status``: ``code_id, tokenizes, n_lines`` (P6) per text."""
-    t = materialize(_raw_tokens(dim))
-    ln = materialize(_lines(t))
-    lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"))
+    t = materialize(_raw_tokens(dim), key="code_id")
+    ln = _lines(t)
+    lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"), key="code_id")
     # dedents inserted before the first token of each closing line
     closing = lines.where(F.col("is_indent") & F.col("close_seg").isNotNull()) \
         .groupBy("code_id", F.col("close_seg").alias("seg")).agg(F.count(F.lit(1)).alias("n_dedent"))
@@ -158,7 +163,7 @@ def token_table(dim: DataFrame) -> TokenJob:
     w = Window.partitionBy("code_id").orderBy("rpos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     tk = tk.withColumn("kind", kind).withColumn("n_dedent", F.coalesce("n_dedent", F.lit(0)))
-    tk = materialize(tk.withColumn("_shift", F.sum("n_dedent").over(upto)))
+    tk = materialize(tk.withColumn("_shift", F.sum("n_dedent").over(upto)), key="code_id")
     raw = tk.select("code_id", (F.col("rpos") + F.col("_shift")).cast("int").alias("pos"), "kind", "src",
                     "line", "seg", "off", "bracket_depth", "n_dedent", "rpos")
     # zero-width DEDENT tokens
@@ -216,7 +221,7 @@ def token_table(dim: DataFrame) -> TokenJob:
                         (F.col("pos") - F.col("n_dedent")).alias("start_pos"), F.col("off").alias("start_off"))
     blocks = lines.join(starts, on=["code_id", "fpos"], how="inner").select(
         "code_id", "seg", "w", "is_indent", "end_seg", "start_pos", "start_off")
-    return TokenJob(materialize(tokens.select(*TOKEN_COLS)), materialize(status), materialize(blocks))
+    return TokenJob(materialize(tokens.select(*TOKEN_COLS), key="code_id"), status, blocks)
 
 
 def rebuild(tokens: DataFrame) -> DataFrame:
