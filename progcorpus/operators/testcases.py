@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lines import _at
+from progcorpus.session import materialize
 from progcorpus.functions.testspec import split_asserts, split_call_asserts, test_prelude
 from progcorpus.operators.grading import is_tested
 
@@ -102,32 +103,41 @@ def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_co
 
     t = F.col(test_col)
     pos = F.instr(t, "assert")
-    body = py_strip(F.substring(t, pos + 6, 1 << 30))
-    cases = F.split(body, " and ", -1)
-    first = F.split(_at(cases, 1), "==", -1)
-    inp = py_strip(_at(first, 1))
+    # staged columns: each intermediate is computed once per row
+    base = (df.where(t.isNotNull() & (pos > 0))
+            .select(key, F.col(doc_col).alias("_doc"), F.col(code_col).alias("_code"),
+                    py_strip(F.substring(t, pos + 6, 1 << 30)).alias("_body"))
+            .withColumn("_cases", F.split("_body", " and ", -1))
+            .withColumn("_first", F.split(_at(F.col("_cases"), 1), "==", -1))
+            .where(F.size("_first") == 2)
+            .withColumn("_inp", py_strip(_at(F.col("_first"), 1)))
+            .withColumn("_out", py_strip(_at(F.col("_first"), 2)))
+            .withColumn("_line0", _at(splitlines(F.col("_code")), 1))
+            .where(F.col("_line0").isNotNull()))
     i = F.col("_inp")
-    open_ = F.instr(i, "(")
-    close = F.length(i) - F.instr(F.reverse(i), ")") + 1
+    base = base.withColumn("_o", F.instr(i, "(")).withColumn(
+        "_c", F.length(i) - F.instr(F.reverse(i), ")") + 1).withColumn("_has_c", F.instr(i, ")") > 0)
     # the call's argument text: inp[inp.find('(') + 1 : inp.rfind(')')]
-    call_args = F.when((open_ > 0) & (F.instr(i, ")") > 0) & (close > open_),
-                       F.substring(i, open_ + 1, close - open_ - 1))
-    line0 = _at(splitlines(F.col(code_col)), 1)
-    lo = F.instr(line0, "(")
-    hi = F.length(line0) - F.instr(F.reverse(line0), ")") + 1
+    base = base.withColumn("_call", F.when((F.col("_o") > 0) & F.col("_has_c") & (F.col("_c") > F.col("_o")),
+                                           F.substring(i, F.col("_o") + 1, F.col("_c") - F.col("_o") - 1)))
+    line0 = F.col("_line0")
+    base = (base.withColumn("_lo", F.instr(line0, "("))
+            .withColumn("_hi", F.when(F.instr(line0, ")") > 0, F.length(line0) - F.instr(F.reverse(line0), ")"))
+                        .otherwise(F.length(line0) - 1)))
     # Python slice line0[find('(') + 1 : rfind(')')] (rfind -1 means "up to the last character")
-    end = F.when(F.instr(line0, ")") > 0, hi - 1).otherwise(F.length(line0) - 1)
-    arg_text = F.when(end >= lo + 1, F.substring(line0, lo + 1, end - lo)).otherwise(F.lit(""))
-    args = F.filter(F.transform(F.split(arg_text, ",", -1), lambda a: py_strip(a)),
-                    lambda a: (a != "") & ~a.contains("="))
-    base = (df.where(t.isNotNull() & (pos > 0) & (F.size(first) == 2) & line0.isNotNull())
-            .select(key, F.col(doc_col).alias("_doc"), cases.alias("_cases"), args.alias("_args"),
-                    inp.alias("_inp"), py_strip(_at(first, 2)).alias("_out")))
-    base = base.withColumn("_call", call_args)
-    in_types = literal_types(base.where(F.col("_call").isNotNull()), key, "_call") \
-        .withColumnRenamed("types", "_in")
-    out_types = literal_types(base, key, "_out").withColumnRenamed("types", "_ot")
-    j = base.join(in_types, on=key, how="left").join(out_types, on=key, how="left")
+    arg_text = F.when(F.col("_hi") >= F.col("_lo") + 1,
+                      F.substring(line0, F.col("_lo") + 1, F.col("_hi") - F.col("_lo"))).otherwise(F.lit(""))
+    base = base.withColumn("_args", F.filter(F.transform(F.split(arg_text, ",", -1), lambda a: py_strip(a)),
+                                             lambda a: (a != "") & ~a.contains("=")))
+    base = base.select(key, "_doc", "_cases", "_args", "_out", "_call")
+    # literal texts repeat across submissions: type each distinct text once
+    texts = (base.select(F.col("_call").alias("_lit")).unionByName(base.select(F.col("_out").alias("_lit")))
+             .where(F.col("_lit").isNotNull()).groupBy(F.sha2("_lit", 256).alias("_lid"))
+             .agg(F.any_value("_lit").alias("_lit")))
+    types = materialize(literal_types(texts, "_lid", "_lit"))   # distinct literals: small
+    j = (base.withColumn("_cid", F.sha2("_call", 256)).withColumn("_oid", F.sha2("_out", 256))
+         .join(types.select(F.col("_lid").alias("_cid"), F.col("types").alias("_in")), on="_cid", how="left")
+         .join(types.select(F.col("_lid").alias("_oid"), F.col("types").alias("_ot")), on="_oid", how="left"))
     n_args, n_in = F.size("_args"), F.coalesce(F.size("_in"), F.lit(0))
     # one parameter takes the whole tuple; several parameters zip with the pieces
     param_types = F.when(n_args == 1, F.array(F.when(n_in != 1, F.lit("tuple")).otherwise(_at("_in", 1)))) \
