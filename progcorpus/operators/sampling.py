@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lines import line_count
@@ -27,22 +27,45 @@ def with_line_count(df: DataFrame, code_col: str = "func_code", out: str = "n_li
     return df.withColumn(out, line_count(code_col))
 
 
+def weighted_median(hist: DataFrame, keys: list[str], value: str, count: str, out: str) -> DataFrame:
+    """Exact median per group from a histogram ``(keys, value, count)``:
+    the mean of the two middle values for an even total, as pandas does.
+    Windows run over the histogram, whose size per group is bounded by the
+    number of distinct values, not by the number of rows."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    h = (hist.withColumn("_cum", F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_tot", F.sum(count).over(Window.partitionBy(*keys))))
+    k1 = F.floor((F.col("_tot") + 1) / 2)
+    k2 = F.floor(F.col("_tot") / 2) + 1
+    return h.groupBy(*keys).agg(
+        ((F.min(F.when(F.col("_cum") >= k1, F.col(value))) + F.min(F.when(F.col("_cum") >= k2, F.col(value))))
+         / F.lit(2.0)).alias(out))
+
+
 def mad_outliers(df: DataFrame, group, code_col: str = "func_code",
                  threshold: float = 2.5) -> DataFrame:
     """A2 ``remove_outliers_with_mad``: keep rows with
     ``(n_lines - median) / MAD <= threshold`` inside their group; a group
     whose MAD is 0 keeps every row.  One-sided, raw MAD (no 1.4826 factor).
-    Output = input columns without index artefacts, plus ``n_lines``."""
+    Output = input columns without index artefacts, plus ``n_lines``.
+
+    One pass over the rows builds a per-group histogram of line counts
+    (partially aggregated, so a hot group costs one row per distinct count);
+    median and MAD are exact and computed on the histogram; a second pass
+    filters the rows against the small per-group statistics."""
     from progcorpus.operators.columns import drop_index_columns
 
     keys = _keys(group)
     rows = with_line_count(drop_index_columns(df), code_col)
-    med = rows.groupBy(*keys).agg(F.median("n_lines").alias("_med"))
-    dev = rows.join(med, on=keys, how="left").withColumn("_dev", F.abs(F.col("n_lines") - F.col("_med")))
-    mad = dev.groupBy(*keys).agg(F.median("_dev").alias("_mad"))
-    kept = dev.join(mad, on=keys, how="left").where(
+    hist = rows.groupBy(*keys, "n_lines").agg(F.count(F.lit(1)).alias("_c"))
+    med = weighted_median(hist, keys, "n_lines", "_c", "_med")
+    dev = (hist.join(med, on=keys, how="inner")
+           .groupBy(*keys, F.abs(F.col("n_lines") - F.col("_med")).alias("_dev"))
+           .agg(F.sum("_c").alias("_c")))
+    stats = weighted_median(dev, keys, "_dev", "_c", "_mad").join(med, on=keys, how="inner")
+    kept = rows.join(stats, on=keys, how="left").where(
         (F.col("_mad") == 0) | ((F.col("n_lines") - F.col("_med")) / F.col("_mad") <= F.lit(threshold)))
-    return kept.drop("_med", "_dev", "_mad")
+    return kept.drop("_med", "_mad")
 
 
 def modal_program(df: DataFrame, group, code_col: str = "func_code",
@@ -69,7 +92,8 @@ def head_percent(df: DataFrame, percentage, group, order_col: str = "sub_id") ->
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     numbered = group_row_number(df, keys, [F.col(order_col).asc()], name="_rn")
     return (numbered.join(sizes, on=keys, how="inner")
-            .where(F.col("_rn") <= F.ceil(F.col("_n") * F.lit(float(percentage)) / F.lit(100.0)))
+            # ceil(n * (p / 100)) in the same float arithmetic as the reference
+            .where(F.col("_rn") <= F.ceil(F.col("_n") * F.lit(float(percentage) / 100.0)))
             .drop("_rn", "_n"))
 
 
