@@ -74,12 +74,15 @@ def with_classes(subs: DataFrame, canon: DataFrame) -> DataFrame:
 
 def representative_rows(classed: DataFrame, order_col: str = "sub_id", code_col: str = "func_code") -> DataFrame:
     """J1 ``add_representative`` + filter: rows whose text is the most frequent
-    text of their (question, class); rows without question or class drop out."""
+    text of their (question, class); rows without question or class drop out.
+    Texts are compared through ``code_id`` (their SHA-256), so the shuffles
+    carry 64-character keys instead of whole programs."""
     valid = classed.where(F.col("func_name").isNotNull() & F.col("normalized").isNotNull())
-    rep = modal_program(valid, ["func_name", "normalized"], code_col, order_col) \
-        .select("func_name", "normalized", F.col("modal_code").alias("representative"))
-    return valid.join(rep, on=["func_name", "normalized"], how="inner") \
-        .where(F.col(code_col) == F.col("representative"))
+    rep = modal_program(valid, ["func_name", "normalized"], "code_id", order_col) \
+        .select("func_name", "normalized", F.col("modal_code").alias("_rep_id"))
+    return (valid.join(rep, on=["func_name", "normalized"], how="inner")
+            .where(F.col("code_id") == F.col("_rep_id"))
+            .withColumn("representative", F.col(code_col)).drop("_rep_id"))
 
 
 def last_duplicate(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -95,4 +98,5 @@ def unique_solutions(subs: DataFrame, canon: DataFrame, order_col: str = "sub_id
     """A3 ``keep_unique_solutions``: one row per class of equivalent programs
     (the last copy of its representative text in question/class/row order)."""
     rows = representative_rows(with_classes(subs, canon), order_col)
-    return last_duplicate(rows, "representative", ["func_name", "normalized", order_col])
+    # the representative text is identified by its code_id
+    return last_duplicate(rows, "code_id", ["func_name", "normalized", order_col])

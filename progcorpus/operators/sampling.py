@@ -85,16 +85,26 @@ def modal_program(df: DataFrame, group, code_col: str = "func_code",
 def head_percent(df: DataFrame, percentage, group, order_col: str = "sub_id") -> DataFrame:
     """W4 ``keep_percentage`` with a positive number: the first
     ``ceil(n * p / 100)`` rows of each group in ``order_col`` order; any other
-    value keeps every row (D12: floats are accepted as percentages)."""
+    value keeps every row (D12: floats are accepted as percentages).
+
+    Only the narrow ``(group, order_col)`` projection is numbered (skew-safe,
+    see ``ordering``); the row at position ``ceil(n * p / 100)`` gives each
+    group's cutoff, a table with one row per group, and the full rows are
+    filtered against it.  ``order_col`` must be unique."""
     if isinstance(percentage, bool) or not isinstance(percentage, (int, float)) or percentage <= 0:
         return df
     keys = _keys(group)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = group_row_number(df, keys, [F.col(order_col).asc()], name="_rn")
-    return (numbered.join(sizes, on=keys, how="inner")
-            # ceil(n * (p / 100)) in the same float arithmetic as the reference
-            .where(F.col("_rn") <= F.ceil(F.col("_n") * F.lit(float(percentage) / 100.0)))
-            .drop("_rn", "_n"))
+    known = F.col(keys[0]).isNotNull()
+    for k in keys[1:]:
+        known = known & F.col(k).isNotNull()
+    narrow = df.select(*keys, order_col).where(known)     # null groups drop out, as in a pandas groupby
+    sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = group_row_number(narrow, keys, [F.col(order_col).asc()], name="_rn")
+    # ceil(n * (p / 100)) in the same float arithmetic as the reference
+    cut = (numbered.join(sizes, on=keys, how="inner")
+           .where(F.col("_rn") == F.least(F.col("_n"), F.ceil(F.col("_n") * F.lit(float(percentage) / 100.0))))
+           .select(*keys, F.col(order_col).alias("_cut")))
+    return df.join(cut, on=keys, how="inner").where(F.col(order_col) <= F.col("_cut")).drop("_cut")
 
 
 def reference_solution(df: DataFrame, group, code_col: str = "func_code",
