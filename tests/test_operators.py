@@ -140,3 +140,17 @@ def test_docstrings_and_pass(spark):
     got = {s: out[c] for s, c in [(r.sub_id, r.code_id) for r in subs.collect()]}
     assert got[1] == ("def f():\n    pass\n", "Only doc.")
     assert got[2] == ("class A:\n    x = 1", "Doc\n\nmore")
+
+
+def test_subroutines_substring_rule(spark):
+    from progcorpus.operators import functions as FN
+
+    code = "def h(x):\n    return x\ndef main(a):\n    return xh(a)\ndef xh(y):\n    return y\n"
+    subs = T.with_code_id(_subs([(1, "main", code)], spark))
+    dim = T.code_dim(subs)
+    ft = FN.function_table(T.token_table(dim), dim)
+    mains = FN.last_definition(ft, subs.select("code_id", "func_name"))
+    raw = sorted(r.name for r in FN.subroutines(ft, mains).collect())
+    strict = sorted(r.name for r in FN.subroutines(ft, mains, word_boundary=True).collect())
+    assert raw == ["h", "xh"]        # "h(" is a substring of "xh(" (D21)
+    assert strict == ["xh"]
