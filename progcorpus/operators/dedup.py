@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from progcorpus.operators.nodes import nodes_only
 from progcorpus.operators.sampling import modal_program
+from progcorpus.session import materialize
 
 def _binding():
     """Nodes that bind a name in their scope."""
@@ -60,11 +61,13 @@ def canonical_form(nt: DataFrame, pairs: DataFrame) -> DataFrame:
     h = F.xxhash64("node_id", "parent_id", "field", "child_ix", "type",
                    F.coalesce("new_ident", "ident"), "ctx", "ltype", "literal")
     n = n.select("code_id", "func_name", h.alias("_h"))
-    return n.groupBy("code_id", "func_name").agg(
+    canon = n.groupBy("code_id", "func_name").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("_lo"),
         F.sum(F.shiftrightunsigned("_h", 32)).alias("_hi")).select(
         "code_id", "func_name", F.concat_ws(":", "_n", "_lo", "_hi").alias("normalized"))
+    # one row per distinct (text, name), read by several branches downstream
+    return materialize(canon, key="code_id")
 
 
 def with_classes(subs: DataFrame, canon: DataFrame) -> DataFrame:

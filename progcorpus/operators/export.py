@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from progcorpus.functions.testspec import three_digits
 from progcorpus.operators.ordering import group_row_number
-from progcorpus.operators.sampling import question_numbers
-from progcorpus.operators.testcases import test_case_table, test_preludes
 
 MANIFEST_COLS = ["question_id", "func_name", "rel_path", "content"]
 
@@ -39,10 +37,20 @@ def program_files(df: DataFrame, qnum: DataFrame, order_col: str = "sub_id",
 
 
 def repair_manifest(df: DataFrame, order_col: str = "sub_id", code_col: str = "func_code") -> DataFrame:
-    qnum = question_numbers(df)                      # distinct questions only: small
-    per_q = df.where(F.col("func_name").isNotNull()).groupBy("func_name").agg(
+    """Two passes over the submissions: one aggregation gives every
+    per-question fact (first description, first correct program, first tested
+    row's test string; a small table, one row per question, from which the
+    question numbers, test files and preludes are derived), and the skew-safe
+    numbering of all programs gives their files."""
+    from progcorpus.functions.testspec import split_call_asserts, test_prelude
+    from progcorpus.operators.grading import is_tested
+    from progcorpus.session import materialize
+
+    per_q = materialize(df.where(F.col("func_name").isNotNull()).groupBy("func_name").agg(
         F.min_by("description", F.col(order_col)).alias("description"),
-        F.min_by(code_col, F.when(F.col("correct"), F.col(order_col))).alias("reference_code"))
+        F.min_by(code_col, F.when(F.col("correct"), F.col(order_col))).alias("reference_code"),
+        F.min_by("test", F.when(is_tested("test"), F.col(order_col))).alias("first_test")))
+    qnum = group_row_number(per_q.select("func_name"), [], [F.col("func_name").asc()], name="question_no")
     per_q = per_q.join(qnum, on="func_name", how="inner")
 
     single = per_q.select("question_no", "func_name", F.explode(F.array(
@@ -53,7 +61,7 @@ def repair_manifest(df: DataFrame, order_col: str = "sub_id", code_col: str = "f
                  F.col("reference_code").alias("content")),
     )).alias("f")).select("question_no", "func_name", "f.rel_path", "f.content")
 
-    cases = test_case_table(df, order_col=order_col).join(qnum, on="func_name", how="inner")
+    cases = per_q.select("question_no", "func_name", F.inline(split_call_asserts("first_test")))
     nnn = three_digits("case_no")
     case_files = cases.select("question_no", "func_name", F.explode(F.array(
         F.struct(F.concat(F.lit("ans/input_"), nnn, F.lit(".txt")).alias("rel_path"),
@@ -63,12 +71,11 @@ def repair_manifest(df: DataFrame, order_col: str = "sub_id", code_col: str = "f
     )).alias("f")).select("question_no", "func_name", "f.rel_path", "f.content")
 
     # The prelude itself goes to global.py (the reference writes a program there)
-    prelude = (test_preludes(df, order_col=order_col).where(F.col("prelude") != "")
-               .join(qnum, on="func_name", how="inner")
-               .select("question_no", "func_name", F.lit("code/global.py").alias("rel_path"),
-                       F.col("prelude").alias("content")))
+    prelude = (per_q.select("question_no", "func_name", F.lit("code/global.py").alias("rel_path"),
+                            test_prelude("first_test").alias("content"))
+               .where(F.col("content") != ""))
 
-    programs = program_files(df, qnum, order_col, code_col)
+    programs = program_files(df, qnum.select("func_name", "question_no"), order_col, code_col)
     out = single.unionByName(case_files).unionByName(prelude).unionByName(programs)
     return (out.where(F.col("content").isNotNull())          # D32: no file for null content
             .select(F.concat(F.lit("question_"), F.col("question_no").cast("string")).alias("question_id"),

@@ -19,10 +19,10 @@ from progcorpus.operators.nodes import nodes_only
 from progcorpus.operators.tokens import TokenJob, tokenized
 
 
-def positional_arguments(nt: DataFrame, pairs: DataFrame) -> DataFrame:
+def positional_arguments(nt: DataFrame, target: DataFrame) -> DataFrame:
     """``code_id, func_name, arg_ix, arg``: positional parameters (positional
-    only, then regular) of the wanted function, in order."""
-    target = wanted_function(nt, pairs)
+    only, then regular) of the wanted function (``target`` from
+    ``dedup.wanted_function``), in order."""
     n = nodes_only(nt)
     arguments = n.where(F.col("type") == "arguments").select(
         "code_id", F.col("parent_id").alias("fid"), F.col("node_id").alias("_args"))
@@ -57,3 +57,41 @@ def rename_arguments(triples: DataFrame, arg_pairs: DataFrame, job: TokenJob) ->
     rebuilt = t.groupBy("src_id", "dst_id", "func_name").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", new_src.alias("s")))), lambda x: x["s"]), "").alias("renamed"))
     return triples.join(rebuilt, on=["src_id", "dst_id", "func_name"], how="left")
+
+
+class PairJob:
+    """J7/J8 over a pairs table ``pair_id, func_name, source, destination``.
+
+    Texts are identified by SHA-256; the distinct (source, destination, name)
+    triples, the distinct texts, their syntax trees and the argument pairs are
+    each computed once and materialised; results join back to the pairs."""
+
+    def __init__(self, pairs: DataFrame):
+        from progcorpus.operators.nodes import node_table
+        from progcorpus.operators.tokens import code_dim
+        from progcorpus.session import materialize
+
+        self.pairs = (pairs.withColumn("src_id", F.sha2("source", 256))
+                      .withColumn("dst_id", F.sha2("destination", 256)))
+        texts = (self.pairs.select(F.col("source").alias("func_code"))
+                 .unionByName(self.pairs.select(F.col("destination").alias("func_code"))))
+        self.dim = code_dim(texts)
+        self.nt = node_table(self.dim)
+        triples = materialize(self.pairs.select("src_id", "dst_id", "func_name").distinct())
+        wanted = (triples.select(F.col("src_id").alias("code_id"), "func_name")
+                  .unionByName(triples.select(F.col("dst_id").alias("code_id"), "func_name")).distinct())
+        target = materialize(wanted_function(self.nt, wanted), key="code_id")
+        defined = target.select("code_id", "func_name")
+        # a pair whose source or destination lacks the function has no result
+        self.triples = materialize(
+            triples.join(defined.withColumnRenamed("code_id", "src_id"), on=["src_id", "func_name"], how="left_semi")
+            .join(defined.withColumnRenamed("code_id", "dst_id"), on=["dst_id", "func_name"], how="left_semi"))
+        self.arg_pairs = materialize(argument_pairs(self.triples, positional_arguments(self.nt, target)))
+
+    def renamed(self) -> DataFrame:
+        """``src_id, dst_id, func_name, renamed`` per valid triple."""
+        from progcorpus.operators.tokens import token_table
+
+        dst = self.dim.join(self.triples.select(F.col("dst_id").alias("code_id")).distinct(),
+                            on="code_id", how="left_semi")
+        return rename_arguments(self.triples, self.arg_pairs, token_table(dst))

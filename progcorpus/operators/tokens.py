@@ -221,7 +221,8 @@ def token_table(dim: DataFrame) -> TokenJob:
                         (F.col("pos") - F.col("n_dedent")).alias("start_pos"), F.col("off").alias("start_off"))
     blocks = lines.join(starts, on=["code_id", "fpos"], how="inner").select(
         "code_id", "seg", "w", "is_indent", "end_seg", "start_pos", "start_off")
-    return TokenJob(materialize(tokens.select(*TOKEN_COLS), key="code_id"), status, blocks)
+    return TokenJob(materialize(tokens.select(*TOKEN_COLS), key="code_id"), materialize(status, key="code_id"),
+                    blocks)
 
 
 def rebuild(tokens: DataFrame) -> DataFrame:

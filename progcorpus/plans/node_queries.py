@@ -282,22 +282,11 @@ def q_last_duplicate(spark, sf):
 # --- J7 / J8 --------------------------------------------------------------------------------
 
 def _pair_job(spark, sf):
-    from progcorpus.operators import rename as R
-
-    p = (fx.pairs(spark, sf).withColumn("src_id", F.sha2("source", 256))
-         .withColumn("dst_id", F.sha2("destination", 256)))
-    triples = p.select("src_id", "dst_id", "func_name").distinct()
-    texts = p.select(F.col("src_id").alias("code_id"), F.col("source").alias("func_code"), "func_name") \
-        .unionByName(p.select(F.col("dst_id").alias("code_id"), F.col("destination").alias("func_code"),
-                              "func_name"))
-    dim = T.code_dim(texts)
-    nt = N.node_table(dim)
-    wanted = texts.select("code_id", "func_name").distinct()
-    args = R.positional_arguments(nt, wanted)
-    defined = D.wanted_function(nt, wanted).select("code_id", "func_name")
-    triples = (triples.join(defined.withColumnRenamed("code_id", "src_id"), on=["src_id", "func_name"], how="left_semi")
-               .join(defined.withColumnRenamed("code_id", "dst_id"), on=["dst_id", "func_name"], how="left_semi"))
-    return p, dim, triples, R.argument_pairs(triples, args)
+    from progcorpus.operators.rename import PairJob
+    from progcorpus.session import materialize
+
+    # the stand-in pairs table, written once as a real input would be
+    return PairJob(materialize(fx.pairs(spark, sf)))
 
 
 def _rename_ctes() -> str:
@@ -316,8 +305,8 @@ def _rename_ctes() -> str:
 
 @query("argument_pairs", "SELECT pair_id, arg_ix, src_arg, dst_arg FROM m", _rename_ctes())
 def q_argument_pairs(spark, sf):
-    p, _, _, ap = _pair_job(spark, sf)
-    return p.join(ap, on=["src_id", "dst_id", "func_name"], how="inner").select(
+    pj = _pair_job(spark, sf)
+    return pj.pairs.join(pj.arg_pairs, on=["src_id", "dst_id", "func_name"], how="inner").select(
         "pair_id", "arg_ix", "src_arg", "dst_arg")
 
 
@@ -331,9 +320,6 @@ LEFT JOIN gt ON gt.v = pp.dst_v
 LEFT JOIN m ON m.pair_id = pp.pair_id AND m.dst_arg = gt.src
 GROUP BY pp.pair_id""", _rename_ctes() + ",\n" + golden_scalars())
 def q_rename_arguments(spark, sf):
-    from progcorpus.operators import rename as R
-
-    p, dim, triples, ap = _pair_job(spark, sf)
-    job = T.token_table(dim)
-    ren = R.rename_arguments(triples, ap, job)
-    return p.join(ren, on=["src_id", "dst_id", "func_name"], how="left").select("pair_id", "renamed")
+    pj = _pair_job(spark, sf)
+    return pj.pairs.join(pj.renamed(), on=["src_id", "dst_id", "func_name"], how="left").select(
+        "pair_id", "renamed")
