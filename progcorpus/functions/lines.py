@@ -17,6 +17,7 @@ def _at(arr, i):
 
 # Line terminators of Python's ``str.splitlines``.
 LINE_BREAK = "\\r\\n|[\\n\\r\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
+LINE_BREAK_CHARS = "\\n\\r\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029"
 LINE_BREAK_AT_END = "[\\n\\r\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]\\z"
 # Characters for which Python's ``str.isspace`` is true.
 PY_SPACE = ("[\\t\\n\\u000B\\u000C\\r\\u001C-\\u001F \\u0085\\u00A0\\u1680\\u2000-\\u200A"
@@ -40,13 +41,18 @@ def py_rstrip(col) -> Column:
     return F.regexp_replace(_c(col), f"{PY_SPACE}+$", "")
 
 
+# one line of ``splitlines``: a maximal run of non-break characters, or the
+# empty line that starts at a break (after the start, a break other than the
+# "\r" of "\r\n", or a lone "\r")
+_LINE = (f"[^{LINE_BREAK_CHARS}]++"
+         f"|(?:(?<=^|[\\n\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029])|(?<=\\r)(?!\\n))"
+         f"(?=[{LINE_BREAK_CHARS}])")
+
+
 def splitlines(col) -> Column:
-    """``str.splitlines()``: no trailing empty piece, ``[]`` for ``''``."""
-    c = _c(col)
-    parts = F.split(c, LINE_BREAK, -1)
-    return (F.when(c == "", F.array().cast("array<string>"))
-            .when(c.rlike(LINE_BREAK_AT_END), F.slice(parts, 1, F.size(parts) - 1))
-            .otherwise(parts))
+    """``str.splitlines()``: no trailing empty piece, ``[]`` for ``''``.
+    One cached pattern (``split`` would compile its pattern per row)."""
+    return F.regexp_extract_all(_c(col), F.lit(_LINE), 0)
 
 
 def line_count(col) -> Column:

@@ -98,54 +98,66 @@ def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_co
     skipped; names trimmed, none for a zero-argument header, D28), ``:rtype:``,
     and an ``:Example:`` block with every case.  Types come from the literals
     of the first case.  Null when a piece cannot be typed (the reference
-    raises) or there is no ``assert`` (D15)."""
-    from progcorpus.functions.lines import py_strip, splitlines
+    raises) or there is no ``assert`` (D15).
+
+    Test strings repeat across submissions, so each distinct test string is
+    split and typed once and joined back by its hash; line 0 of the program is
+    taken per row with a single cached pattern."""
+    from progcorpus.functions.lines import LINE_BREAK_CHARS, py_strip
 
     t = F.col(test_col)
-    pos = F.instr(t, "assert")
-    # staged columns: each intermediate is computed once per row
-    base = (df.where(t.isNotNull() & (pos > 0))
+    rows = (df.where(t.isNotNull() & (F.instr(t, "assert") > 0))
             .select(key, F.col(doc_col).alias("_doc"), F.col(code_col).alias("_code"),
-                    py_strip(F.substring(t, pos + 6, 1 << 30)).alias("_body"))
-            .withColumn("_cases", F.split("_body", " and ", -1))
-            .withColumn("_first", F.split(_at(F.col("_cases"), 1), "==", -1))
-            .where(F.size("_first") == 2)
-            .withColumn("_inp", py_strip(_at(F.col("_first"), 1)))
-            .withColumn("_out", py_strip(_at(F.col("_first"), 2)))
-            .withColumn("_line0", _at(splitlines(F.col("_code")), 1))
-            .where(F.col("_line0").isNotNull()))
+                    F.sha2(t, 256).alias("_tid"), t.alias("_test")))
+
+    # --- per distinct test string: cases, first case, call arguments, types
+    tests = rows.groupBy("_tid").agg(F.any_value("_test").alias("_test"))
+    tt = F.col("_test")
+    tests = (tests.withColumn("_body", py_strip(F.substring(tt, F.instr(tt, "assert") + 6, 1 << 30)))
+             .withColumn("_cases", F.split("_body", " and ", -1))
+             .withColumn("_first", F.split(_at(F.col("_cases"), 1), "==", -1))
+             .where(F.size("_first") == 2)
+             .withColumn("_inp", py_strip(_at(F.col("_first"), 1)))
+             .withColumn("_out", py_strip(_at(F.col("_first"), 2))))
     i = F.col("_inp")
-    base = base.withColumn("_o", F.instr(i, "(")).withColumn(
+    tests = tests.withColumn("_o", F.instr(i, "(")).withColumn(
         "_c", F.length(i) - F.instr(F.reverse(i), ")") + 1).withColumn("_has_c", F.instr(i, ")") > 0)
     # the call's argument text: inp[inp.find('(') + 1 : inp.rfind(')')]
-    base = base.withColumn("_call", F.when((F.col("_o") > 0) & F.col("_has_c") & (F.col("_c") > F.col("_o")),
-                                           F.substring(i, F.col("_o") + 1, F.col("_c") - F.col("_o") - 1)))
+    tests = tests.withColumn("_call", F.when((F.col("_o") > 0) & F.col("_has_c") & (F.col("_c") > F.col("_o")),
+                                             F.substring(i, F.col("_o") + 1, F.col("_c") - F.col("_o") - 1)))
+    tests = materialize(tests.select("_tid", "_cases", "_out", "_call"))      # one row per distinct test
+    texts = (tests.select(F.col("_call").alias("_lit")).unionByName(tests.select(F.col("_out").alias("_lit")))
+             .where(F.col("_lit").isNotNull()).groupBy(F.sha2("_lit", 256).alias("_lid"))
+             .agg(F.any_value("_lit").alias("_lit")))
+    types = literal_types(texts, "_lid", "_lit")
+    typed_tests = materialize(
+        tests.withColumn("_cid", F.sha2("_call", 256)).withColumn("_oid", F.sha2("_out", 256))
+        .join(types.select(F.col("_lid").alias("_cid"), F.col("types").alias("_in")), on="_cid", how="left")
+        .join(types.select(F.col("_lid").alias("_oid"), F.col("types").alias("_ot")), on="_oid", how="left")
+        .select("_tid", "_cases", "_in", "_ot"))
+
+    # --- per row: positional arguments of line 0
+    code = F.col("_code")
+    rows = rows.withColumn("_line0", F.when(code != "", F.regexp_extract(code, f"^[^{LINE_BREAK_CHARS}]*", 0)))
     line0 = F.col("_line0")
-    base = (base.withColumn("_lo", F.instr(line0, "("))
+    rows = (rows.where(line0.isNotNull()).withColumn("_lo", F.instr(line0, "("))
             .withColumn("_hi", F.when(F.instr(line0, ")") > 0, F.length(line0) - F.instr(F.reverse(line0), ")"))
                         .otherwise(F.length(line0) - 1)))
     # Python slice line0[find('(') + 1 : rfind(')')] (rfind -1 means "up to the last character")
     arg_text = F.when(F.col("_hi") >= F.col("_lo") + 1,
                       F.substring(line0, F.col("_lo") + 1, F.col("_hi") - F.col("_lo"))).otherwise(F.lit(""))
-    base = base.withColumn("_args", F.filter(F.transform(F.split(arg_text, ",", -1), lambda a: py_strip(a)),
+    rows = rows.withColumn("_args", F.filter(F.transform(F.split(arg_text, ",", -1), lambda a: py_strip(a)),
                                              lambda a: (a != "") & ~a.contains("=")))
-    base = base.select(key, "_doc", "_cases", "_args", "_out", "_call")
-    # literal texts repeat across submissions: type each distinct text once
-    texts = (base.select(F.col("_call").alias("_lit")).unionByName(base.select(F.col("_out").alias("_lit")))
-             .where(F.col("_lit").isNotNull()).groupBy(F.sha2("_lit", 256).alias("_lid"))
-             .agg(F.any_value("_lit").alias("_lit")))
-    types = materialize(literal_types(texts, "_lid", "_lit"))   # distinct literals: small
-    j = (base.withColumn("_cid", F.sha2("_call", 256)).withColumn("_oid", F.sha2("_out", 256))
-         .join(types.select(F.col("_lid").alias("_cid"), F.col("types").alias("_in")), on="_cid", how="left")
-         .join(types.select(F.col("_lid").alias("_oid"), F.col("types").alias("_ot")), on="_oid", how="left"))
+    j = rows.select(key, "_doc", "_args", "_tid").join(typed_tests, on="_tid", how="inner")
+
     n_args, n_in = F.size("_args"), F.coalesce(F.size("_in"), F.lit(0))
     # one parameter takes the whole tuple; several parameters zip with the pieces
-    param_types = F.when(n_args == 1, F.array(F.when(n_in != 1, F.lit("tuple")).otherwise(_at("_in", 1)))) \
+    param_types = F.when(n_args == 1, F.array(F.when(n_in != 1, F.lit("tuple")).otherwise(_at(F.col("_in"), 1)))) \
         .otherwise(F.coalesce(F.col("_in"), F.array().cast("array<string>")))
     # zip stops at the shorter list: padded pairs give null lines, dropped below
     type_lines = F.zip_with(F.col("_args"), param_types,
                             lambda a, ty: F.concat(F.lit(":type "), a, F.lit(": "), ty))
-    rtype = F.when(F.size("_ot") > 1, F.lit("tuple")).otherwise(_at("_ot", 1))
+    rtype = F.when(F.size("_ot") > 1, F.lit("tuple")).otherwise(_at(F.col("_ot"), 1))
     lines = F.concat(F.filter(type_lines, lambda l: l.isNotNull()), F.array(F.concat(F.lit(":rtype: "), rtype)))
     example = F.concat(F.lit(":Example:\n"), F.array_join(F.transform("_cases", lambda c: F.concat(F.lit("  >>> "), c)),
                                                           "\n"))
