@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lexer import LEX, indent_width, token_kind
-from progcorpus.session import materialize
+from progcorpus.session import BUCKET_HINT, buckets_for, materialize
 
 TOKEN_COLS = ["code_id", "pos", "kind", "src", "line", "seg", "off", "bracket_depth", "indent_depth"]
 
@@ -42,20 +42,30 @@ class TokenJob:
         self.tokens, self.status, self.blocks = tokens, status, blocks
 
 
+# bytes of token/node rows per character of program text (sizing only)
+ROW_BYTES_PER_CHAR = 40
+
+
 def code_dim(df: DataFrame, code_col: str = "func_code", num_partitions: int | None = None) -> DataFrame:
     """One row per distinct program text: ``code_id, code``.
 
     ``groupBy(code_id)`` with ``any_value`` is partially aggregated, so a text
     repeated in a third of the corpus is reduced map-side before the shuffle.
-    The distinct texts (much smaller than the corpus) are then hash-partitioned
-    into a fixed number of partitions (default ``spark.sql.shuffle.partitions``),
-    sized for the token and node rows they expand into, which every later
-    window and join keyed by ``code_id`` reuses without another shuffle."""
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    The distinct texts (much smaller than the corpus) are then bucketed by
+    ``code_id`` into a number of partitions sized for the token and node rows
+    they expand into (at most ``spark.sql.shuffle.partitions``); every later
+    window and join keyed by ``code_id`` reuses that layout."""
+    spark = df.sparkSession
     distinct = (df.where(F.col(code_col).isNotNull())
                 .select(F.sha2(F.col(code_col), 256).alias("code_id"), F.col(code_col).alias("code"))
                 .groupBy("code_id").agg(F.any_value("code").alias("code")))
-    return materialize(distinct.repartition(n, "code_id"), key="code_id", num_buckets=n)
+    staged = materialize(distinct)
+    n = num_partitions
+    if n is None:
+        chars = staged.agg(F.coalesce(F.sum(F.length("code")), F.lit(0)).alias("c")).first()["c"]
+        n = buckets_for(spark, float(chars) * ROW_BYTES_PER_CHAR)
+    spark.conf.set(BUCKET_HINT, str(n))
+    return materialize(staged.repartition(n, "code_id"), key="code_id", num_buckets=n)
 
 
 def with_code_id(df: DataFrame, code_col: str = "func_code") -> DataFrame:

@@ -53,6 +53,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+# Session setting holding the bucket count chosen for the current corpus's
+# distinct texts (``operators.tokens.code_dim``); it only affects layout.
+BUCKET_HINT = "progcorpus.codeBuckets"
+
+
+def buckets_for(spark, size_bytes: float, target_bytes: int = 128 << 20) -> int:
+    """Partitions for ``size_bytes`` of data at about ``target_bytes`` each,
+    at most ``spark.sql.shuffle.partitions`` (the cluster's parallelism)."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, int(-(-size_bytes // target_bytes))))
+
+
 def materialize(df, key: str | None = None, num_buckets: int | None = None):
     """Compute ``df`` once and cut its lineage, in the shared checkpoint folder
     (survives executor loss; the plan downstream starts from a scan).
@@ -68,7 +80,7 @@ def materialize(df, key: str | None = None, num_buckets: int | None = None):
     folder = checkpoint_dir(spark)
     if key is None:
         return df.checkpoint(eager=True)
-    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_buckets or int(spark.conf.get(BUCKET_HINT, None) or spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"progcorpus_{uuid.uuid4().hex}"
     (df.write.bucketBy(n, key).sortBy(key).format("parquet").mode("overwrite")
      .option("path", f"{folder.rstrip('/')}/tables/{name}").saveAsTable(name))
