@@ -23,7 +23,9 @@ _SQ = r"'[^'\\\r\n]*+(?:\\(?:\r\n|[\s\S])[^'\\\r\n]*+)*+'"
 _DQ = r'"[^"\\\r\n]*+(?:\\(?:\r\n|[\s\S])[^"\\\r\n]*+)*+"'
 STRING = _PREFIX + "(?:" + "|".join([_TRIPLE_SQ, _TRIPLE_DQ, _SQ, _DQ]) + ")"
 COMMENT = r"#[^\r\n]*+"
-NAME = r"[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*+"
+# like the interpreter's tokenizer, any non-ASCII character may be part of a
+# name (whether it is a valid identifier is the parser's question)
+NAME = r"[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*+"
 NUMBER = (r"(?:0[xX](?:_?[0-9a-fA-F])++|0[bB](?:_?[01])++|0[oO](?:_?[0-7])++"
           r"|(?:\d(?:_?\d)*+(?:\.(?:\d(?:_?\d)*+)?)?|\.\d(?:_?\d)*+)(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?)")
 LINE_BREAK = r"\r\n|\r|\n"
@@ -35,7 +37,9 @@ OPERATORS_3 = ["**=", "//=", ">>=", "<<=", "...", "!="]
 OPERATORS_2 = ["%=", "&=", "**", "*=", "+=", "-=", "->", "//", "/=", ":=", "<<", "<=", "==", ">=",
                ">>", "@=", "^=", "|="]
 OPERATORS_1 = list("%&()*+,-./:;<=>@[]^{|}~")
-ALL_OPERATORS = OPERATORS_3 + OPERATORS_2 + OPERATORS_1
+# stray ASCII characters the tokenizer passes on as OP (the parser rejects them)
+OPERATORS_STRAY = list("$?!`")
+ALL_OPERATORS = OPERATORS_3 + OPERATORS_2 + OPERATORS_1 + OPERATORS_STRAY
 
 
 def _quote(op: str) -> str:
@@ -54,7 +58,7 @@ def token_kind(src: Column) -> Column:
     into NEWLINE/NL and INDENT/UNIMPORTANT_WS by the token job)."""
     return (F.when(src.rlike("^" + _PREFIX + "['\"]") & (F.length(src) >= 2), F.lit("STRING"))
             .when(src.startswith("#"), F.lit("COMMENT"))
-            .when(src.rlike(r"^[\p{L}\p{Nl}_]"), F.lit("NAME"))
+            .when(src.rlike(r"^[A-Za-z_\x{80}-\x{10FFFF}]"), F.lit("NAME"))
             .when(src.rlike(r"^\.?\d"), F.lit("NUMBER"))
             .when(src.isin("\n", "\r\n", "\r"), F.lit("LINEBREAK"))
             .when(src.rlike(r"^\\[\r\n]"), F.lit("ESCAPED_NL"))

@@ -79,18 +79,27 @@ def _raw_tokens(dim: DataFrame) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
 
-    def step(open_, close):
-        return F.when(F.col("src") == open_, 1).when(F.col("src") == close, -1).otherwise(0)
-
-    t = (t.withColumn("_sp", step("(", ")")).withColumn("_sb", step("[", "]")).withColumn("_sc", step("{", "}"))
+    # One bracket counter for all kinds, floored at 0 as the tokenizer keeps
+    # it (a stray closer is ignored; kinds are not matched): the floored
+    # running sum is S - min(0, running min of S).
+    step = F.when(F.col("src").isin("(", "[", "{"), 1).when(F.col("src").isin(")", "]", "}"), -1).otherwise(0)
+    t = (t.withColumn("_st", step)
          .withColumn("_nl", F.regexp_count(F.col("src"), F.lit("\r\n|\r|\n")))
          .select("*",
                  (F.coalesce(F.sum("_nl").over(before), F.lit(0)) + 1).cast("int").alias("line"),
                  F.coalesce(F.sum(F.length("src")).over(before), F.lit(0)).cast("long").alias("off"),
-                 F.sum("_sp").over(upto).alias("_dp"), F.sum("_sb").over(upto).alias("_db"),
-                 F.sum("_sc").over(upto).alias("_dc")))
-    t = t.withColumn("bracket_depth", (F.col("_dp") + F.col("_db") + F.col("_dc")
-                                       - F.col("_sp") - F.col("_sb") - F.col("_sc")).cast("int"))
+                 F.sum("_st").over(upto).alias("_S"),
+                 F.lead("k0", 1).over(w).alias("_next_k0"), F.lead("src", 1).over(w).alias("_next_src")))
+    t = t.withColumn("_Mp", F.coalesce(F.min("_S").over(before), F.lit(0)))
+    t = (t.withColumn("bracket_depth", (F.col("_S") - F.col("_st") - F.least(F.lit(0), F.col("_Mp"))).cast("int"))
+         .withColumn("_depth_after", F.col("_S") - F.least(F.lit(0), F.col("_Mp"), F.col("_S"))))
+    # number literals the tokenizer rejects: a base prefix without digits
+    # ("0x", "0or"), a digit outside the base ("0b12", "0o8"), a trailing "_"
+    nxt_k, nxt = F.col("_next_k0"), F.col("_next_src")
+    t = t.withColumn("_numerr", (F.col("k0") == "NUMBER") & (
+        ((F.col("src") == "0") & (nxt_k == "NAME") & nxt.rlike("^[xXoObB]"))
+        | (F.col("src").rlike("^0[bBoO]") & (nxt_k == "NUMBER") & ~nxt.startswith("."))
+        | ((nxt_k == "NAME") & nxt.startswith("_"))))
     # a line break at bracket depth 0 ends a segment (a logical line or a blank/comment line)
     t = t.withColumn("_ends", (F.col("k0") == "LINEBREAK") & (F.col("bracket_depth") == 0))
     t = t.withColumn("seg", F.coalesce(F.sum(F.col("_ends").cast("int")).over(before), F.lit(0)).cast("int"))
@@ -215,17 +224,18 @@ def token_table(dim: DataFrame) -> TokenJob:
                              .cast("int"))
 
     bad = t.groupBy("code_id").agg(
-        F.max(F.when(F.col("k0") == "ERRORTOKEN", 1).otherwise(0)).alias("_err"),
-        F.min(F.least("_dp", "_db", "_dc")).alias("_min_depth"),
-        F.max_by(F.struct("_dp", "_db", "_dc"), "rpos").alias("_end_depth"))
+        F.max(F.when((F.col("k0") == "ERRORTOKEN") | F.col("_numerr"), 1).otherwise(0)).alias("_err"),
+        F.max_by("_depth_after", "rpos").alias("_end_depth"),
+        # a line continuation with no further line before the end of the text
+        F.max(F.when(F.col("k0") == "ESCAPED_NL", F.col("rpos"))).alias("_last_esc"),
+        F.max(F.when(F.col("k0").isin("LINEBREAK") | F.col("_sig"), F.col("rpos"))).alias("_last_line"))
     dedents = lines.groupBy("code_id").agg(F.bool_and("dedent_ok").alias("_dedent_ok"))
     status = (dim.select("code_id").join(bad, on="code_id", how="left").join(dedents, on="code_id", how="left")
               .select("code_id",
                       ((F.coalesce(F.col("_err"), F.lit(0)) == 0)
-                      & (F.coalesce(F.col("_min_depth"), F.lit(0)) >= 0)
-                      & (F.coalesce(F.col("_end_depth._dp"), F.lit(0)) == 0)
-                      & (F.coalesce(F.col("_end_depth._db"), F.lit(0)) == 0)
-                      & (F.coalesce(F.col("_end_depth._dc"), F.lit(0)) == 0)
+                      & (F.coalesce(F.col("_end_depth"), F.lit(0)) == 0)
+                      & (F.col("_last_esc").isNull() | (F.coalesce(F.col("_last_line"), F.lit(-1))
+                                                        > F.col("_last_esc")))
                       & F.coalesce(F.col("_dedent_ok"), F.lit(True))).alias("tokenizes")))
     starts = raw.select("code_id", F.col("rpos").alias("fpos"),
                         (F.col("pos") - F.col("n_dedent")).alias("start_pos"), F.col("off").alias("start_off"))

@@ -25,6 +25,9 @@ EDGES = [
     "class A:\n    def m(self):\n        pass\n\n    def n(self):\n\tpass\n",
     "x = '" + "a" * 100000 + "'\n",
     "x = '" + "\\\\" * 30000 + "'\n",
+    # tokenizer leniency and its errors
+    "a = $b ? !c `d`\n", "x = )\n", "x = (]\n", "x = ))(\n", "(\n]\n", "x = €\n", "x = \x01\n",
+    "x = 1 + \\\n", "a \\\n   \n", "0or 1\n", "0b12\n", "0o8\n", "1_\n", "1.2.3\n", "0x1g\n", "09\n",
 ]
 
 
