@@ -55,14 +55,22 @@ LEX = "|".join([STRING, COMMENT, NAME, NUMBER, ESCAPED_NL, LINE_BREAK, BLANKS, O
 def token_kind(src: Column) -> Column:
     """Kind of a raw token: STRING, COMMENT, NAME, NUMBER, LINEBREAK,
     ESCAPED_NL, BLANK, OP or ERRORTOKEN (line breaks and blanks are refined
-    into NEWLINE/NL and INDENT/UNIMPORTANT_WS by the token job)."""
-    return (F.when(src.rlike("^" + _PREFIX + "['\"]") & (F.length(src) >= 2), F.lit("STRING"))
-            .when(src.startswith("#"), F.lit("COMMENT"))
-            .when(src.rlike(r"^[A-Za-z_\x{80}-\x{10FFFF}]"), F.lit("NAME"))
-            .when(src.rlike(r"^\.?\d"), F.lit("NUMBER"))
+    into NEWLINE/NL and INDENT/UNIMPORTANT_WS by the token job).
+
+    The lexer already cut the token, so its first character (and whether it
+    holds a quote) decides the kind: no pattern is matched per token."""
+    c = F.ascii(src)                      # code point of the first character
+    n = F.length(src)
+    quoted = (F.instr(src, "'") > 0) | (F.instr(src, '"') > 0)
+    letter = ((c >= 97) & (c <= 122)) | ((c >= 65) & (c <= 90)) | (c == 95) | (c >= 128)
+    digit = (c >= 48) & (c <= 57)
+    return (F.when(c == 35, F.lit("COMMENT"))                                   # '#'
+            .when(quoted & (n >= 2), F.lit("STRING"))                           # prefix + quotes
+            .when(letter, F.lit("NAME"))
+            .when(digit | ((c == 46) & (n >= 2) & (F.substring(src, 2, 1) != ".")), F.lit("NUMBER"))
             .when(src.isin("\n", "\r\n", "\r"), F.lit("LINEBREAK"))
-            .when(src.rlike(r"^\\[\r\n]"), F.lit("ESCAPED_NL"))
-            .when(src.rlike(r"^[ \t\f]+$"), F.lit("BLANK"))
+            .when((c == 92) & (n >= 2), F.lit("ESCAPED_NL"))                    # backslash + line break
+            .when((c == 32) | (c == 9) | (c == 12), F.lit("BLANK"))
             .when(src.isin(*ALL_OPERATORS), F.lit("OP"))
             .otherwise(F.lit("ERRORTOKEN")))
 

@@ -84,7 +84,10 @@ def _raw_tokens(dim: DataFrame) -> DataFrame:
     # running sum is S - min(0, running min of S).
     step = F.when(F.col("src").isin("(", "[", "{"), 1).when(F.col("src").isin(")", "]", "}"), -1).otherwise(0)
     t = (t.withColumn("_st", step)
-         .withColumn("_nl", F.regexp_count(F.col("src"), F.lit("\r\n|\r|\n")))
+         # line breaks inside a token: only breaks, continuations and strings hold any
+         .withColumn("_nl", F.when(F.col("k0").isin("LINEBREAK", "ESCAPED_NL"), F.lit(1))
+                     .when(F.col("k0") == "STRING", F.regexp_count(F.col("src"), F.lit("\r\n|\r|\n")))
+                     .otherwise(F.lit(0)))
          .select("*",
                  (F.coalesce(F.sum("_nl").over(before), F.lit(0)) + 1).cast("int").alias("line"),
                  F.coalesce(F.sum(F.length("src")).over(before), F.lit(0)).cast("long").alias("off"),
@@ -160,7 +163,7 @@ def token_table(dim: DataFrame) -> TokenJob:
     ``tokens``: ``code_id, pos, kind, src, line, off, bracket_depth,
     indent_depth`` — concatenating ``src`` in ``pos`` order rebuilds the text.
     ``status``: ``code_id, tokenizes, n_lines`` (P6) per text."""
-    t = materialize(_raw_tokens(dim), key="code_id")
+    t = materialize(_raw_tokens(dim).drop("_st", "_nl", "_S", "_Mp", "_next_k0", "_next_src"), key="code_id")
     ln = _lines(t)
     lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"), key="code_id")
     # dedents inserted before the first token of each closing line

@@ -69,8 +69,8 @@ def materialize(df, key: str | None = None, num_buckets: int | None = None):
     """Compute ``df`` once and cut its lineage, in the shared checkpoint folder
     (survives executor loss; the plan downstream starts from a scan).
 
-    With ``key`` the result is written as a Parquet table bucketed and sorted
-    by ``key``: later windows, aggregations and joins keyed by ``key`` (or by
+    With ``key`` the result is written as a Parquet table bucketed by
+    ``key``: later windows, aggregations and joins keyed by ``key`` (or by
     ``key`` plus more columns) reuse that layout without another shuffle.  A
     plain ``checkpoint()`` is used otherwise (it does not keep partitioning).
     """
@@ -82,6 +82,6 @@ def materialize(df, key: str | None = None, num_buckets: int | None = None):
         return df.checkpoint(eager=True)
     n = num_buckets or int(spark.conf.get(BUCKET_HINT, None) or spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"progcorpus_{uuid.uuid4().hex}"
-    (df.write.bucketBy(n, key).sortBy(key).format("parquet").mode("overwrite")
+    (df.write.bucketBy(n, key).format("parquet").mode("overwrite")
      .option("path", f"{folder.rstrip('/')}/tables/{name}").saveAsTable(name))
     return spark.table(name)
