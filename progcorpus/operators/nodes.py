@@ -120,14 +120,27 @@ def _flatten(code: str) -> tuple[list[tuple], str | None]:
     return [tuple(r) for r in rows], None
 
 
+_OUT_ROWS = 65536   # node rows per output Arrow batch (bounded memory per Python worker)
+
+
 def _parse_batches(batches):
     import pyarrow as pa
 
-    schema = None
+    schema = pa.schema([
+        ("code_id", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()),
+        ("child_ix", pa.int32()), ("bfs_ix", pa.int32()), ("depth", pa.int32()),
+        ("field", pa.string()), ("type", pa.string()), ("ident", pa.string()), ("ctx", pa.string()),
+        ("literal", pa.string()), ("ltype", pa.string()), ("scope_id", pa.int32()),
+        ("line", pa.int32()), ("col", pa.int32()), ("end_line", pa.int32()), ("end_col", pa.int32()),
+        ("off", pa.int64()), ("end_off", pa.int64()), ("compile_error", pa.string())])
+
+    def empty():
+        return {c: [] for c in _COLS}
+
+    cols = empty()
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("code_id")).to_pylist()
         codes = batch.column(batch.schema.get_field_index("code")).to_pylist()
-        cols: dict[str, list] = {c: [] for c in _COLS}
         for cid, code in zip(ids, codes):
             rows, err = _flatten(code)
             if err is not None:
@@ -135,20 +148,15 @@ def _parse_batches(batches):
                     cols[c].append(None)
                 cols["code_id"][-1] = cid
                 cols["compile_error"][-1] = err
-                continue
             for r in rows:
                 cols["code_id"].append(cid)
                 for c, val in zip(_COLS[1:-1], r):
                     cols[c].append(val)
                 cols["compile_error"].append(None)
-        if schema is None:
-            schema = pa.schema([
-                ("code_id", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()),
-                ("child_ix", pa.int32()), ("bfs_ix", pa.int32()), ("depth", pa.int32()),
-                ("field", pa.string()), ("type", pa.string()), ("ident", pa.string()), ("ctx", pa.string()),
-                ("literal", pa.string()), ("ltype", pa.string()), ("scope_id", pa.int32()),
-                ("line", pa.int32()), ("col", pa.int32()), ("end_line", pa.int32()), ("end_col", pa.int32()),
-                ("off", pa.int64()), ("end_off", pa.int64()), ("compile_error", pa.string())])
+            if len(cols["code_id"]) >= _OUT_ROWS:
+                yield pa.RecordBatch.from_pydict(cols, schema=schema)
+                cols = empty()
+    if cols["code_id"]:
         yield pa.RecordBatch.from_pydict(cols, schema=schema)
 
 
