@@ -18,17 +18,18 @@ from progcorpus.operators.ordering import group_row_number
 MANIFEST_COLS = ["question_id", "func_name", "rel_path", "content"]
 
 
-def program_numbers(df: DataFrame, order_col: str = "sub_id", code_col: str = "func_code") -> DataFrame:
-    """``sub_id, func_name, correct, program_no`` (1-based per question and verdict)."""
+def program_numbers(df: DataFrame, order_col: str = "sub_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``sub_id, func_name, correct, program_no`` (1-based per question and
+    verdict) plus the ``carry`` columns."""
     base = df.where(F.col("func_name").isNotNull() & F.col("correct").isNotNull()) \
-        .select(order_col, "func_name", "correct", code_col)
+        .select(order_col, "func_name", "correct", *carry)
     return group_row_number(base, ["func_name", "correct"], [F.col(order_col).asc()], name="program_no")
 
 
 def program_files(df: DataFrame, qnum: DataFrame, order_col: str = "sub_id",
                   code_col: str = "func_code") -> DataFrame:
     """``code/correct/correct_{q}_{nnn}.py`` and ``code/wrong/wrong_{q}_{nnn}.py``."""
-    numbered = program_numbers(df, order_col, code_col).join(qnum, on="func_name", how="inner")
+    numbered = program_numbers(df, order_col, carry=(code_col,)).join(qnum, on="func_name", how="inner")
     kind = F.when(F.col("correct"), F.lit("correct")).otherwise(F.lit("wrong"))
     path = F.concat(F.lit("code/"), kind, F.lit("/"), kind, F.lit("_"), F.col("question_no").cast("string"),
                     F.lit("_"), three_digits("program_no"), F.lit(".py"))

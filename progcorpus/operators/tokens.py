@@ -1,10 +1,10 @@
 """Token jobs (T1, P6, W9, J4, T4, J5, W8, U2, J6-A, A5, A8, T2).
 
 Work happens on ``code_dim`` (one row per distinct program text, keyed by
-``code_id`` = sha-256 of the text), hash-partitioned by ``code_id`` once.
-Every later window and join is keyed by ``code_id`` (plus a sub-key), so the
-token pipeline runs inside that one partitioning; the copies of a popular
-program are collapsed by partial aggregation before the only shuffle.
+``code_id`` = sha-256 of the text), bucketed by ``code_id`` once.  Every later
+window and join is keyed by ``code_id`` (plus a sub-key), so the token
+pipeline runs inside that one layout; the copies of a popular program are
+collapsed by partial aggregation before the corpus is shuffled.
 
 Token stream (same positions as a whitespace-preserving tokenizer):
 raw tokens from the one-regex lexer, with line breaks split into NEWLINE/NL,
