@@ -56,8 +56,10 @@ def code_dim(df: DataFrame, code_col: str = "func_code", num_partitions: int | N
     they expand into (at most ``spark.sql.shuffle.partitions``); every later
     window and join keyed by ``code_id`` reuses that layout."""
     spark = df.sparkSession
+    # reuse the row's code_id when it is there (one SHA-256 per row, not two)
+    cid = F.col("code_id") if "code_id" in df.columns else F.sha2(F.col(code_col), 256)
     distinct = (df.where(F.col(code_col).isNotNull())
-                .select(F.sha2(F.col(code_col), 256).alias("code_id"), F.col(code_col).alias("code"))
+                .select(cid.alias("code_id"), F.col(code_col).alias("code"))
                 .groupBy("code_id").agg(F.any_value("code").alias("code")))
     staged = materialize(distinct)
     n = num_partitions
