@@ -107,26 +107,33 @@ def _raw_tokens(dim: DataFrame) -> DataFrame:
         | ((nxt_k == "NAME") & nxt.startswith("_"))))
     # a line break at bracket depth 0 ends a segment (a logical line or a blank/comment line)
     t = t.withColumn("_ends", (F.col("k0") == "LINEBREAK") & (F.col("bracket_depth") == 0))
-    t = t.withColumn("seg", F.coalesce(F.sum(F.col("_ends").cast("int")).over(before), F.lit(0)).cast("int"))
     t = t.withColumn("_sig", ~F.col("k0").isin("BLANK", "COMMENT", "LINEBREAK", "ESCAPED_NL"))
-    ws = Window.partitionBy("code_id", "seg")
     t = t.select("*",
-                 F.max(F.col("_sig").cast("int")).over(ws).alias("_content"),
-                 F.min(F.when(F.col("_sig"), F.col("rpos"))).over(ws).alias("_fsig"),
-                 F.min("rpos").over(ws).alias("_sstart"))
-    return t
+                 F.coalesce(F.sum(F.col("_ends").cast("int")).over(before), F.lit(0)).cast("int").alias("seg"),
+                 ((F.col("rpos") == 0) | F.coalesce(F.lag("_ends", 1).over(w), F.lit(False))).alias("_seg_start"),
+                 F.coalesce(F.max(F.when(F.col("_sig"), F.col("rpos"))).over(before), F.lit(-1)).alias("_sig_before"))
+    # Per-segment facts from running windows in the same (code_id, rpos) order
+    # (no second sort): where the segment starts and with which token, whether
+    # a significant token was seen in it so far, and its first significant token.
+    t = t.select("*",
+                 F.max(F.when(F.col("_seg_start"), F.col("rpos"))).over(upto).alias("_sstart"),
+                 F.last(F.when(F.col("_seg_start"), F.col("k0")), ignorenulls=True).over(upto).alias("_sstart_k0"),
+                 F.last(F.when(F.col("_seg_start"), F.col("src")), ignorenulls=True).over(upto).alias("_sstart_src"))
+    t = (t.withColumn("_content", ((F.col("_sig") & (F.col("rpos") >= F.col("_sstart")))
+                                   | (F.col("_sig_before") >= F.col("_sstart"))).cast("int"))
+         .withColumn("_first_sig", F.col("_sig") & (F.col("_sig_before") < F.col("_sstart"))))
+    # the blanks that start a logical line, kept on its first significant token only
+    return t.withColumn("_lead_ws", F.when(F.col("_first_sig"), F.when(
+        (F.col("rpos") > F.col("_sstart")) & (F.col("_sstart_k0") == "BLANK"), F.col("_sstart_src"))
+        .otherwise(F.lit(""))))
 
 
 def _lines(t: DataFrame) -> DataFrame:
-    """One row per logical line: ``code_id, seg, fpos, w`` plus its blank prefix."""
-    lead = t.where((F.col("rpos") == F.col("_sstart")) & (F.col("k0") == "BLANK")) \
-        .select("code_id", "seg", F.col("src").alias("_lead"))
-    first = t.where(F.col("rpos") == F.col("_fsig")).select("code_id", "seg", F.col("rpos").alias("fpos"),
-                                                             "_sstart")
-    lines = first.join(lead, on=["code_id", "seg"], how="left")
-    lead_ws = F.when(F.col("fpos") > F.col("_sstart"), F.coalesce("_lead", F.lit(""))).otherwise(F.lit(""))
-    return lines.select("code_id", "seg", "fpos", indent_width(lead_ws).alias("w"),
-                        indent_width(lead_ws, 1).alias("w1"))
+    """One row per logical line: ``code_id, seg, fpos, w, w1`` (its first
+    significant token and the width of the blanks that start its segment)."""
+    lead_ws = F.col("_lead_ws")
+    return t.where(F.col("_first_sig")).select("code_id", "seg", F.col("rpos").alias("fpos"),
+                                               indent_width(lead_ws).alias("w"), indent_width(lead_ws, 1).alias("w1"))
 
 
 def _levels(lines: DataFrame) -> DataFrame:
@@ -165,7 +172,8 @@ def token_table(dim: DataFrame) -> TokenJob:
     ``tokens``: ``code_id, pos, kind, src, line, off, bracket_depth,
     indent_depth`` — concatenating ``src`` in ``pos`` order rebuilds the text.
     ``status``: ``code_id, tokenizes, n_lines`` (P6) per text."""
-    t = materialize(_raw_tokens(dim).drop("_st", "_nl", "_S", "_Mp", "_next_k0", "_next_src"), key="code_id")
+    t = materialize(_raw_tokens(dim).drop("_st", "_nl", "_S", "_Mp", "_next_k0", "_next_src", "_seg_start",
+                                          "_sig_before", "_sstart_k0", "_sstart_src"), key="code_id")
     ln = _lines(t)
     lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"), key="code_id")
     # dedents inserted before the first token of each closing line
@@ -180,8 +188,7 @@ def token_table(dim: DataFrame) -> TokenJob:
     kind = (F.when(F.col("k0") == "LINEBREAK",
                    F.when(F.col("_ends") & (F.col("_content") == 1), F.lit("NEWLINE")).otherwise(F.lit("NL")))
             .when(F.col("k0") == "BLANK",
-                  F.when(F.col("_indent_line") & (F.col("rpos") == F.col("_sstart"))
-                         & (F.col("_fsig") > F.col("rpos")), F.lit("INDENT"))
+                  F.when(F.col("_indent_line") & (F.col("rpos") == F.col("_sstart")), F.lit("INDENT"))
                   .otherwise(F.lit("UNIMPORTANT_WS")))
             .otherwise(F.col("k0")))
     w = Window.partitionBy("code_id").orderBy("rpos")
