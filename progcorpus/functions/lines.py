@@ -137,3 +137,22 @@ def dedent(col) -> Column:
     return F.array_join(F.transform(lines, lambda l: F.when(l.startswith(margin),
                                                               F.substring(l, F.length(margin) + 1, 1 << 30))
                                     .otherwise(l)), "\n")
+
+
+def with_docstring(df, code_col: str, doc_col: str, out: str = "with_doc"):
+    """F8 over a DataFrame: ``attach_docstring`` with every intermediate
+    staged as a column, so each is computed once per row."""
+    staged = (df.withColumn("_lines", F.split(F.col(code_col), "\n", -1))
+              .withColumn("_dl", F.transform(splitlines(py_strip(doc_col)), lambda l: py_strip(l)))
+              .withColumn("_ind", leading_space(_at(F.col("_lines"), 2))))
+    lines, dl, ind = F.col("_lines"), F.col("_dl"), F.col("_ind")
+    rest = F.transform(F.slice(dl, 2, F.greatest(F.size(dl) - 1, F.lit(0))), lambda l: F.concat(ind, l))
+    doc = (F.when(F.size(dl) == 0, F.lit(None).cast("string"))
+           .when(F.size(dl) == 1, F.concat(ind, F.lit('"""'), _at(dl, 1), F.lit('"""')))
+           .otherwise(F.concat(ind, F.lit('"""'), F.array_join(F.concat(F.slice(dl, 1, 1), rest), "\n"),
+                               F.lit("\n"), ind, F.lit('"""'))))
+    staged = staged.withColumn("_doc", doc)
+    merged = F.concat(F.slice(lines, 1, 1), F.array(F.col("_doc")),
+                      F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))
+    return (staged.withColumn(out, F.when((F.size(lines) > 1) & F.col("_doc").isNotNull(), F.array_join(merged, "\n")))
+            .drop("_lines", "_dl", "_ind", "_doc"))

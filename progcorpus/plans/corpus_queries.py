@@ -359,8 +359,8 @@ SELECT sub_id, CASE WHEN len(string_split(func_code, chr(10))) > 1 THEN
      string_split(func_code, chr(10))[2:]), chr(10)) END AS with_doc
 FROM submissions""")
 def q_attach_docstring(spark, sf):
-    subs = fx.submissions(spark, sf)
-    return subs.select("sub_id", L.attach_docstring("func_code", "description").alias("with_doc"))
+    subs = fx.submissions(spark, sf).select("sub_id", "func_code", "description")
+    return L.with_docstring(subs, "func_code", "description").select("sub_id", "with_doc")
 
 
 # --- S2 / S3 / S4 / S5 ----------------------------------------------------------------------

@@ -64,3 +64,12 @@ def test_attach_docstring(spark):
 
 def test_body_indentation(spark):
     assert _eval(spark, ["def f():\n\treturn 1", "x = 1"], L.body_indentation) == ["\t", None]
+
+
+def test_with_docstring_equals_column_form(spark):
+    df = spark.createDataFrame([(1, "def f(a):\n    return a", "Doc line.\n  more detail"),
+                                (2, "def f(a): return a", "x"), (3, "def g():\n\tpass", "  one  "),
+                                (4, "", "d"), (5, "def h():\n  x = 1", "")], "i int, code string, doc string")
+    a = {r.i: r.v for r in df.select("i", L.attach_docstring("code", "doc").alias("v")).collect()}
+    b = {r.i: r.with_doc for r in L.with_docstring(df, "code", "doc").collect()}
+    assert a == b
