@@ -43,3 +43,24 @@ def test_pruned_scan(spark):
 def test_parser_is_the_only_python_step(spark):
     plan = _plan(E.queries()["node_table"](spark, SF))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["modal_program", "unique_solutions", "mad_outliers", "last_duplicate",
+                                  "grade_submissions", "first_per_question"])
+def test_partial_aggregation_before_shuffle(spark, name):
+    """Hot keys are combined map-side: every aggregation has a partial step."""
+    plan = _plan(E.queries()[name](spark, SF))
+    assert "partial_" in plan
+
+
+def test_code_dim_combines_copies_map_side(spark):
+    from progcorpus.operators.tokens import code_dim, with_code_id
+    from progcorpus.sources import fixtures as fx
+
+    subs = with_code_id(fx.submissions(spark, SF))
+    dim = code_dim(subs)
+    assert dim.count() == 140          # FIXTURES.md §5: distinct texts at sf0.001
+    # the dedup before the first shuffle of the corpus is a partial aggregate
+    from pyspark.sql import functions as F
+    agg = subs.select("code_id", "func_code").groupBy("code_id").agg(F.any_value("func_code"))
+    assert "partial_any_value" in _plan(agg) or "partial_first" in _plan(agg)
