@@ -93,3 +93,55 @@ def test_documents_match_stdlib(spark):
         assert "".join(s for _, s in mine) == r["code"]
         if ref is not None:
             assert mine == ref
+
+
+SPAN_PROGRAMS = [
+    "class A:\n    def m(self):\n        return 1\n\n    @staticmethod\n    def n():\n        pass\n# tail\nx = 1\n",
+    "def f(a):\n    def g(b):\n        if b:\n            return 1\n        return 2\n    # note\n    return g(a)\n",
+    "def one(): return 1\ndef two():\n    return 2\n",
+    "def f():\n    x = [1,\n  2]\n    return x\n\n\ny = 3",
+    "if True:\n    def h():\n        pass\n    z = 1\n",
+]
+
+
+def _expected_spans(text):
+    """Spans by counting the stdlib INDENT/DEDENT tokens: a def whose body is
+    indented ends just before the DEDENT that closes that body; a one-line
+    body ends at the first token of the next logical line (D22)."""
+    toks = py_tokens(text)
+    spans = []
+    for i, (k, s) in enumerate(toks):
+        if k != "NAME" or s != "def":
+            continue
+        j = i
+        while toks[j][0] not in ("NEWLINE", "ENDMARKER"):
+            j += 1
+        k2 = j + 1
+        while k2 < len(toks) and toks[k2][0] in ("NL", "COMMENT", "UNIMPORTANT_WS"):
+            k2 += 1
+        if k2 < len(toks) and toks[k2][0] == "INDENT":
+            depth, e = 0, k2
+            while e < len(toks):
+                depth += (toks[e][0] == "INDENT") - (toks[e][0] == "DEDENT")
+                if depth == 0:
+                    break
+                e += 1
+        else:   # one-line body: up to the next logical line's first token (or its DEDENTs)
+            e = j + 1
+            while e < len(toks) and toks[e][0] in ("NL", "COMMENT", "UNIMPORTANT_WS"):
+                e += 1
+        spans.append((i, "".join(s for _, s in toks[i:e])))
+    return spans
+
+
+def test_function_spans_match_indent_counting(spark):
+    from progcorpus.operators.functions import function_table
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SPAN_PROGRAMS)], "i int, func_code string")
+    dim = code_dim(df)
+    ft = function_table(token_table(dim), dim)
+    got = {}
+    for r in ft.collect():
+        got.setdefault(r["code_id"], []).append((r["fn_pos"], r["string"]))
+    for r in dim.collect():
+        assert sorted(got[r["code_id"]]) == _expected_spans(r["code"]), repr(r["code"][:50])
