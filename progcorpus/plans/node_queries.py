@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from progcorpus.operators import constructs as C
+from progcorpus.operators import inventory as C
 from progcorpus.operators import dedup as D
 from progcorpus.operators import functions as FN
 from progcorpus.operators import nodes as N

@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pytokens import py_tokens  # noqa: E402
 
-from progcorpus.operators.constructs import OPERATORS  # noqa: E402
+from progcorpus.operators.inventory import OPERATORS  # noqa: E402
 from progcorpus.sources.fixtures import TEMPLATES  # noqa: E402
 
 F = "task_0"
