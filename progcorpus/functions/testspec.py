@@ -68,6 +68,19 @@ def test_prelude(test) -> Column:
     return F.coalesce(F.when(pos > 0, py_strip(F.substring(t, 1, pos - 1))), F.lit(""))
 
 
+def fill(template: str, **parts) -> Column:
+    """A text template as a column: each ``{name}`` becomes the column
+    ``parts[name]``; null when any part is null (``concat`` semantics)."""
+    import re
+
+    pieces, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        pieces += [F.lit(template[pos:m.start()]), parts[m.group(1)]]
+        pos = m.end()
+    pieces.append(F.lit(template[pos:]))
+    return F.concat(*pieces)
+
+
 def three_digits(n) -> Column:
     """F9 ``"{:03d}".format(i)``: zero-padded to three digits, wider past 999."""
     return F.format_string("%03d", _c(n).cast("int"))

@@ -12,11 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from progcorpus.functions.testspec import fill as _fill
 from progcorpus.functions.testspec import three_digits
 from progcorpus.operators.ordering import group_row_number
 
 MANIFEST_COLS = ["question_id", "func_name", "rel_path", "content"]
 
+# The export's folder and file names ({q} = 1-based question
+# number, {nnn} = zero-padded program or test-case number).
+QUESTION_DIR = "question_{q}"
+FUNC_NAME_FILE = "func_name.txt"
+DESCRIPTION_FILE = "description.txt"
+INPUT_FILE = "ans/input_{nnn}.txt"
+OUTPUT_FILE = "ans/output_{nnn}.txt"
+CORRECT_FILE = "code/correct/correct_{q}_{nnn}.py"
+WRONG_FILE = "code/wrong/wrong_{q}_{nnn}.py"
+REFERENCE_FILE = "code/reference/reference.py"
+GLOBALS_FILE = "code/global.py"
+METADATA_FILE = "code/metadata"
+
 
 def program_numbers(df: DataFrame, order_col: str = "sub_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``sub_id, func_name, correct, program_no`` (1-based per question and
@@ -30,9 +44,8 @@ def program_files(df: DataFrame, qnum: DataFrame, order_col: str = "sub_id",
                   code_col: str = "func_code") -> DataFrame:
     """``code/correct/correct_{q}_{nnn}.py`` and ``code/wrong/wrong_{q}_{nnn}.py``."""
     numbered = program_numbers(df, order_col, carry=(code_col,)).join(qnum, on="func_name", how="inner")
-    kind = F.when(F.col("correct"), F.lit("correct")).otherwise(F.lit("wrong"))
-    path = F.concat(F.lit("code/"), kind, F.lit("/"), kind, F.lit("_"), F.col("question_no").cast("string"),
-                    F.lit("_"), three_digits("program_no"), F.lit(".py"))
+    parts = dict(q=F.col("question_no").cast("string"), nnn=three_digits("program_no"))
+    path = F.when(F.col("correct"), _fill(CORRECT_FILE, **parts)).otherwise(_fill(WRONG_FILE, **parts))
     return numbered.select(F.col("question_no"), "func_name", path.alias("rel_path"),
                            F.col(code_col).alias("content"))
 
@@ -55,31 +68,28 @@ def repair_manifest(df: DataFrame, order_col: str = "sub_id", code_col: str = "f
     per_q = per_q.join(qnum, on="func_name", how="inner")
 
     single = per_q.select("question_no", "func_name", F.explode(F.array(
-        F.struct(F.lit("func_name.txt").alias("rel_path"), F.col("func_name").alias("content")),
-        F.struct(F.lit("description.txt").alias("rel_path"), F.col("description").alias("content")),
-        F.struct(F.lit("code/metadata").alias("rel_path"), F.col("func_name").alias("content")),
-        F.struct(F.lit("code/reference/reference.py").alias("rel_path"),
-                 F.col("reference_code").alias("content")),
+        F.struct(F.lit(FUNC_NAME_FILE).alias("rel_path"), F.col("func_name").alias("content")),
+        F.struct(F.lit(DESCRIPTION_FILE).alias("rel_path"), F.col("description").alias("content")),
+        F.struct(F.lit(METADATA_FILE).alias("rel_path"), F.col("func_name").alias("content")),
+        F.struct(F.lit(REFERENCE_FILE).alias("rel_path"), F.col("reference_code").alias("content")),
     )).alias("f")).select("question_no", "func_name", "f.rel_path", "f.content")
 
     cases = per_q.select("question_no", "func_name", F.inline(split_call_asserts("first_test")))
     nnn = three_digits("case_no")
     case_files = cases.select("question_no", "func_name", F.explode(F.array(
-        F.struct(F.concat(F.lit("ans/input_"), nnn, F.lit(".txt")).alias("rel_path"),
-                 F.col("input").alias("content")),
-        F.struct(F.concat(F.lit("ans/output_"), nnn, F.lit(".txt")).alias("rel_path"),
-                 F.col("expected").alias("content")),
+        F.struct(_fill(INPUT_FILE, nnn=nnn).alias("rel_path"), F.col("input").alias("content")),
+        F.struct(_fill(OUTPUT_FILE, nnn=nnn).alias("rel_path"), F.col("expected").alias("content")),
     )).alias("f")).select("question_no", "func_name", "f.rel_path", "f.content")
 
     # The prelude itself goes to global.py (the reference writes a program there)
-    prelude = (per_q.select("question_no", "func_name", F.lit("code/global.py").alias("rel_path"),
+    prelude = (per_q.select("question_no", "func_name", F.lit(GLOBALS_FILE).alias("rel_path"),
                             test_prelude("first_test").alias("content"))
                .where(F.col("content") != ""))
 
     programs = program_files(df, qnum.select("func_name", "question_no"), order_col, code_col)
     out = single.unionByName(case_files).unionByName(prelude).unionByName(programs)
     return (out.where(F.col("content").isNotNull())          # D32: no file for null content
-            .select(F.concat(F.lit("question_"), F.col("question_no").cast("string")).alias("question_id"),
+            .select(_fill(QUESTION_DIR, q=F.col("question_no").cast("string")).alias("question_id"),
                     "func_name", "rel_path", "content"))
 
 

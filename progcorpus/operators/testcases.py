@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lines import _at
-from progcorpus.session import materialize
-from progcorpus.functions.testspec import split_asserts, split_call_asserts, test_prelude
+from progcorpus.functions.testspec import fill, split_asserts, split_call_asserts, test_prelude
 from progcorpus.operators.grading import is_tested
+from progcorpus.session import materialize
 
 
 def assert_cases(df: DataFrame, key: str = "sub_id", test_col: str = "test") -> DataFrame:
@@ -42,6 +42,13 @@ def test_preludes(df: DataFrame, group: str = "func_name", order_col: str = "sub
             .select(group, test_prelude("first_test").alias("prelude")))
 
 
+# The fields of a typed docstring.
+TYPE_LINE = ":type {arg}: {type}"
+RTYPE_LINE = ":rtype: {type}"
+EXAMPLE_HEADER = ":Example:"
+EXAMPLE_PREFIX = "  >>> "
+
+
 def _scalar_type(tok, nxt=None):
     """Python type name of a literal from its first token (and the next one
     after a sign)."""
@@ -156,11 +163,12 @@ def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_co
         .otherwise(F.coalesce(F.col("_in"), F.array().cast("array<string>")))
     # zip stops at the shorter list: padded pairs give null lines, dropped below
     type_lines = F.zip_with(F.col("_args"), param_types,
-                            lambda a, ty: F.concat(F.lit(":type "), a, F.lit(": "), ty))
+                            lambda a, ty: fill(TYPE_LINE, arg=a, type=ty))
     rtype = F.when(F.size("_ot") > 1, F.lit("tuple")).otherwise(_at(F.col("_ot"), 1))
-    lines = F.concat(F.filter(type_lines, lambda l: l.isNotNull()), F.array(F.concat(F.lit(":rtype: "), rtype)))
-    example = F.concat(F.lit(":Example:\n"), F.array_join(F.transform("_cases", lambda c: F.concat(F.lit("  >>> "), c)),
-                                                          "\n"))
+    lines = F.concat(F.filter(type_lines, lambda l: l.isNotNull()),
+                     F.array(fill(RTYPE_LINE, type=rtype)))
+    example = F.concat(F.lit(EXAMPLE_HEADER + "\n"),
+                       F.array_join(F.transform("_cases", lambda c: F.concat(F.lit(EXAMPLE_PREFIX), c)), "\n"))
     typed = F.concat(F.col("_doc"), F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n\n"), example)
     typed_all = ~F.exists(F.slice(param_types, 1, F.least(n_args, F.size(param_types))), lambda x: x.isNull())
     # several parameters need a tuple of inputs (a lone literal does not unpack)
