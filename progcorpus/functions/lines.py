@@ -56,14 +56,14 @@ def splitlines(col) -> Column:
 
 
 def line_count(col) -> Column:
-    """F1 ``count_lines``: number of lines under ``splitlines`` rules."""
+    """number of lines under ``splitlines`` rules."""
     c = _c(col)
     ends_open = F.when((c != "") & ~c.rlike(LINE_BREAK_AT_END), 1).otherwise(0)
     return (F.regexp_count(c, F.lit(LINE_BREAK)) + ends_open).cast("long")
 
 
 def strip_generation_lines(col) -> Column:
-    """F2 ``remove_additional_generations``: drop lines starting with ``<``
+    """drop lines starting with ``<``
     or, once stripped, with ``#``; rejoin with ``\\n``."""
     kept = F.filter(splitlines(col),
                     lambda l: ~(l.startswith("<") | py_lstrip(l).startswith("#")))
@@ -71,7 +71,7 @@ def strip_generation_lines(col) -> Column:
 
 
 def implementation_start(col) -> Column:
-    """F3 ``find_implementation_start``: 0-based line after the last line
+    """0-based line after the last line
     holding ``\"\"\"``, else after the last line starting with ``def``;
     null when neither exists (the reference raises)."""
     lines = F.split(_c(col), "\n", -1)
@@ -86,14 +86,14 @@ def leading_space(col) -> Column:
 
 
 def body_indentation(cleaned) -> Column:
-    """F10 ``get_code_identation`` applied to already-cleaned text: leading
+    """F10 applied to already-cleaned text: leading
     whitespace of line 1; null for a single-line program (the reference raises)."""
     lines = F.split(_c(cleaned), "\n", -1)
     return F.when(F.size(lines) > 1, leading_space(_at(lines, 2)))
 
 
 def indent_docstring(docstring, indentation) -> Column:
-    """``add_indentation_to_docstring``: stripped lines, summary on the
+    """Docstring layout: stripped lines, summary on the
     opening quotes, the rest indented, closing quotes on their own line."""
     lines = F.transform(splitlines(py_strip(docstring)), lambda l: py_strip(l))
     ind = _c(indentation)
@@ -106,7 +106,7 @@ def indent_docstring(docstring, indentation) -> Column:
 
 
 def attach_docstring(code, docstring) -> Column:
-    """F8 ``add_docstring``: insert the indented docstring after line 0,
+    """F8: insert the indented docstring after line 0,
     indented like line 1; null for one-line code (the reference raises)."""
     lines = F.split(_c(code), "\n", -1)
     ind = leading_space(_at(lines, 2))

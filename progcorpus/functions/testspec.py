@@ -14,6 +14,13 @@ from progcorpus.functions.lines import _at, py_strip
 
 CASE_TYPE = "array<struct<case_no:int,input:string,expected:string>>"
 
+# How a test string is cut into cases.
+ASSERT = "assert"            # the cases start at its first occurrence; every occurrence is deleted
+CASE_SEPARATOR = " and "     # between cases
+EQUALS = "=="                # between input and expected value
+CALL_EQUALS_SPACED = ") =="  # rewritten to CALL_EQUALS before a call-aware split
+CALL_EQUALS = ")=="
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -23,19 +30,19 @@ def _assert_body(test) -> Column:
     """Text from the first ``assert`` on, every ``assert`` deleted, stripped;
     null when there is no ``assert`` (D15: no cases)."""
     t = _c(test)
-    pos = F.instr(t, "assert")
-    return F.when(pos > 0, py_strip(F.replace(F.substring(t, pos, 1 << 30), F.lit("assert"), F.lit(""))))
+    pos = F.instr(t, ASSERT)
+    return F.when(pos > 0, py_strip(F.replace(F.substring(t, pos, 1 << 30), F.lit(ASSERT), F.lit(""))))
 
 
 def split_asserts(test) -> Column:
-    """F4 ``humaneval_split``: cases split on ``" and "``, each on a bare
+    """cases split on ``" and "``, each on a bare
     ``==``; the input keeps its spacing, the expected value is stripped (D17);
     a case that does not split in exactly two gets a null expected (D16)."""
     body = _assert_body(test)
-    cases = F.split(body, " and ", -1)
+    cases = F.split(body, CASE_SEPARATOR, -1)
 
     def one(case, i):
-        parts = F.split(case, "==", -1)
+        parts = F.split(case, EQUALS, -1)
         ok = F.size(parts) == 2
         return F.struct(i.cast("int").alias("case_no"),
                         F.when(ok, _at(parts, 1)).otherwise(case).alias("input"),
@@ -45,13 +52,13 @@ def split_asserts(test) -> Column:
 
 
 def split_call_asserts(test) -> Column:
-    """F5 ``get_inputs_outputs``: like F4 but ``") =="`` becomes ``")=="``
+    """like F4 but ``") =="`` becomes ``")=="``
     and cases split on ``")=="``, giving the ``)`` back to the input."""
-    body = F.replace(_assert_body(test), F.lit(") =="), F.lit(")=="))
-    cases = F.split(body, " and ", -1)
+    body = F.replace(_assert_body(test), F.lit(CALL_EQUALS_SPACED), F.lit(CALL_EQUALS))
+    cases = F.split(body, CASE_SEPARATOR, -1)
 
     def one(case, i):
-        parts = F.split(case, "\\)==", -1)
+        parts = F.split(case, CALL_EQUALS.replace(")", "\\)"), -1)
         ok = F.size(parts) == 2
         return F.struct(i.cast("int").alias("case_no"),
                         F.when(ok, F.concat(_at(parts, 1), F.lit(")"))).otherwise(case).alias("input"),
@@ -61,10 +68,10 @@ def split_call_asserts(test) -> Column:
 
 
 def test_prelude(test) -> Column:
-    """F6 ``get_globals``: text before the first ``assert``, stripped; ``''``
+    """text before the first ``assert``, stripped; ``''``
     when there is no ``assert`` (D15) or no test."""
     t = _c(test)
-    pos = F.instr(t, "assert")
+    pos = F.instr(t, ASSERT)
     return F.coalesce(F.when(pos > 0, py_strip(F.substring(t, 1, pos - 1))), F.lit(""))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def key_subset_columns(df: DataFrame, keys: Sequence[str], reject: bool = False) -> DataFrame:
-    """P1 ``get_dict_subset`` on a row: keep (or with ``reject`` drop) columns."""
+    """P1 on a row: keep (or with ``reject`` drop) columns."""
     keys = set(keys)
     return df.select(*[c for c in df.columns if (c in keys) != reject])
 
@@ -24,7 +24,7 @@ def key_subset_map(m: Column | str, keys: Sequence[str], reject: bool = False) -
 
 
 def apply_column(df: DataFrame, func: Callable[..., Column], columns, new_name: str = "") -> DataFrame:
-    """P2 ``dataset_apply``: ``new_name`` (default: the first input column) =
+    """``new_name`` (default: the first input column) =
     ``func(*columns)``.  ``func`` builds a Column expression, or is a
     ``pandas_udf`` for logic that has no built-in equivalent."""
     cols = [columns] if isinstance(columns, str) else list(columns)

@@ -51,7 +51,7 @@ def local_names(nt: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def canonical_form(nt: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A10 ``code_uniqueness``: ``code_id, func_name, normalized`` for every
+    """A10: ``code_id, func_name, normalized`` for every
     distinct (text, wanted name); no row when the text does not parse or does
     not define the name at module level (the class is then null)."""
     target = wanted_function(nt, pairs)
@@ -76,7 +76,7 @@ def with_classes(subs: DataFrame, canon: DataFrame) -> DataFrame:
 
 
 def representative_rows(classed: DataFrame, order_col: str = "sub_id", code_col: str = "func_code") -> DataFrame:
-    """J1 ``add_representative`` + filter: rows whose text is the most frequent
+    """J1 + filter: rows whose text is the most frequent
     text of their (question, class); rows without question or class drop out.
     Texts are compared through ``code_id`` (their SHA-256), so the shuffles
     carry 64-character keys instead of whole programs."""
@@ -98,7 +98,7 @@ def last_duplicate(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def unique_solutions(subs: DataFrame, canon: DataFrame, order_col: str = "sub_id") -> DataFrame:
-    """A3 ``keep_unique_solutions``: one row per class of equivalent programs
+    """A3: one row per class of equivalent programs
     (the last copy of its representative text in question/class/row order)."""
     rows = representative_rows(with_classes(subs, canon), order_col)
     # the representative text is identified by its code_id

@@ -20,13 +20,13 @@ def tested_rows(df: DataFrame, test_col: str = "test") -> DataFrame:
 
 def programs_by_verdict(df: DataFrame, func_name: str, correct: bool,
                         code_col: str = "func_code") -> DataFrame:
-    """P4 ``get_all_programs``: the programs of one question with one verdict."""
+    """The programs of one question with one verdict."""
     return df.where((F.col("func_name") == func_name) & (F.col("correct") == F.lit(correct)))
 
 
 def grade_submissions(subs: DataFrame, observed: DataFrame, key: str = "sub_id",
                       code_col: str = "func_code", out: str = "correct") -> DataFrame:
-    """J9 ``get_correctness``: verdict = non-empty program AND every observed
+    """verdict = non-empty program AND every observed
     case passed; a program without outcomes is not correct.
 
     Outcomes are pre-aggregated per program before the join, so a program with

@@ -194,7 +194,7 @@ def variable_string(nt: DataFrame) -> DataFrame:
 
 
 def multi_function(nt: DataFrame, dim: DataFrame) -> DataFrame:
-    """P9 ``has_multiple_functions``: more than one function node; raw-text
+    """More than one function node; raw-text
     count of ``"def "`` when the text does not parse."""
     counts = nodes_only(nt).groupBy("code_id").agg(
         F.count_if(F.col("type").isin("FunctionDef", "AsyncFunctionDef")).alias("_k"))
@@ -223,7 +223,7 @@ def function_segments(nt: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def function_map(nt: DataFrame, dim: DataFrame, ft: DataFrame) -> DataFrame:
-    """A7 ``separate_functions``: ``code_id, name, ix, definition`` — tree
+    """``code_id, name, ix, definition`` — tree
     located functions for texts that parse, token located ones otherwise."""
     status = parse_status(nt)
     tree_fns = function_segments(nt, dim)
@@ -236,7 +236,7 @@ def function_map(nt: DataFrame, dim: DataFrame, ft: DataFrame) -> DataFrame:
 
 
 def first_function_name(nt: DataFrame, dim: DataFrame, ft: DataFrame) -> DataFrame:
-    """T5 ``get_function_name``: first key of the function map, ``''`` if none."""
+    """T5: first key of the function map, ``''`` if none."""
     firsts = function_segments(nt, dim).groupBy("code_id").agg(F.min_by("name", "ord").alias("_t"))
     tok_first = ft.groupBy("code_id").agg(F.min_by("name", "fn_pos").alias("_k"))
     status = parse_status(nt)
@@ -266,7 +266,7 @@ def docstring_nodes(nt: DataFrame) -> DataFrame:
 
 
 def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
-    """T3 ``remove_docstring``: ``code_id, stripped, docstrings`` — the lines
+    """``code_id, stripped, docstrings`` — the lines
     of every function/class docstring removed (a docstring that was the whole
     body becomes ``pass``, D27), line ends normalised; the removed docstrings
     (cleaned like ``inspect.cleandoc``) joined by a blank line.  Null for a

@@ -44,7 +44,7 @@ def weighted_median(hist: DataFrame, keys: list[str], value: str, count: str, ou
 
 def mad_outliers(df: DataFrame, group, code_col: str = "func_code",
                  threshold: float = 2.5) -> DataFrame:
-    """A2 ``remove_outliers_with_mad``: keep rows with
+    """A2: keep rows with
     ``(n_lines - median) / MAD <= threshold`` inside their group; a group
     whose MAD is 0 keeps every row.  One-sided, raw MAD (no 1.4826 factor).
     Output = input columns without index artefacts, plus ``n_lines``.
@@ -70,7 +70,7 @@ def mad_outliers(df: DataFrame, group, code_col: str = "func_code",
 
 def modal_program(df: DataFrame, group, code_col: str = "func_code",
                   order_col: str = "sub_id") -> DataFrame:
-    """A1 ``value_counts().index[0]`` per group: the most frequent text; ties
+    """A1: per group, the most frequent text; ties
     go to the text seen first under ``order_col``.
     Output ``group..., modal_code, modal_count``."""
     keys = _keys(group)
@@ -83,7 +83,7 @@ def modal_program(df: DataFrame, group, code_col: str = "func_code",
 
 
 def head_percent(df: DataFrame, percentage, group, order_col: str = "sub_id") -> DataFrame:
-    """W4 ``keep_percentage`` with a positive number: the first
+    """W4 with a positive number: the first
     ``ceil(n * p / 100)`` rows of each group in ``order_col`` order; any other
     value keeps every row (D12: floats are accepted as percentages).
 
@@ -109,7 +109,7 @@ def head_percent(df: DataFrame, percentage, group, order_col: str = "sub_id") ->
 
 def reference_solution(df: DataFrame, group, code_col: str = "func_code",
                        order_col: str = "sub_id", ref_sol_col: str | None = None) -> DataFrame:
-    """W5 ``keep_percentage(.., 0 | "ref_sol", ..)``: one full row per group,
+    """One full row per group,
     the first flagged row when a flag column is given (groups without a flagged
     row give none), else the first row carrying the group's modal text."""
     keys = _keys(group)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lines import _at
-from progcorpus.functions.testspec import fill, split_asserts, split_call_asserts, test_prelude
+from progcorpus.functions.testspec import (ASSERT, CASE_SEPARATOR, EQUALS, fill, split_asserts,
+                                           split_call_asserts, test_prelude)
 from progcorpus.operators.grading import is_tested
 from progcorpus.session import materialize
 
@@ -100,7 +101,7 @@ def literal_types(df: DataFrame, key: str, text_col: str) -> DataFrame:
 
 def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_code",
                     doc_col: str = "description", test_col: str = "test") -> DataFrame:
-    """F7 ``rest_docstring``: ``key, typed`` = docstring, a ``:type arg: T``
+    """``key, typed`` = docstring, a ``:type arg: T``
     line per positional argument of line 0 (arguments with a default are
     skipped; names trimmed, none for a zero-argument header, D28), ``:rtype:``,
     and an ``:Example:`` block with every case.  Types come from the literals
@@ -113,16 +114,16 @@ def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_co
     from progcorpus.functions.lines import LINE_BREAK_CHARS, py_strip
 
     t = F.col(test_col)
-    rows = (df.where(t.isNotNull() & (F.instr(t, "assert") > 0))
+    rows = (df.where(t.isNotNull() & (F.instr(t, ASSERT) > 0))
             .select(key, F.col(doc_col).alias("_doc"), F.col(code_col).alias("_code"),
                     F.sha2(t, 256).alias("_tid"), t.alias("_test")))
 
     # --- per distinct test string: cases, first case, call arguments, types
     tests = rows.groupBy("_tid").agg(F.any_value("_test").alias("_test"))
     tt = F.col("_test")
-    tests = (tests.withColumn("_body", py_strip(F.substring(tt, F.instr(tt, "assert") + 6, 1 << 30)))
-             .withColumn("_cases", F.split("_body", " and ", -1))
-             .withColumn("_first", F.split(_at(F.col("_cases"), 1), "==", -1))
+    tests = (tests.withColumn("_body", py_strip(F.substring(tt, F.instr(tt, ASSERT) + len(ASSERT), 1 << 30)))
+             .withColumn("_cases", F.split("_body", CASE_SEPARATOR, -1))
+             .withColumn("_first", F.split(_at(F.col("_cases"), 1), EQUALS, -1))
              .where(F.size("_first") == 2)
              .withColumn("_inp", py_strip(_at(F.col("_first"), 1)))
              .withColumn("_out", py_strip(_at(F.col("_first"), 2))))

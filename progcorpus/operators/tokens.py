@@ -274,7 +274,7 @@ def tokenized(job: TokenJob) -> DataFrame:
 
 
 def clean_programs(job: TokenJob, dim: DataFrame) -> DataFrame:
-    """T2 ``clean_code``: ``code_id, cleaned`` — comments, statement-level
+    """``code_id, cleaned`` — comments, statement-level
     literals (docstrings, bare strings/numbers) and blank lines removed, line
     ends normalised, trailing blanks of lines dropped, text stripped.  Token
     based (D29: not re-printed through a syntax tree); null for a text that

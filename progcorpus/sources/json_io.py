@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 def scan_json(spark: SparkSession, path: str, schema: StructType | str | None = None,
               multi_line: bool = True) -> DataFrame:
-    """``json2dataframe``: a JSON document as a table.
+    """A JSON document as a table.
 
     A list of records becomes one row per record.  A document that is one
     object of equally long column arrays (``{"a": [..], "b": [..]}``, the
@@ -33,5 +33,5 @@ def parse_json_column(df: DataFrame, col: str, schema: str, out: str | None = No
 
 
 def sink_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """``save_json``: JSON Lines, one object per row (no pretty indentation)."""
+    """S3: JSON Lines, one object per row (no pretty indentation)."""
     df.write.mode(mode).json(path)

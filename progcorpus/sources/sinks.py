@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def sink_table(df: DataFrame, path: str, mode: str = "overwrite",
                partition_by: list[str] | None = None) -> None:
-    """``Dataset.from_pandas``: persist a result as Parquet."""
+    """Persist a result as Parquet."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -17,9 +17,9 @@ def sink_table(df: DataFrame, path: str, mode: str = "overwrite",
 
 def sink_text(df: DataFrame, path: str, text_col: str, clear: bool = True,
               partition_by: list[str] | None = None) -> None:
-    """``create_dir`` + ``save``: text files under ``path``.
+    """Text files under ``path``.
 
-    ``clear=True`` replaces the folder (``create_dir(path, clear=True)``);
+    ``clear=True`` replaces the folder (it is cleared first);
     ``clear=False`` refuses to write into an existing one, as
     ``mkdir(exist_ok=False)`` does.  Null text writes nothing (D32).
     """
