@@ -274,7 +274,9 @@ SELECT doc_id, lang FROM (
 WHERE rn = 1""")
 def q_last_duplicate(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return D.last_duplicate(docs, "text", ["lang", "doc_id"]).select("doc_id", "lang")
+    # duplicates are found by text; the shuffle is keyed by the text's hash
+    docs = docs.withColumn("text_id", F.sha2("text", 256))
+    return D.last_duplicate(docs, "text_id", ["lang", "doc_id"]).select("doc_id", "lang")
 
 
 
