@@ -169,9 +169,10 @@ def _levels(lines: DataFrame) -> DataFrame:
 def token_table(dim: DataFrame) -> TokenJob:
     """Tokens, tokenizer status and logical-line blocks.
 
-    ``tokens``: ``code_id, pos, kind, src, line, off, bracket_depth,
+    ``tokens``: ``code_id, pos, kind, src, line, seg, off, bracket_depth,
     indent_depth`` — concatenating ``src`` in ``pos`` order rebuilds the text.
-    ``status``: ``code_id, tokenizes, n_lines`` (P6) per text."""
+    ``status``: ``code_id, tokenizes`` (P6) per text; ``blocks``: see
+    ``TokenJob``."""
     t = materialize(_raw_tokens(dim).drop("_st", "_nl", "_S", "_Mp", "_next_k0", "_next_src", "_seg_start",
                                           "_sig_before", "_sstart_k0", "_sstart_src"), key="code_id")
     ln = _lines(t)
@@ -258,7 +259,8 @@ def token_table(dim: DataFrame) -> TokenJob:
 
 
 def rebuild(tokens: DataFrame) -> DataFrame:
-    """``tokens_to_src``: ``code_id, text`` from the tokens in order."""
+    """``code_id, text``: the tokens' text concatenated in position order
+    (collects one program's tokens; used to check the lexer)."""
     return tokens.groupBy("code_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"]), "")
         .alias("text"))
