@@ -1,4 +1,4 @@
-"""Construct inventories (A5, A8; with the syntax tree also J2, J3, P8).
+"""Construct inventories (A5, A8; with the syntax tree also J2, J3, P8, T7).
 
 Each construct is a filter of the token table; positions are token
 positions (whitespace tokens included, D4), collected per text and construct
@@ -72,3 +72,28 @@ def operator_histogram(tokens: DataFrame, ops: DataFrame, subs: DataFrame,
     return (per_text.join(copies, on="code_id", how="inner")
             .groupBy(group, F.col("src").alias("operator"))
             .agg(F.sum(F.col("_k") * F.col("_m")).cast("long").alias("n")))
+
+
+def has_no_constructs(dim: DataFrame, inventory: DataFrame) -> DataFrame:
+    """``code_id, is_empty`` — no variable, string, operator or number."""
+    counts = inventory.groupBy("code_id").agg(F.sum("n").alias("_n"))
+    return dim.select("code_id").join(counts, on="code_id", how="left").select(
+        "code_id", (F.coalesce("_n", F.lit(0)) == 0).alias("is_empty"))
+
+
+def submission_profile(subs: DataFrame, dim: DataFrame, tokens: DataFrame, status: DataFrame,
+                       variables: DataFrame, ops: DataFrame) -> DataFrame:
+    """The per-program wrapper's state, one row per submission:
+    ``sub_id, compile_error, n_tokens, variables, operators``.  ``tokens``
+    are the tokens of texts that tokenize, ``status`` the parse status (P7),
+    ``variables`` the ordered variable string (A6); computed per distinct
+    text and joined to the submissions by ``code_id``."""
+    n_tok = tokens.groupBy("code_id").agg(F.count(F.lit(1)).alias("_nt"))
+    op_seq = operator_tokens(tokens, ops).groupBy("code_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"]), " ").alias("_ops"))
+    per_text = (dim.select("code_id").join(status, on="code_id", how="left")
+                .join(n_tok, on="code_id", how="left").join(variables, on="code_id", how="left")
+                .join(op_seq, on="code_id", how="left"))
+    return subs.join(per_text, on="code_id", how="left").select(
+        "sub_id", "compile_error", F.coalesce("_nt", F.lit(0)).cast("long").alias("n_tokens"),
+        F.coalesce("variables", F.lit("")).alias("variables"), F.coalesce("_ops", F.lit("")).alias("operators"))

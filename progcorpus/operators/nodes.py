@@ -1,4 +1,4 @@
-"""Syntax-tree jobs (T6, P7, P9, A6, A11, A7, T3, T5, P8, T7, J6-B).
+"""Syntax-tree jobs (T6, P7, P9, A6, A11, A7, T3, T5, J6-B).
 
 ``node_table`` is the library's only Python crossing: ``mapInArrow`` over
 ``code_dim`` (distinct texts, already hash-partitioned by ``code_id``) parses
@@ -294,3 +294,13 @@ def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
     return (dim.select("code_id").join(ok, on="code_id", how="left_semi")
             .join(text, on="code_id", how="left").join(docstrings, on="code_id", how="left")
             .select("code_id", "stripped", F.coalesce("docstrings", F.lit("")).alias("docstrings")))
+
+
+def predicted_function_b(fm: DataFrame, completions: DataFrame, text_col: str = "completion") -> DataFrame:
+    """J6 (variant B): the first definition of the wanted name in the function
+    map (A7), or the whole completion when there is none:
+    ``completions`` columns plus ``predicted``."""
+    first = fm.where(F.col("ix") == 0).select("code_id", F.col("name").alias("func_name"),
+                                              F.col("definition").alias("_f"))
+    return (completions.join(first, on=["code_id", "func_name"], how="left")
+            .withColumn("predicted", F.coalesce("_f", F.col(text_col))).drop("_f"))

@@ -177,9 +177,7 @@ SELECT d.code_id, (SELECT count(*) FROM gc WHERE gc.v = d.v) = 0 AS is_empty FRO
        ctes(DIM, golden_constructs()))
 def q_has_no_constructs(spark, sf):
     c = _Corpus(spark, sf)
-    counts = _inventory(c).groupBy("code_id").agg(F.sum("n").alias("_n"))
-    return c.dim.select("code_id").join(counts, on="code_id", how="left").select(
-        "code_id", (F.coalesce("_n", F.lit(0)) == 0).alias("is_empty"))
+    return C.has_no_constructs(c.dim, _inventory(c))
 
 
 @query("submission_profile", f"""
@@ -190,22 +188,8 @@ FROM submissions s JOIN gs USING (v) JOIN go USING (v)""",
                                       [(v, g["operator_seq"]) for v, g in GOLDEN.items()], ["INTEGER", "VARCHAR"])))
 def q_submission_profile(spark, sf):
     c = _Corpus(spark, sf)
-    return submission_profile(c)
-
-
-def submission_profile(c):
-    """The per-program wrapper's state as one row per submission."""
-    tk = T.tokenized(c.job)
-    ops = C.operator_relation(c.subs.sparkSession)
-    n_tok = tk.groupBy("code_id").agg(F.count(F.lit(1)).alias("_nt"))
-    op_seq = C.operator_tokens(tk, ops).groupBy("code_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"]), " ").alias("_ops"))
-    per_text = (c.dim.select("code_id").join(N.parse_status(c.nt), on="code_id", how="left")
-                .join(n_tok, on="code_id", how="left").join(N.variable_string(c.nt), on="code_id", how="left")
-                .join(op_seq, on="code_id", how="left"))
-    return c.subs.join(per_text, on="code_id", how="left").select(
-        "sub_id", "compile_error", F.coalesce("_nt", F.lit(0)).cast("long").alias("n_tokens"),
-        F.coalesce("variables", F.lit("")).alias("variables"), F.coalesce("_ops", F.lit("")).alias("operators"))
+    return C.submission_profile(c.subs, c.dim, T.tokenized(c.job), N.parse_status(c.nt), N.variable_string(c.nt),
+                                C.operator_relation(spark))
 
 
 # --- J6-B --------------------------------------------------------------------------------
@@ -218,10 +202,7 @@ FROM completions c LEFT JOIN (SELECT v, arg_min(string, ix) AS s FROM gf WHERE n
 def q_predicted_function_b(spark, sf):
     c = _Corpus(spark, sf, code_col="completion", source="completions")
     fm = N.function_map(c.nt, c.dim, c.ft)
-    first = fm.where(F.col("ix") == 0).select("code_id", F.col("name").alias("func_name"),
-                                              F.col("definition").alias("_f"))
-    return (c.subs.join(first, on=["code_id", "func_name"], how="left")
-            .select("sub_id", F.coalesce("_f", F.col("completion")).alias("predicted")))
+    return N.predicted_function_b(fm, c.subs).select("sub_id", "predicted")
 
 
 # --- A10 / J1 / W6 / A3 -------------------------------------------------------------------
