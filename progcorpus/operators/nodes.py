@@ -249,7 +249,7 @@ def first_function_name(nt: DataFrame, dim: DataFrame, ft: DataFrame) -> DataFra
 def docstring_nodes(nt: DataFrame) -> DataFrame:
     """Docstrings: an expression statement first in the body of a function or
     class, holding a string constant: ``code_id, expr_id, parent_id, line,
-    end_line, col, sole, value``."""
+    end_line, col, end_col, sole, value``."""
     n = nodes_only(nt)
     expr = n.where((F.col("type") == "Expr") & (F.col("field") == "body") & (F.col("child_ix") == 0))
     parents = n.where(F.col("type").isin("FunctionDef", "AsyncFunctionDef", "ClassDef")) \
@@ -262,7 +262,7 @@ def docstring_nodes(nt: DataFrame) -> DataFrame:
             .join(const, on=["code_id", "node_id"], how="inner")
             .join(siblings, on=["code_id", "parent_id"], how="left")
             .select("code_id", F.col("node_id").alias("expr_id"), "parent_id", "line", "end_line", "col",
-                    F.coalesce("_has_next", F.lit(True)).alias("sole"), "value"))
+                    "end_col", F.coalesce("_has_next", F.lit(True)).alias("sole"), "value"))
 
 
 def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
@@ -276,9 +276,21 @@ def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
     docs = docstring_nodes(nt)
     lines = dim.select("code_id", F.posexplode(F.split("code", "\r\n|\r|\n", -1)).alias("ix", "text")) \
         .withColumn("line", (F.col("ix") + 1).cast("int"))
-    dropped = docs.select("code_id", F.explode(F.sequence("line", "end_line")).alias("line"))
-    passes = docs.where("sole").select("code_id", "line", F.concat(F.repeat(F.lit(" "), F.col("col")),
-                                                                   F.lit("pass")).alias("text"))
+    # a docstring on lines of its own loses those lines; one that shares its
+    # line with code (``def f(): "doc"; return 1``) is replaced by ``pass``
+    ends = docs.join(lines.select("code_id", "line", F.col("text").alias("_first")), on=["code_id", "line"]) \
+        .join(lines.select("code_id", F.col("line").alias("end_line"), F.col("text").alias("_last")),
+              on=["code_id", "end_line"])
+    lead = F.substring("_first", 1, F.col("col"))
+    tail = F.expr("substring(_last, end_col + 1, 1 << 30)")
+    ends = ends.withColumn("_lead", lead).withColumn("_tail", tail).withColumn(
+        "_whole", (F.col("line") != F.col("end_line"))
+        | (F.col("_lead").rlike("^[ \\t\\f]*$") & F.col("_tail").rlike("^[ \\t\\f]*(#.*)?$")))
+    dropped = ends.select("code_id", F.explode(F.sequence("line", "end_line")).alias("line"))
+    passes = (ends.where(F.col("_whole") & F.col("sole"))
+              .select("code_id", "line", F.concat(F.repeat(F.lit(" "), F.col("col")), F.lit("pass")).alias("text"))
+              .unionByName(ends.where(~F.col("_whole")).select(
+                  "code_id", "line", F.concat("_lead", F.lit("pass"), "_tail").alias("text"))))
     kept = (lines.join(dropped, on=["code_id", "line"], how="left_anti").select("code_id", "line", "text")
             .unionByName(passes))
     text = kept.groupBy("code_id").agg(F.array_join(F.transform(

@@ -154,3 +154,13 @@ def test_subroutines_substring_rule(spark):
     strict = sorted(r.name for r in FN.subroutines(ft, mains, word_boundary=True).collect())
     assert raw == ["h", "xh"]        # "h(" is a substring of "xh(" (D21)
     assert strict == ["xh"]
+
+
+def test_inline_docstring_becomes_pass(spark):
+    rows = [(1, "f", 'def f(): "doc"; return 1\n'), (2, "f", 'def f(a):\n    "doc"  # c\n    return a')]
+    subs = T.with_code_id(_subs(rows, spark))
+    dim = T.code_dim(subs)
+    out = {r.code_id: (r.stripped, r.docstrings) for r in N.strip_docstrings(N.node_table(dim), dim).collect()}
+    got = {s: out[c] for s, c in [(r.sub_id, r.code_id) for r in subs.collect()]}
+    assert got[1] == ("def f(): pass; return 1\n", "doc")
+    assert got[2] == ("def f(a):\n    return a", "doc")
