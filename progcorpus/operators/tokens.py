@@ -34,9 +34,9 @@ TOKEN_COLS = ["code_id", "pos", "kind", "src", "line", "seg", "off", "bracket_de
 class TokenJob:
     """Outputs of ``token_table``: ``tokens``, ``status`` (P6) and
     ``blocks`` (one row per logical line: ``code_id, seg, w, is_indent,
-    end_seg, start_pos, start_off``; ``end_seg`` is the next logical line
-    indented at most as deep, ``start_pos`` the position where the line's
-    DEDENT tokens begin)."""
+    end_seg, close_seg, start_pos, start_off``; ``end_seg`` is the next
+    logical line indented at most as deep, ``close_seg`` the next one indented
+    less, ``start_pos`` the position where the line's DEDENT tokens begin)."""
 
     def __init__(self, tokens: DataFrame, status: DataFrame, blocks: DataFrame):
         self.tokens, self.status, self.blocks = tokens, status, blocks
@@ -253,7 +253,7 @@ def token_table(dim: DataFrame) -> TokenJob:
     starts = raw.select("code_id", F.col("rpos").alias("fpos"),
                         (F.col("pos") - F.col("n_dedent")).alias("start_pos"), F.col("off").alias("start_off"))
     blocks = lines.join(starts, on=["code_id", "fpos"], how="inner").select(
-        "code_id", "seg", "w", "is_indent", "end_seg", "start_pos", "start_off")
+        "code_id", "seg", "w", "is_indent", "end_seg", "close_seg", "start_pos", "start_off")
     return TokenJob(materialize(tokens.select(*TOKEN_COLS), key="code_id"), materialize(status, key="code_id"),
                     blocks)
 
@@ -290,6 +290,17 @@ def clean_programs(job: TokenJob, dim: DataFrame) -> DataFrame:
                      .where(F.col("_lit")).select("code_id", "seg"))
     kept = (tk.where(F.col("kind") != "COMMENT")
             .join(literal_lines, on=["code_id", "seg"], how="left_anti"))
+    # a literal that was the only statement of its block leaves ``pass`` at
+    # the block's indentation (the first line of a block whose next line at
+    # most as deep is already a shallower one)
+    sole = (literal_lines.join(job.blocks, on=["code_id", "seg"], how="inner")
+            .where(F.col("is_indent") & F.col("end_seg").eqNullSafe(F.col("close_seg")))
+            .select("code_id", "seg"))
+    passes = (tk.join(sole, on=["code_id", "seg"], how="left_semi").groupBy("code_id", "seg")
+              .agg(F.min("pos").alias("pos"),
+                   F.min_by("src", F.when(F.col("kind") == "INDENT", F.col("pos"))).alias("_ind"))
+              .select("code_id", "pos", F.concat(F.coalesce("_ind", F.lit("")), F.lit("pass\n")).alias("src")))
+    kept = kept.select("code_id", "pos", "src").unionByName(passes)
     text = kept.groupBy("code_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"]), "")
         .alias("_t"))

@@ -164,3 +164,11 @@ def test_inline_docstring_becomes_pass(spark):
     got = {s: out[c] for s, c in [(r.sub_id, r.code_id) for r in subs.collect()]}
     assert got[1] == ("def f(): pass; return 1\n", "doc")
     assert got[2] == ("def f(a):\n    return a", "doc")
+
+
+def test_clean_keeps_a_body(spark):
+    rows = [(1, "f", 'def f():\n    """TODO"""\n\ndef g():\n    # c\n    "x"\n    return 1\n')]
+    subs = T.with_code_id(_subs(rows, spark))
+    dim = T.code_dim(subs)
+    out = [r.cleaned for r in T.clean_programs(T.token_table(dim), dim).collect()]
+    assert out == ["def f():\n    pass\ndef g():\n    return 1"]
