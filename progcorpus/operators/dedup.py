@@ -43,8 +43,14 @@ def local_names(nt: DataFrame, target: DataFrame) -> DataFrame:
     ``code_id, func_name, ident, new_ident``."""
     binds = nodes_only(nt).where(_binding() & F.col("ident").isNotNull()) \
         .select("code_id", "scope_id", "ident", "node_id")
-    loc = binds.join(target.withColumnRenamed("fid", "scope_id"), on=["code_id", "scope_id"], how="inner") \
-        .groupBy("code_id", "func_name", "ident").agg(F.min("node_id").alias("_first"))
+    scoped = binds.join(target.withColumnRenamed("fid", "scope_id"), on=["code_id", "scope_id"], how="inner")
+    # names the function declares global/nonlocal are not its locals
+    declared = (nodes_only(nt).where(F.col("type").isin("Global", "Nonlocal"))
+                .join(target.withColumnRenamed("fid", "scope_id"), on=["code_id", "scope_id"], how="inner")
+                .select("code_id", "func_name",
+                        F.explode(F.regexp_extract_all("literal", F.lit("'([^']*)'"), 1)).alias("ident")))
+    loc = (scoped.join(declared, on=["code_id", "func_name", "ident"], how="left_anti")
+           .groupBy("code_id", "func_name", "ident").agg(F.min("node_id").alias("_first")))
     w = Window.partitionBy("code_id", "func_name").orderBy("_first")
     return loc.select("code_id", "func_name", "ident",
                       F.concat(F.lit("x_"), (F.row_number().over(w) - 1).cast("string")).alias("new_ident"))

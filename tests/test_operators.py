@@ -172,3 +172,13 @@ def test_clean_keeps_a_body(spark):
     dim = T.code_dim(subs)
     out = [r.cleaned for r in T.clean_programs(T.token_table(dim), dim).collect()]
     assert out == ["def f():\n    pass\ndef g():\n    return 1"]
+
+
+def test_global_names_are_not_renamed(spark):
+    a = "def f(p):\n    global total\n    total = p\n    return total"
+    b = "def f(q):\n    global total\n    total = q\n    return total"
+    c = "def f(q):\n    global other\n    other = q\n    return other"
+    d = "def f(q):\n    total = q\n    return total"
+    cls, _, _ = _classes(spark, [(1, "f", a), (2, "f", b), (3, "f", c), (4, "f", d)])
+    assert cls[1] == cls[2]
+    assert cls[1] != cls[3] and cls[1] != cls[4]
