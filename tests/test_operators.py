@@ -182,3 +182,15 @@ def test_global_names_are_not_renamed(spark):
     cls, _, _ = _classes(spark, [(1, "f", a), (2, "f", b), (3, "f", c), (4, "f", d)])
     assert cls[1] == cls[2]
     assert cls[1] != cls[3] and cls[1] != cls[4]
+
+
+def test_literal_types_match_literal_eval(spark):
+    import ast
+
+    pieces = ["1", "-2", "3.5", "1e3", "2j", "'s'", '"t"', "b'x'", "True", "None", "[1, [2]]", "(1, 2)", "()",
+              "{}", "{1: 2}", "{1, 2}", "(3)", "0x1F", "-1.5", "rb'q'"]
+    groups = [pieces[i:i + 3] for i in range(0, len(pieces), 3)]
+    df = spark.createDataFrame([(i, ", ".join(g)) for i, g in enumerate(groups)], "k int, t string")
+    got = {r.k: list(r.types) for r in testcases.literal_types(df, "k", "t").collect()}
+    for i, g in enumerate(groups):
+        assert got[i] == [type(ast.literal_eval(p)).__name__ for p in g], g
