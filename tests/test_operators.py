@@ -194,3 +194,30 @@ def test_literal_types_match_literal_eval(spark):
     got = {r.k: list(r.types) for r in testcases.literal_types(df, "k", "t").collect()}
     for i, g in enumerate(groups):
         assert got[i] == [type(ast.literal_eval(p)).__name__ for p in g], g
+
+
+
+def test_canonical_form_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    template = ("def f({a}, {b}):\n    {c} = {a} * 2\n    for {d} in range({b}):\n        {c} += {d}\n"
+                "    return [{e} for {e} in ({c}, {a})]")
+    ident = st.from_regex(r"[a-z][a-z0-9_]{0,6}", fullmatch=True).filter(
+        lambda s: s not in {"f", "range", "for", "in", "if", "or", "and", "not", "is", "as", "def", "del",
+                            "try", "with", "else", "elif", "pass", "from", "while", "return", "yield",
+                            "import", "global", "lambda", "class", "raise", "break", "async", "await",
+                            "assert", "except", "finally", "continue", "nonlocal"})
+
+    @settings(max_examples=4, deadline=None)
+    @given(st.lists(ident, min_size=5, max_size=5, unique=True))
+    def check(names):
+        a, b, c, d, e = names
+        renamed = template.format(a=a, b=b, c=c, d=d, e=e)
+        base = template.format(a="p", b="q", c="r", d="s", e="t")
+        changed = base.replace("* 2", "* 3")
+        cls, _, _ = _classes(spark, [(1, "f", base), (2, "f", renamed), (3, "f", changed)])
+        assert cls[1] == cls[2]
+        assert cls[1] != cls[3]
+
+    check()
