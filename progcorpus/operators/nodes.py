@@ -162,7 +162,15 @@ def _parse_batches(batches):
 
 def node_table(dim: DataFrame) -> DataFrame:
     """Node rows (plus one error row per text that does not parse),
-    materialised once: every tree job reads it."""
+    materialised once: every tree job reads it.
+
+    The batch function is shipped by value: Python workers need only the
+    standard library (``ast``, ``re``) and pyarrow, not this package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return materialize(dim.select("code_id", "code").mapInArrow(_parse_batches, NODE_SCHEMA), key="code_id")
 
 
