@@ -28,6 +28,7 @@ EDGES = [
     # tokenizer leniency and its errors
     "a = $b ? !c `d`\n", "x = )\n", "x = (]\n", "x = ))(\n", "(\n]\n", "x = €\n", "x = \x01\n",
     "x = 1 + \\\n", "a \\\n   \n", "0or 1\n", "0b12\n", "0o8\n", "1_\n", "1.2.3\n", "0x1g\n", "09\n",
+    "中文 = 1\n", "x = \U0001F600\n", "é = 2\n", "a\u00a0= 1\n",
 ]
 
 
