@@ -94,6 +94,11 @@ def repair_manifest(df: DataFrame, order_col: str = "sub_id", code_col: str = "f
 
 
 def write_manifest(manifest: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write the manifest partitioned by question (one folder per question)."""
-    (manifest.repartition("question_id").write.mode(mode).partitionBy("question_id")
+    """Write the manifest partitioned by question (one folder per question).
+
+    Rows are range-partitioned on ``(question_id, rel_path)`` first: each
+    task writes a contiguous slice, so a question's files land in few
+    output files, and a question holding a third of the corpus is written by
+    many tasks instead of one."""
+    (manifest.repartitionByRange("question_id", "rel_path").write.mode(mode).partitionBy("question_id")
      .format(fmt).save(path))
