@@ -307,10 +307,10 @@ SELECT event_id,
        '{}' AS rejected
 FROM events""")
 def q_key_subset(spark, sf):
-    ev = read_table(spark, sf, "events").select("event_id", "props")
-    m = F.from_json("props", "map<string,bigint>")
-    return ev.select("event_id", F.to_json(columns.key_subset_map(m, ["k"])).alias("kept"),
-                     F.to_json(columns.key_subset_map(m, ["k"], reject=True)).alias("rejected"))
+    ev = json_io.parse_json_column(read_table(spark, sf, "events").select("event_id", "props"),
+                                   "props", "map<string,bigint>")
+    return ev.select("event_id", F.to_json(columns.key_subset_map("props", ["k"])).alias("kept"),
+                     F.to_json(columns.key_subset_map("props", ["k"], reject=True)).alias("rejected"))
 
 
 @query("apply_column", f"SELECT doc_id, {sql_line_count('text')} AS n_lines FROM documents")
