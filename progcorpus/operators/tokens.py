@@ -166,6 +166,43 @@ def _levels(lines: DataFrame) -> DataFrame:
     return own
 
 
+def _token_lines(dim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw tokens with their per-token facts, and the logical lines with
+    their indentation levels (both materialised, bucketed by ``code_id``)."""
+    t = materialize(_raw_tokens(dim).drop("_st", "_nl", "_S", "_Mp", "_next_k0", "_next_src", "_seg_start",
+                                          "_sig_before", "_sstart_k0", "_sstart_src"), key="code_id")
+    ln = _lines(t)
+    lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"), key="code_id")
+    return t, lines
+
+
+def _status(dim: DataFrame, t: DataFrame, lines: DataFrame) -> DataFrame:
+    """P6 per text: no error token or malformed number, brackets closed at
+    the end, no line continuation before the end, every dedent on an open
+    level (with consistent tabs)."""
+    bad = t.groupBy("code_id").agg(
+        F.max(F.when((F.col("k0") == "ERRORTOKEN") | F.col("_numerr"), 1).otherwise(0)).alias("_err"),
+        F.max_by("_depth_after", "rpos").alias("_end_depth"),
+        # a line continuation with no further line before the end of the text
+        F.max(F.when(F.col("k0") == "ESCAPED_NL", F.col("rpos"))).alias("_last_esc"),
+        F.max(F.when(F.col("k0").isin("LINEBREAK") | F.col("_sig"), F.col("rpos"))).alias("_last_line"))
+    dedents = lines.groupBy("code_id").agg(F.bool_and("dedent_ok").alias("_dedent_ok"))
+    return (dim.select("code_id").join(bad, on="code_id", how="left").join(dedents, on="code_id", how="left")
+              .select("code_id",
+                      ((F.coalesce(F.col("_err"), F.lit(0)) == 0)
+                      & (F.coalesce(F.col("_end_depth"), F.lit(0)) == 0)
+                      & (F.col("_last_esc").isNull() | (F.coalesce(F.col("_last_line"), F.lit(-1))
+                                                        > F.col("_last_esc")))
+                      & F.coalesce(F.col("_dedent_ok"), F.lit(True))).alias("tokenizes")))
+
+
+def token_status(dim: DataFrame) -> DataFrame:
+    """P6 alone: ``code_id, tokenizes`` without building the full token
+    stream (no DEDENT insertion or positions)."""
+    t, lines = _token_lines(dim)
+    return _status(dim, t, lines)
+
+
 def token_table(dim: DataFrame) -> TokenJob:
     """Tokens, tokenizer status and logical-line blocks.
 
@@ -173,10 +210,7 @@ def token_table(dim: DataFrame) -> TokenJob:
     indent_depth`` — concatenating ``src`` in ``pos`` order rebuilds the text.
     ``status``: ``code_id, tokenizes`` (P6) per text; ``blocks``: see
     ``TokenJob``."""
-    t = materialize(_raw_tokens(dim).drop("_st", "_nl", "_S", "_Mp", "_next_k0", "_next_src", "_seg_start",
-                                          "_sig_before", "_sstart_k0", "_sstart_src"), key="code_id")
-    ln = _lines(t)
-    lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"), key="code_id")
+    t, lines = _token_lines(dim)
     # dedents inserted before the first token of each closing line
     closing = lines.where(F.col("is_indent") & F.col("close_seg").isNotNull()) \
         .groupBy("code_id", F.col("close_seg").alias("seg")).agg(F.count(F.lit(1)).alias("n_dedent"))
@@ -236,20 +270,7 @@ def token_table(dim: DataFrame) -> TokenJob:
                                                    .when(F.col("kind") == "DEDENT", -1).otherwise(0)).over(wt)
                              .cast("int"))
 
-    bad = t.groupBy("code_id").agg(
-        F.max(F.when((F.col("k0") == "ERRORTOKEN") | F.col("_numerr"), 1).otherwise(0)).alias("_err"),
-        F.max_by("_depth_after", "rpos").alias("_end_depth"),
-        # a line continuation with no further line before the end of the text
-        F.max(F.when(F.col("k0") == "ESCAPED_NL", F.col("rpos"))).alias("_last_esc"),
-        F.max(F.when(F.col("k0").isin("LINEBREAK") | F.col("_sig"), F.col("rpos"))).alias("_last_line"))
-    dedents = lines.groupBy("code_id").agg(F.bool_and("dedent_ok").alias("_dedent_ok"))
-    status = (dim.select("code_id").join(bad, on="code_id", how="left").join(dedents, on="code_id", how="left")
-              .select("code_id",
-                      ((F.coalesce(F.col("_err"), F.lit(0)) == 0)
-                      & (F.coalesce(F.col("_end_depth"), F.lit(0)) == 0)
-                      & (F.col("_last_esc").isNull() | (F.coalesce(F.col("_last_line"), F.lit(-1))
-                                                        > F.col("_last_esc")))
-                      & F.coalesce(F.col("_dedent_ok"), F.lit(True))).alias("tokenizes")))
+    status = _status(dim, t, lines)
     starts = raw.select("code_id", F.col("rpos").alias("fpos"),
                         (F.col("pos") - F.col("n_dedent")).alias("start_pos"), F.col("off").alias("start_off"))
     blocks = lines.join(starts, on=["code_id", "fpos"], how="inner").select(
