@@ -94,7 +94,8 @@ def _raw_tokens(dim: DataFrame) -> DataFrame:
                  (F.coalesce(F.sum("_nl").over(before), F.lit(0)) + 1).cast("int").alias("line"),
                  F.coalesce(F.sum(F.length("src")).over(before), F.lit(0)).cast("long").alias("off"),
                  F.sum("_st").over(upto).alias("_S"),
-                 F.lead("k0", 1).over(w).alias("_next_k0"), F.lead("src", 1).over(w).alias("_next_src")))
+                 F.lead("k0", 1).over(w).alias("_next_k0"), F.lead("src", 1).over(w).alias("_next_src"),
+                 F.lag("k0", 1).over(w).alias("_prev_k0"), F.lag("src", 1).over(w).alias("_prev_src")))
     t = t.withColumn("_Mp", F.coalesce(F.min("_S").over(before), F.lit(0)))
     t = (t.withColumn("bracket_depth", (F.col("_S") - F.col("_st") - F.least(F.lit(0), F.col("_Mp"))).cast("int"))
          .withColumn("_depth_after", F.col("_S") - F.least(F.lit(0), F.col("_Mp"), F.col("_S"))))
@@ -108,23 +109,21 @@ def _raw_tokens(dim: DataFrame) -> DataFrame:
     # a line break at bracket depth 0 ends a segment (a logical line or a blank/comment line)
     t = t.withColumn("_ends", (F.col("k0") == "LINEBREAK") & (F.col("bracket_depth") == 0))
     t = t.withColumn("_sig", ~F.col("k0").isin("BLANK", "COMMENT", "LINEBREAK", "ESCAPED_NL"))
+    # Per-segment facts from running windows in the same (code_id, rpos) order
+    # (no second sort): a segment starts right after the previous segment's
+    # terminating line break; whether a significant token was seen in it so
+    # far, and which token is its first significant one.
     t = t.select("*",
                  F.coalesce(F.sum(F.col("_ends").cast("int")).over(before), F.lit(0)).cast("int").alias("seg"),
-                 ((F.col("rpos") == 0) | F.coalesce(F.lag("_ends", 1).over(w), F.lit(False))).alias("_seg_start"),
+                 F.coalesce(F.max(F.when(F.col("_ends"), F.col("rpos"))).over(before) + 1, F.lit(0))
+                 .alias("_sstart"),
                  F.coalesce(F.max(F.when(F.col("_sig"), F.col("rpos"))).over(before), F.lit(-1)).alias("_sig_before"))
-    # Per-segment facts from running windows in the same (code_id, rpos) order
-    # (no second sort): where the segment starts and with which token, whether
-    # a significant token was seen in it so far, and its first significant token.
-    t = t.select("*",
-                 F.max(F.when(F.col("_seg_start"), F.col("rpos"))).over(upto).alias("_sstart"),
-                 F.last(F.when(F.col("_seg_start"), F.col("k0")), ignorenulls=True).over(upto).alias("_sstart_k0"),
-                 F.last(F.when(F.col("_seg_start"), F.col("src")), ignorenulls=True).over(upto).alias("_sstart_src"))
     t = (t.withColumn("_content", ((F.col("_sig") & (F.col("rpos") >= F.col("_sstart")))
                                    | (F.col("_sig_before") >= F.col("_sstart"))).cast("int"))
          .withColumn("_first_sig", F.col("_sig") & (F.col("_sig_before") < F.col("_sstart"))))
     # the blanks that start a logical line, kept on its first significant token only
     return t.withColumn("_lead_ws", F.when(F.col("_first_sig"), F.when(
-        (F.col("rpos") > F.col("_sstart")) & (F.col("_sstart_k0") == "BLANK"), F.col("_sstart_src"))
+        (F.col("rpos") == F.col("_sstart") + 1) & (F.col("_prev_k0") == "BLANK"), F.col("_prev_src"))
         .otherwise(F.lit(""))))
 
 
@@ -169,8 +168,8 @@ def _levels(lines: DataFrame) -> DataFrame:
 def _token_lines(dim: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw tokens with their per-token facts, and the logical lines with
     their indentation levels (both materialised, bucketed by ``code_id``)."""
-    t = materialize(_raw_tokens(dim).drop("_st", "_nl", "_S", "_Mp", "_next_k0", "_next_src", "_seg_start",
-                                          "_sig_before", "_sstart_k0", "_sstart_src"), key="code_id")
+    t = materialize(_raw_tokens(dim).drop("_st", "_nl", "_S", "_Mp", "_next_k0", "_next_src", "_prev_k0",
+                                          "_prev_src", "_sig_before"), key="code_id")
     ln = _lines(t)
     lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"), key="code_id")
     return t, lines
