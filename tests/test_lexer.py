@@ -45,16 +45,22 @@ def test_stream_matches_stdlib(job):
     codes = {r["code_id"]: r["code"] for r in dim.collect()}
     status = {r["code_id"]: r["tokenizes"] for r in j.status.collect()}
     by = {}
-    for r in j.tokens.select("code_id", "pos", "kind", "src").collect():
+    for r in j.tokens.select("code_id", "pos", "kind", "src", "indent_depth", "line").collect():
         by.setdefault(r["code_id"], []).append(r)
     for cid, code in codes.items():
         ref = py_tokens(code)
         assert status[cid] == (ref is not None), repr(code[:60])
-        mine = [(r["kind"], r["src"]) for r in sorted(by[cid], key=lambda r: r["pos"])]
+        rows = sorted(by[cid], key=lambda r: r["pos"])
+        mine = [(r["kind"], r["src"]) for r in rows]
         assert sorted(r["pos"] for r in by[cid]) == list(range(len(mine)))
         assert "".join(s for _, s in mine) == code
         if ref is not None:
             assert mine == ref, repr(code[:60])
+            depth, line = 0, 1
+            for r, (k, src) in zip(rows, ref):
+                depth += (k == "INDENT") - (k == "DEDENT")
+                assert r["indent_depth"] == depth and r["line"] == line, (repr(code[:40]), k, src)
+                line += src.count("\r\n") + src.replace("\r\n", "").count("\n") + src.replace("\r\n", "").count("\r")
 
 
 def test_rebuild(job):
