@@ -45,7 +45,8 @@ def test_stream_matches_stdlib(job):
     codes = {r["code_id"]: r["code"] for r in dim.collect()}
     status = {r["code_id"]: r["tokenizes"] for r in j.status.collect()}
     by = {}
-    for r in j.tokens.select("code_id", "pos", "kind", "src", "indent_depth", "line").collect():
+    for r in j.tokens.select("code_id", "pos", "kind", "src", "indent_depth", "line", "off",
+                             "bracket_depth").collect():
         by.setdefault(r["code_id"], []).append(r)
     for cid, code in codes.items():
         ref = py_tokens(code)
@@ -56,10 +57,18 @@ def test_stream_matches_stdlib(job):
         assert "".join(s for _, s in mine) == code
         if ref is not None:
             assert mine == ref, repr(code[:60])
-            depth, line = 0, 1
+            depth, line, off, brackets = 0, 1, 0, 0
             for r, (k, src) in zip(rows, ref):
                 depth += (k == "INDENT") - (k == "DEDENT")
                 assert r["indent_depth"] == depth and r["line"] == line, (repr(code[:40]), k, src)
+                assert r["off"] == off, (repr(code[:40]), k, src)
+                if k not in ("DEDENT", "ENDMARKER", "NEWLINE") or src:
+                    assert r["bracket_depth"] == brackets, (repr(code[:40]), k, src)
+                if k == "OP" and src in "([{":
+                    brackets += 1
+                elif k == "OP" and src in ")]}":
+                    brackets = max(0, brackets - 1)
+                off += len(src)
                 line += src.count("\r\n") + src.replace("\r\n", "").count("\n") + src.replace("\r\n", "").count("\r")
 
 
