@@ -221,3 +221,19 @@ def test_canonical_form_property(spark):
         assert cls[1] != cls[3]
 
     check()
+
+
+def test_sorted_median_matches_statistics(spark):
+    import random
+    import statistics
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    random.seed(3)
+    groups = [[random.randint(0, 9) for _ in range(random.randint(1, 40))] for _ in range(30)]
+    rows = [(g, float(v), c) for g, vals in enumerate(groups) for v, c in Counter(vals).items()]
+    df = spark.createDataFrame(rows, "g int, v double, c long")
+    arr = df.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("h"))
+    got = {r.g: r.m for r in arr.select("g", sampling.sorted_median(F.col("h")).alias("m")).collect()}
+    assert got == {g: float(statistics.median(vals)) for g, vals in enumerate(groups)}
