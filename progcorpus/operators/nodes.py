@@ -257,7 +257,7 @@ def first_function_name(nt: DataFrame, dim: DataFrame, ft: DataFrame) -> DataFra
 def docstring_nodes(nt: DataFrame) -> DataFrame:
     """Docstrings: an expression statement first in the body of a function or
     class, holding a string constant: ``code_id, expr_id, parent_id, line,
-    end_line, col, end_col, sole, value``."""
+    end_line, col, end_col, off, end_off, sole, value``."""
     n = nodes_only(nt)
     expr = n.where((F.col("type") == "Expr") & (F.col("field") == "body") & (F.col("child_ix") == 0))
     parents = n.where(F.col("type").isin("FunctionDef", "AsyncFunctionDef", "ClassDef")) \
@@ -270,7 +270,7 @@ def docstring_nodes(nt: DataFrame) -> DataFrame:
             .join(const, on=["code_id", "node_id"], how="inner")
             .join(siblings, on=["code_id", "parent_id"], how="left")
             .select("code_id", F.col("node_id").alias("expr_id"), "parent_id", "line", "end_line", "col",
-                    "end_col", F.coalesce("_has_next", F.lit(True)).alias("sole"), "value"))
+                    "end_col", "off", "end_off", F.coalesce("_has_next", F.lit(True)).alias("sole"), "value"))
 
 
 def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
@@ -286,12 +286,15 @@ def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
         .withColumn("line", (F.col("ix") + 1).cast("int"))
     # a docstring on lines of its own loses those lines; one that shares its
     # line with code (``def f(): "doc"; return 1``) is replaced by ``pass``
-    ends = docs.join(lines.select("code_id", "line", F.col("text").alias("_first")), on=["code_id", "line"]) \
-        .join(lines.select("code_id", F.col("line").alias("end_line"), F.col("text").alias("_last")),
-              on=["code_id", "end_line"])
-    lead = F.substring("_first", 1, F.col("col"))
-    tail = F.expr("substring(_last, end_col + 1, 1 << 30)")
-    ends = ends.withColumn("_lead", lead).withColumn("_tail", tail).withColumn(
+    # the text before the docstring on its first line and after it on its last
+    # line, cut from the program by character offsets (one row per text joined)
+    after = F.substring(F.col("code"), (F.col("end_off") + 1).cast("int"), 1 << 30)
+    ends = (docs.join(dim, on="code_id", how="inner")
+            .withColumn("_lead", F.substring(F.col("code"), (F.col("off") - F.col("col") + 1).cast("int"),
+                                             F.col("col")))
+            .withColumn("_tail", F.regexp_extract(after, "^[^\\r\\n]*", 0))
+            .drop("code"))
+    ends = ends.withColumn(
         "_whole", (F.col("line") != F.col("end_line"))
         | (F.col("_lead").rlike("^[ \\t\\f]*$") & F.col("_tail").rlike("^[ \\t\\f]*(#.*)?$")))
     dropped = ends.select("code_id", F.explode(F.sequence("line", "end_line")).alias("line"))
