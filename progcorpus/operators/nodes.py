@@ -281,7 +281,7 @@ def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
     text that does not parse."""
     from progcorpus.functions.lines import dedent, py_strip
 
-    docs = docstring_nodes(nt)
+    docs = materialize(docstring_nodes(nt), key="code_id")     # one row per docstring, read by 4 branches
     lines = dim.select("code_id", F.posexplode(F.split("code", "\r\n|\r|\n", -1)).alias("ix", "text")) \
         .withColumn("line", (F.col("ix") + 1).cast("int"))
     # a docstring on lines of its own loses those lines; one that shares its
