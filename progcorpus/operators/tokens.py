@@ -305,20 +305,21 @@ def clean_programs(job: TokenJob, dim: DataFrame) -> DataFrame:
 
     tk = tokenized(job)
     sig = ~F.col("kind").isin(*_LAYOUT)
-    literal_lines = (tk.where(sig & F.col("seg").isNotNull()).groupBy("code_id", "seg")
-                     .agg(F.bool_and(F.col("kind").isin("STRING", "NUMBER")).alias("_lit"))
-                     .where(F.col("_lit")).select("code_id", "seg"))
+    # one row per segment (small next to the tokens): is it a statement-level
+    # literal, where does it start, and with which indentation
+    segs = materialize(
+        tk.where(F.col("seg").isNotNull()).groupBy("code_id", "seg").agg(
+            F.bool_and(F.when(sig, F.col("kind").isin("STRING", "NUMBER"))).alias("_lit"),
+            F.min("pos").alias("pos"),
+            F.min_by("src", F.when(F.col("kind") == "INDENT", F.col("pos"))).alias("_ind"))
+        .where(F.col("_lit")), key="code_id")
     kept = (tk.where(F.col("kind") != "COMMENT")
-            .join(literal_lines, on=["code_id", "seg"], how="left_anti"))
+            .join(segs.select("code_id", "seg"), on=["code_id", "seg"], how="left_anti"))
     # a literal that was the only statement of its block leaves ``pass`` at
     # the block's indentation (the first line of a block whose next line at
     # most as deep is already a shallower one)
-    sole = (literal_lines.join(job.blocks, on=["code_id", "seg"], how="inner")
-            .where(F.col("is_indent") & F.col("end_seg").eqNullSafe(F.col("close_seg")))
-            .select("code_id", "seg"))
-    passes = (tk.join(sole, on=["code_id", "seg"], how="left_semi").groupBy("code_id", "seg")
-              .agg(F.min("pos").alias("pos"),
-                   F.min_by("src", F.when(F.col("kind") == "INDENT", F.col("pos"))).alias("_ind"))
+    passes = (segs.join(job.blocks, on=["code_id", "seg"], how="inner")
+              .where(F.col("is_indent") & F.col("end_seg").eqNullSafe(F.col("close_seg")))
               .select("code_id", "pos", F.concat(F.coalesce("_ind", F.lit("")), F.lit("pass\n")).alias("src")))
     kept = kept.select("code_id", "pos", "src").unionByName(passes)
     text = kept.groupBy("code_id").agg(
