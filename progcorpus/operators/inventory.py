@@ -41,12 +41,28 @@ def operator_tokens(tokens: DataFrame, ops: DataFrame) -> DataFrame:
 def construct_inventory(tokens: DataFrame, ops: DataFrame, variables: DataFrame | None = None) -> DataFrame:
     """A5: operators and numbers from tokens alone; with ``variables``
     (``code_id, ident``) also variable locations (J2) and strings that are
-    not variable names (J3)."""
-    out = positions_of(operator_tokens(tokens, ops), "operators", F.lit(True)) \
-        .unionByName(positions_of(tokens, "numbers", F.col("kind") == "NUMBER"))
+    not variable names (J3).
+
+    A token belongs to at most one construct, so every token is classified
+    once (the operator set is broadcast, variables join on ``(code_id, src)``)
+    and one aggregation collects all constructs: the tokens are read once."""
+    t = tokens.join(F.broadcast(ops.select(F.col("op").alias("src")).distinct()
+                                .withColumn("_is_op", F.lit(True))), on="src", how="left")
     if variables is not None:
-        out = out.unionByName(variable_locations(tokens, variables)).unionByName(string_tokens(tokens, variables))
-    return out
+        v = variables.select("code_id", F.col("ident").alias("src"), F.lit(True).alias("_is_var")).distinct()
+        t = t.join(v, on=["code_id", "src"], how="left")
+    else:
+        t = t.withColumn("_is_var", F.lit(None).cast("boolean"))
+    construct = (F.when(F.col("_is_op"), F.lit("operators"))
+                 .when(F.col("kind") == "NUMBER", F.lit("numbers"))
+                 .when(F.col("_is_var"), F.lit("variables"))
+                 .when(F.col("kind") == "STRING", F.lit("strings")))
+    if variables is None:
+        construct = F.when(F.col("_is_op") | (F.col("kind") == "NUMBER"), construct)
+    t = t.withColumn("construct", construct).where(F.col("construct").isNotNull())
+    return (t.groupBy("code_id", "construct", "src").agg(F.array_sort(F.collect_list("pos")).alias("_p"))
+            .select("code_id", "construct", "src", F.array_join(F.col("_p"), ",").alias("positions"),
+                    F.size("_p").cast("long").alias("n")))
 
 
 def variable_locations(tokens: DataFrame, variables: DataFrame) -> DataFrame:
