@@ -104,12 +104,15 @@ def submission_profile(subs: DataFrame, dim: DataFrame, tokens: DataFrame, statu
     are the tokens of texts that tokenize, ``status`` the parse status (P7),
     ``variables`` the ordered variable string (A6); computed per distinct
     text and joined to the submissions by ``code_id``."""
-    n_tok = tokens.groupBy("code_id").agg(F.count(F.lit(1)).alias("_nt"))
-    op_seq = operator_tokens(tokens, ops).groupBy("code_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"]), " ").alias("_ops"))
+    # one pass over the tokens: their count and the operators in order
+    flagged = tokens.join(F.broadcast(ops.select(F.col("op").alias("src")).distinct()
+                                      .withColumn("_is_op", F.lit(True))), on="src", how="left")
+    per_tok = flagged.groupBy("code_id").agg(
+        F.count(F.lit(1)).alias("_nt"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.when(F.col("_is_op"), F.struct("pos", "src")))), lambda s: s["src"]), " ").alias("_ops"))
     per_text = (dim.select("code_id").join(status, on="code_id", how="left")
-                .join(n_tok, on="code_id", how="left").join(variables, on="code_id", how="left")
-                .join(op_seq, on="code_id", how="left"))
+                .join(per_tok, on="code_id", how="left").join(variables, on="code_id", how="left"))
     return subs.join(per_text, on="code_id", how="left").select(
         "sub_id", "compile_error", F.coalesce("_nt", F.lit(0)).cast("long").alias("n_tokens"),
         F.coalesce("variables", F.lit("")).alias("variables"), F.coalesce("_ops", F.lit("")).alias("operators"))
