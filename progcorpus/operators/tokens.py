@@ -32,7 +32,8 @@ TOKEN_COLS = ["code_id", "pos", "kind", "src", "line", "seg", "off", "bracket_de
 
 
 class TokenJob:
-    """Outputs of ``token_table``: ``tokens``, ``status`` (P6) and
+    """Outputs of ``token_table``: ``tokens``, ``status`` (P6, with
+    ``n_tokens`` per text) and
     ``blocks`` (one row per logical line: ``code_id, seg, w, is_indent,
     end_seg, close_seg, start_pos, start_off``; ``end_seg`` is the next
     logical line indented at most as deep, ``close_seg`` the next one indented
@@ -253,6 +254,9 @@ def token_table(dim: DataFrame) -> TokenJob:
                    F.coalesce("_open", F.lit(0)).alias("_open"),
                    (F.coalesce("_tail_line", F.lit(1)) + F.coalesce("_tail_nl", F.lit(0))).alias("line"),
                    F.coalesce("_len", F.lit(0)).cast("long").alias("off")))
+    # tokens per text: raw tokens and DEDENTs before the end, plus the end tokens
+    counts = eof.select("code_id", (F.col("_p0") + F.coalesce(F.col("_needs_nl").cast("int"), F.lit(0))
+                                    + F.col("_open") + 1).cast("long").alias("n_tokens"))
     eof = eof.select("code_id", "line", "off", F.explode(F.concat(
         F.when(F.col("_needs_nl"), F.array(F.lit("NEWLINE"))).otherwise(F.array().cast("array<string>")),
         F.array_repeat(F.lit("DEDENT"), F.col("_open").cast("int")),
@@ -269,7 +273,7 @@ def token_table(dim: DataFrame) -> TokenJob:
                                                    .when(F.col("kind") == "DEDENT", -1).otherwise(0)).over(wt)
                              .cast("int"))
 
-    status = _status(dim, t, lines)
+    status = _status(dim, t, lines).join(counts, on="code_id", how="left")
     starts = raw.select("code_id", F.col("rpos").alias("fpos"),
                         (F.col("pos") - F.col("n_dedent")).alias("start_pos"), F.col("off").alias("start_off"))
     blocks = lines.join(starts, on=["code_id", "fpos"], how="inner").select(

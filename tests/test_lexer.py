@@ -44,6 +44,7 @@ def test_stream_matches_stdlib(job):
     dim, j = job
     codes = {r["code_id"]: r["code"] for r in dim.collect()}
     status = {r["code_id"]: r["tokenizes"] for r in j.status.collect()}
+    counts = {r["code_id"]: r["n_tokens"] for r in j.status.collect()}
     by = {}
     for r in j.tokens.select("code_id", "pos", "kind", "src", "indent_depth", "line", "off",
                              "bracket_depth").collect():
@@ -52,6 +53,7 @@ def test_stream_matches_stdlib(job):
         ref = py_tokens(code)
         assert status[cid] == (ref is not None), repr(code[:60])
         rows = sorted(by[cid], key=lambda r: r["pos"])
+        assert counts[cid] == len(rows)
         mine = [(r["kind"], r["src"]) for r in rows]
         assert sorted(r["pos"] for r in by[cid]) == list(range(len(mine)))
         assert "".join(s for _, s in mine) == code
