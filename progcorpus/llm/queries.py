@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import secrets
+from progcorpus.llm import bpe, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op8_secret_scan(spark, sf_dir):
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.encode_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
