@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import bpe, secrets
+from progcorpus.llm import bpe, linededup, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,11 @@ def op5_bpe(spark, sf_dir):
     import public_tokenizers
 
     return bpe.encode_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op7_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_line_dedup"] = linededup.ORACLE
