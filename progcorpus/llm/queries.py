@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import bpe, linededup, secrets
+from progcorpus.llm import bpe, linededup, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,11 @@ def op7_line_dedup(spark, sf_dir):
 
 
 ORACLES["op7_line_dedup"] = linededup.ORACLE
+
+
+@_query
+def op1_warc(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+ORACLES["op1_warc"] = warc.ORACLE
