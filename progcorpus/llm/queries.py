@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import bpe, linededup, secrets, warc
+from progcorpus.llm import bpe, linededup, phraseindex, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,11 @@ def op1_warc(spark, sf_dir):
 
 
 ORACLES["op1_warc"] = warc.ORACLE
+
+
+@_query
+def op4_benchmark_decontamination(spark, sf_dir):
+    return phraseindex.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op4_benchmark_decontamination"] = phraseindex.ORACLE
