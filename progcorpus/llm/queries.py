@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import bpe, linededup, phraseindex, secrets, warc
+from progcorpus.llm import bpe, hilbert, linededup, multisethash, phraseindex, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,13 @@ def op4_benchmark_decontamination(spark, sf_dir):
 
 
 ORACLES["op4_benchmark_decontamination"] = phraseindex.ORACLE
+
+
+@_query
+def op3_fingerprints(spark, sf_dir):
+    return multisethash.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_hilbert_shards(spark, sf_dir):
+    return hilbert.assign(_table(spark, sf_dir, "documents"))
