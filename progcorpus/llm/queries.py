@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import bpe, hilbert, linededup, multisethash, phraseindex, secrets, warc
+from progcorpus.llm import bpe, hilbert, linededup, multisethash, phraseindex, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op3_fingerprints(spark, sf_dir):
 @_query
 def op6_hilbert_shards(spark, sf_dir):
     return hilbert.assign(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_toxicity(spark, sf_dir):
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
