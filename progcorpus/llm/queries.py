@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import bpe, hilbert, linededup, multisethash, phraseindex, secrets, toxicity, warc
+from progcorpus.llm import bpe, hilbert, linededup, lmscore, multisethash, phraseindex, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,8 @@ def op6_hilbert_shards(spark, sf_dir):
 @_query
 def op2_toxicity(spark, sf_dir):
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_lm_scoring(spark, sf_dir):
+    return lmscore.score(_table(spark, sf_dir, "documents"))
