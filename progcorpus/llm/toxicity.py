@@ -45,7 +45,7 @@ FEATURES = 4_096        # features with a weight, at most
 MIN_DOCS = 3            # toxic documents of the sample that a feature occurs in, at least
 PREFIXES = (4, 5, 6)    # bytes of the word beginnings used as features
 FOLDS = 5
-STEPS, RATE, DECAY = 400, 0.1, 1e-3
+STEPS, RATE, DECAY = 400, 0.1, 1e-4
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, offending string"
 _BREAK = np.zeros(256, dtype=bool)
@@ -178,7 +178,8 @@ def _train(bags, n_features: int):
     plain = total - np.bincount(row_doc, minlength=len(bags))
     w, bias = np.zeros(n_features), -6.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())) * len(y)
+    # the rarer class counts more, by the square root of its rarity
+    weight = np.sqrt(np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())) * len(y))
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(row, w[feature], minlength=n_rows)
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
