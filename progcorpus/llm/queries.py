@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import bpe, hilbert, linededup, lmscore, multisethash, phraseindex, secrets, toxicity, warc
+from progcorpus.llm import (bpe, hilbert, linededup, lmscore, multisethash, ngramjoin, phraseindex, secrets, toxicity,
+                            warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +76,8 @@ def op2_toxicity(spark, sf_dir):
 @_query
 def op9_lm_scoring(spark, sf_dir):
     return lmscore.score(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return ngramjoin.link_classes(_table(spark, sf_dir, "documents"))
