@@ -269,6 +269,16 @@ def _digests(encoder: Encoder, texts: list[str]):
             pa.array([sha(decode_ids(table, x.tolist()).encode()).hexdigest() for x in ids], pa.string()))
 
 
+def _everything(encoder: Encoder, texts: list[str]):
+    import pyarrow as pa
+
+    ids = encoder.encode(texts)
+    back = [decode_ids(encoder.v.bytes, x.tolist()) for x in ids]
+    return (pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
+            pa.array([b == t for b, t in zip(back, texts)], pa.bool_()))
+
+
 def _arrays(encoder: Encoder, texts: list[str]):
     import pyarrow as pa
 
@@ -293,6 +303,13 @@ def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     return _run(docs, path, _digests, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], DIGEST_SCHEMA)
 
 
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, round_trip``: the ids, and whether they decode to the
+    very text."""
+    return _run(docs, path, _everything, ["doc_id", "n_tokens", "ids", "round_trip"],
+                "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``."""
     ship(__name__, "progcorpus.llm.common")

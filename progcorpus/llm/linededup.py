@@ -161,6 +161,14 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BAT
     return runs.frequent()
 
 
+def rewrite(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of ``docs`` (all columns) with the kept lines as their ``text``, and
+    ``n_chars``, where there is one, counted anew."""
+    out = drop_lines(docs, frequent_lines(docs, min_docs))
+    new = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256``: one row per document."""
     docs = docs.select("doc_id", "text")

@@ -286,6 +286,17 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     return per_document(index, store(search(index, items), "phrase-matches")).drop("segment", "ordinal")
 
 
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) without any occurrence of an item's window.
+    Rows are told apart by id and text; rows equal in both share their fate."""
+    names = docs.columns
+    key = F.xxhash64("doc_id", "text")
+    index = build_index(docs.select(key.alias("doc_id"), "text"))
+    hit = store(search(index, items), "phrase-matches").select(F.col("doc_id").alias("_pi_key")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_pi_row"), key.alias("_pi_key"))
+    return rows.join(hit, "_pi_key", "left_anti").select(*(F.col(f"_pi_row.`{c}`").alias(c) for c in names))
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(

@@ -236,20 +236,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(features, weights, bias)
 
 
+def _document_scores(part, m: Model, lookup: _Lookup):
+    """The score of every text of a batch, and its sentences with their spans."""
+    texts = utf8(part.column(part.schema.get_field_index("text")))
+    sentence, feature, owner, start, end = _pairs(texts, lookup)
+    n = np.bincount(owner, minlength=len(texts))
+    z = m.bias + np.bincount(sentence, m.weights[feature], minlength=len(owner))
+    loss = np.bincount(owner, np.logaddexp(0, z), minlength=len(texts))         # -log(1 - p), summed up
+    score = -np.expm1(-loss) if m.share is None else np.where(n > 0, m.share, 0.0)
+    return score, (texts, z, owner, start, end)
+
+
 def _score_batches(model):
     def run(batches):
         import pyarrow as pa
 
         m: Model = model.value
         lookup = _Lookup(m.features)
-        base = np.logaddexp(0, m.bias)                   # -log(1 - p) of a sentence without features
         for part in text_blocks(batches, 2 << 20):
-            texts = utf8(part.column(2))
-            sentence, feature, owner, start, end = _pairs(texts, lookup)
-            n = np.bincount(owner, minlength=part.num_rows)
-            z = m.bias + np.bincount(sentence, m.weights[feature], minlength=len(owner))
-            loss = np.bincount(owner, np.logaddexp(0, z), minlength=part.num_rows) if len(owner) else n * base
-            score = -np.expm1(-loss) if m.share is None else np.where(n > 0, m.share, 0.0)
+            score, (texts, z, owner, start, end) = _document_scores(part, m, lookup)
             offend: list[list[str]] = [[] for _ in texts]
             begins = np.cumsum([0] + [len(t) + 1 for t in texts])
             for s in np.flatnonzero(z >= 0) if m.share is None else ():
@@ -272,6 +277,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         _score_batches(shared), SCHEMA)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) with a score below 0.5, by a model fitted on
+    ``docs`` and ``labels``."""
+    ship(__name__, "progcorpus.llm.common", "progcorpus.llm.textblocks")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches):
+        import pyarrow as pa
+
+        lookup = _Lookup(shared.value.features)
+        for part in text_blocks(batches, 2 << 20):
+            yield part.filter(pa.array(_document_scores(part, shared.value, lookup)[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labels and score every document."""
     return score(docs, fit(docs, labels))
