@@ -69,7 +69,7 @@ class PairJob:
     def __init__(self, pairs: DataFrame):
         from progcorpus.operators.nodes import node_table
         from progcorpus.operators.tokens import code_dim
-        from progcorpus.session import materialize
+        from progcorpus.session import buckets_of, materialize
 
         self.pairs = (pairs.withColumn("src_id", F.sha2("source", 256))
                       .withColumn("dst_id", F.sha2("destination", 256)))
@@ -80,7 +80,7 @@ class PairJob:
         triples = materialize(self.pairs.select("src_id", "dst_id", "func_name").distinct())
         wanted = (triples.select(F.col("src_id").alias("code_id"), "func_name")
                   .unionByName(triples.select(F.col("dst_id").alias("code_id"), "func_name")).distinct())
-        target = materialize(wanted_function(self.nt, wanted), key="code_id")
+        target = materialize(wanted_function(self.nt, wanted), key="code_id", num_buckets=buckets_of(self.dim))
         defined = target.select("code_id", "func_name")
         # a pair whose source or destination lacks the function has no result
         self.triples = materialize(

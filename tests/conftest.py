@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from progcorpus.session import get_spark
 
-    s = get_spark(cores="*", shuffle_partitions=8, app="progcorpus-tests")
+    s = get_spark(cores="*", shuffle_partitions=8, app="progcorpus-tests", **{"spark.driver.memory": "16g"})
     yield s
 
 
