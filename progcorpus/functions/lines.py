@@ -135,10 +135,33 @@ def dedent(col) -> Column:
     margin = F.when(F.size(margins) == 0, F.lit("")).otherwise(
         F.aggregate(margins, _at(margins, 1), common))
     return F.array_join(F.transform(lines, lambda l: F.when(l.startswith(margin),
-                                                              F.substring(l, F.length(margin) + 1, 1 << 30))
+                                                              F.substr(l, F.length(margin) + 1))
                                     .otherwise(l)), "\n")
 
 
+def clean_docstrings(df, col: str):
+    """``col`` replaced by the docstring as documentation tools show it: tabs
+    expanded to multiples of eight, the first line without leading spaces, the
+    least indentation of the other non-blank lines taken off all of them, and
+    empty lines at both ends dropped (blanks at line ends stay)."""
+    def expand(line):
+        parts = F.split(line, "\t", -1)
+        return F.aggregate(
+            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _at(parts, 1),
+            lambda acc, x: F.concat(acc, F.repeat(F.lit(" "), (8 - F.length(F.substring_index(acc, "\r", -1)) % 8).cast("int")), x))
+
+    def indent(line):
+        return F.length(line) - F.length(F.ltrim(line))
+
+    staged = df.withColumn("_lines", F.transform(F.split(F.col(col), "\n", -1), expand))
+    rest = F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0)))
+    staged = staged.withColumn("_margin", F.coalesce(F.array_min(F.transform(
+        F.filter(rest, lambda l: F.ltrim(l) != ""), indent)), F.lit(0)))
+    joined = F.array_join(F.transform("_lines", lambda l, i: F.when(i == 0, F.ltrim(l)).otherwise(
+        F.substr(l, F.col("_margin") + 1))), "\n")
+    return staged.withColumn(col, F.regexp_replace(joined, "\\A\n+|\n+\\z", "")).drop("_lines", "_margin")
+
+
 def with_docstring(df, code_col: str, doc_col: str, out: str = "with_doc"):
     """F8 over a DataFrame: ``attach_docstring`` with every intermediate
     staged as a column, so each is computed once per row."""

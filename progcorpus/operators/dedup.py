@@ -4,11 +4,11 @@
 A10 renames the local names of the wanted function to ``x_0, x_1, ...`` by
 binding, without running the program (the order is the first binding in
 preorder, so arguments come first), and fingerprints the renamed tree.  The
-fingerprint is an order-aware sum of per-node 64-bit hashes (preorder id,
-parent, field, position in field, type, renamed identifier, context,
-literal): a plain aggregation with partial combine, no per-program list is
-built.  Two programs that differ only in local names and layout get the
-same fingerprint; positions are not part of it.
+fingerprint is the node count and the sums of the eight 32-bit slices of each
+node's SHA-256 (over preorder id, parent, field, position in field, type,
+renamed identifier, context, literal): a plain aggregation with partial
+combine, no per-program list is built.  Two programs that differ only in local
+names and layout get the same fingerprint; positions are not part of it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from progcorpus.operators.nodes import nodes_only
 from progcorpus.operators.sampling import modal_program
-from progcorpus.session import materialize
+from progcorpus.session import buckets_of, materialize
 
 def _binding():
     """Nodes that bind a name in their scope."""
@@ -64,16 +64,15 @@ def canonical_form(nt: DataFrame, pairs: DataFrame) -> DataFrame:
     names = local_names(nt, target)
     n = nodes_only(nt).join(target.select("code_id", "func_name"), on="code_id", how="inner")
     n = n.join(names, on=["code_id", "func_name", "ident"], how="left")
-    h = F.xxhash64("node_id", "parent_id", "field", "child_ix", "type",
-                   F.coalesce("new_ident", "ident"), "ctx", "ltype", "literal")
-    n = n.select("code_id", "func_name", h.alias("_h"))
+    # fields are named in the JSON text, so a null and its neighbour can't trade places
+    row = F.to_json(F.struct("node_id", "parent_id", "field", "child_ix", "type",
+                             F.coalesce("new_ident", "ident").alias("ident"), "ctx", "ltype", "literal"))
+    n = n.select("code_id", "func_name", F.sha2(row, 256).alias("_h"))
+    slices = [F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long")).cast("string") for i in range(8)]
     canon = n.groupBy("code_id", "func_name").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("_lo"),
-        F.sum(F.shiftrightunsigned("_h", 32)).alias("_hi")).select(
-        "code_id", "func_name", F.concat_ws(":", "_n", "_lo", "_hi").alias("normalized"))
+        F.concat_ws(":", F.count(F.lit(1)).cast("string"), *slices).alias("normalized"))
     # one row per distinct (text, name), read by several branches downstream
-    return materialize(canon, key="code_id")
+    return materialize(canon, key="code_id", num_buckets=buckets_of(nt))
 
 
 def with_classes(subs: DataFrame, canon: DataFrame) -> DataFrame:

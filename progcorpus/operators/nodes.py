@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from progcorpus.session import materialize
+from progcorpus.session import buckets_of, materialize
 
 NODE_SCHEMA = ("code_id string, node_id int, parent_id int, child_ix int, bfs_ix int, depth int, "
                "field string, type string, ident string, ctx string, literal string, ltype string, "
@@ -53,15 +53,28 @@ def _flatten(code: str) -> tuple[list[tuple], str | None]:
     pre_lines = len(re.findall(r"\r\n|\r|\n", prefix))
     pre_col = len(prefix) - (starts[pre_lines] if pre_lines < len(starts) else 0)
 
-    def char_pos(line, col):
-        if line is None or col is None:
-            return None, None, None
+    # per line: where it starts, and the character index of each byte (None where
+    # bytes are characters); a line is encoded once, whatever its nodes
+    chars: dict[int, tuple] = {}
+
+    def line_chars(line):
         oline = line + pre_lines
         start = starts[oline - 1] if oline - 1 < len(starts) else len(code)
         end = starts[oline] if oline < len(starts) else len(code)
-        text = code[start:end]
         shift = pre_col if line == 1 else 0
-        c = len(text[shift:].encode("utf-8")[:col].decode("utf-8", "ignore")) + shift
+        text = code[start + shift:end]
+        index = None
+        if not text.isascii():
+            index = [i for i, ch in enumerate(text) for _ in ch.encode("utf-8", "surrogatepass")] + [len(text)]
+        return oline, start, shift, index
+
+    def char_pos(line, col):
+        if line is None or col is None:
+            return None, None, None
+        if line not in chars:
+            chars[line] = line_chars(line)
+        oline, start, shift, index = chars[line]
+        c = (col if index is None else index[min(col, len(index) - 1)]) + shift
         return oline, c, start + c
 
     scope_types = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
@@ -81,20 +94,32 @@ def _flatten(code: str) -> tuple[list[tuple], str | None]:
         ident = getattr(node, fname, None) if fname else None
         if isinstance(node, ast.alias):
             fname, ident = "asname", node.asname or node.name.split(".")[0]
+            renamed_import = node.asname is not None
+        else:
+            renamed_import = False
         ctx = type(node.ctx).__name__ if isinstance(getattr(node, "ctx", None), ast.AST) else None
         lits, ltype = [], None
         for f, value in ast.iter_fields(node):
             if f in (fname, "ctx") or isinstance(value, ast.AST):
                 continue
             if isinstance(value, list):
-                if value and not isinstance(value[0], ast.AST):
+                if any(isinstance(x, ast.AST) for x in value):
+                    # children have rows of their own; gaps among them (a keyword-only
+                    # argument without default, ``**x`` in a dict) are told by place
+                    lits.extend(f"{f}[{i}]=None" for i, x in enumerate(value) if x is None)
+                elif value:
                     lits.append(f"{f}={value!r}")
                 continue
+            if isinstance(node, ast.Constant) and f == "kind":
+                ctx = value                      # the u of u"..."
+                continue
             if isinstance(node, ast.Constant) and f == "value":
                 ltype = type(value).__name__
                 lits.append(value if isinstance(value, str) else repr(value))
             elif value is not None:
                 lits.append(f"{f}={value!r}")
+        if renamed_import:
+            lits.append("as")
         literal = ";".join(lits) if lits else None
         line, col, off = char_pos(getattr(node, "lineno", None), getattr(node, "col_offset", None))
         eline, ecol, eoff = char_pos(getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None))
@@ -171,7 +196,8 @@ def node_table(dim: DataFrame) -> DataFrame:
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return materialize(dim.select("code_id", "code").mapInArrow(_parse_batches, NODE_SCHEMA), key="code_id")
+    return materialize(dim.select("code_id", "code").mapInArrow(_parse_batches, NODE_SCHEMA), key="code_id",
+                       num_buckets=buckets_of(dim))
 
 
 def nodes_only(nt: DataFrame) -> DataFrame:
@@ -279,16 +305,17 @@ def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
     body becomes ``pass``, D27), line ends normalised; the removed docstrings
     (cleaned like ``inspect.cleandoc``) joined by a blank line.  Null for a
     text that does not parse."""
-    from progcorpus.functions.lines import dedent, py_strip
+    from progcorpus.functions.lines import clean_docstrings
 
-    docs = materialize(docstring_nodes(nt), key="code_id")     # one row per docstring, read by 4 branches
+    # one row per docstring, read by 4 branches
+    docs = materialize(docstring_nodes(nt), key="code_id", num_buckets=buckets_of(dim))
     lines = dim.select("code_id", F.posexplode(F.split("code", "\r\n|\r|\n", -1)).alias("ix", "text")) \
         .withColumn("line", (F.col("ix") + 1).cast("int"))
     # a docstring on lines of its own loses those lines; one that shares its
     # line with code (``def f(): "doc"; return 1``) is replaced by ``pass``
     # the text before the docstring on its first line and after it on its last
     # line, cut from the program by character offsets (one row per text joined)
-    after = F.substring(F.col("code"), (F.col("end_off") + 1).cast("int"), 1 << 30)
+    after = F.substr(F.col("code"), (F.col("end_off") + 1).cast("int"))
     ends = (docs.join(dim, on="code_id", how="inner")
             .withColumn("_lead", F.substring(F.col("code"), (F.col("off") - F.col("col") + 1).cast("int"),
                                              F.col("col")))
@@ -306,12 +333,8 @@ def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
             .unionByName(passes))
     text = kept.groupBy("code_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("stripped"))
-    doc_lines = F.split(F.col("value"), "\r\n|\r|\n", -1)
-    first = py_strip(F.element_at(doc_lines, 1))
-    rest = dedent(F.array_join(F.slice(doc_lines, 2, F.greatest(F.size(doc_lines) - 1, F.lit(0))), "\n"))
-    cleaned = py_strip(F.concat_ws("\n", first, rest))
-    docstrings = docs.groupBy("code_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("expr_id", cleaned.alias("doc")))), lambda s: s["doc"]), "\n\n")
+    docstrings = clean_docstrings(docs, "value").groupBy("code_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("expr_id", F.col("value").alias("doc")))), lambda s: s["doc"]), "\n\n")
         .alias("docstrings"))
     ok = parse_status(nt).where(F.col("compile_error").isNull()).select("code_id")
     return (dim.select("code_id").join(ok, on="code_id", how="left_semi")
