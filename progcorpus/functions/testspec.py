@@ -31,7 +31,7 @@ def _assert_body(test) -> Column:
     null when there is no ``assert`` (D15: no cases)."""
     t = _c(test)
     pos = F.instr(t, ASSERT)
-    return F.when(pos > 0, py_strip(F.replace(F.substring(t, pos, 1 << 30), F.lit(ASSERT), F.lit(""))))
+    return F.when(pos > 0, py_strip(F.replace(F.substr(t, pos), F.lit(ASSERT), F.lit(""))))
 
 
 def split_asserts(test) -> Column:
@@ -90,4 +90,4 @@ def fill(template: str, **parts) -> Column:
 
 def three_digits(n) -> Column:
     """F9 ``"{:03d}".format(i)``: zero-padded to three digits, wider past 999."""
-    return F.format_string("%03d", _c(n).cast("int"))
+    return F.format_string("%03d", _c(n).cast("long"))

@@ -34,8 +34,8 @@ def positions_of(tokens: DataFrame, construct: str, cond: Column) -> DataFrame:
 
 
 def operator_tokens(tokens: DataFrame, ops: DataFrame) -> DataFrame:
-    """Tokens whose text is in the operator relation (broadcast: fixed size)."""
-    return tokens.join(F.broadcast(ops), tokens["src"] == ops["op"], "left_semi")
+    """Tokens whose text is in the operator relation (small relations are broadcast by their measured size)."""
+    return tokens.join(ops, tokens["src"] == ops["op"], "left_semi")
 
 
 def construct_inventory(tokens: DataFrame, ops: DataFrame, variables: DataFrame | None = None) -> DataFrame:
@@ -44,10 +44,10 @@ def construct_inventory(tokens: DataFrame, ops: DataFrame, variables: DataFrame
     not variable names (J3).
 
     A token belongs to at most one construct, so every token is classified
-    once (the operator set is broadcast, variables join on ``(code_id, src)``)
+    once (variables join on ``(code_id, src)``)
     and one aggregation collects all constructs: the tokens are read once."""
-    t = tokens.join(F.broadcast(ops.select(F.col("op").alias("src")).distinct()
-                                .withColumn("_is_op", F.lit(True))), on="src", how="left")
+    t = tokens.join(ops.select(F.col("op").alias("src")).distinct()
+                    .withColumn("_is_op", F.lit(True)), on="src", how="left")
     if variables is not None:
         v = variables.select("code_id", F.col("ident").alias("src"), F.lit(True).alias("_is_var")).distinct()
         t = t.join(v, on=["code_id", "src"], how="left")
@@ -105,8 +105,8 @@ def submission_profile(subs: DataFrame, dim: DataFrame, tokens: DataFrame, statu
     ``variables`` the ordered variable string (A6); computed per distinct
     text and joined to the submissions by ``code_id``."""
     # one pass over the tokens: their count and the operators in order
-    flagged = tokens.join(F.broadcast(ops.select(F.col("op").alias("src")).distinct()
-                                      .withColumn("_is_op", F.lit(True))), on="src", how="left")
+    flagged = tokens.join(ops.select(F.col("op").alias("src")).distinct()
+                          .withColumn("_is_op", F.lit(True)), on="src", how="left")
     per_tok = flagged.groupBy("code_id").agg(
         F.count(F.lit(1)).alias("_nt"),
         F.array_join(F.transform(F.array_sort(F.collect_list(

@@ -89,16 +89,16 @@ def modal_program(df: DataFrame, group, code_col: str = "func_code",
 
 
 def head_percent(df: DataFrame, percentage, group, order_col: str = "sub_id") -> DataFrame:
-    """W4 with a positive number: the first
-    ``ceil(n * p / 100)`` rows of each group in ``order_col`` order; any other
-    value keeps every row (D12: floats are accepted as percentages).
+    """The first ``ceil(n * p / 100)`` rows of each group in ``order_col``
+    order (D12: floats are accepted as percentages); ``percentage`` must be a
+    positive number (``keep_percentage`` takes the other cases).
 
     Only the narrow ``(group, order_col)`` projection is numbered (skew-safe,
     see ``ordering``); the row at position ``ceil(n * p / 100)`` gives each
     group's cutoff, a table with one row per group, and the full rows are
     filtered against it.  ``order_col`` must be unique."""
     if isinstance(percentage, bool) or not isinstance(percentage, (int, float)) or percentage <= 0:
-        return df
+        raise ValueError(f"not a positive percentage: {percentage!r}")
     keys = _keys(group)
     known = F.col(keys[0]).isNotNull()
     for k in keys[1:]:
@@ -113,6 +113,21 @@ def head_percent(df: DataFrame, percentage, group, order_col: str = "sub_id") ->
     return df.join(cut, on=keys, how="inner").where(F.col(order_col) <= F.col("_cut")).drop("_cut")
 
 
+def keep_percentage(df: DataFrame, percentage, group, code_col: str = "func_code", order_col: str = "sub_id",
+                    ref_sol_col: str | None = None) -> DataFrame:
+    """W4 and W5 behind one call: a positive number keeps the head of each group
+    (``head_percent``), ``0`` or ``"ref_sol"`` its reference solution
+    (``reference_solution``), anything else every row.  Rows without a group drop
+    out in each case."""
+    df = df.dropna(subset=_keys(group))
+    if not isinstance(percentage, bool):
+        if percentage in (0, "ref_sol"):
+            return reference_solution(df, group, code_col, order_col, ref_sol_col)
+        if isinstance(percentage, (int, float)) and percentage > 0:
+            return head_percent(df, percentage, group, order_col)
+    return df
+
+
 def reference_solution(df: DataFrame, group, code_col: str = "func_code",
                        order_col: str = "sub_id", ref_sol_col: str | None = None) -> DataFrame:
     """One full row per group,

@@ -68,8 +68,10 @@ def _scalar_type(tok, nxt=None):
 
 def literal_types(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """Type names of the comma-separated top-level literals of ``text_col``:
-    ``key, types`` (array in order).  The text is cut by the library lexer;
-    a running bracket depth (window per row key) finds the top-level commas."""
+    ``key, types`` (array in order) and ``is_tuple`` (there is a top-level
+    comma, be it a trailing one, so the whole is a tuple).  The text is cut by
+    the library lexer; a running bracket depth (window per row key) finds the
+    top-level commas."""
     from pyspark.sql import Window
 
     from progcorpus.functions.lexer import LEX
@@ -81,8 +83,11 @@ def literal_types(df: DataFrame, key: str, text_col: str) -> DataFrame:
     t = t.withColumn("_d", F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     t = t.withColumn("_cut", (F.col("tok") == ",") & (F.col("_d") == 0))
     t = t.withColumn("piece", F.sum(F.col("_cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.where(~F.col("_cut"))
+    t = t.withColumn("is_tuple", F.max("_cut").over(Window.partitionBy(key))).where(~F.col("_cut"))
+    # a piece of more tokens that ends in an imaginary number is a complex one (1+2j)
     pieces = t.groupBy(key, "piece").agg(
+        F.any_value("is_tuple").alias("is_tuple"),
+        F.max_by("tok", "p").rlike("^\\.?\\d[\\w.]*[jJ]$").alias("_imag"),
         F.min_by("tok", "p").alias("_t0"),
         _at(F.array_sort(F.collect_list(F.struct("p", "tok"))), 2)["tok"].alias("_t1"),
         F.count(F.lit(1)).alias("_n"),
@@ -94,9 +99,10 @@ def literal_types(df: DataFrame, key: str, text_col: str) -> DataFrame:
     ty = (F.when(F.col("_t0") == "[", F.lit("list"))
           .when(F.col("_t0") == "{", brace)
           .when(F.col("_t0") == "(", paren)
+          .when(F.col("_imag") & F.col("_t0").rlike("^([-+]|\\.?\\d)"), F.lit("complex"))
           .otherwise(_scalar_type(F.col("_t0"), F.col("_t1"))))
     return pieces.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("piece", ty.alias("ty")))),
-                                               lambda s: s["ty"]).alias("types"))
+                                               lambda s: s["ty"]).alias("types"), F.bool_or("is_tuple").alias("is_tuple"))
 
 
 def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_code",
@@ -105,8 +111,9 @@ def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_co
     line per positional argument of line 0 (arguments with a default are
     skipped; names trimmed, none for a zero-argument header, D28), ``:rtype:``,
     and an ``:Example:`` block with every case.  Types come from the literals
-    of the first case.  Null when a piece cannot be typed (the reference
-    raises) or there is no ``assert`` (D15).
+    of the first case.  One row per input row; ``typed`` is null when a piece
+    cannot be typed (the reference raises), the program is empty, or there is no
+    ``assert`` (D15).
 
     Test strings repeat across submissions, so each distinct test string is
     split and typed once and joined back by its hash; line 0 of the program is
@@ -114,14 +121,14 @@ def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_co
     from progcorpus.functions.lines import LINE_BREAK_CHARS, py_strip
 
     t = F.col(test_col)
-    rows = (df.where(t.isNotNull() & (F.instr(t, ASSERT) > 0))
-            .select(key, F.col(doc_col).alias("_doc"), F.col(code_col).alias("_code"),
-                    F.sha2(t, 256).alias("_tid"), t.alias("_test")))
+    rows = df.select(key, F.col(doc_col).alias("_doc"), F.col(code_col).alias("_code"),
+                     F.sha2(t, 256).alias("_tid"), t.alias("_test"))
 
     # --- per distinct test string: cases, first case, call arguments, types
-    tests = rows.groupBy("_tid").agg(F.any_value("_test").alias("_test"))
+    tests = (rows.where(F.instr("_test", ASSERT) > 0).groupBy("_tid")
+             .agg(F.any_value("_test").alias("_test")))
     tt = F.col("_test")
-    tests = (tests.withColumn("_body", py_strip(F.substring(tt, F.instr(tt, ASSERT) + len(ASSERT), 1 << 30)))
+    tests = (tests.withColumn("_body", py_strip(F.substr(tt, F.instr(tt, ASSERT) + len(ASSERT))))
              .withColumn("_cases", F.split("_body", CASE_SEPARATOR, -1))
              .withColumn("_first", F.split(_at(F.col("_cases"), 1), EQUALS, -1))
              .where(F.size("_first") == 2)
@@ -140,15 +147,17 @@ def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_co
     types = literal_types(texts, "_lid", "_lit")
     typed_tests = materialize(
         tests.withColumn("_cid", F.sha2("_call", 256)).withColumn("_oid", F.sha2("_out", 256))
-        .join(types.select(F.col("_lid").alias("_cid"), F.col("types").alias("_in")), on="_cid", how="left")
-        .join(types.select(F.col("_lid").alias("_oid"), F.col("types").alias("_ot")), on="_oid", how="left")
-        .select("_tid", "_cases", "_in", "_ot"))
+        .join(types.select(F.col("_lid").alias("_cid"), F.col("types").alias("_in"),
+                           F.col("is_tuple").alias("_in_tuple")), on="_cid", how="left")
+        .join(types.select(F.col("_lid").alias("_oid"), F.col("types").alias("_ot"),
+                           F.col("is_tuple").alias("_ot_tuple")), on="_oid", how="left")
+        .select("_tid", "_cases", "_in", "_in_tuple", "_ot", "_ot_tuple"))
 
     # --- per row: positional arguments of line 0
     code = F.col("_code")
     rows = rows.withColumn("_line0", F.when(code != "", F.regexp_extract(code, f"^[^{LINE_BREAK_CHARS}]*", 0)))
     line0 = F.col("_line0")
-    rows = (rows.where(line0.isNotNull()).withColumn("_lo", F.instr(line0, "("))
+    rows = (rows.withColumn("_lo", F.instr(line0, "("))
             .withColumn("_hi", F.when(F.instr(line0, ")") > 0, F.length(line0) - F.instr(F.reverse(line0), ")"))
                         .otherwise(F.length(line0) - 1)))
     # Python slice line0[find('(') + 1 : rfind(')')] (rfind -1 means "up to the last character")
@@ -156,16 +165,17 @@ def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_co
                       F.substring(line0, F.col("_lo") + 1, F.col("_hi") - F.col("_lo"))).otherwise(F.lit(""))
     rows = rows.withColumn("_args", F.filter(F.transform(F.split(arg_text, ",", -1), lambda a: py_strip(a)),
                                              lambda a: (a != "") & ~a.contains("=")))
-    j = rows.select(key, "_doc", "_args", "_tid").join(typed_tests, on="_tid", how="inner")
+    j = rows.select(key, "_doc", "_args", "_line0", "_tid").join(typed_tests, on="_tid", how="left")
 
     n_args, n_in = F.size("_args"), F.coalesce(F.size("_in"), F.lit(0))
-    # one parameter takes the whole tuple; several parameters zip with the pieces
-    param_types = F.when(n_args == 1, F.array(F.when(n_in != 1, F.lit("tuple")).otherwise(_at(F.col("_in"), 1)))) \
+    in_tuple = F.coalesce("_in_tuple", F.lit(False)) | (n_in == 0)         # "()" is a tuple too
+    # one parameter takes the whole literal; several parameters zip with the pieces
+    param_types = F.when(n_args == 1, F.array(F.when(in_tuple, F.lit("tuple")).otherwise(_at(F.col("_in"), 1)))) \
         .otherwise(F.coalesce(F.col("_in"), F.array().cast("array<string>")))
     # zip stops at the shorter list: padded pairs give null lines, dropped below
     type_lines = F.zip_with(F.col("_args"), param_types,
                             lambda a, ty: fill(TYPE_LINE, arg=a, type=ty))
-    rtype = F.when(F.size("_ot") > 1, F.lit("tuple")).otherwise(_at(F.col("_ot"), 1))
+    rtype = F.when(F.col("_ot_tuple"), F.lit("tuple")).otherwise(_at(F.col("_ot"), 1))
     lines = F.concat(F.filter(type_lines, lambda l: l.isNotNull()),
                      F.array(fill(RTYPE_LINE, type=rtype)))
     example = F.concat(F.lit(EXAMPLE_HEADER + "\n"),
@@ -173,5 +183,5 @@ def typed_docstring(df: DataFrame, key: str = "sub_id", code_col: str = "func_co
     typed = F.concat(F.col("_doc"), F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n\n"), example)
     typed_all = ~F.exists(F.slice(param_types, 1, F.least(n_args, F.size(param_types))), lambda x: x.isNull())
     # several parameters need a tuple of inputs (a lone literal does not unpack)
-    ok = typed_all & rtype.isNotNull() & ((n_args <= 1) | (n_in != 1))
+    ok = F.col("_line0").isNotNull() & typed_all & rtype.isNotNull() & ((n_args <= 1) | in_tuple)
     return j.select(key, F.when(ok, typed).alias("typed"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lexer import LEX, indent_width, token_kind
-from progcorpus.session import BUCKET_HINT, buckets_for, materialize
+from progcorpus.session import buckets_for, buckets_of, materialize
 
 TOKEN_COLS = ["code_id", "pos", "kind", "src", "line", "seg", "off", "bracket_depth", "indent_depth"]
 
@@ -54,8 +54,8 @@ def code_dim(df: DataFrame, code_col: str = "func_code", num_partitions: int | N
     repeated in a third of the corpus is reduced map-side before the shuffle.
     The distinct texts (much smaller than the corpus) are then bucketed by
     ``code_id`` into a number of partitions sized for the token and node rows
-    they expand into (at most ``spark.sql.shuffle.partitions``); every later
-    window and join keyed by ``code_id`` reuses that layout."""
+    they expand into; every later window and join keyed by ``code_id`` reuses
+    that layout (the count stays with the returned table, see ``buckets_of``)."""
     spark = df.sparkSession
     # reuse the row's code_id when it is there (one SHA-256 per row, not two)
     cid = F.col("code_id") if "code_id" in df.columns else F.sha2(F.col(code_col), 256)
@@ -66,8 +66,7 @@ def code_dim(df: DataFrame, code_col: str = "func_code", num_partitions: int | N
     n = num_partitions
     if n is None:
         chars = staged.agg(F.coalesce(F.sum(F.length("code")), F.lit(0)).alias("c")).first()["c"]
-        n = buckets_for(spark, float(chars) * ROW_BYTES_PER_CHAR)
-    spark.conf.set(BUCKET_HINT, str(n))
+        n = buckets_for(chars * ROW_BYTES_PER_CHAR, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return materialize(staged.repartition(n, "code_id"), key="code_id", num_buckets=n)
 
 
@@ -170,9 +169,10 @@ def _token_lines(dim: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw tokens with their per-token facts, and the logical lines with
     their indentation levels (both materialised, bucketed by ``code_id``)."""
     t = materialize(_raw_tokens(dim).drop("_st", "_nl", "_S", "_Mp", "_next_k0", "_next_src", "_prev_k0",
-                                          "_prev_src", "_sig_before"), key="code_id")
+                                          "_prev_src", "_sig_before"), key="code_id", num_buckets=buckets_of(dim))
     ln = _lines(t)
-    lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"), key="code_id")
+    lines = materialize(ln.join(_levels(ln).drop("w", "w1"), on=["code_id", "seg"], how="inner"), key="code_id",
+                        num_buckets=buckets_of(dim))
     return t, lines
 
 
@@ -229,7 +229,7 @@ def token_table(dim: DataFrame) -> TokenJob:
     w = Window.partitionBy("code_id").orderBy("rpos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     tk = tk.withColumn("kind", kind).withColumn("n_dedent", F.coalesce("n_dedent", F.lit(0)))
-    tk = materialize(tk.withColumn("_shift", F.sum("n_dedent").over(upto)), key="code_id")
+    tk = materialize(tk.withColumn("_shift", F.sum("n_dedent").over(upto)), key="code_id", num_buckets=buckets_of(dim))
     raw = tk.select("code_id", (F.col("rpos") + F.col("_shift")).cast("int").alias("pos"), "kind", "src",
                     "line", "seg", "off", "bracket_depth", "n_dedent", "rpos")
     # zero-width DEDENT tokens
@@ -278,8 +278,8 @@ def token_table(dim: DataFrame) -> TokenJob:
                         (F.col("pos") - F.col("n_dedent")).alias("start_pos"), F.col("off").alias("start_off"))
     blocks = lines.join(starts, on=["code_id", "fpos"], how="inner").select(
         "code_id", "seg", "w", "is_indent", "end_seg", "close_seg", "start_pos", "start_off")
-    return TokenJob(materialize(tokens.select(*TOKEN_COLS), key="code_id"), materialize(status, key="code_id"),
-                    blocks)
+    return TokenJob(materialize(tokens.select(*TOKEN_COLS), key="code_id", num_buckets=buckets_of(dim)),
+                    materialize(status, key="code_id", num_buckets=buckets_of(dim)), blocks)
 
 
 def rebuild(tokens: DataFrame) -> DataFrame:
@@ -290,6 +290,9 @@ def rebuild(tokens: DataFrame) -> DataFrame:
         .alias("text"))
 
 
+# noncharacters that stand for the line breaks of string tokens while lines are cut
+_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+_MASKS = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5\ufdd6\ufdd7\ufdd8\ufdd9"
 _LAYOUT = ["UNIMPORTANT_WS", "INDENT", "DEDENT", "NEWLINE", "NL", "COMMENT", "ESCAPED_NL", "ENDMARKER"]
 
 
@@ -299,15 +302,16 @@ def tokenized(job: TokenJob) -> DataFrame:
     return job.tokens.join(ok, on="code_id", how="left_semi")
 
 
-def clean_programs(job: TokenJob, dim: DataFrame) -> DataFrame:
+def clean_programs(job: TokenJob, dim: DataFrame, remove_docstring: bool = True) -> DataFrame:
     """``code_id, cleaned`` — comments, statement-level
-    literals (docstrings, bare strings/numbers) and blank lines removed, line
+    literals (docstrings, bare strings/numbers; kept with
+    ``remove_docstring=False``) and blank lines removed, line
     ends normalised, trailing blanks of lines dropped, text stripped.  Token
     based (D29: not re-printed through a syntax tree); null for a text that
     does not tokenize."""
-    from progcorpus.functions.lines import py_rstrip, py_strip, splitlines
-
     tk = tokenized(job)
+    if not remove_docstring:
+        return _joined_lines(tk.where(F.col("kind") != "COMMENT").select("code_id", "pos", "kind", "src"), job, dim)
     sig = ~F.col("kind").isin(*_LAYOUT)
     # one row per segment (small next to the tokens): is it a statement-level
     # literal, where does it start, and with which indentation
@@ -316,7 +320,7 @@ def clean_programs(job: TokenJob, dim: DataFrame) -> DataFrame:
             F.bool_and(F.when(sig, F.col("kind").isin("STRING", "NUMBER"))).alias("_lit"),
             F.min("pos").alias("pos"),
             F.min_by("src", F.when(F.col("kind") == "INDENT", F.col("pos"))).alias("_ind"))
-        .where(F.col("_lit")), key="code_id")
+        .where(F.col("_lit")), key="code_id", num_buckets=buckets_of(dim))
     kept = (tk.where(F.col("kind") != "COMMENT")
             .join(segs.select("code_id", "seg"), on=["code_id", "seg"], how="left_anti"))
     # a literal that was the only statement of its block leaves ``pass`` at
@@ -325,12 +329,22 @@ def clean_programs(job: TokenJob, dim: DataFrame) -> DataFrame:
     passes = (segs.join(job.blocks, on=["code_id", "seg"], how="inner")
               .where(F.col("is_indent") & F.col("end_seg").eqNullSafe(F.col("close_seg")))
               .select("code_id", "pos", F.concat(F.coalesce("_ind", F.lit("")), F.lit("pass\n")).alias("src")))
-    kept = kept.select("code_id", "pos", "src").unionByName(passes)
-    text = kept.groupBy("code_id").agg(
+    return _joined_lines(kept.select("code_id", "pos", "kind", "src").unionByName(
+        passes.select("code_id", "pos", F.lit("NAME").alias("kind"), "src")), job, dim)
+
+
+def _joined_lines(kept: DataFrame, job: TokenJob, dim: DataFrame) -> DataFrame:
+    """``code_id, cleaned``: tokens put together again without blank lines and
+    blanks at line ends; the lines inside a string token stay as they are (their
+    breaks are masked by a character no program text holds while lines are cut)."""
+    from progcorpus.functions.lines import py_rstrip, py_strip, splitlines
+
+    src = F.when(F.col("kind") == "STRING", F.translate("src", _BREAKS, _MASKS)).otherwise(F.col("src"))
+    text = kept.select("code_id", "pos", src.alias("src")).groupBy("code_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda s: s["src"]), "")
         .alias("_t"))
     lines = F.filter(F.transform(splitlines(F.col("_t")), lambda l: py_rstrip(l)), lambda l: l != "")
-    cleaned = py_strip(F.array_join(lines, "\n"))
+    cleaned = F.translate(py_strip(F.array_join(lines, "\n")), _MASKS, _BREAKS)
     return (dim.select("code_id").join(text, on="code_id", how="left")
             .join(job.status, on="code_id", how="inner")
             .select("code_id", F.when(F.col("tokenizes"), F.coalesce(cleaned, F.lit(""))).alias("cleaned")))

@@ -8,23 +8,29 @@ from pyspark.sql.types import ArrayType, StructType
 
 
 def scan_json(spark: SparkSession, path: str, schema: StructType | str | None = None,
-              multi_line: bool = True) -> DataFrame:
-    """A JSON document as a table.
-
-    A list of records becomes one row per record.  A document that is one
-    object of equally long column arrays (``{"a": [..], "b": [..]}``, the
-    pandas column layout) is turned into rows with ``arrays_zip`` + ``inline``.
+              multi_line: bool = False, layout: str = "records") -> DataFrame:
+    """JSON documents as a table.
+
+    ``layout="records"``: a document is an object or a list of objects, one row
+    each.  ``layout="columns"``: a document is one object of equally long
+    arrays (``{"a": [..], "b": [..]}``), turned into rows with ``arrays_zip`` +
+    ``inline``; ``schema`` then describes the arrays.  The layout is never
+    guessed from the data.  One document per line is the splittable form;
+    ``multi_line`` reads a whole file as one document, hence in one task.
     Give ``schema`` in production; inference reads the data twice.
     """
+    if layout not in ("records", "columns"):
+        raise ValueError(f"unknown JSON layout {layout!r}")
     reader = spark.read.option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(path)
+    if layout == "records":
+        return df
     fields = df.schema.fields
-    if fields and all(isinstance(f.dataType, ArrayType) for f in fields) and len(fields) > 0:
-        zipped = F.arrays_zip(*[F.col(f"`{f.name}`").alias(f.name) for f in fields])
-        return df.select(F.inline(zipped))
-    return df
+    if not all(isinstance(f.dataType, ArrayType) for f in fields):
+        raise ValueError("the columns layout needs an array in every field")
+    return df.select(F.inline(F.arrays_zip(*[F.col(f"`{f.name}`").alias(f.name) for f in fields])))
 
 
 def parse_json_column(df: DataFrame, col: str, schema: str, out: str | None = None) -> DataFrame:
