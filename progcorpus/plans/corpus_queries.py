@@ -304,19 +304,22 @@ def q_tested_rows(spark, sf):
 SELECT event_id,
        CASE WHEN json_extract(props, '$.k') IS NULL THEN '{}'
             ELSE '{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' END AS kept,
-       '{}' AS rejected
+       '{"user":' || CAST(user_id AS VARCHAR) || '}' AS rejected
 FROM events""")
 def q_key_subset(spark, sf):
-    ev = json_io.parse_json_column(read_table(spark, sf, "events").select("event_id", "props"),
+    # a stand-in attribute map: the event's properties and its user
+    ev = json_io.parse_json_column(read_table(spark, sf, "events").select("event_id", "user_id", "props"),
                                    "props", "map<string,bigint>")
+    ev = ev.withColumn("props", F.map_concat("props", F.create_map(F.lit("user"), F.col("user_id").cast("bigint"))))
     return ev.select("event_id", F.to_json(columns.key_subset_map("props", ["k"])).alias("kept"),
                      F.to_json(columns.key_subset_map("props", ["k"], reject=True)).alias("rejected"))
 
 
-@query("apply_column", f"SELECT doc_id, {sql_line_count('text')} AS n_lines FROM documents")
+@query("apply_column", "SELECT doc_id, lang || ':' || md5(text) AS tag FROM documents")
 def q_apply_column(spark, sf):
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return columns.apply_column(docs, L.line_count, "text", "n_lines").select("doc_id", "n_lines")
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return columns.apply_column(docs, lambda lang, text: F.concat(lang, F.lit(":"), F.md5(text)), ["lang", "text"],
+                                "tag").select("doc_id", "tag")
 
 
 @query("drop_index_columns", """
@@ -378,6 +381,31 @@ def q_scan_json(spark, sf):
         .select("event_id", "user_id", "event_type", "value", "props")
 
 
+def _event_documents(spark, sf):
+    """One JSON document per user: all of the user's events."""
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return ev.schema, ev.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(*ev.columns))).alias("e"))
+
+
+@query("scan_json_records", "SELECT event_id, user_id, event_type, value, props FROM events")
+def q_scan_json_records(spark, sf):
+    schema, docs = _event_documents(spark, sf)
+    path = _scratch(spark, "json-records")
+    sinks.sink_text(docs.select(F.to_json("e").alias("doc")), path, "doc")
+    return json_io.scan_json(spark, path, schema=schema, layout="records")
+
+
+@query("scan_json_columns", "SELECT event_id, user_id, event_type, value, props FROM events")
+def q_scan_json_columns(spark, sf):
+    schema, docs = _event_documents(spark, sf)
+    # every field as a column array; nulls of a row stay in their place
+    arrays = F.struct(*[F.col(f"e.{f.name}").alias(f.name) for f in schema.fields])
+    path = _scratch(spark, "json-columns")
+    sinks.sink_text(docs.select(F.to_json(arrays).alias("doc")), path, "doc")
+    return json_io.scan_json(spark, path, layout="columns",
+                             schema=", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in schema.fields))
+
+
 @query("sink_table", f"SELECT sub_id, func_name, {sql_line_count('func_code')} AS n_lines FROM submissions")
 def q_sink_table(spark, sf):
     out = fx.submissions(spark, sf).select("sub_id", "func_name", L.line_count("func_code").alias("n_lines"))
@@ -412,12 +440,12 @@ _TYPED = {1: ":type x: int\n:type y: int\n", 4: ":type u: tuple\n", 11: ":type i
 
 
 @query("typed_docstring", """
-SELECT sub_id, CASE WHEN v = 14 THEN NULL ELSE
+SELECT sub_id, CASE WHEN v = 14 OR test IS NULL OR strpos(test, 'assert') = 0 THEN NULL ELSE
   description || chr(10) || chr(10) || (CASE v """ + " ".join(
     f"WHEN {v} THEN {fx.sql_str(t)}" for v, t in _TYPED.items()) + """
      ELSE ':type a: int' || chr(10) || ':type b: int' || chr(10) END) || ':rtype: int' || chr(10) || chr(10) ||
   ':Example:' || chr(10) || '  >>> ' || func_name || '(1, 2) == 3' || chr(10) || '  >>> ' || func_name || '(2, 2) == 4'
   END AS typed
-FROM submissions WHERE test IS NOT NULL AND strpos(test, 'assert') > 0 AND v <> 14""")
+FROM submissions""")
 def q_typed_docstring(spark, sf):
     return testcases.typed_docstring(fx.submissions(spark, sf))

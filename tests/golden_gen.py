@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import ast
 import os
+import re
 import sys
-from collections import Counter, OrderedDict
+from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,13 +25,40 @@ F = "task_0"
 
 
 def _positions(toks, pred):
-    m = OrderedDict()
+    m = {}
     for i, (k, s) in enumerate(toks):
         if pred(k, s):
             m.setdefault(s, []).append(i)
     return {s: ",".join(map(str, p)) for s, p in m.items()}
 
 
+def _levels(tree):
+    """The nodes of a tree, level by level from the root."""
+    level = [tree] if tree else []
+    while level:
+        yield level
+        level = [child for node in level for child in ast.iter_child_nodes(node)]
+
+
+def _bound_names(tree) -> list[str]:
+    """Arguments and assigned names, by first occurrence in level order."""
+    seen: dict[str, None] = {}
+    for level in _levels(tree):
+        for node in level:
+            match node:
+                case ast.arg(arg=name) | ast.Name(id=name, ctx=ast.Store()):
+                    seen.setdefault(name)
+    return list(seen)
+
+
+def _cut(text: str, node) -> str:
+    """A node's text, by its UTF-8 positions."""
+    rows = [row.encode() for row in re.split(r"(?<=\n)", text)]
+    rows[node.end_lineno - 1] = rows[node.end_lineno - 1][:node.end_col_offset]
+    rows[node.lineno - 1] = rows[node.lineno - 1][node.col_offset:]
+    return b"".join(rows[node.lineno - 1:node.end_lineno]).decode()
+
+
 def golden_for(text: str) -> dict:
     toks = py_tokens(text)
     g: dict = {"tokenizes": toks is not None}
@@ -41,14 +69,7 @@ def golden_for(text: str) -> dict:
         tree = None
         g["compile_error"] = type(e).__name__
     g["n_nodes"] = sum(1 for _ in ast.walk(tree)) if tree else 0
-    variables = []
-    if tree:
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Store):
-                variables.append(node.id)
-            if isinstance(node, ast.arg):
-                variables.append(node.arg)
-    variables = list(OrderedDict.fromkeys(variables))
+    variables = _bound_names(tree)
     g["variables"] = " ".join(variables)
     fdefs = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))] if tree else []
     g["multi_function"] = len(fdefs) > 1 if tree else text.count("def ") > 1
@@ -90,8 +111,8 @@ def golden_for(text: str) -> dict:
         pre(full)
         adj = ";".join(f"{type(n).__name__}:{','.join(map(str, kids[i]))}" for i, n in enumerate(order))
         g["adjacency_md5"] = hashlib.md5(adj.encode()).hexdigest()
-        g["tree_functions"] = [(n.name, ast.get_source_segment(text, n)) for n in ast.walk(full)
-                               if isinstance(n, ast.FunctionDef)]
+        g["tree_functions"] = [(n.name, _cut(text, n)) for level in _levels(full) for n in level
+                               if type(n) is ast.FunctionDef]
     g["positional_args"] = None
     if tree:
         tops = [n for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == F]

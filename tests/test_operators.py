@@ -49,7 +49,7 @@ def test_head_percent_identity_and_ceil(spark):
     assert sampling.head_percent(df, 100, "func_name").count() == 10
     got = sorted(r.sub_id for r in sampling.head_percent(df, 33, "func_name").collect())
     assert got == [0, 1, 2, 7]            # ceil(7*.33)=3, ceil(3*.33)=1
-    assert sampling.head_percent(df, "all", "func_name").count() == 10
+    assert sampling.keep_percentage(df, "all", "func_name").count() == 10
 
 
 def test_head_percent_hot_group_spread(spark):

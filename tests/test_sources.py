@@ -23,8 +23,8 @@ def test_json_records_and_column_layout(spark):
         json.dump([{"a": 1, "b": "x"}, {"a": 2, "b": "y"}], fp, indent=3)
     with open(os.path.join(d, "columns.json"), "w") as fp:
         json.dump({"a": [1, 2, 3], "b": ["x", "y", "z"]}, fp)
-    recs = json_io.scan_json(spark, os.path.join(d, "records.json"))
-    cols = json_io.scan_json(spark, os.path.join(d, "columns.json"))
+    recs = json_io.scan_json(spark, os.path.join(d, "records.json"), multi_line=True)
+    cols = json_io.scan_json(spark, os.path.join(d, "columns.json"), multi_line=True, layout="columns")
     assert sorted(tuple(r) for r in recs.select("a", "b").collect()) == [(1, "x"), (2, "y")]
     assert sorted(tuple(r) for r in cols.select("a", "b").collect()) == [(1, "x"), (2, "y"), (3, "z")]
 
