@@ -144,38 +144,45 @@ def _feature_batches(wanted):
     return run
 
 
+_BAGS = "first long, toxic binary, n binary, doc binary, sentence binary, feature binary"
+
+
 def _bag_batches(wanted):
-    """``doc_id, toxic, n, sentence, feature``: a bag per document of the sample."""
+    """The bags of a batch, packed: class and sentences of every document, and the
+    ``(document, sentence, feature)`` triples."""
     def run(batches):
         import pyarrow as pa
 
         lookup = _Lookup(wanted.value)
         for part in text_blocks(batches, 1 << 20):
             sentence, feature, owner, _, _ = _pairs(utf8(part.column(0)), lookup)
-            n = np.bincount(owner, minlength=part.num_rows)
-            at = np.searchsorted(owner[sentence], np.arange(part.num_rows + 1))
-            base = np.cumsum(n) - n
-            yield pa.RecordBatch.from_arrays([
-                part.column(2), part.column(1), pa.array(n, pa.int64()),
-                pa.array([sentence[a:b] - s for a, b, s in zip(at, at[1:], base)], pa.list_(pa.int64())),
-                pa.array([feature[a:b] for a, b in zip(at, at[1:])], pa.list_(pa.int64()))],
-                names=["doc_id", "toxic", "n", "sentence", "feature"])
+            toxic = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            arrays = (toxic, np.bincount(owner, minlength=part.num_rows), owner[sentence], sentence, feature)
+            packed = [a.astype(bool if a is toxic else np.int32).tobytes() for a in arrays]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part.column(2)[0].as_py()], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)],
+                names=[c.split()[0] for c in _BAGS.split(", ")])
     return run
 
 
 def _train(bags, n_features: int):
     """Weights and bias that maximise the noisy-or likelihood (Adam, full batches)."""
-    y = np.array([b.toxic for b in bags], dtype=bool)
-    total = np.array([b.n for b in bags], dtype=np.float64)
-    sizes = [len(b.sentence) for b in bags]
-    doc = np.repeat(np.arange(len(bags)), sizes)
-    feature = np.array([f for b in bags for f in b.feature], dtype=np.int64)
-    sentence = np.array([s for b in bags for s in b.sentence], dtype=np.int64)
-    _, row = np.unique(doc << 32 | sentence, return_inverse=True)      # rows: sentences with features
+    def column(name, kind=np.int32):
+        return [np.frombuffer(b[name], dtype=kind) for b in bags]
+
+    y = np.concatenate(column("toxic", bool))
+    total = np.concatenate(column("n")).astype(np.float64)
+    docs, sents = column("doc"), column("sentence")
+    doc_base = np.cumsum([0, *(len(x) for x in column("n"))])
+    sent_base = np.cumsum([0, *(int(x.sum()) for x in column("n"))])
+    doc = np.concatenate([d + base for d, base in zip(docs, doc_base)])
+    sentence = np.concatenate([x + base for x, base in zip(sents, sent_base)])
+    feature = np.concatenate(column("feature"))
+    _, row = np.unique(sentence, return_inverse=True)                  # rows: sentences with features
     n_rows = int(row.max()) + 1 if len(row) else 0
     row_doc = np.zeros(n_rows, dtype=np.int64)
     row_doc[row] = doc
-    plain = total - np.bincount(row_doc, minlength=len(bags))
+    plain = total - np.bincount(row_doc, minlength=len(y))
     w, bias = np.zeros(n_features), -6.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     # the rarer class counts more, by the square root of its rarity
@@ -218,21 +225,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
     def hashes(rows):
-        return np.sort(np.array([r.feature for r in rows], dtype=np.int64).view(np.uint64))
+        return np.sort(rows.select("feature").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
-    first = counts(texts.where("toxic"), None).where(F.col("pos") >= MIN_DOCS).select("feature").collect()
+    first = counts(texts.where("toxic"), None).where(F.col("pos") >= MIN_DOCS)
     candidates = spark.sparkContext.broadcast(hashes(first))
     # how far the rates of the classes are apart, in standard errors
     rate = (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
     z = (F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(rate * (1.0001 - rate) * (1 / n_pos + 1 / n_neg))
     best = counts(texts, candidates).select("feature", z.alias("z")).where(F.col("z") > 1).orderBy(
-        F.desc("z"), "feature").limit(FEATURES).collect()
+        F.desc("z"), "feature").limit(FEATURES)
     features = hashes(best)
     if not len(features):
         return Model(empty, np.zeros(0), 0.0, n_pos / (n_pos + n_neg))
-    bags = texts.mapInArrow(_bag_batches(spark.sparkContext.broadcast(features)),
-                            "doc_id long, toxic boolean, n long, sentence array<long>, feature array<long>").collect()
-    weights, bias = _train(sorted(bags, key=lambda b: (b.doc_id, b.n, b.toxic)), len(features))
+    bags = texts.mapInArrow(_bag_batches(spark.sparkContext.broadcast(features)), _BAGS).collect()
+    weights, bias = _train(sorted(bags), len(features))
     return Model(features, weights, bias)
 
 
