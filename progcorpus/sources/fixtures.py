@@ -49,6 +49,18 @@ TASK9_PRELUDE = "OFFSET = 1\n"
 COMPLETION_HEADER = "<| file ext=.py |>\n# generated\n"
 
 
+def _question(row: str, owner: str) -> Column:
+    """Name of a row's question: ten questions share a third of the rows (their
+    programs are copies of each other), the other questions have one owner each,
+    so questions and distinct programs grow with the data."""
+    return F.concat(F.lit("task_"), F.when(F.col(row) % 3 == 0, F.col(owner) % 10)
+                    .otherwise(F.col(owner) + 10).cast("string"))
+
+
+def _sql_question(row: str, owner: str) -> str:
+    return f"'task_' || CAST(CASE WHEN {row} % 3 = 0 THEN {owner} % 10 ELSE {owner} + 10 END AS VARCHAR)"
+
+
 def _template_col(v: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), v + 1)
 
@@ -56,7 +68,7 @@ def _template_col(v: Column) -> Column:
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sub_id, func_name, func_code, description, test, correct, ref_sol``."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    func_name = F.concat(F.lit("task_"), (F.col("o_custkey") % 10).cast("string"))
+    func_name = _question("o_orderkey", "o_custkey")
     v = F.when(F.col("o_orderkey") % 150 == 14, F.lit(15)).otherwise(F.col("o_orderkey") % 15)
     test = F.when((F.col("func_name") == "task_8") | (F.col("sub_id") % 4 == 0), F.lit(None)) \
         .otherwise(F.concat(F.when(F.col("func_name") == "task_9", F.lit(TASK9_PRELUDE)).otherwise(F.lit("")),
@@ -82,7 +94,7 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated programs ``sub_id, func_name, completion``."""
     p = read_table(spark, sf_dir, "part").select("p_partkey")
-    func_name = F.concat(F.lit("task_"), (F.col("p_partkey") % 10).cast("string"))
+    func_name = _question("p_partkey", "p_partkey")
     body = F.replace(_template_col((F.col("p_partkey") % 16).cast("int")), F.lit("{f}"), func_name)
     return p.select(F.col("p_partkey").alias("sub_id"), func_name.alias("func_name"),
                     F.concat(F.lit(COMPLETION_HEADER), body).alias("completion"))
@@ -122,7 +134,7 @@ def _sql_template(v: str) -> str:
 SUBMISSIONS_SQL = f"""
 submissions_v AS (
   SELECT o_orderkey AS sub_id,
-         'task_' || CAST(o_custkey % 10 AS VARCHAR) AS func_name,
+         {_sql_question('o_orderkey', 'o_custkey')} AS func_name,
          CAST(CASE WHEN o_orderkey % 150 = 14 THEN 15 ELSE o_orderkey % 15 END AS INTEGER) AS v,
          o_orderstatus = 'F' AS correct,
          o_orderkey % 100 = 0 AS ref_sol
@@ -139,9 +151,9 @@ submissions AS (
 observed AS (
   SELECT l_orderkey AS sub_id, l_linenumber AS case_no, l_returnflag <> 'R' AS passed FROM lineitem),
 completions AS (
-  SELECT p_partkey AS sub_id, 'task_' || CAST(p_partkey % 10 AS VARCHAR) AS func_name,
+  SELECT p_partkey AS sub_id, {_sql_question('p_partkey', 'p_partkey')} AS func_name,
          {sql_str(COMPLETION_HEADER)} || replace({_sql_template('CAST(p_partkey % 16 AS INTEGER)')}, '{{f}}',
-                 'task_' || CAST(p_partkey % 10 AS VARCHAR)) AS completion,
+                 {_sql_question('p_partkey', 'p_partkey')}) AS completion,
          CAST(p_partkey % 16 AS INTEGER) AS v
   FROM part),
 cmodal AS (SELECT func_name, func_code AS destination FROM (

@@ -45,9 +45,9 @@ def test_write_manifest_partitions_by_question(spark):
     m = export.repair_manifest(fx.submissions(spark, SF))
     export.write_manifest(m, d)
     qs = sorted(p for p in os.listdir(d) if p.startswith("question_id="))
-    assert len(qs) == 10
+    assert len(qs) == 159
     back = spark.read.parquet(d)
-    assert back.count() == m.count() == 1577      # FIXTURES.md §5, sf0.001
+    assert back.count() == m.count() == 2752      # FIXTURES.md §5, sf0.001
 
 
 def test_apply_column_with_pandas_udf(spark):
