@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from progcorpus.operators.nodes import nodes_only
-from progcorpus.operators.sampling import modal_program
+from progcorpus.operators.sampling import modal_keys
 from progcorpus.session import buckets_of, materialize
 
 def _binding():
@@ -80,31 +80,43 @@ def with_classes(subs: DataFrame, canon: DataFrame) -> DataFrame:
     return subs.join(canon, on=["code_id", "func_name"], how="left")
 
 
+def representatives(classed: DataFrame, order_col: str = "sub_id") -> DataFrame:
+    """``func_name, normalized, code_id``: the most frequent text of every
+    (question, class), from ids alone."""
+    valid = classed.where(F.col("func_name").isNotNull() & F.col("normalized").isNotNull())
+    return modal_keys(valid, ["func_name", "normalized"], F.col("code_id"), order_col).select(
+        "func_name", "normalized", F.col("modal_key").alias("code_id"))
+
+
 def representative_rows(classed: DataFrame, order_col: str = "sub_id", code_col: str = "func_code") -> DataFrame:
     """J1 + filter: rows whose text is the most frequent
     text of their (question, class); rows without question or class drop out.
     Texts are compared through ``code_id`` (their SHA-256), so the shuffles
     carry 64-character keys instead of whole programs."""
-    valid = classed.where(F.col("func_name").isNotNull() & F.col("normalized").isNotNull())
-    rep = modal_program(valid, ["func_name", "normalized"], "code_id", order_col) \
-        .select("func_name", "normalized", F.col("modal_code").alias("_rep_id"))
-    return (valid.join(rep, on=["func_name", "normalized"], how="inner")
-            .where(F.col("code_id") == F.col("_rep_id"))
-            .withColumn("representative", F.col(code_col)).drop("_rep_id"))
+    rep = representatives(classed, order_col)
+    return (classed.join(rep, on=["func_name", "normalized", "code_id"], how="left_semi")
+            .withColumn("representative", F.col(code_col)))
 
 
 def last_duplicate(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """W6 ``drop_duplicates(key, keep='last')``: the last row per ``key`` in
-    ``order``.  A ``max_by`` aggregation (partial combine), so a key held by a
-    third of all rows is reduced map-side."""
-    cols = df.columns
-    return df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]),
-                                        F.struct(*[F.col(c) for c in order])).alias("_r")).select("_r.*")
-
-
-def unique_solutions(subs: DataFrame, canon: DataFrame, order_col: str = "sub_id") -> DataFrame:
+    ``order`` (which must tell rows apart).  The last place of each key is
+    found from the key and order columns alone; whole rows are picked by it."""
+    last = df.groupBy(key).agg(F.max(F.struct(*order)).alias("_last"))
+    marks = last.select(F.col(key).alias("_k"), *[F.col(f"_last.{c}").alias(f"_o{i}") for i, c in enumerate(order)])
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    return df.join(marks, same, "left_semi")
+
+
+def unique_solutions(subs: DataFrame, canon: DataFrame, order_col: str = "sub_id",
+                     code_col: str = "func_code") -> DataFrame:
     """A3: one row per class of equivalent programs
-    (the last copy of its representative text in question/class/row order)."""
-    rows = representative_rows(with_classes(subs, canon), order_col)
-    # the representative text is identified by its code_id
-    return last_duplicate(rows, "code_id", ["func_name", "normalized", order_col])
+    (the last copy of its representative text in question/class/row order).
+    Class, representative and last copy are chosen on ids; the rows are fetched
+    once at the end."""
+    ids = with_classes(subs.select(order_col, "func_name", "code_id"), canon)
+    kept = ids.join(representatives(ids, order_col), on=["func_name", "normalized", "code_id"], how="left_semi")
+    last = last_duplicate(kept, "code_id", ["func_name", "normalized", order_col]).select(order_col, "normalized")
+    return subs.join(last, on=order_col, how="inner").withColumn("representative", F.col(code_col))

@@ -57,13 +57,10 @@ def repair_manifest(df: DataFrame, order_col: str = "sub_id", code_col: str = "f
     question numbers, test files and preludes are derived), and the skew-safe
     numbering of all programs gives their files."""
     from progcorpus.functions.testspec import split_call_asserts, test_prelude
-    from progcorpus.operators.grading import is_tested
+    from progcorpus.operators.sampling import first_per_question
     from progcorpus.session import materialize
 
-    per_q = materialize(df.where(F.col("func_name").isNotNull()).groupBy("func_name").agg(
-        F.min_by("description", F.col(order_col)).alias("description"),
-        F.min_by(code_col, F.when(F.col("correct"), F.col(order_col))).alias("reference_code"),
-        F.min_by("test", F.when(is_tested("test"), F.col(order_col))).alias("first_test")))
+    per_q = materialize(first_per_question(df.where(F.col("func_name").isNotNull()), "func_name", order_col, code_col))
     qnum = group_row_number(per_q.select("func_name"), [], [F.col("func_name").asc()], name="question_no")
     per_q = per_q.join(qnum, on="func_name", how="inner")
 

@@ -74,18 +74,29 @@ def mad_outliers(df: DataFrame, group, code_col: str = "func_code",
     return kept.drop("_med", "_mad")
 
 
+def modal_keys(df: DataFrame, group, text_key, order_col: str = "sub_id") -> DataFrame:
+    """Per group the most frequent value of ``text_key`` (an id or hash of the
+    text; ties go to the one seen first): ``group..., modal_key, modal_count,
+    first`` with ``first`` the least ``order_col`` of the rows that hold it.
+    Only ids and counts are aggregated."""
+    keys = _keys(group)
+    counts = df.select(*keys, text_key.alias("_key"), F.col(order_col).alias("_order")).groupBy(*keys, "_key").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
+    best = F.min(F.struct((-F.col("_n")).alias("neg"), F.col("_first").alias("first"), F.col("_key").alias("key")))
+    return counts.groupBy(*keys).agg(best.alias("_b")).select(
+        *keys, F.col("_b.key").alias("modal_key"), (-F.col("_b.neg")).cast("long").alias("modal_count"),
+        F.col("_b.first").alias("first"))
+
+
 def modal_program(df: DataFrame, group, code_col: str = "func_code",
                   order_col: str = "sub_id") -> DataFrame:
     """A1: per group, the most frequent text; ties
-    go to the text seen first under ``order_col``.
-    Output ``group..., modal_code, modal_count``."""
-    keys = _keys(group)
-    counts = df.groupBy(*keys, code_col).agg(F.count(F.lit(1)).alias("_n"),
-                                             F.min(order_col).alias("_first"))
-    best = F.min_by(F.struct(F.col(code_col).alias("code"), F.col("_n").alias("n")),
-                    F.struct((-F.col("_n")).alias("neg"), F.col("_first").alias("first")))
-    return counts.groupBy(*keys).agg(best.alias("_best")).select(
-        *keys, F.col("_best.code").alias("modal_code"), F.col("_best.n").cast("long").alias("modal_count"))
+    go to the text seen first under ``order_col`` (which must be unique).
+    Output ``group..., modal_code, modal_count``.  Texts are counted by their
+    SHA-256; the winners' texts are fetched by row id at the end."""
+    best = modal_keys(df, group, F.sha2(F.col(code_col), 256), order_col)
+    texts = df.select(F.col(order_col).alias("first"), F.col(code_col).alias("modal_code"))
+    return best.join(texts, on="first", how="inner").select(*_keys(group), "modal_code", "modal_count")
 
 
 def head_percent(df: DataFrame, percentage, group, order_col: str = "sub_id") -> DataFrame:
@@ -134,25 +145,33 @@ def reference_solution(df: DataFrame, group, code_col: str = "func_code",
     the first flagged row when a flag column is given (groups without a flagged
     row give none), else the first row carrying the group's modal text."""
     keys = _keys(group)
-    cols = [c for c in df.columns]
     if ref_sol_col:
-        picked = df.where(F.col(ref_sol_col))
+        first = df.where(F.col(ref_sol_col)).groupBy(*keys).agg(F.min(order_col).alias("first"))
     else:
-        modal = modal_program(df, keys, code_col, order_col).select(*keys, F.col("modal_code"))
-        picked = df.join(modal, on=keys, how="inner").where(F.col(code_col) == F.col("modal_code"))
-    first = F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col))
-    return picked.groupBy(*keys).agg(first.alias("_row")).select("_row.*")
+        first = modal_keys(df.dropna(subset=keys), keys, F.sha2(F.col(code_col), 256), order_col)
+    return df.join(first.select(F.col("first").alias(order_col)), on=order_col, how="left_semi")
 
 
 def first_per_question(df: DataFrame, group: str = "func_name", order_col: str = "sub_id",
                        code_col: str = "func_code") -> DataFrame:
     """Per question, the first description, the first tested row's test
     string, and the first correct program (the export's reference)."""
+    order = F.col(order_col)
     tested = F.col("test").isNotNull() & (F.col("test") != "")
-    return df.groupBy(group).agg(
-        F.min_by("description", F.col(order_col)).alias("description"),
-        F.min_by("test", F.when(tested, F.col(order_col))).alias("first_test"),
-        F.min_by(code_col, F.when(F.col("correct"), F.col(order_col))).alias("reference_code"))
+    # the rows wanted, by id; their texts are fetched afterwards
+    ids = df.groupBy(group).agg(F.min(order).alias("d"), F.min(F.when(tested, order)).alias("t"),
+                                F.min(F.when(F.col("correct"), order)).alias("c"))
+    wanted = ids.select(group, F.explode(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col(k).alias("_row")) for k in "dtc"])).alias("_w")).select(
+        group, "_w.kind", "_w._row")
+    texts = df.select(order.alias("_row"), "description", "test", F.col(code_col).alias("_code"))
+    found = wanted.join(texts, on="_row", how="inner")
+
+    def of(kind, col):
+        return F.max(F.when(F.col("kind") == kind, F.col(col)))
+
+    return found.groupBy(group).agg(of("d", "description").alias("description"), of("t", "test").alias("first_test"),
+                                    of("c", "_code").alias("reference_code"))
 
 
 def question_list(df: DataFrame, group: str = "func_name") -> DataFrame:

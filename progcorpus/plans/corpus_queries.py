@@ -418,10 +418,14 @@ def q_sink_table(spark, sf):
 SELECT 'question_' || CAST(row_number() OVER (ORDER BY func_name) AS VARCHAR) AS question_id, description AS value
 FROM (SELECT func_name, arg_min(description, sub_id) AS description FROM submissions GROUP BY func_name)""")
 def q_sink_text(spark, sf):
-    manifest = export.repair_manifest(fx.submissions(spark, sf)).where(F.col("rel_path") == "description.txt")
+    subs = fx.submissions(spark, sf)
+    per = sampling.first_per_question(subs).join(sampling.question_numbers(subs), on="func_name", how="inner")
+    lines = per.select(F.concat(F.lit("question_"), F.col("question_no").cast("string"), F.lit("\t"),
+                                F.col("description")).alias("line"))
     path = _scratch(spark, "text")
-    sinks.sink_text(manifest, path, "content", clear=True, partition_by=["question_id"])
-    return spark.read.text(path).select("question_id", "value")
+    sinks.sink_text(lines, path, "line", clear=True)
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(path).select(parts[0].alias("question_id"), parts[1].alias("value"))
 
 
 @query("sink_json", """
