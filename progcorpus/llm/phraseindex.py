@@ -47,7 +47,7 @@ from progcorpus.llm.common import ship, store, text_blocks, utf8
 from progcorpus.llm.textblocks import ALNUM, chain, words
 
 WINDOW = 10
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20       # benchmark text of one broadcast
 
 INDEX_SCHEMA = ("segment long, doc_ids array<long>, n_words array<int>, terms binary, ends binary, places binary")

@@ -69,7 +69,8 @@ def words(texts: list[bytes], table: np.ndarray, lower: bool = True):
     if not len(starts):
         return np.zeros(0, _U), doc, starts, ends
     prefix = np.zeros(len(buf) + 1, dtype=_U)
-    np.cumsum(_BYTE[buf] * _powers(len(buf), False), dtype=_U, out=prefix[1:])
+    np.multiply(_BYTE[buf], _powers(len(buf), False), out=prefix[1:])
+    np.cumsum(prefix, dtype=_U, out=prefix)
     h = (prefix[ends] - prefix[starts]) * _powers(len(buf), True)[starts]
     return mix(h ^ (ends - starts).astype(_U)), doc, starts, ends
 
