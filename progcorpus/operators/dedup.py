@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from progcorpus.operators.nodes import nodes_only
 from progcorpus.operators.sampling import modal_keys
-from progcorpus.session import buckets_of, materialize
+from progcorpus.session import splittable
 
 def _binding():
     """Nodes that bind a name in their scope."""
@@ -72,7 +72,7 @@ def canonical_form(nt: DataFrame, pairs: DataFrame) -> DataFrame:
     canon = n.groupBy("code_id", "func_name").agg(
         F.concat_ws(":", F.count(F.lit(1)).cast("string"), *slices).alias("normalized"))
     # one row per distinct (text, name), read by several branches downstream
-    return materialize(canon, key="code_id", num_buckets=buckets_of(nt))
+    return splittable(canon)
 
 
 def with_classes(subs: DataFrame, canon: DataFrame) -> DataFrame:

@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from progcorpus.session import splittable
+
 # The operator set the inventories recognise (twenty entries,
 # no "*", no augmented assignment, no word operators; "@" and ":=" included).
 OPERATORS = ["+", "-", "**", "/", "//", "%", "@", "<<", ">>", "&", "|", "^", "~", ":=",
              "<", ">", "<=", ">=", "==", "!="]
-CONSTRUCTS = ["variables", "strings", "operators", "numbers"]
 
 
 def operator_relation(spark, operators: list[str] | None = None) -> DataFrame:
-    """The operator set as a relation (20 rows: a proven-small broadcast side);
+    """The operator set as a relation (20 rows);
     callers may pass their own list."""
     return spark.createDataFrame([(o,) for o in (operators or OPERATORS)], "op string")
 
@@ -113,6 +114,6 @@ def submission_profile(subs: DataFrame, dim: DataFrame, tokens: DataFrame, statu
             F.when(F.col("_is_op"), F.struct("pos", "src")))), lambda s: s["src"]), " ").alias("_ops"))
     per_text = (dim.select("code_id").join(status, on="code_id", how="left")
                 .join(per_tok, on="code_id", how="left").join(variables, on="code_id", how="left"))
-    return subs.join(per_text, on="code_id", how="left").select(
+    return subs.select("sub_id", "code_id").join(splittable(per_text), on="code_id", how="left").select(
         "sub_id", "compile_error", F.coalesce("_nt", F.lit(0)).cast("long").alias("n_tokens"),
         F.coalesce("variables", F.lit("")).alias("variables"), F.coalesce("_ops", F.lit("")).alias("operators"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from progcorpus.session import buckets_of, materialize
+from progcorpus.session import buckets_of, materialize, splittable
 
 NODE_SCHEMA = ("code_id string, node_id int, parent_id int, child_ix int, bfs_ix int, depth int, "
                "field string, type string, ident string, ctx string, literal string, ltype string, "
@@ -346,7 +346,7 @@ def predicted_function_b(fm: DataFrame, completions: DataFrame, text_col: str =
     """J6 (variant B): the first definition of the wanted name in the function
     map (A7), or the whole completion when there is none:
     ``completions`` columns plus ``predicted``."""
-    first = fm.where(F.col("ix") == 0).select("code_id", F.col("name").alias("func_name"),
-                                              F.col("definition").alias("_f"))
+    first = splittable(fm.where(F.col("ix") == 0).select("code_id", F.col("name").alias("func_name"),
+                                                         F.col("definition").alias("_f")))
     return (completions.join(first, on=["code_id", "func_name"], how="left")
             .withColumn("predicted", F.coalesce("_f", F.col(text_col))).drop("_f"))

@@ -13,6 +13,7 @@ from progcorpus.operators import tokens as T
 from progcorpus.plans.golden import FUNCS, GOLDEN, TOKENS
 from progcorpus.plans.oracle_sql import DIM, _values, ctes, golden_constructs, golden_funcs, golden_scalars
 from progcorpus.plans.registry import query
+from progcorpus.session import splittable
 from progcorpus.sources import fixtures as fx
 from progcorpus.sources.tables import read_table
 
@@ -80,7 +81,8 @@ def q_node_table(spark, sf):
        ctes(golden_scalars()))
 def q_compile_status(spark, sf):
     c = _Corpus(spark, sf)
-    return c.subs.join(N.parse_status(c.nt), on="code_id", how="left").select("sub_id", "compile_error")
+    return (c.subs.select("sub_id", "code_id").join(splittable(N.parse_status(c.nt)), on="code_id", how="left")
+            .select("sub_id", "compile_error"))
 
 
 @query("multi_function", "SELECT d.code_id, gs.multi_function FROM d JOIN gs USING (v)",

@@ -87,6 +87,13 @@ def buckets_of(table: DataFrame) -> int | None:
     return getattr(table, "_buckets", None)
 
 
+def splittable(facts: DataFrame) -> DataFrame:
+    """Per-text facts stored without buckets, for a join with rows by text.  Both
+    sides of that join are then plain shuffles, so adaptive execution splits the
+    rows of a text that many of them hold (a bucketed side can't be split)."""
+    return materialize(facts)
+
+
 # tables made by ``materialize`` while a ``job_tables`` block is open
 _OWNED: list[list[tuple[str, str]]] = []
 
