@@ -186,3 +186,60 @@ def prune(table: DataFrame, **ranges) -> list[int]:
     for d, (low, high) in ranges.items():
         hit = hit & (F.col(f"max_{d}") >= F.lit(low)) & (F.col(f"min_{d}") <= F.lit(high))
     return sorted(r._shard for r in table.where(hit).select("_shard").collect())
+
+
+def _curve_sql(source: str) -> str:
+    """SQL for the columns of ``source`` plus ``place``, from cells ``x0, x1, x2``."""
+    q, n = source, len(DIMENSIONS)
+
+    def step(query, new):
+        keep = ", ".join(new.get(f"x{i}", f"x{i}") + f" AS x{i}" for i in range(n))
+        return f"(SELECT * EXCLUDE ({', '.join(f'x{i}' for i in range(n))}), {keep} FROM {query})"
+
+    for b in range(BITS - 1, 0, -1):
+        bit, low = 1 << b, (1 << b) - 1
+        for i in range(n):
+            swap = f"CASE WHEN x{i} & {bit} <> 0 THEN 0 ELSE xor(x0, x{i}) & {low} END"
+            turned = f"xor(x0, CASE WHEN x{i} & {bit} <> 0 THEN {low} ELSE xor(x0, x{i}) & {low} END)"
+            q = step(q, {"x0": turned} | ({f"x{i}": f"xor(x{i}, {swap})"} if i else {}))
+    for i in range(1, n):
+        q = step(q, {f"x{i}": f"xor(x{i}, x{i - 1})"})
+    turn = "0"
+    for b in range(BITS - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN x{n - 1} & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    place = " + ".join(f"(((xor(x{i}, turn) >> {b}) & 1) << {b * n + n - 1 - i})" for b in range(BITS) for i in range(n))
+    return f"(SELECT *, {place} AS place FROM (SELECT *, {turn} AS turn FROM {q}))"
+
+
+_CELLS = ", ".join(f"""
+l{i} AS (SELECT code, dense_rank() OVER (ORDER BY level) - 1 AS x{i} FROM (
+  SELECT c{i} AS code, (sum(count(*)) OVER (ORDER BY c{i}) - count(*)) * {1 << BITS} // (SELECT count(*) FROM d) AS level
+  FROM d GROUP BY c{i}))""" for i in range(len(DIMENSIONS)))
+
+ORACLE = f"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))
+), d AS (
+  SELECT doc_id, octet_length(encode(coalesce("text", ''))) + {HEADER_BYTES} AS size,
+         xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(
+               regexp_extract_all(hex(encode(coalesce("text", ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc,
+         coalesce(rpad(hex(encode(lang)[1:7]), 14, '0'), '') AS c0,
+         coalesce(rpad(hex(encode(source)[1:7]), 14, '0'), '') AS c1,
+         octet_length(encode(coalesce("text", ''))) AS c2
+  FROM documents, crc
+), {_CELLS.strip()}, cells AS (
+  SELECT doc_id, size, crc, x0, x1, x2 FROM d JOIN l0 ON c0 = l0.code JOIN l1 ON c1 = l1.code JOIN l2 ON c2 = l2.code
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY place, crc, size, doc_id NULLS FIRST) - 1 AS rank, count(*) OVER () AS n
+  FROM {_curve_sql('cells')}
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law,
+       CAST(rank * {SHARDS} // n AS INTEGER) AS shard,
+       CAST(rank - ((rank * {SHARDS} // n) * n + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM ranked
+"""

@@ -81,3 +81,6 @@ def op9_lm_scoring(spark, sf_dir):
 @_query
 def op10_ngram_jaccard_join(spark, sf_dir):
     return ngramjoin.link_classes(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_hilbert_shards"] = hilbert.ORACLE
