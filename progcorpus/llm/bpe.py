@@ -41,7 +41,7 @@ DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 s
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1) << np.int64(62)      # the key of "no mergeable pair"
 SIDE_BY_SIDE = 64                       # longest pre-token merged in a matrix
-CACHE = 200_000                         # pre-tokens whose ids a task keeps
+CACHE = 500_000                         # pre-tokens whose ids a task keeps
 
 
 def byte_chars() -> dict[str, int]:
