@@ -56,7 +56,7 @@ THRESHOLD = Fraction(4, 5)
 HASHES, BANDS = 128, 32
 STEP = 16                   # MinHash values compared at a time
 TOLERANCE = 1e-6            # least posterior probability that keeps a pair
-BUCKET_CHUNK = 2048         # members of a mixed bucket compared in one task, per side
+BUCKET_CHUNK = 512          # members of a mixed bucket compared in one task, per side
 CHUNK = 512                 # members of a group verified in one task, per side
 COLUMNS = 4096              # shingles of a group multiplied at a time
 
