@@ -373,3 +373,29 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
                         F.col("doc_id").cast("long").alias("_nj_key"))
     kept = keyed.join(chosen, (F.col("_nj_text") == F.col("_nj_id")) & F.col("_nj_key").eqNullSafe(F.col("_nj_doc")))
     return kept.dropDuplicates(["_nj_text", "_nj_key"]).select(*(F.col(f"_nj_row.`{c}`").alias(c) for c in names))
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS tid, x, min(doc_id) AS text_class
+  FROM (SELECT doc_id, coalesce("text", '') AS x FROM documents) GROUP BY x
+), w AS (
+  SELECT tid, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t
+), s AS (
+  SELECT DISTINCT tid, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT tid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT tid, count(*) AS n FROM s GROUP BY tid
+), link AS (
+  SELECT p.x, p.y FROM (
+    SELECT a.tid AS x, b.tid AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.tid <> b.tid
+    GROUP BY a.tid, b.tid) p JOIN n nx ON nx.tid = p.x JOIN n ny ON ny.tid = p.y
+  WHERE 5 * shared >= 4 * (nx.n + ny.n - shared)
+), reach(tid, other) AS (
+  SELECT tid, tid FROM t UNION SELECT r.tid, l.y FROM reach r JOIN link l ON l.x = r.other
+), class AS (
+  SELECT r.tid, min(o.text_class) AS class_id FROM reach r JOIN t o ON o.tid = r.other GROUP BY r.tid
+), links AS (SELECT x AS tid, count(*) AS n_links FROM link GROUP BY x)
+SELECT d.doc_id, c.class_id, coalesce(k.n_links, 0) AS n_links, t.text_class
+FROM documents d JOIN t ON t.x = coalesce(d."text", '') JOIN class c ON c.tid = t.tid LEFT JOIN links k ON k.tid = t.tid
+"""

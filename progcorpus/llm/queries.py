@@ -84,3 +84,6 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 
 ORACLES["op6_hilbert_shards"] = hilbert.ORACLE
+
+
+ORACLES["op10_ngram_jaccard_join"] = ngramjoin.ORACLE
