@@ -49,9 +49,9 @@ from progcorpus.llm.common import ship, store, text_blocks, utf8
 from progcorpus.llm.textblocks import NONSPACE, chain, words
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 6 << 20       # text of a block
-SHARD_BYTES = 16 << 20      # text of the corpus per shard of the counts
-PIECE = 2 << 20             # text hashed at a time
+BLOCK_BYTES = 4 << 20       # text of a block
+SHARD_BYTES = 8 << 20      # text of the corpus per shard of the counts
+PIECE = 1 << 20             # text hashed at a time
 MU = 2000.0                 # weight of the unigrams in a state
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A7757A7757A771)
 

@@ -39,7 +39,7 @@ def check(got, want):
         assert math.isclose(g[5], w[5], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("block,shard", [(6 << 20, 16 << 20), (700, 300)])
+@pytest.mark.parametrize("block,shard", [(4 << 20, 8 << 20), (700, 300)])
 def test_equals_brute_force(docs_of, block, shard):
     rnd = random.Random(5)
     word = lambda: rnd.choice(["The", "the", "Öl", "a", "b.", f"r{rnd.randrange(300)}"])
