@@ -7,8 +7,10 @@ vectors, lane by lane:
 * 32 identity lanes, 32 bits each, from SHAKE-128 of the paragraph, added modulo
   2**32: equal multisets have equal lanes, and different ones do not in
   practice;
-* 128 likeness lanes, 16 bits each, added modulo 2**16: each run of three words
-  of the paragraph adds a hashed +1 or -1 to every lane.  The sum of squares of
+* 128 likeness lanes, 32 bits each, added modulo 2**32 and read as signed numbers:
+  each run of three words of the paragraph adds a hashed +1 or -1 to every lane.  A
+  text has at most 2**30 runs (a word and its gap take two bytes of Spark's 2 GB), so
+  no lane of a text wraps, however often a run is repeated.  The sum of squares of
   such a vector estimates the size of the multiset of runs and that of a
   difference the size of the symmetric difference, so
   ``1 - |a - b|^2 / (|a|^2 + |b|^2)`` is a likeness from 0 to 1.
@@ -98,7 +100,7 @@ def _likeness(texts: list[bytes]) -> np.ndarray:
         edge = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
         ones = np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
         lanes[o[edge]] += 2 * ones - np.diff(np.append(edge, len(o)))[:, None]
-    return lanes.astype(np.uint16)          # modulo 2**16
+    return lanes.astype(np.uint32)          # modulo 2**32
 
 
 def vectors(texts: list[bytes]):
@@ -107,12 +109,12 @@ def vectors(texts: list[bytes]):
 
 
 def to_hex(identity: np.ndarray, likeness: np.ndarray) -> str:
-    return identity.astype("<u4").tobytes().hex() + likeness.astype("<u2").tobytes().hex()
+    return identity.astype("<u4").tobytes().hex() + likeness.astype("<u4").tobytes().hex()
 
 
 def from_hex(fingerprint: str):
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[:4 * IDENTITY], "<u4"), np.frombuffer(raw[4 * IDENTITY:], "<u2")
+    return np.frombuffer(raw[:4 * IDENTITY], "<u4"), np.frombuffer(raw[4 * IDENTITY:], "<u4")
 
 
 def _shift(fingerprint: str, paragraphs: list[str], sign: int) -> str:
@@ -139,10 +141,10 @@ def likeness(a, b) -> float:
     """Likeness of two fingerprints given as lanes."""
     if np.array_equal(a[0], b[0]):
         return 1.0
-    x, y = (v[1].astype(np.int16).astype(np.int64) for v in (a, b))
-    d = (a[1] - b[1]).astype(np.int16).astype(np.int64)
-    total = int(x @ x + y @ y)
-    return max(0.0, 1.0 - int(d @ d) / total) if total else 0.0
+    x, y = (v[1].astype(np.int32).astype(np.float64) for v in (a, b))      # squares can pass 2**63
+    d = x - y
+    total = float(x @ x + y @ y)
+    return max(0.0, 1.0 - float(d @ d) / total) if total else 0.0
 
 
 def _fingerprint_batches(batches):

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,6 +55,31 @@ def test_order_insertion_and_deletion(docs_of):
     assert got[1] == got[2] == fp("a\nb") and got[3] == fp("")
 
 
+def exact(a, b):
+    """The likeness from the counts of the runs of three words of one-line texts."""
+    x, y = (Counter(zip(w, w[1:], w[2:])) for w in (a.split(), b.split()))
+    off = sum((x[r] - y[r]) ** 2 for r in x | y)
+    return 1 - off / sum(n * n for c in (x, y) for n in c.values())
+
+
+@pytest.mark.parametrize("n", [20_000, 45_000, 70_000, 131_072])
+def test_a_run_repeated_more_often_than_16_bits_count(docs_of, n):
+    a, b = "z " * n, "z " * (n // 3)
+    k = len(a) // 4
+    got = {r.doc_id: r for r in M.edit_likeness(docs_of([(1, a), (2, b)])).collect()}
+    assert got[1].near_edited == pytest.approx(exact(a, a[:len(a) - k] + b[:k]), abs=1e-9)
+    assert got[1].near_next == got[2].near_next == pytest.approx(exact(a, b), abs=1e-9)
+    copy = M.vectors([a[:len(a) - k].encode()])
+    assert M.likeness([v[0] for v in M.vectors([a.encode()])], [v[0] for v in copy]) == pytest.approx(0.96, abs=1e-3)
+
+
+def test_no_lane_of_the_longest_text_overflows():
+    one = np.ones(M.LIKENESS, np.uint32)
+    a, b = ((np.array([k], np.uint32), one * np.uint32(k << 28)) for k in (4, 3))
+    assert M.likeness(a, b) == pytest.approx(1 - 1 / 25)
+    assert M.likeness(a, (b[0], np.uint32(0) - a[1])) == 0
+
+
 def test_likeness_follows_the_shared_share(sf_docs):
     rows = M.edit_likeness(sf_docs).collect()
     long = [r for r in rows if r.n_chars > 1500]
