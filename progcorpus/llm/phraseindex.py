@@ -15,9 +15,10 @@ Result: ``segment, ordinal, doc_id, item_id, start, end`` with one row per run
 of overlapping windows of one item in a document (words from ``start`` to before
 ``end`` of the document).
 
-``proximity(index, items, distance)`` finds the places of an item's rarest word
-with every other word of the item at most ``distance`` words away in the same
-document; the rows have the same columns and span the nearest occurrences.
+``proximity(index, items, distance)`` finds the spans of a document that hold every
+word of an item, the first and the last at most ``distance`` words apart; the rows
+have the same columns, one for every such span without a shorter one inside.  That
+depends on the document and the item alone, not on the segments.
 
 ``decontaminate(docs, items)`` sums matches up per document:
 ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
@@ -174,29 +175,38 @@ def _search_segment(seg: Segment, windows, terms):
     return _merge_runs(seg.documents(start), item, start, start + n)
 
 
+def _around(other: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
+    """The places of ``other`` at most ``distance`` from one of ``at`` (both sorted)."""
+    lo, hi = np.searchsorted(other, at - distance), np.searchsorted(other, at + distance, side="right")
+    lo = np.maximum(lo, np.append(0, hi[:-1]))           # ranges may overlap
+    n = np.maximum(hi - lo, 0)
+    return other[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def _near_segment(seg: Segment, queries, terms, distance: int):
-    """The same for words near the rarest word of each query (rows of distinct terms)."""
+    """The same for the shortest spans with all words of each query (rows of distinct
+    terms).  Every span has a place of the rarest word here, which only saves work."""
     lo, hi = seg.find(terms)
     found = []
     for item, row in queries:
         size = hi[row] - lo[row]
         if not size.all():
             continue
-        order = row[np.argsort(size, kind="stable")]
-        at = seg.places[lo[order[0]]:hi[order[0]]].astype(np.int64)
-        left, right = at.copy(), at.copy()
-        for t in order[1:]:
-            other = seg.places[lo[t]:hi[t]].astype(np.int64)
-            i = np.searchsorted(other, at)
-            before, after = other[np.maximum(i - 1, 0)], other[np.minimum(i, len(other) - 1)]
-            doc = seg.documents(at)
-            gap_b = np.where((seg.documents(before) == doc) & (before < at), at - before, distance + 1)
-            gap_a = np.where((seg.documents(after) == doc) & (after > at), after - at, distance + 1)
-            keep = np.minimum(gap_b, gap_a) <= distance
-            near = np.where(gap_b <= gap_a, before, after)
-            at, left, right = at[keep], np.minimum(left, near)[keep], np.maximum(right, near)[keep]
-        if len(at):
-            found.append((seg.documents(at), np.full(len(at), item), left, right + 1))
+        places = [seg.places[lo[t]:hi[t]].astype(np.int64) for t in row[np.argsort(size, kind="stable")]]
+        places = [places[0], *(_around(p, places[0], distance) for p in places[1:])]
+        if not all(map(len, places)):
+            continue
+        end = np.sort(np.concatenate(places))
+        left = end.copy()
+        for p in places:                                 # the last place of every word up to the end
+            i = np.searchsorted(p, end, side="right") - 1
+            left = np.where(i < 0, -1, np.minimum(left, p[np.maximum(i, 0)]))
+        doc = seg.documents(end)
+        keep = (left >= seg.first[doc]) & (end - left <= distance)
+        left, end, doc = left[keep], end[keep], doc[keep]
+        if len(end):
+            new = np.r_[True, left[1:] != left[:-1]]     # the first end of a left one
+            found.append((doc[new], np.full(int(new.sum()), item), left[new], end[new] + 1))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else None
 
 
@@ -248,7 +258,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes
 
 
 def proximity(index: DataFrame, items: DataFrame, distance: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Places where all words of an item stand within ``distance`` of its rarest word."""
+    """The shortest spans with all words of an item, at most ``distance`` from first to last."""
     def pack(block):
         hashes, doc, _, _ = words([t.encode() for _, t in block], ALNUM)
         terms, number = np.unique(hashes, return_inverse=True)

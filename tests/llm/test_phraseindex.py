@@ -80,6 +80,45 @@ def test_proximity(spark, docs_of):
     assert (1, 0, 4) in near(3) and (2, 0, 3) in near(2)
 
 
+def brute_near(docs, items, distance):
+    out = set()
+    for i, t in items:
+        wanted = set(split(t))
+        for d, text in docs:
+            w = split(text)
+            spans = [(a, b) for a in range(len(w)) for b in range(a + 1, min(len(w), a + distance + 1) + 1)
+                     if wanted and wanted <= set(w[a:b])]
+            out |= {(d, i, a, b) for a, b in spans if not any(a <= x and y <= b and (x, y) != (a, b) for x, y in spans)}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("segment", [20, 300, 1 << 20])
+def test_proximity_does_not_depend_on_segments(spark, docs_of, monkeypatch, segment):
+    rnd = random.Random(4)
+    line = lambda k, n: " ".join(rnd.choice("alpha beta gamma delta x y".split()[:k]) for _ in range(n))
+    docs = [(i, line(rnd.choice([3, 6]), rnd.randrange(1, 30))) for i in range(60)]
+    # the second word is the rarest among these, and the first or third among those
+    docs += [(100, "alpha x x x beta x x x gamma"), (101, "alpha gamma " * 9), (102, "beta " * 20 + "gamma")]
+    items = [(1, "alpha beta gamma"), (2, "delta alpha gamma beta"), (3, "y"), (4, "absent alpha"), (5, "gamma beta x y"), (6, "")]
+    monkeypatch.setattr(P, "SEGMENT_BYTES", segment)
+    index = P.build_index(docs_of(docs).coalesce(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for distance in (2, 5, 8):
+        got = sorted((r.doc_id, r.item_id, r.start, r.end) for r in P.proximity(index, bench, distance).collect())
+        assert got == brute_near(docs, items, distance)
+    assert (100, 1, 0, 9) in got
+
+
+def test_proximity_of_a_document_beside_others(spark, docs_of):
+    """At distance 5, the words at 0, 4 and 8 were found or lost by which of them its neighbours hold."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    one = (1, "alpha x x x beta x x x gamma")
+    for other in ("alpha " * 9 + "gamma " * 9, "beta " * 9):
+        index = P.build_index(docs_of([one, (2, other)]).coalesce(1))
+        assert P.proximity(index, bench, 5).collect() == []
+        assert [(r.doc_id, r.start, r.end) for r in P.proximity(index, bench, 8).collect()] == [(1, 0, 9)]
+
+
 def test_documents_and_empty_tables(spark, docs_of, sf_docs):
     import os
 
