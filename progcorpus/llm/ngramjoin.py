@@ -21,9 +21,10 @@ a text of one to four words is one shingle.  Work is done on distinct texts.
 3. Buckets whose members lie in more than one group are compared member by member,
    in chunks, by the same test; a survivor ties their groups.  So a bucket of near
    copies costs one comparison per text, and no pairs are listed.
-4. Inside the final groups every pair that passes the test is verified exactly on
-   the shingle sets, in chunk pairs of at most ``CHUNK`` texts a side.  A chunk pair
-   returns a row per text: its links there and the least text they connect it to.
+4. Inside the final groups every pair is verified exactly on the shingle sets,
+   without the test of the signatures, in chunk pairs of at most ``CHUNK`` texts a
+   side.  A chunk pair returns a row per text: its links there and the least text
+   they connect it to.
 5. Connected components of the exact links are the classes.
 
 Nulls: a null text is an empty one; texts without words are linked with nothing
@@ -216,15 +217,15 @@ def _bucket_batches(batches):
 
 
 def _set_batches(batches):
-    """``grp, chunk, n, id, sig, set`` from ``grp, chunk, n, id, sig, text``."""
+    """``grp, chunk, n, id, set`` from ``grp, chunk, n, id, text``."""
     import pyarrow as pa
 
     for part in text_blocks(batches, 2 << 20):
-        hashes, owner = shingles(utf8(part.column(5)))
+        hashes, owner = shingles(utf8(part.column(4)))
         at = np.searchsorted(owner, np.arange(part.num_rows + 1))
         sets = [hashes[a:b].tobytes() for a, b in zip(at, at[1:])]
-        yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(sets, pa.binary())],
-                                         names=["grp", "chunk", "n", "id", "sig", "set"])
+        yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(sets, pa.binary())],
+                                         names=["grp", "chunk", "n", "id", "set"])
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -250,15 +251,15 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 
 def _verify_batches(batches):
     """Per chunk pair and text ``id, n_links, least``, from sorted
-    ``grp, low, high, chunk, id, sig, set``."""
+    ``grp, low, high, chunk, id, set``."""
     import pyarrow as pa
 
     num, den = THRESHOLD.numerator, THRESHOLD.denominator
     for (_, low, high), t in _units(batches, 3):
         order = np.argsort(np.array(t.column(4).to_pylist(), dtype=object), kind="stable")
         t = t.take(pa.array(order))
-        chunk, ids, sig = t.column(3).to_numpy(), t.column(4).to_pylist(), _sigs(t.column(5))
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in t.column(6).to_pylist()]
+        chunk, ids = t.column(3).to_numpy(), t.column(4).to_pylist()
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in t.column(5).to_pylist()]
         left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
         links, ties = np.zeros(len(ids), dtype=np.int64), _Union(len(ids))
         if len(left) and len(right):
@@ -268,7 +269,6 @@ def _verify_batches(batches):
             for row, i in enumerate(left):
                 to = right[close[row]]
                 to = to[to > i] if low == high else to
-                to = to[similar(np.broadcast_to(sig[i], (len(to), HASHES)), sig[to])]
                 links[i] += len(to)
                 links[to] += 1
                 for j in to:
@@ -311,15 +311,14 @@ def candidate_groups(sigs: DataFrame) -> DataFrame:
                  .union(star.select(F.col("v").alias("id"), F.col("v").alias("grp")).distinct()), "groups")
 
 
-def verified_links(texts: DataFrame, sigs: DataFrame, groups: DataFrame) -> DataFrame:
+def verified_links(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """``id, n_links, least`` per chunk pair, exact; ``texts``: ``id, text`` with a row per id."""
     size = store(groups.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")), "group-sizes")
-    member = groups.join(size, "grp").join(sigs.select("id", "sig"), "id").withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    sets = member.join(texts, "id").select("grp", "chunk", "n", "id", "sig", "text").mapInArrow(
-        _set_batches, "grp binary, chunk int, n int, id binary, sig binary, set binary")
-    units = sets.select("grp", _chunk_pairs("n", "chunk").alias("_p"), "chunk", "id", "sig", "set").select(
-        "grp", "_p.low", "_p.high", "chunk", "id", "sig", "set")
+    member = groups.join(size, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    sets = member.join(texts, "id").select("grp", "chunk", "n", "id", "text").mapInArrow(
+        _set_batches, "grp binary, chunk int, n int, id binary, set binary")
+    units = sets.select("grp", _chunk_pairs("n", "chunk").alias("_p"), "chunk", "id", "set").select(
+        "grp", "_p.low", "_p.high", "chunk", "id", "set")
     return (units.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
             .mapInArrow(_verify_batches, "id binary, n_links long, least binary"))
 
@@ -337,7 +336,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     chosen = groups.select("id").join(least, "id").toDF("_id", "_doc")
     texts = (keyed.join(chosen, (F.col("id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
              .select("id", "text").dropDuplicates(["id"]))
-    links = store(verified_links(texts, sigs, groups), "links")
+    links = store(verified_links(texts, groups), "links")
     star = components(links.select("id", "least"), "id", "least")
     label = star.select(F.col("u").alias("id"), F.col("v").alias("label"))
     count = links.groupBy("id").agg(F.sum("n_links").alias("n_links"))

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from progcorpus.llm import graph
 from progcorpus.llm import ngramjoin as J
@@ -77,6 +78,19 @@ def chunks(request, monkeypatch):
     monkeypatch.setattr(J, "BUCKET_CHUNK", request.param[1])
 
 
+def test_every_pair_of_a_group_is_verified(docs_of, monkeypatch, chunks):
+    """Signatures that call every pair unlike do not remove exact links inside a group."""
+    monkeypatch.setattr(J, "candidate_groups", lambda sigs: sigs.where(F.size("bands") > 0).select(
+        "id", F.lit(b"g").alias("grp")))
+    monkeypatch.setattr(J, "similar", lambda a, b: np.zeros(len(a), dtype=bool))
+    rnd = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, edit(rnd, base, rnd.randrange(5))) for i in range(30)] + [(50, "some other text with words")]
+    want = brute(rows)
+    assert sum(r[2] for r in want) > 100
+    assert result(J.link_classes(docs_of(rows))) == want
+
+
 def test_equals_brute_force(docs_of, chunks):
     rows = cases()
     docs = docs_of(rows).withColumnRenamed("lang", "id").withColumnRenamed("source", "sig")
