@@ -26,9 +26,10 @@ Nulls: a null text is empty for the sums (size 16, CRC 0); null values of a
 dimension form its lowest level; null ids sort first.  Rows equal in every sort
 column get their slots in any order.  Repeated rows are rows of their own;
 with fewer rows than shards some shards stay empty; an empty table gives no
-rows.  Strings are ordered by their first seven bytes, which only affects how
-well shards prune.  Columns other than id, text and the dimensions are ignored
-(and kept by ``write_shards``).
+rows.  Dimensions are ordered by whole values, strings by their UTF-8 bytes and
+numbers with their fractions (the SQL oracle reads seven bytes of a string, enough
+for the given tables).  Columns other than id, text and the dimensions are
+ignored (and kept by ``write_shards``).
 
 Scale: texts are not moved for the assignment.  The sort is a range
 partitioning on columns that end with the id, so equal cells spread over tasks;
@@ -82,36 +83,39 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _code(column: str, kind: T.DataType) -> Column:
-    """A long that orders the values; null lowest."""
+def _value(column: str, kind: T.DataType) -> Column:
+    """The values in the order of their levels; nulls sort first."""
     c = F.col(f"`{column}`")
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
-    return F.coalesce(c.cast("long"), F.lit(-(1 << 62)).cast("long"))
+    return F.encode(c, "UTF-8") if isinstance(kind, T.StringType) else c
 
 
-def _quantile_cuts(codes: DataFrame, dims: int, bits: int) -> list[list[int]]:
-    """Per dimension the least code of every level but the lowest: a code with
+def _quantile_cuts(values: DataFrame, bits: int) -> list:
+    """The least value of every level but the lowest, of the one column: a value with
     ``b`` of ``n`` rows before it is of level ``floor(b * 2**bits / n)``."""
-    counts = codes.select(F.posexplode(F.array(*(f"_c{i}" for i in range(dims)))).alias("dim", "code")) \
-        .groupBy("dim", "code").count()
-    parts = store(counts.repartitionByRange("dim", "code").sortWithinPartitions("dim", "code")
-                  .select("dim", "code", "count", F.spark_partition_id().alias("part")), "hilbert-counts")
-    sums = sorted(map(tuple, parts.groupBy("dim", "part").agg(F.sum("count")).collect()))
-    before, running = [], [0] * dims
-    for dim, part, n in sums:
-        before.append((dim, part, running[dim]))
-        running[dim] += n
-    before = [(dim, part, n, running[dim]) for dim, part, n in before]
-    if not before:
-        return [[] for _ in range(dims)]
-    offsets = parts.sparkSession.createDataFrame(before, "dim int, part int, before long, total long")
-    inside = F.sum("count").over(Window.partitionBy("dim", "part").orderBy("code")) - F.col("count")
-    level = F.floor((F.col("before") + F.col("inside")) * F.lit(1 << bits) / F.col("total"))
-    cuts = (parts.withColumn("inside", inside).join(F.broadcast(offsets), ["dim", "part"])
-            .groupBy("dim", level.alias("level")).agg(F.min("code").alias("code")).collect())
-    return [sorted(r.code for r in cuts if r.dim == d)[1:] for d in range(dims)]
+    counts = values.toDF("value").groupBy("value").count()
+    parts = store(counts.repartitionByRange("value").sortWithinPartitions("value")
+                  .select("value", "count", F.spark_partition_id().alias("part")), "hilbert-counts")
+    before, total = [], 0
+    for part, n in sorted(map(tuple, parts.groupBy("part").agg(F.sum("count")).collect())):
+        before.append((part, total))
+        total += n
+    if not total:
+        return []
+    offsets = parts.sparkSession.createDataFrame(before, "part int, before long")
+    inside = F.sum("count").over(Window.partitionBy("part").orderBy("value")) - F.col("count")
+    level = F.floor((F.col("before") + F.col("inside")) * F.lit(1 << bits) / F.lit(total))
+    cuts = (parts.withColumn("inside", inside).join(F.broadcast(offsets), "part")
+            .groupBy(level.alias("level")).agg(F.min("value").alias("value")).collect())
+    return [c.value for c in sorted(cuts, key=lambda c: c.level) if c.level]
+
+
+def _level(value: Column, cuts: list, kind: T.DataType) -> Column:
+    """The number of cuts up to the value; null lowest."""
+    out = F
+    for n, cut in reversed(list(enumerate(cuts, 1))):
+        least = F.lit(bytes(cut)) if isinstance(kind, T.StringType) else F.lit(cut).cast(kind)
+        out = out.when(value >= least, n)
+    return out.otherwise(0) if cuts else F.lit(0)
 
 
 def _ranked(docs: DataFrame, keep: list[str], dims, bits: int, shards: int) -> DataFrame:
@@ -122,16 +126,15 @@ def _ranked(docs: DataFrame, keep: list[str], dims, bits: int, shards: int) -> D
     base = docs.withColumns({"_size": F.octet_length(text).cast("long") + HEADER_BYTES, "_crc": F.crc32(text)})
     kinds = {f.name: f.dataType for f in base.schema.fields}
     names = ["_size" if d == "size" else d for d in dims]
-    base = base.select(*keep, "_size", "_crc", *(_code(n, kinds[n]).alias(f"_c{i}") for i, n in enumerate(names)))
-    cuts = _quantile_cuts(base, len(dims), bits)
+    values = [_value(n, kinds[n]) for n in names]
+    levels = [_level(v, _quantile_cuts(base.select(v), bits), kinds[n]) for v, n in zip(values, names)]
+    base = base.select(*keep, "_size", "_crc", *(x.alias(f"_c{i}") for i, x in enumerate(levels)))
 
     @F.pandas_udf("long")
-    def place(codes):
+    def place(cells):
         import pandas as pd
 
-        axes = np.stack([np.searchsorted(np.array(c, dtype=np.int64), codes.iloc[:, i].to_numpy(), side="right")
-                         for i, c in enumerate(cuts)])
-        return pd.Series(hilbert_index(axes, bits))
+        return pd.Series(hilbert_index(np.stack([cells.iloc[:, i].to_numpy() for i in range(cells.shape[1])]), bits))
 
     order = ["_place", "_crc", "_size", "doc_id"]
     if "doc_id" not in keep:

@@ -58,6 +58,17 @@ def test_equals_brute_force(spark):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_values_with_a_common_beginning_and_fractions(spark):
+    """Levels follow whole values: longer names and fractions in the same order give the same shards."""
+    rows = [(i * 7 % 331, "x" * (i * i % 50), "abc"[i % 3], f"s{i * 5 % 37:02}") for i in range(300)] + [(900, "t", "a", None)]
+    want = brute(rows, 7)
+    long = [(d, t, v, s and "common_crawl_" + s) for d, t, v, s in rows]
+    assert sorted(map(tuple, H.assign(table(spark, long).drop("_size"), 7).collect()), key=str) == want
+    frac = spark.createDataFrame([(d, t, v, s and int(s[1:]) / 100) for d, t, v, s in rows],
+                                 "doc_id long, text string, lang string, weight double")
+    assert sorted(map(tuple, H.assign(frac, 7, dims=("lang", "weight", "size")).collect()), key=str) == want
+
+
 def test_few_rows_and_empty_table(spark):
     rows = [(1, "a", "x", "y"), (2, "a", "x", "y")]
     assert sorted(map(tuple, H.assign(table(spark, rows), 40).collect())) == brute(rows, 40)
@@ -84,3 +95,15 @@ def test_written_shards_prune_in_every_dimension(spark):
         touched = H.prune(m, **spec)
         assert back.where(test & ~F.col("_shard").isin(touched)).count() == 0
         assert len(touched) < 40
+
+
+def test_names_with_a_common_beginning_prune(spark):
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.hash("id") % 500 + 500).cast("int")).alias("text"), F.lit("l").alias("lang"),
+        F.concat(F.lit("common_crawl_"), (F.hash("id", F.lit(2)) % 20 + 2020).cast("string")).alias("source"))
+    folder = common.scratch(spark, "t")
+    H.write_shards(docs, folder, 64)
+    back = spark.read.parquet(folder)
+    touched = H.prune(H.manifest(back), source=("common_crawl_2023", "common_crawl_2023"))
+    assert back.where((F.col("source") == "common_crawl_2023") & ~F.col("_shard").isin(touched)).count() == 0
+    assert 0 < len(touched) < 32
