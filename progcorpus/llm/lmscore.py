@@ -12,7 +12,9 @@ As an automaton: every known word is a state, a bigram that was seen is an arc f
 ``MU / (c(v) + MU)`` to the root, whose arcs are the unigrams.  Reading a text from
 left to right, each token either takes an arc of the current state or fails to
 the root and takes an arc there; the weights' logarithms add up and the state
-becomes the token's.  Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; each text
+becomes the token's.  As the order is fixed at two, no states are kept: the token
+before comes from a shifted array and one choice takes the arc or the failure.
+Longer contexts are not counted or scored.  Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; each text
 ends with an end token and begins in a start state.
 
 ``score(docs)`` trains on rows with ``crc32(doc_id) mod 7 <> 2`` and returns
