@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import (bpe, hilbert, linededup, lmscore, multisethash, ngramjoin, phraseindex, secrets, toxicity,
-                            warc)
+from progcorpus.llm import (bpe, hilbert, linededup, lmscore, multisethash, ngramjoin, phraseindex, secrets, simhash,
+                            toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ ORACLES["op6_hilbert_shards"] = hilbert.ORACLE
 
 
 ORACLES["op10_ngram_jaccard_join"] = ngramjoin.ORACLE
+
+
+@_query
+def op13_simhash(spark, sf_dir):
+    return simhash.link_fingerprints(_table(spark, sf_dir, "documents"))
