@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.llm import (bpe, hilbert, linededup, lmscore, multisethash, ngramjoin, phraseindex, secrets, simhash,
-                            toxicity, warc)
+from progcorpus.llm import (bpe, hilbert, linededup, lmscore, multisethash, ngramjoin, phraseindex, prefixtrie, secrets,
+                            simhash, spelling, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,13 @@ ORACLES["op10_ngram_jaccard_join"] = ngramjoin.ORACLE
 @_query
 def op13_simhash(spark, sf_dir):
     return simhash.link_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(spelling.count_words(_table(spark, sf_dir, "documents"), slips=199))
+
+
+@_query
+def op11_conversation_trie(spark, sf_dir):
+    return prefixtrie.conversation_trie(_table(spark, sf_dir, "conversations"), spliced=True)
