@@ -19,14 +19,16 @@ at least 0.5, comma-joined.  Only ``text`` enters a score.
 
 Nulls: a null or wordless text scores 0; a null ``doc_id`` counts as the empty text
 for the fold (held out); labels without an id or value are ignored, and of several
-labels of one id the largest counts.  With labels of a single class, or none, every
+labels of one id the largest counts; of several texts of one id
+the one with the least MD5 is learned from.  With labels of a single class, or none, every
 document with words gets the share of class 1 (0 without labels).  Repeated rows are
 scored each; an empty table gives no rows.  Other columns are ignored.
 
 Scale: scoring is one map step with the weights broadcast (at most ``FEATURES``).
-The labels of the sample are broadcast (bounded by ``SAMPLE``), so texts are not
-shuffled.  Feature counts are aggregated in the tasks; the driver sees the
-sample's candidate features and its weighted words, both bounded by the sample.
+The labels of the sample are broadcast (bounded by ``SAMPLE``), so only the sample's
+texts are shuffled, one per id.  The sample's bags are a stored table; every step of the
+fit is a job over it, whose tasks send back one gradient per block of bags, and the
+driver holds nothing but the weights.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ FEATURES = 4_096        # features with a weight, at most
 MIN_DOCS = 3            # toxic documents of the sample that a feature occurs in, at least
 PREFIXES = (4, 5, 6)    # bytes of the word beginnings used as features
 FOLDS = 5
-STEPS, RATE, DECAY = 400, 0.1, 1e-4
+DECAY = 1e-4            # of the weights' squares, halved
+STEPS, MEMORY, FLAT = 100, 10, 1e-6     # of the quasi-Newton climb; the gradient it ends at
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, offending string"
 _BREAK = np.zeros(256, dtype=bool)
@@ -119,29 +122,23 @@ def _pairs(texts: list[bytes], lookup: _Lookup):
     return key >> 32, key & 0xFFFFFFFF, owner, start, end
 
 
-def _feature_batches(wanted):
-    """Documents of each class per feature: ``feature, pos, neg``."""
-    def run(batches):
-        import pyarrow as pa
+def _feature_batches(batches):
+    """Documents of each class per feature of a block: ``feature, pos, neg``."""
+    import pyarrow as pa
 
-        lookup = None if wanted is None else _Lookup(wanted.value)
-        for part in text_blocks(batches, 1 << 20):
-            toxic = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            kinds, _, doc, *_ = sentences(utf8(part.column(0)))
-            features, docs = kinds.reshape(-1), np.tile(doc, len(kinds))
-            if lookup is not None:
-                at, _ = lookup(features)
-                features, docs = features[at], docs[at]
-            order = np.lexsort((docs, features))
-            features, docs = features[order], docs[order]
-            once = np.r_[True, (features[1:] != features[:-1]) | (docs[1:] != docs[:-1])][:len(features)]
-            features, y = features[once], toxic[docs[once]]
-            values, where = np.unique(features, return_inverse=True)
-            pos = np.bincount(where[y], minlength=len(values))
-            neg = np.bincount(where[~y], minlength=len(values))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(pos, pa.int64()),
-                                              pa.array(neg, pa.int64())], names=["feature", "pos", "neg"])
-    return run
+    for part in text_blocks(batches, 1 << 20):
+        toxic = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        kinds, _, doc, *_ = sentences(utf8(part.column(0)))
+        features, docs = kinds.reshape(-1), np.tile(doc, len(kinds))
+        order = np.lexsort((docs, features))
+        features, docs = features[order], docs[order]
+        once = np.r_[True, (features[1:] != features[:-1]) | (docs[1:] != docs[:-1])][:len(features)]
+        features, y = features[once], toxic[docs[once]]
+        values, where = np.unique(features, return_inverse=True)
+        pos = np.bincount(where[y], minlength=len(values))
+        neg = np.bincount(where[~y], minlength=len(values))
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(pos, pa.int64()),
+                                          pa.array(neg, pa.int64())], names=["feature", "pos", "neg"])
 
 
 _BAGS = "first long, toxic binary, n binary, doc binary, sentence binary, feature binary"
@@ -165,54 +162,104 @@ def _bag_batches(wanted):
     return run
 
 
-def _train(bags, n_features: int):
-    """Weights and bias that maximise the noisy-or likelihood (Adam, full batches)."""
-    def column(name, kind=np.int32):
-        return [np.frombuffer(b[name], dtype=kind) for b in bags]
-
-    y = np.concatenate(column("toxic", bool))
-    total = np.concatenate(column("n")).astype(np.float64)
-    docs, sents = column("doc"), column("sentence")
-    doc_base = np.cumsum([0, *(len(x) for x in column("n"))])
-    sent_base = np.cumsum([0, *(int(x.sum()) for x in column("n"))])
-    doc = np.concatenate([d + base for d, base in zip(docs, doc_base)])
-    sentence = np.concatenate([x + base for x, base in zip(sents, sent_base)])
-    feature = np.concatenate(column("feature"))
+def bag_likelihood(toxic, n, doc, sentence, feature, x, weight):
+    """The weighted log-likelihood of a block of bags and its gradient; ``x`` holds the
+    weights and, last, the bias; ``weight`` those of the classes 0 and 1."""
+    w, bias = x[:-1], x[-1]
     _, row = np.unique(sentence, return_inverse=True)                  # rows: sentences with features
     n_rows = int(row.max()) + 1 if len(row) else 0
     row_doc = np.zeros(n_rows, dtype=np.int64)
     row_doc[row] = doc
-    plain = total - np.bincount(row_doc, minlength=len(y))
-    w, bias = np.zeros(n_features), -6.0
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    plain = n - np.bincount(row_doc, minlength=len(toxic))
+    z = bias + np.bincount(row, w[feature], minlength=n_rows)
+    p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
+    q = np.bincount(row_doc, -np.logaddexp(0, z), minlength=len(toxic)) - plain * np.logaddexp(0, bias)
+    q = np.minimum(q, -1e-12)                                           # log of (1 - score)
+    counts = np.asarray(weight, dtype=np.float64)[toxic.astype(np.int64)]
+    value = (counts * np.where(toxic, np.log(-np.expm1(q)), q)).sum()
+    slope = np.where(toxic, np.exp(q) / np.expm1(q), 1.0) * counts      # d likelihood / d q
+    g_row = -slope[row_doc] * p
+    return value, np.append(np.bincount(feature, g_row[row], minlength=len(w)), g_row.sum() - (slope * plain).sum() * p0)
+
+
+def _gradient_batches(x, weight):
+    """Per row of ``_BAGS`` its likelihood and gradient at ``x``."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                first, toxic, *rest = (c[r].as_py() for c in batch.columns)
+                arrays = [np.frombuffer(b, dtype=np.int32) for b in rest]
+                value, slope = bag_likelihood(np.frombuffer(toxic, dtype=bool), *arrays, x, weight)
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([value], pa.float64()),
+                                                  pa.array([slope.tobytes()], pa.binary())], names=["first", "value", "slope"])
+    return run
+
+
+def climb(evaluate, x, steps: int = STEPS, memory: int = MEMORY, flat: float = FLAT):
+    """The maximum of a function near ``x`` by limited-memory quasi-Newton steps with
+    backtracking; ``evaluate(x)`` gives value and gradient."""
+    value, g = evaluate(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(g).max() < flat:
+            break
+        d, kept = g.copy(), []
+        for s, y in reversed(moves):
+            a = s @ d / (s @ y)
+            kept.append(a)
+            d -= a * y
+        d *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, np.abs(g).max())
+        for (s, y), a in zip(moves, reversed(kept)):
+            d += (a - y @ d / (s @ y)) * s
+        t = 1.0
+        while t > 1e-6:
+            v2, g2 = evaluate(x + t * d)
+            if v2 >= value + 1e-4 * t * (g @ d):
+                break
+            t /= 2
+        else:
+            break
+        s, y = t * d, g - g2
+        if s @ y > 1e-12:
+            moves = [*moves, (s, y)][-memory:]
+        x, value, g = x + s, v2, g2
+    return x
+
+
+def _train(bags: DataFrame, n_features: int, n_pos: int, n_neg: int):
+    """Weights and bias that maximise the noisy-or likelihood.  Each step is a job over
+    the stored bags: tasks add up likelihood and gradient, and ``n_features + 1``
+    numbers per row of ``_BAGS`` come back."""
+    n = n_pos + n_neg
     # the rarer class counts more, by the square root of its rarity
-    weight = np.sqrt(np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())) * len(y))
-    for step in range(1, STEPS + 1):
-        z = bias + np.bincount(row, w[feature], minlength=n_rows)
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        q = np.bincount(row_doc, -np.logaddexp(0, z), minlength=len(y)) - plain * np.logaddexp(0, bias)
-        q = np.minimum(q, -1e-12)
-        slope = np.where(y, np.exp(q) / np.expm1(q), 1.0) * weight      # d likelihood / d q
-        g_row = -slope[row_doc] * p
-        g = np.append(np.bincount(feature, g_row[row], minlength=n_features) / len(y) - DECAY * w,
-                      (g_row.sum() - (slope * plain).sum() * p0) / len(y))
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        w, bias = w + move[:-1], bias + move[-1]
-    return w, float(bias)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    weight = (np.sqrt(0.5 * n / n_neg), np.sqrt(0.5 * n / n_pos))
+
+    def evaluate(x):
+        parts = sorted(bags.mapInArrow(_gradient_batches(x, weight), "first long, value double, slope binary").collect())
+        value, slope = sum(r.value for r in parts), sum(np.frombuffer(r.slope) for r in parts)
+        held = np.append(DECAY * x[:-1], 0.0)
+        return value / n - 0.5 * (held[:-1] @ x[:-1]), slope / n - held
+
+    x = climb(evaluate, np.append(np.zeros(n_features), -6.0))
+    return x[:-1], float(x[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, min_docs: int = MIN_DOCS) -> Model:
     """The model learned from the training fold of ``labels`` (see above)."""
     ship(__name__, "progcorpus.llm.common", "progcorpus.llm.textblocks")
     spark = docs.sparkSession
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
              .groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).alias("toxic"))
              .where(~held_out(F.col("_id"))))
-    n = known.count()
-    share = min(1.0, sample / max(n, 1))
+    share = min(1.0, sample / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
-    texts = store(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # one text per id: an id that many rows share is a single document of the sample
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = store(docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+                  .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+                  .groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.md5("text"), "text")).alias("text"))
                   .select("text", "toxic", "doc_id"), "toxicity-sample")
     count = {bool(r.toxic): r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_pos, n_neg = count.get(True, 0), count.get(False, 0)
@@ -220,26 +267,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n_pos or not n_neg:
         return Model(empty, np.zeros(0), 0.0, n_pos / max(1, n_pos + n_neg))
 
-    def counts(rows, wanted):
-        return (rows.mapInArrow(_feature_batches(wanted), "feature long, pos long, neg long")
-                .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-
-    def hashes(rows):
-        return np.sort(rows.select("feature").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-
-    first = counts(texts.where("toxic"), None).where(F.col("pos") >= MIN_DOCS)
-    candidates = spark.sparkContext.broadcast(hashes(first))
+    seen = (texts.mapInArrow(_feature_batches, "feature long, pos long, neg long")
+            .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= min_docs))
     # how far the rates of the classes are apart, in standard errors
     rate = (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
     z = (F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(rate * (1.0001 - rate) * (1 / n_pos + 1 / n_neg))
-    best = counts(texts, candidates).select("feature", z.alias("z")).where(F.col("z") > 1).orderBy(
-        F.desc("z"), "feature").limit(FEATURES)
-    features = hashes(best)
-    if not len(features):
+    best = seen.select("feature", z.alias("z")).where(F.col("z") > 1).orderBy(F.desc("z"), "feature").limit(features)
+    hashes = np.sort(np.array([r.feature for r in best.select("feature").collect()], dtype=np.int64).view(np.uint64))
+    if not len(hashes):
         return Model(empty, np.zeros(0), 0.0, n_pos / (n_pos + n_neg))
-    bags = texts.mapInArrow(_bag_batches(spark.sparkContext.broadcast(features)), _BAGS).collect()
-    weights, bias = _train(sorted(bags), len(features))
-    return Model(features, weights, bias)
+    bags = store(texts.mapInArrow(_bag_batches(spark.sparkContext.broadcast(hashes)), _BAGS), "toxicity-bags")
+    return Model(hashes, *_train(bags, len(hashes), n_pos, n_neg))
 
 
 def _document_scores(part, m: Model, lookup: _Lookup):
