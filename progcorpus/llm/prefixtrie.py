@@ -74,10 +74,11 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     """``conv_id, part, place, digest, words``: the turns of each conversation, numbered
     from 1, and a row of part -1 per conversation."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    rows = conversations.where(F.col("conv_id").isNotNull()).select(
+    # stored: the range partitioning below reads its input twice
+    rows = store(conversations.where(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long"), F.col("turn"),
         F.unhex(F.md5(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text))).alias("digest"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("words")), "trie-digests")
     numbered = store(group_row_number(rows, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("digest").asc()], "place"),
                      "trie-turns")
     turns = numbered.select("conv_id", F.lit(1).alias("part"), "place", "digest", "words")
