@@ -9,11 +9,19 @@ unterminated quote, ``$``, ``?`` ...) that becomes ``ERRORTOKEN``.
 String bodies use possessive, unrolled loops, so a long literal or a long run
 of backslashes does not recurse in the regex engine.  Indentation tokens are
 not lexed here; ``operators.tokens`` derives them from line starts.
+
+A regular expression can't tell which quote ends an f-string whose replacement
+fields hold strings, comments or line breaks (``f"{d["#k"]}"``).  ``lex`` finds the
+texts that have such f-strings and reads them with a state machine: one
+``aggregate`` over small pieces of the text carries the stack of open quotes,
+fields, brackets and format specs.  Each such f-string, nested ones included, is
+replaced by a short placeholder string, the text is cut by the regular expression,
+and the placeholders become the f-strings again: one STRING token each (D33).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PREFIX = r"(?:[rRbBuUfF]|[bB][rR]|[rR][bB]|[fF][rR]|[rR][fF])?"
@@ -52,6 +60,108 @@ CATCH_ALL = r"[\s\S]"
 LEX = "|".join([STRING, COMMENT, NAME, NUMBER, ESCAPED_NL, LINE_BREAK, BLANKS, OPERATOR, CATCH_ALL])
 
 
+# --- f-strings -------------------------------------------------------------------------
+
+_F_PREFIX = r"(?:[fF][rR]?|[rR][fF])"
+_HAS_FSTRING = rf"(?:^|[^A-Za-z0-9_\x{{80}}-\x{{10FFFF}}]){_F_PREFIX}['\"]"
+# pieces of a text that the state machine reads: escapes, quote runs, names, and what
+# opens, closes or ends something; everything else in runs
+_PIECE = (r"\\N\{[A-Za-z0-9 \-]*+\}|\\(?:\r\n|[^{}])|'++|\"++|" + NAME + r"|\r\n|[\r\n#:{}()\[\]\\]"
+          r"|[^\\'\"A-Za-z_\x{80}-\x{10FFFF}\r\n#:{}()\[\]]++")
+# frames on the stack: plain strings s d (one quote) S D (three), f-strings a b A B, a
+# replacement field e, a bracket inside one (, a format spec p, a comment c
+_FRAMES = {"'": "sSaA", '"': "dDbB"}
+_MARK = "\ufdd0"           # a noncharacter: no program text holds it
+
+
+def _step(acc: Column, piece: Column) -> Column:
+    """The state after one more piece: ``stack, pos, start, nested, prev, spans``."""
+    stack, pos, prev = acc["stack"], acc["pos"], acc["prev"]
+    top, n, c = F.right(stack, F.lit(1)), F.length(piece), F.substring(piece, 1, 1)
+    popped = F.substring(stack, F.lit(1), F.length(stack) - 1)
+    code, inside = top.isin("", "e", "("), stack != ""
+    literal = top.isin(*"abABp")
+    quote = c.isin("'", '"')
+
+    # a run of quotes: those that close the string on top, the rest read as code
+    mine = ((c == "'") & top.isin(*_FRAMES["'"])) | ((c == '"') & top.isin(*_FRAMES['"']))
+    closing = F.when(top.isin(*"SDAB"), 3).otherwise(1)
+    closes = quote & mine & (n >= closing)
+    rest = F.when(closes, n - closing).when(quote & code, n).otherwise(0)
+    left = F.when(closes, popped).otherwise(stack)
+    f_prefix = code & prev.rlike(f"^{_F_PREFIX}$")
+
+    def frame(i):
+        return F.when(c == "'", _FRAMES["'"][i]).otherwise(_FRAMES['"'][i])
+
+    opened = (F.when(rest % 6 == 1, F.when(f_prefix, frame(2)).otherwise(frame(0)))
+              .when(rest % 6 >= 3, F.when(f_prefix, frame(3)).otherwise(frame(1))).otherwise(""))
+    breaks = c.isin("\n", "\r")
+    after = (F.when(quote, F.concat(left, opened))
+             .when(top == "c", F.when(breaks, popped).otherwise(stack))
+             # a line break ends a string of one quote without closing it
+             .when(breaks, F.when(top.isin(*"sdab"), F.lit("")).otherwise(stack))
+             .when(piece == "{", F.when((top == "e") & (prev == "{"), popped)               # "{{"
+                   .when(literal, F.concat(stack, F.lit("e"))).when(code & inside, F.concat(stack, F.lit("(")))
+                   .otherwise(stack))
+             .when(piece == "}", F.when(top.isin("(", "e", "p"), popped).otherwise(stack))
+             .when(piece.isin("(", "["), F.when(code & inside, F.concat(stack, F.lit("("))).otherwise(stack))
+             .when(piece.isin(")", "]"), F.when(top == "(", popped).otherwise(stack))
+             .when((piece == ":") & (top == "e"), F.concat(popped, F.lit("p")))
+             .when((piece == "#") & code, F.concat(stack, F.lit("c")))
+             .otherwise(stack))
+    begins = quote & ~inside & opened.isin(*"abAB")
+    ends = closes & (F.length(stack) == 1) & top.isin(*"abAB")
+    special = code & inside & (quote | breaks | (piece == "#"))
+    nested = ~begins & (acc["nested"] | special)
+    span = F.struct(acc["start"].alias("a"), (pos + n - rest).alias("b"))
+    return F.struct(after.alias("stack"), (pos + n).alias("pos"),
+                    F.when(begins, pos - F.length(prev)).otherwise(acc["start"]).alias("start"),
+                    nested.alias("nested"), piece.alias("prev"),
+                    F.when(ends & acc["nested"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+
+def _fstring_spans(code: Column) -> Column:
+    """``array<struct<a int, b int>>``: where (characters, end exclusive) the outermost
+    f-strings with strings, comments or line breaks in their fields stand."""
+    start = F.struct(F.lit("").alias("stack"), F.lit(0).alias("pos"), F.lit(0).alias("start"), F.lit(False).alias("nested"),
+                     F.lit("").alias("prev"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
+    return F.aggregate(F.regexp_extract_all(code, F.lit(_PIECE), 0), start, _step, lambda acc: acc["spans"])
+
+
+def _maybe_nested(raw: Column) -> Column:
+    """Whether the raw tokens of a text hold an f-string that may have been cut short."""
+    def odd(t):
+        quotes = F.length(t) - F.length(F.translate(t, "'\"", ""))
+        return ((F.length(F.translate(t, "{", "")) != F.length(F.translate(t, "}", "")))
+                | ~(quotes.isin(2, 6)))
+
+    return (F.exists(raw, lambda t: t.rlike(rf"^{_F_PREFIX}['\"]") & t.contains("{") & odd(t))
+            | F.array_contains(raw, "'") | F.array_contains(raw, '"'))
+
+
+def lex(texts: DataFrame, code_col: str = "code", out: str = "raw") -> DataFrame:
+    """``texts`` with the array ``out`` of raw tokens; concatenated they are the text."""
+    code = F.col(code_col)
+    t = texts.withColumn(out, F.regexp_extract_all(code, F.lit(LEX), 0))
+    t = t.withColumn("_spans", F.when(code.rlike(_HAS_FSTRING) & code.contains("{") & ~code.contains(_MARK)
+                                      & _maybe_nested(F.col(out)), _fstring_spans(code)))
+    spans = F.col("_spans")
+
+    def cut(s, i):
+        before = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["b"])
+        return F.concat(F.substring(code, before + 1, s["a"] - before), F.lit(f'"{_MARK}'), i.cast("string"), F.lit('"'))
+
+    def back(token):
+        s = F.get(spans, F.regexp_replace(token, "[^0-9]", "").cast("int"))
+        return F.when(token.startswith(f'"{_MARK}'), F.substring(code, s["a"] + 1, s["b"] - s["a"])).otherwise(token)
+
+    masked = F.concat(F.array_join(F.transform(spans, cut), ""),
+                      F.substring(code, F.element_at(spans, -1)["b"] + 1, F.length(code)))
+    again = F.transform(F.regexp_extract_all(masked, F.lit(LEX), 0), back)
+    return t.withColumn(out, F.when(F.size(spans) > 0, again).otherwise(F.col(out))).drop("_spans")
+
+
 def token_kind(src: Column) -> Column:
     """Kind of a raw token: STRING, COMMENT, NAME, NUMBER, LINEBREAK,
     ESCAPED_NL, BLANK, OP or ERRORTOKEN (line breaks and blanks are refined

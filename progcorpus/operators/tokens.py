@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from progcorpus.functions.lexer import LEX, indent_width, token_kind
+from progcorpus.functions.lexer import indent_width, lex, token_kind
 from progcorpus.session import buckets_for, buckets_of, materialize
 
 TOKEN_COLS = ["code_id", "pos", "kind", "src", "line", "seg", "off", "bracket_depth", "indent_depth"]
@@ -75,7 +75,7 @@ def with_code_id(df: DataFrame, code_col: str = "func_code") -> DataFrame:
 
 
 def _raw_tokens(dim: DataFrame) -> DataFrame:
-    t = dim.select("code_id", F.posexplode(F.regexp_extract_all("code", F.lit(LEX), 0)).alias("rpos", "src"))
+    t = lex(dim.select("code_id", "code")).select("code_id", F.posexplode("raw").alias("rpos", "src"))
     t = t.withColumn("k0", token_kind(F.col("src")))
     w = Window.partitionBy("code_id").orderBy("rpos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,25 @@ import tokenize
 _ESC_NL = re.compile(r"\\(\n|\r\n|\r)")
 
 
+def _merged(tokens, lines):
+    """The tokens with each outermost f-string as one STRING token."""
+    depth, start = 0, None
+    for t in tokens:
+        name = tokenize.tok_name[t.type]
+        if name == "FSTRING_START":
+            start = t.start if not depth else start
+            depth += 1
+        elif name == "FSTRING_END":
+            depth -= 1
+            if not depth:
+                (sl, sc), (el, ec) = start, t.end
+                text = lines[sl][sc:ec] if sl == el else lines[sl][sc:] + "".join(lines[sl + 1:el]) + lines[el][:ec]
+                yield tokenize.STRING, text, start, t.end, "".join(lines[sl:el + 1])
+            continue
+        if not depth:
+            yield t
+
+
 def py_tokens(src: str) -> list[tuple[str, str]] | None:
     """``[(kind, src), ...]`` or None when the stdlib tokenizer fails."""
     target = io.StringIO(src)
@@ -22,7 +41,7 @@ def py_tokens(src: str) -> list[tuple[str, str]] | None:
     out: list[tuple[str, str]] = []
     last_line, end = 1, 0
     try:
-        for ttype, text, (sl, sc), (el, ec), line in tokenize.generate_tokens(target.readline):
+        for ttype, text, (sl, sc), (el, ec), line in _merged(tokenize.generate_tokens(target.readline), lines):
             if sl > last_line:
                 gap = lines[last_line][end:]
                 for n in range(last_line + 1, sl):

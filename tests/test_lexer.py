@@ -32,9 +32,21 @@ EDGES = [
 ]
 
 
+# strings, comments, brackets, line breaks and f-strings inside replacement fields
+FSTRINGS = [
+    'x = f"{d["#k"]}"\n', "x = f'{d['k']}' + '#'  # c\n", 'x = f"{f"{f"{1}"}"}"\n', 'x = f"{"}"}" + f"{\'{\'}"\n',
+    'x = f"{a["x"]}{b["y"]}" "z" f"{c}"\n', 'x = f"{x:{"w"}}" + f"{x!r:>{w["n"]}}"\n', 'x = f"{{{d["k"]}}}" + f"{{"\n',
+    'x = f"""{d["k"]} " {e[\'""\']} {f"{y}"}\n"""\n', "x = rf'{d['\\n']}\\{a}' + fR\"{b}\"\n", 'x = f"{(lambda: "a")()}"\n',
+    'x = f"{\n  d["k"]  # "c"\n}"\ny = 1\n', 'x = f"{ {"a": 1}["a"] }" + f"{[1, "b"][1]:>{3}}"\n', 'x = f"{""}" + f""\n',
+    'x = f"\\N{BULLET} {d["k"]}" + f"\\\\{d["k"]}"\n', 'def f(d):\n    return f"{d["a"]}"  # f"{x["\n', "x = f\"it's {d}\" + 'y'\n",
+    'if f"{d["a"]}" == "b":\n    x = f"{d["c"]}"\n', '# f"{x["\ny = "f\'{"\n', 'x = f"{é["ñ"]}" + g"\n', 'x = f"{d["é☃"]}" * 2\n',
+    'x = f"""{d["""k"""]}"""\n', "x = f'{x['a']:%Y-%m:{'b'}}'\n", 'x = F"{d["k"]}" + Rf\'{d["k"]}{d[\'j\']}\'\n',
+]
+
+
 @pytest.fixture(scope="module")
 def job(spark):
-    texts = [t.replace("{f}", "task_1") for t in TEMPLATES] + EDGES
+    texts = [t.replace("{f}", "task_1") for t in TEMPLATES] + EDGES + FSTRINGS
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, func_code string")
     dim = code_dim(df)
     return dim, token_table(dim)
