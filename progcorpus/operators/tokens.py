@@ -13,11 +13,13 @@ tokens before the first token of a shallower line, and NEWLINE ``''`` /
 DEDENT / ENDMARKER at the end.
 
 Indentation levels need "next line with a smaller indent", which is a stack
-walk in a tokenizer.  Here every logical line is copied once per distinct
-indent width ``v >= its own`` of its program; inside each ``(code_id, v)``
-partition a running ``last(..)`` window then answers the nearest following
-or preceding line at or below ``v``.  Rows grow with lines x distinct widths,
-never with pairs of lines.
+walk in a tokenizer.  Here the distinct indent widths of a program are ranked and
+a rank is read as digits (base ``RADIX``).  A line's question "who is nearest with a
+smaller rank?" falls into one group per digit (same higher digits, smaller
+digit), and a line stands in the groups of the digits above its own; inside each
+group a running ``last(..)`` window gives the nearest.  Rows grow with lines x
+``RADIX`` x digits of the number of widths: a staircase of n widths costs
+O(n log n) rows, a usual program (fewer than ``RADIX`` widths) one digit.
 """
 
 from __future__ import annotations
@@ -135,34 +137,68 @@ def _lines(t: DataFrame) -> DataFrame:
                                                indent_width(lead_ws).alias("w"), indent_width(lead_ws, 1).alias("w1"))
 
 
+RADIX = 16      # a power of two; widths of a program that need no second digit
+_BITS = 4
+
+
+def nearest_rows(lines: DataFrame) -> DataFrame:
+    """``code_id, seg, d, g, asks, member``: the groups (digit, ranks) in which each logical
+    line asks for the nearest member, and those it is a member of."""
+    ranked = lines.select("code_id", "seg", (F.dense_rank().over(Window.partitionBy("code_id").orderBy("w")) - 1).alias("r"))
+    ranked = ranked.withColumn("m", F.max("r").over(Window.partitionBy("code_id")))
+    # digits that the largest rank has, at least one
+    digits = F.greatest(F.lit(1), F.ceil(F.length(F.conv(F.col("m").cast("string"), 10, 2)) / _BITS).cast("int"))
+    r, m = F.col("r"), F.col("m")
+
+    def above(d):       # the groups of digit d that ask for ranks such as this one
+        own = F.call_function("shiftright", r, d * _BITS)
+        last = F.least(own.bitwiseOR(F.lit(RADIX - 1)), F.call_function("shiftright", m, d * _BITS))
+        return F.when(last > own, F.transform(F.sequence(own + 1, last), lambda g: F.struct(
+            d.alias("d"), g.alias("g"), F.lit(False).alias("asks"), F.lit(True).alias("member")))).otherwise(
+            F.array().cast("array<struct<d:int,g:int,asks:boolean,member:boolean>>"))
+
+    levels = F.sequence(F.lit(0), digits - 1)
+    asks = F.transform(levels, lambda d: F.struct(d.alias("d"), F.call_function("shiftright", r, d * _BITS).alias("g"),
+                                                  F.lit(True).alias("asks"), F.lit(False).alias("member")))
+    # lines of the same width meet in a group of their own
+    same = F.array(F.struct(F.lit(-1).alias("d"), r.alias("g"), F.lit(True).alias("asks"), F.lit(True).alias("member")))
+    return ranked.select("code_id", "seg", F.inline(F.concat(same, asks, F.flatten(F.transform(levels, above)))))
+
+
+def nearest_smaller(lines: DataFrame) -> DataFrame:
+    """All nearest smaller values: for each logical line (``code_id, seg, w``) the nearest
+    lines of its program with a smaller width or with the same:
+    ``code_id, seg, next_lt, next_eq, prev_lt, prev_eq`` (null: none)."""
+    rows = nearest_rows(lines)
+    group = Window.partitionBy("code_id", "d", "g")
+    after = group.orderBy(F.col("seg").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy(F.col("seg").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col("member"), F.col("seg"))
+    found = rows.select("code_id", "seg", "d", "asks", F.last(seen, ignorenulls=True).over(after).alias("next"),
+                        F.last(seen, ignorenulls=True).over(before).alias("prev")).where("asks")
+    lt, eq = F.col("d") >= 0, F.col("d") < 0
+    return found.groupBy("code_id", "seg").agg(
+        F.min(F.when(lt, F.col("next"))).alias("next_lt"), F.min(F.when(eq, F.col("next"))).alias("next_eq"),
+        F.max(F.when(lt, F.col("prev"))).alias("prev_lt"), F.max(F.when(eq, F.col("prev"))).alias("prev_eq"))
+
+
 def _levels(lines: DataFrame) -> DataFrame:
     """Per logical line: INDENT flag, the line closing its level, the line
     ending its block, and whether a dedent lands on an open level."""
     wl = Window.partitionBy("code_id").orderBy("seg")
-    lines = (lines.withColumn("w_prev", F.coalesce(F.lag("w", 1).over(wl), F.lit(0)))
-             .withColumn("w1_prev", F.coalesce(F.lag("w1", 1).over(wl), F.lit(0))))
-    widths = lines.groupBy("code_id").agg(F.collect_set("w").alias("_widths"))
-    ev = (lines.join(widths, on="code_id", how="inner")
-          .select("code_id", "seg", "w", "w_prev", "w1", "w1_prev",
-                  F.explode(F.filter("_widths", lambda v: v >= F.col("w"))).alias("v")))
-    ev = ev.withColumn("eq", F.col("v") == F.col("w"))
-    down = Window.partitionBy("code_id", "v").orderBy(F.col("seg").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    up = Window.partitionBy("code_id", "v").orderBy(F.col("seg").asc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    ev = ev.select("*",
-                   F.last("seg", ignorenulls=True).over(down).alias("next_le"),
-                   F.last(F.when(~F.col("eq"), F.col("seg")), ignorenulls=True).over(down).alias("next_lt"),
-                   F.last(F.col("eq").cast("int"), ignorenulls=True).over(up).alias("prev_eq"))
-    own = ev.where(F.col("eq")).select(
+    own = (lines.withColumn("w_prev", F.coalesce(F.lag("w", 1).over(wl), F.lit(0)))
+           .withColumn("w1_prev", F.coalesce(F.lag("w1", 1).over(wl), F.lit(0))))
+    own = own.join(nearest_smaller(lines), on=["code_id", "seg"], how="inner")
+    # the nearest line before that is at most as deep is exactly as deep: an open level
+    level = F.col("prev_eq").isNotNull() & (F.col("prev_lt").isNull() | (F.col("prev_eq") > F.col("prev_lt")))
+    return own.select(
         "code_id", "seg", "w", "w_prev",
         (F.col("w") > F.col("w_prev")).alias("is_indent"),
-        F.col("next_lt").alias("close_seg"), F.col("next_le").alias("end_seg"),
-        (((F.col("w") >= F.col("w_prev")) | (F.col("w") == 0) | (F.col("prev_eq") == 1))
+        F.col("next_lt").alias("close_seg"), F.least("next_lt", "next_eq").alias("end_seg"),
+        (((F.col("w") >= F.col("w_prev")) | (F.col("w") == 0) | level)
          # tabs: the comparison with the previous line must agree at tab sizes 8 and 1
          & (F.signum(F.col("w") - F.col("w_prev")) == F.signum(F.col("w1") - F.col("w1_prev"))))
         .alias("dedent_ok"))
-    return own
 
 
 def _token_lines(dim: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,6 +239,14 @@ def token_status(dim: DataFrame) -> DataFrame:
     return _status(dim, t, lines)
 
 
+def raw_tokens(dim: DataFrame) -> DataFrame:
+    """``code_id, rpos, kind, src`` of the texts that tokenize, without DEDENT tokens and
+    the positions that count them (for jobs that ask only which tokens there are)."""
+    t, lines = _token_lines(dim)
+    ok = _status(dim, t, lines).where(F.col("tokenizes")).select("code_id")
+    return t.join(ok, on="code_id", how="left_semi").select("code_id", "rpos", F.col("k0").alias("kind"), "src")
+
+
 def token_table(dim: DataFrame) -> TokenJob:
     """Tokens, tokenizer status and logical-line blocks.
 
