@@ -32,22 +32,24 @@ GLOBALS_FILE = "code/global.py"
 METADATA_FILE = "code/metadata"
 
 
-def program_numbers(df: DataFrame, order_col: str = "sub_id", carry: tuple[str, ...] = ()) -> DataFrame:
+def program_numbers(df: DataFrame, order_col: str = "sub_id") -> DataFrame:
     """``sub_id, func_name, correct, program_no`` (1-based per question and
-    verdict) plus the ``carry`` columns."""
-    base = df.where(F.col("func_name").isNotNull() & F.col("correct").isNotNull()) \
-        .select(order_col, "func_name", "correct", *carry)
+    verdict), from ids alone."""
+    base = df.where(F.col("func_name").isNotNull() & F.col("correct").isNotNull()).select(order_col, "func_name", "correct")
     return group_row_number(base, ["func_name", "correct"], [F.col(order_col).asc()], name="program_no")
 
 
 def program_files(df: DataFrame, qnum: DataFrame, order_col: str = "sub_id",
                   code_col: str = "func_code") -> DataFrame:
-    """``code/correct/correct_{q}_{nnn}.py`` and ``code/wrong/wrong_{q}_{nnn}.py``."""
-    numbered = program_numbers(df, order_col, carry=(code_col,)).join(qnum, on="func_name", how="inner")
+    """``code/correct/correct_{q}_{nnn}.py`` and ``code/wrong/wrong_{q}_{nnn}.py``.
+    Ids are numbered; the programs' texts move once, in the join by row id."""
+    texts = df.select(order_col, F.col(code_col).alias("_text"))
+    numbered = (program_numbers(df, order_col).join(qnum, on="func_name", how="inner")
+                .join(texts, on=order_col, how="inner"))
     parts = dict(q=F.col("question_no").cast("string"), nnn=three_digits("program_no"))
     path = F.when(F.col("correct"), _fill(CORRECT_FILE, **parts)).otherwise(_fill(WRONG_FILE, **parts))
     return numbered.select(F.col("question_no"), "func_name", path.alias("rel_path"),
-                           F.col(code_col).alias("content"))
+                           F.col("_text").alias("content"))
 
 
 def repair_manifest(df: DataFrame, order_col: str = "sub_id", code_col: str = "func_code") -> DataFrame:

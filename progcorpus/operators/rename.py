@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from progcorpus.operators.dedup import wanted_function
 from progcorpus.operators.nodes import nodes_only
 from progcorpus.operators.tokens import TokenJob, tokenized
+from progcorpus.session import splittable
 
 
 def positional_arguments(nt: DataFrame, target: DataFrame) -> DataFrame:
@@ -44,19 +45,41 @@ def argument_pairs(triples: DataFrame, args: DataFrame) -> DataFrame:
             .select("src_id", "dst_id", "func_name", "arg_ix", "src_arg", "dst_arg"))
 
 
-def rename_arguments(triples: DataFrame, arg_pairs: DataFrame, job: TokenJob) -> DataFrame:
-    """``src_id, dst_id, func_name, renamed`` — destination NAME tokens
-    renamed by the argument pairs, text rebuilt in token order.  ``triples``
-    must hold only pairs whose source and destination define the function."""
-    mapping = arg_pairs.select("src_id", "dst_id", "func_name", F.col("dst_arg").alias("src"),
-                               F.col("src_arg").alias("_new"))
-    tk = tokenized(job).select(F.col("code_id").alias("dst_id"), "pos", "kind", "src")
-    t = triples.select("src_id", "dst_id", "func_name").join(tk, on="dst_id", how="inner").join(
-        mapping, on=["src_id", "dst_id", "func_name", "src"], how="left")
-    new_src = F.when((F.col("kind") == "NAME") & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("src"))
-    rebuilt = t.groupBy("src_id", "dst_id", "func_name").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", new_src.alias("s")))), lambda x: x["s"]), "").alias("renamed"))
-    return triples.join(rebuilt, on=["src_id", "dst_id", "func_name"], how="left")
+def templates(wanted: DataFrame, args: DataFrame, job: TokenJob) -> DataFrame:
+    """``code_id, func_name, template`` for each of ``wanted``: a program as pieces, split at the tokens that
+    name a positional argument of the wanted function: an array of ``(n, text,
+    arg_ix, arg)``, the text before the n-th such token and the argument it names
+    (null after the last)."""
+    named = args.select("code_id", "func_name", "arg_ix", F.col("arg").alias("src"), F.lit("NAME").alias("kind"))
+    tk = (tokenized(job).select("code_id", "pos", "kind", "src")
+          .join(wanted.select("code_id", "func_name"), on="code_id", how="inner")
+          .join(named, on=["code_id", "func_name", "src", "kind"], how="left"))
+    before = Window.partitionBy("code_id", "func_name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    tk = tk.withColumn("n", F.coalesce(F.count("arg_ix").over(before), F.lit(0)))
+    plain = F.when(F.col("arg_ix").isNull(), F.struct("pos", "src"))
+    pieces = tk.groupBy("code_id", "func_name", "n").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(plain)), lambda x: x["src"]), "").alias("text"),
+        F.max("arg_ix").alias("arg_ix"), F.max(F.when(F.col("arg_ix").isNotNull(), F.col("src"))).alias("arg"))
+    return pieces.groupBy("code_id", "func_name").agg(
+        F.array_sort(F.collect_list(F.struct("n", "text", "arg_ix", "arg"))).alias("template"))
+
+
+def rename_arguments(triples: DataFrame, args: DataFrame, job: TokenJob) -> DataFrame:
+    """``src_id, dst_id, func_name, renamed`` — the destination's template filled with
+    the source's arguments (its own where the source has fewer).  ``triples``
+    must hold only pairs whose source and destination define the function;
+    ``args`` are the positional arguments of all of them, ``job`` the tokens of the
+    destinations.  A destination is stored once, however many sources it has; a
+    result row is made by one look-up per piece."""
+    names = args.groupBy("code_id", "func_name").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("arg_ix", "arg"))), lambda x: x["arg"]).alias("_names"))
+    wanted = triples.select(F.col("dst_id").alias("code_id"), "func_name").distinct()
+    made = splittable(templates(wanted, args, job))
+    filled = F.array_join(F.transform("template", lambda p: F.concat(
+        p["text"], F.coalesce(F.get("_names", p["arg_ix"]), p["arg"], F.lit("")))), "")
+    return (triples.join(made.withColumnRenamed("code_id", "dst_id"), on=["dst_id", "func_name"], how="left")
+            .join(splittable(names).withColumnRenamed("code_id", "src_id"), on=["src_id", "func_name"], how="left")
+            .select("src_id", "dst_id", "func_name", filled.alias("renamed")))
 
 
 class PairJob:
@@ -86,12 +109,14 @@ class PairJob:
         self.triples = materialize(
             triples.join(defined.withColumnRenamed("code_id", "src_id"), on=["src_id", "func_name"], how="left_semi")
             .join(defined.withColumnRenamed("code_id", "dst_id"), on=["dst_id", "func_name"], how="left_semi"))
-        self.arg_pairs = materialize(argument_pairs(self.triples, positional_arguments(self.nt, target)))
+        self.args = materialize(positional_arguments(self.nt, target), key="code_id", num_buckets=buckets_of(self.dim))
+        self.arg_pairs = materialize(argument_pairs(self.triples, self.args))
 
     def renamed(self) -> DataFrame:
         """``src_id, dst_id, func_name, renamed`` per valid triple."""
         from progcorpus.operators.tokens import token_table
+        from progcorpus.session import buckets_of, materialize
 
         dst = self.dim.join(self.triples.select(F.col("dst_id").alias("code_id")).distinct(),
                             on="code_id", how="left_semi")
-        return rename_arguments(self.triples, self.arg_pairs, token_table(dst))
+        return rename_arguments(self.triples, self.args, token_table(materialize(dst, "code_id", buckets_of(self.dim))))

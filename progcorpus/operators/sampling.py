@@ -9,11 +9,12 @@ otherwise.  No window is ever partitioned by a group of submissions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lines import line_count
-from progcorpus.operators.ordering import group_row_number
+from progcorpus.operators.ordering import group_median, group_row_number
+from progcorpus.session import materialize
 
 
 def _keys(group) -> list[str]:
@@ -25,27 +26,6 @@ def with_line_count(df: DataFrame, code_col: str = "func_code", out: str = "n_li
     return df.withColumn(out, line_count(code_col))
 
 
-def sorted_median(arr) -> Column:
-    """Exact median of a histogram given as an array of ``struct(v, c)``
-    sorted by ``v`` (value, count): the mean of the two middle values for an
-    even total, as pandas computes it.  One pass of ``aggregate`` over the
-    array (its length is the number of distinct values, not of rows)."""
-    total = F.aggregate(arr, F.lit(0).cast("long"), lambda acc, x: acc + x["c"])
-    k1 = F.floor((total + 1) / 2)
-    k2 = F.floor(total / 2) + 1
-    start = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("double").alias("a"),
-                     F.lit(None).cast("double").alias("b"))
-
-    def step(acc, x):
-        cum = acc["cum"] + x["c"]
-        return F.struct(cum.alias("cum"),
-                        F.coalesce(acc["a"], F.when(cum >= k1, x["v"].cast("double"))).alias("a"),
-                        F.coalesce(acc["b"], F.when(cum >= k2, x["v"].cast("double"))).alias("b"))
-
-    res = F.aggregate(arr, start, step)
-    return (res["a"] + res["b"]) / F.lit(2.0)
-
-
 def mad_outliers(df: DataFrame, group, code_col: str = "func_code",
                  threshold: float = 2.5) -> DataFrame:
     """A2: keep rows with ``(n_lines - median) / MAD <= threshold`` inside
@@ -54,21 +34,19 @@ def mad_outliers(df: DataFrame, group, code_col: str = "func_code",
     ``n_lines``.
 
     One pass over the rows builds each group's histogram of line counts
-    (partially aggregated, so a hot group costs one row per distinct count,
-    then one array per group of at most that many entries); median and MAD
-    are exact and computed from the sorted histogram; a second pass filters
-    the rows against the small per-group statistics."""
+    (partially aggregated, so a hot group costs one row per distinct count).
+    Median and MAD are exact: each is selected by rank from running sums over
+    the range-partitioned histogram, so no group is gathered anywhere; a second
+    pass filters the rows against the small per-group statistics."""
     from progcorpus.operators.columns import drop_index_columns
 
     keys = _keys(group)
     rows = with_line_count(drop_index_columns(df), code_col)
-    hist = (rows.groupBy(*keys, "n_lines").agg(F.count(F.lit(1)).alias("_c"))
-            .groupBy(*keys).agg(F.array_sort(F.collect_list(
-                F.struct(F.col("n_lines").cast("double").alias("v"), F.col("_c").alias("c")))).alias("_h")))
-    stats = hist.withColumn("_med", sorted_median(F.col("_h")))
-    dev = F.array_sort(F.transform("_h", lambda x: F.struct(F.abs(x["v"] - F.col("_med")).alias("v"),
-                                                             x["c"].alias("c"))))
-    stats = stats.select(*keys, "_med", sorted_median(dev).alias("_mad"))
+    hist = materialize(rows.groupBy(*keys, F.col("n_lines").cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    med = group_median(hist, keys, "_v", "_c", "_med")
+    dev = (hist.join(med, on=keys, how="inner").groupBy(*keys, F.abs(F.col("_v") - F.col("_med")).alias("_d"))
+           .agg(F.sum("_c").alias("_c")))
+    stats = med.join(group_median(dev, keys, "_d", "_c", "_mad"), on=keys, how="inner")
     kept = rows.join(stats, on=keys, how="left").where(
         (F.col("_mad") == 0) | ((F.col("n_lines") - F.col("_med")) / F.col("_mad") <= F.lit(threshold)))
     return kept.drop("_med", "_mad")
