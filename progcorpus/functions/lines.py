@@ -179,3 +179,29 @@ def with_docstring(df, code_col: str, doc_col: str, out: str = "with_doc"):
                       F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))))
     return (staged.withColumn(out, F.when((F.size(lines) > 1) & F.col("_doc").isNotNull(), F.array_join(merged, "\n")))
             .drop("_lines", "_dl", "_ind", "_doc"))
+
+
+# --- cutting many spans out of one text ---------------------------------------------------
+
+_CHUNK = 1024
+
+
+def cut_spans(code: Column, spans: Column, make) -> Column:
+    """The array of ``make(span, cut)`` for every element of ``spans``, where
+    ``cut(off, end)`` is the text between two character offsets.
+
+    The text is cut into chunks once and a span is taken from the chunks it
+    touches, so a text is read once however many spans are cut from it (a plain
+    ``substring`` counts characters from the beginning each time)."""
+    def cut_from(chunks):
+        def cut(off, end):
+            off, end = off.cast("int"), end.cast("int")
+            first = F.floor(off / _CHUNK).cast("int")
+            n = F.floor((end - 1) / _CHUNK).cast("int") - first + 1
+            return F.when(end <= off, F.lit("")).otherwise(
+                F.substring(F.array_join(F.slice(chunks, first + 1, n), ""), off - first * _CHUNK + 1, end - off))
+        return cut
+
+    # the chunks are a lambda's variable, hence made once
+    chunks = F.regexp_extract_all(code, F.lit(rf"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return F.get(F.transform(F.array(chunks), lambda c: F.transform(spans, lambda s: make(s, cut_from(c)))), F.lit(0))

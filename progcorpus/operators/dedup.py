@@ -2,9 +2,17 @@
 (A10, J1, W6, A3).
 
 A10 renames the local names of the wanted function to ``x_0, x_1, ...`` by
-binding, without running the program (the order is the first binding in
-preorder, so arguments come first), and fingerprints the renamed tree.  The
-fingerprint is the node count and the sums of the eight 32-bit slices of each
+binding, without running the program, and fingerprints the renamed tree.  Which
+binding an identifier means is resolved over the program's scope tree: each
+occurrence is joined to the scopes from its own outwards and means the nearest
+one that binds the name (class scopes only where the name stands in them
+directly; ``global`` and ``nonlocal`` as they say).  Renamed are the names bound
+in the wanted function and in its comprehensions, wherever they occur: in nested
+functions that capture them too, but not where a helper, a nested function, a
+keyword or the module has the same spelling.  The order is the first binding in
+preorder, so arguments come first.
+
+The fingerprint is the node count and the sums of the eight 32-bit slices of each
 node's SHA-256 (over preorder id, parent, field, position in field, type,
 renamed identifier, context, literal): a plain aggregation with partial
 combine, no per-program list is built.  Two programs that differ only in local
@@ -20,12 +28,15 @@ from progcorpus.operators.nodes import nodes_only
 from progcorpus.operators.sampling import modal_keys
 from progcorpus.session import splittable
 
+_COMPREHENSIONS = ["ListComp", "SetComp", "DictComp", "GeneratorExp"]
+
+
 def _binding():
     """Nodes that bind a name in their scope."""
     return ((F.col("type") == "arg")
             | ((F.col("type") == "Name") & F.col("ctx").isin("Store", "Del"))
             | F.col("type").isin("FunctionDef", "AsyncFunctionDef", "ClassDef", "alias", "ExceptHandler",
-                                 "MatchAs", "MatchStar"))
+                                 "MatchAs", "MatchStar", "MatchMapping"))
 
 
 def wanted_function(nt: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -38,35 +49,101 @@ def wanted_function(nt: DataFrame, pairs: DataFrame) -> DataFrame:
         .groupBy("code_id", "func_name").agg(F.max("fid").alias("fid"))
 
 
-def local_names(nt: DataFrame, target: DataFrame) -> DataFrame:
-    """Local names of the wanted function with their ordinal:
-    ``code_id, func_name, ident, new_ident``."""
-    binds = nodes_only(nt).where(_binding() & F.col("ident").isNotNull()) \
-        .select("code_id", "scope_id", "ident", "node_id")
-    scoped = binds.join(target.withColumnRenamed("fid", "scope_id"), on=["code_id", "scope_id"], how="inner")
-    # names the function declares global/nonlocal are not its locals
-    declared = (nodes_only(nt).where(F.col("type").isin("Global", "Nonlocal"))
-                .join(target.withColumnRenamed("fid", "scope_id"), on=["code_id", "scope_id"], how="inner")
-                .select("code_id", "func_name",
-                        F.explode(F.regexp_extract_all("literal", F.lit("'([^']*)'"), 1)).alias("ident")))
-    loc = (scoped.join(declared, on=["code_id", "func_name", "ident"], how="left_anti")
-           .groupBy("code_id", "func_name", "ident").agg(F.min("node_id").alias("_first")))
-    w = Window.partitionBy("code_id", "func_name").orderBy("_first")
-    return loc.select("code_id", "func_name", "ident",
+def _declared(n: DataFrame) -> DataFrame:
+    """Names of ``global`` and ``nonlocal`` statements: ``code_id, node_id, place, scope_id, type, ident``."""
+    return (n.where(F.col("type").isin("Global", "Nonlocal"))
+            .select("code_id", "node_id", "scope_id", "type",
+                    F.posexplode(F.regexp_extract_all("literal", F.lit("'([^']*)'"), 1)).alias("place", "ident")))
+
+
+def _visible_scopes(n: DataFrame) -> DataFrame:
+    """The scope tree closed upwards: ``code_id, scope_id, seen`` for every scope and each
+    scope whose names are visible in it (rows: scopes x their nesting depth)."""
+    opened = n.where(F.col("scope_path").isNotNull())
+    pairs = opened.select("code_id", F.col("node_id").alias("scope_id"), F.explode("scope_path").alias("seen"))
+    classes = opened.where(F.col("type") == "ClassDef").select("code_id", F.col("node_id").alias("seen"),
+                                                               F.lit(True).alias("_class"))
+    return (pairs.join(classes, on=["code_id", "seen"], how="left")
+            .where(F.col("_class").isNull() | (F.col("seen") == F.col("scope_id"))).select("code_id", "scope_id", "seen"))
+
+
+def name_bindings(n: DataFrame) -> DataFrame:
+    """``code_id, seen, ident, owner, first``: the names that each scope ``seen`` binds, the
+    scope that owns the binding (the module for ``global`` names), and the first
+    node that binds it there."""
+    declared = _declared(n)
+    bound = (n.where(_binding() & F.col("ident").isNotNull())
+             .groupBy("code_id", F.col("scope_id").alias("seen"), "ident").agg(F.min("node_id").alias("first"))
+             .join(declared.select("code_id", F.col("scope_id").alias("seen"), "ident").distinct(),
+                   on=["code_id", "seen", "ident"], how="left_anti"))
+    to_module = declared.where(F.col("type") == "Global").select(
+        "code_id", F.col("scope_id").alias("seen"), "ident", F.lit(0).alias("owner"),
+        F.lit(None).cast("int").alias("first")).distinct()
+    return bound.select("code_id", "seen", "ident", F.col("seen").alias("owner"), "first").unionByName(to_module)
+
+
+def local_names(n: DataFrame, target: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Local names of the wanted function with their ordinal: ``code_id,
+    func_name, owner, ident, new_ident`` (``owner``: the function itself or one of
+    its comprehensions)."""
+    scopes = n.where(F.col("scope_path").isNotNull() & F.col("type").isin(*_COMPREHENSIONS)).select(
+        "code_id", F.col("node_id").alias("owner"), "scope_path")
+    kinds = n.where(F.col("scope_path").isNotNull()).select("code_id", F.col("node_id").alias("seen"), F.col("type").alias("_t"))
+    # a comprehension belongs to the nearest scope around it that is none
+    home = (scopes.select("code_id", "owner", F.explode("scope_path").alias("seen"))
+            .join(kinds, on=["code_id", "seen"], how="inner").where(~F.col("_t").isin(*_COMPREHENSIONS))
+            .groupBy("code_id", "owner").agg(F.max("seen").alias("fid")))
+    owners = (target.select("code_id", "func_name", F.col("fid").alias("owner"))
+              .unionByName(target.join(home, on=["code_id", "fid"], how="inner").select("code_id", "func_name", "owner")))
+    loc = (bindings.where(F.col("owner") == F.col("seen")).select("code_id", "owner", "ident", "first")
+           .join(owners, on=["code_id", "owner"], how="inner"))
+    w = Window.partitionBy("code_id", "func_name").orderBy("first")
+    return loc.select("code_id", "func_name", "owner", "ident",
                       F.concat(F.lit("x_"), (F.row_number().over(w) - 1).cast("string")).alias("new_ident"))
 
 
+def resolve(occurrences: DataFrame, scopes: DataFrame, bindings: DataFrame) -> DataFrame:
+    """``occurrences`` (``code_id, node_id, place, ident, scope_id``) with the ``owner`` of
+    the binding each means; those bound nowhere drop out."""
+    return (occurrences.join(scopes, on=["code_id", "scope_id"], how="inner")
+            .join(bindings.select("code_id", "seen", "ident", "owner"), on=["code_id", "seen", "ident"], how="inner")
+            # scopes further in have larger preorder ids
+            .groupBy("code_id", "node_id", "place", "ident").agg(F.max_by("owner", "seen").alias("owner")))
+
+
+def renamed_nodes(nt: DataFrame, target: DataFrame) -> DataFrame:
+    """The nodes of the programs in ``target``, per wanted function, with ``new_ident``
+    (null: keeps its name) and ``new_literal`` (the names of a ``nonlocal``)."""
+    n = nodes_only(nt).join(target.select("code_id").distinct(), on="code_id", how="left_semi")
+    scopes, bindings = _visible_scopes(n), name_bindings(n)
+    names = local_names(n, target, bindings)
+    idents = names.select("code_id", "ident").distinct()
+    uses = (n.where(F.col("ident").isNotNull()).select("code_id", "node_id", F.lit(-1).alias("place"), "ident", "scope_id")
+            .unionByName(_declared(n).where(F.col("type") == "Nonlocal")
+                         .select("code_id", "node_id", "place", "ident", "scope_id"))
+            .join(idents, on=["code_id", "ident"], how="left_semi"))
+    found = (resolve(uses, scopes, bindings).join(names, on=["code_id", "owner", "ident"], how="inner")
+             .select("code_id", "func_name", "node_id", "place", "new_ident"))
+    new = found.where(F.col("place") < 0).drop("place")
+    # names of a nonlocal statement, in their order, local ones by their new names
+    said = (_declared(n).where(F.col("type") == "Nonlocal").join(target.select("code_id", "func_name"), on="code_id")
+            .join(found, on=["code_id", "func_name", "node_id", "place"], how="left")
+            .groupBy("code_id", "func_name", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+                "place", F.coalesce("new_ident", "ident").alias("x")))), lambda s: s["x"]), ",").alias("new_literal")))
+    return (n.join(target.select("code_id", "func_name"), on="code_id", how="inner")
+            .join(new, on=["code_id", "func_name", "node_id"], how="left")
+            .join(said, on=["code_id", "func_name", "node_id"], how="left"))
+
+
 def canonical_form(nt: DataFrame, pairs: DataFrame) -> DataFrame:
     """A10: ``code_id, func_name, normalized`` for every
     distinct (text, wanted name); no row when the text does not parse or does
     not define the name at module level (the class is then null)."""
-    target = wanted_function(nt, pairs)
-    names = local_names(nt, target)
-    n = nodes_only(nt).join(target.select("code_id", "func_name"), on="code_id", how="inner")
-    n = n.join(names, on=["code_id", "func_name", "ident"], how="left")
+    n = renamed_nodes(nt, wanted_function(nt, pairs))
     # fields are named in the JSON text, so a null and its neighbour can't trade places
     row = F.to_json(F.struct("node_id", "parent_id", "field", "child_ix", "type",
-                             F.coalesce("new_ident", "ident").alias("ident"), "ctx", "ltype", "literal"))
+                             F.coalesce("new_ident", "ident").alias("ident"), "ctx", "ltype",
+                             F.coalesce("new_literal", "literal").alias("literal")))
     n = n.select("code_id", "func_name", F.sha2(row, 256).alias("_h"))
     slices = [F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long")).cast("string") for i in range(8)]
     canon = n.groupBy("code_id", "func_name").agg(

@@ -11,9 +11,12 @@ Node columns: ``node_id`` preorder index (module = 0), ``parent_id``,
 ``field``/``child_ix`` (where the node hangs in its parent), ``bfs_ix``
 (breadth-first order, as ``ast.walk``), ``depth``, ``type``, ``ident`` (the
 identifier a node binds or names), ``ctx``, ``literal``/``ltype`` (other
-scalar fields; a constant's value), ``scope_id`` (nearest enclosing
-function/lambda/class node), source ``line``/``col``/``end_line``/``end_col``
-and character offsets ``off``/``end_off`` in the original text.
+scalar fields; a constant's value), ``scope_id`` (the scope the node's names
+belong to: module, class, function, lambda or comprehension; decorators,
+defaults, annotations, class bases and the first iterable of a comprehension
+belong to the scope around it), source ``line``/``col``/``end_line``/``end_col``,
+character offsets ``off``/``end_off`` in the original text, and ``scope_path``
+(on nodes that open a scope: the scopes from the module down to it).
 A text that does not parse gives a single row with ``node_id`` null and its
 ``compile_error`` class name.
 """
@@ -28,7 +31,7 @@ from progcorpus.session import buckets_of, materialize, splittable
 NODE_SCHEMA = ("code_id string, node_id int, parent_id int, child_ix int, bfs_ix int, depth int, "
                "field string, type string, ident string, ctx string, literal string, ltype string, "
                "scope_id int, line int, col int, end_line int, end_col int, off long, end_off long, "
-               "compile_error string")
+               "scope_path array<int>, compile_error string")
 _COLS = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
 
@@ -77,13 +80,34 @@ def _flatten(code: str) -> tuple[list[tuple], str | None]:
         c = (col if index is None else index[min(col, len(index) - 1)]) + shift
         return oline, c, start + c
 
-    scope_types = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
+    comprehensions = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
+    scope_types = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef, *comprehensions)
+    # fields of a scope node that belong to the scope around it
+    around = {ast.FunctionDef: ("decorator_list", "returns"), ast.AsyncFunctionDef: ("decorator_list", "returns"),
+              ast.ClassDef: ("decorator_list", "bases", "keywords")}
     ident_field = {ast.Name: "id", ast.arg: "arg", ast.FunctionDef: "name", ast.AsyncFunctionDef: "name",
                    ast.ClassDef: "name", ast.ExceptHandler: "name", ast.MatchAs: "name",
-                   ast.MatchStar: "name"}
+                   ast.MatchStar: "name", ast.MatchMapping: "rest"}
+    paths: dict[int, list[int]] = {0: [0]}       # scope -> the scopes from the module down to it
+    comp_scopes: set[int] = set()
+
+    def scope_of(node, nid, scope, f):
+        """The scope that a child's names belong to."""
+        if isinstance(node, scope_types):
+            return scope if f in around.get(type(node), ()) else nid
+        outer = paths[scope][-2] if len(paths[scope]) > 1 else scope
+        if (isinstance(node, ast.arguments) and f in ("defaults", "kw_defaults")
+                or isinstance(node, ast.arg) and f == "annotation"
+                or isinstance(node, ast.comprehension) and f == "iter" and node is first_loop.get(scope)):
+            return outer
+        if isinstance(node, ast.NamedExpr) and f == "target":       # binds outside of comprehensions
+            return next(x for x in reversed(paths[scope]) if x not in comp_scopes)
+        return scope
+
+    first_loop: dict[int, ast.AST] = {}
     rows: list[list] = []
     children: list[list[int]] = []
-    stack = [(tree, -1, None, 0, 0, None)]
+    stack = [(tree, -1, None, 0, 0, 0)]
     while stack:
         node, parent, field, ix, depth, scope = stack.pop()
         nid = len(rows)
@@ -123,9 +147,15 @@ def _flatten(code: str) -> tuple[list[tuple], str | None]:
         literal = ";".join(lits) if lits else None
         line, col, off = char_pos(getattr(node, "lineno", None), getattr(node, "col_offset", None))
         eline, ecol, eoff = char_pos(getattr(node, "end_lineno", None), getattr(node, "end_col_offset", None))
+        opens = isinstance(node, scope_types)
+        if opens:
+            paths[nid] = [*paths[scope], nid]
+        if isinstance(node, comprehensions):
+            comp_scopes.add(nid)
+            first_loop[nid] = node.generators[0]
         rows.append([nid, None if parent < 0 else parent, ix, None, depth, field, type(node).__name__, ident,
-                     ctx, literal, ltype, scope, line, col, eline, ecol, off, eoff])
-        child_scope = nid if isinstance(node, scope_types) else scope
+                     ctx, literal, ltype, scope, line, col, eline, ecol, off, eoff,
+                     paths[nid] if opens or not nid else None])
         kids = []
         for f, value in ast.iter_fields(node):
             if isinstance(value, ast.AST):
@@ -133,7 +163,7 @@ def _flatten(code: str) -> tuple[list[tuple], str | None]:
             elif isinstance(value, list):
                 kids.extend((v, f, i) for i, v in enumerate(value) if isinstance(v, ast.AST))
         for value, f, i in reversed(kids):
-            stack.append((value, nid, f, i, depth + 1, child_scope if nid > 0 else 0))
+            stack.append((value, nid, f, i, depth + 1, scope_of(node, nid, scope, f)))
     # breadth-first order over the same child order, as ast.walk visits
     # (context nodes are shared objects, so this walks ids, not nodes)
     queue, head = [0], 0
@@ -157,7 +187,8 @@ def _parse_batches(batches):
         ("field", pa.string()), ("type", pa.string()), ("ident", pa.string()), ("ctx", pa.string()),
         ("literal", pa.string()), ("ltype", pa.string()), ("scope_id", pa.int32()),
         ("line", pa.int32()), ("col", pa.int32()), ("end_line", pa.int32()), ("end_col", pa.int32()),
-        ("off", pa.int64()), ("end_off", pa.int64()), ("compile_error", pa.string())])
+        ("off", pa.int64()), ("end_off", pa.int64()), ("scope_path", pa.list_(pa.int32())),
+        ("compile_error", pa.string())])
 
     def empty():
         return {c: [] for c in _COLS}
@@ -247,18 +278,27 @@ def adjacency_list(nt: DataFrame) -> DataFrame:
                     F.coalesce("children", F.array().cast("array<int>")).alias("children")))
 
 
+def unparsed(nt: DataFrame, dim: DataFrame) -> DataFrame:
+    """The texts of ``dim`` that do not parse, in its layout: the ones whose functions
+    have to be found from tokens."""
+    failed = parse_status(nt).where(F.col("compile_error").isNotNull()).select("code_id")
+    return materialize(dim.join(failed, on="code_id", how="left_semi"), key="code_id", num_buckets=buckets_of(dim))
+
+
 def function_segments(nt: DataFrame, dim: DataFrame) -> DataFrame:
     """Function definitions located in the tree, in ``ast.walk`` order, with
     their source text cut from the original program (D24)."""
-    f = nodes_only(nt).where(F.col("type") == "FunctionDef").join(dim, on="code_id", how="inner")
-    return f.select("code_id", F.col("bfs_ix").alias("ord"), F.col("ident").alias("name"),
-                    F.substring("code", (F.col("off") + 1).cast("int"),
-                                (F.col("end_off") - F.col("off")).cast("int")).alias("string"))
+    from progcorpus.operators.functions import with_texts
+
+    f = nodes_only(nt).where(F.col("type") == "FunctionDef")
+    return with_texts(f.select("code_id", F.col("bfs_ix").alias("ord"), F.col("ident").alias("name"), "off", "end_off"), dim)
 
 
 def function_map(nt: DataFrame, dim: DataFrame, ft: DataFrame) -> DataFrame:
     """``code_id, name, ix, definition`` — tree
-    located functions for texts that parse, token located ones otherwise."""
+    located functions for texts that parse, token located ones otherwise
+    (``ft``: the function table of the texts that do not parse; rows of others
+    are ignored)."""
     status = parse_status(nt)
     tree_fns = function_segments(nt, dim)
     token_fns = (ft.join(status.where(F.col("compile_error").isNotNull()), on="code_id", how="left_semi")
@@ -269,10 +309,12 @@ def function_map(nt: DataFrame, dim: DataFrame, ft: DataFrame) -> DataFrame:
                        F.col("string").alias("definition"))
 
 
-def first_function_name(nt: DataFrame, dim: DataFrame, ft: DataFrame) -> DataFrame:
-    """T5: first key of the function map, ``''`` if none."""
-    firsts = function_segments(nt, dim).groupBy("code_id").agg(F.min_by("name", "ord").alias("_t"))
-    tok_first = ft.groupBy("code_id").agg(F.min_by("name", "fn_pos").alias("_k"))
+def first_function_name(nt: DataFrame, dim: DataFrame, definitions: DataFrame) -> DataFrame:
+    """T5: first key of the function map, ``''`` if none.  Needs no text: names come
+    from the tree, or for texts that do not parse from ``definitions``."""
+    firsts = nodes_only(nt).where(F.col("type") == "FunctionDef").groupBy("code_id").agg(
+        F.min_by("ident", "bfs_ix").alias("_t"))
+    tok_first = definitions.groupBy("code_id").agg(F.min_by("name", "fn_pos").alias("_k"))
     status = parse_status(nt)
     return (dim.select("code_id").join(status, on="code_id", how="inner")
             .join(firsts, on="code_id", how="left").join(tok_first, on="code_id", how="left")
@@ -299,46 +341,61 @@ def docstring_nodes(nt: DataFrame) -> DataFrame:
                     "end_col", "off", "end_off", F.coalesce("_has_next", F.lit(True)).alias("sole"), "value"))
 
 
+_LINE_END = r"(?<![^\r\n])[^\r\n]*+\z"              # what a text ends with on its last line
+_NOTHING_LEFT = r"^[ \t\f]*+;?[ \t\f]*+(?:#[^\r\n]*+)?(?=[\r\n]|\z)"
+
+
+def _without(pieces, docs):
+    """The text put together from the pieces around its docstrings.
+
+    A docstring whose line holds nothing else goes with its line; one that is
+    the whole body becomes ``pass``; one that shares its line with the statements
+    after it goes with the separator."""
+    def gone(i):        # the docstring between pieces i and i + 1 goes with its line
+        lead = F.regexp_extract(F.get(pieces, i), _LINE_END, 0)
+        return (~F.get(docs, i)["sole"] & (F.translate(lead, " \t\f", "") == "")
+                & F.get(pieces, i + 1).rlike(_NOTHING_LEFT))
+
+    def head(i):        # piece i without what the docstring before it takes along
+        text, before = F.get(pieces, i), F.get(docs, i - 1)
+        return (F.when(i == 0, text)
+                .when(gone(i - 1), F.regexp_replace(text, r"^[^\r\n]*+(?:\r\n|\r|\n)?+", ""))
+                .when(before["sole"], F.regexp_replace(text, r"^[ \t\f]*+(?:#[^\r\n]*+)?(?=[\r\n]|\z)", ""))
+                .otherwise(F.regexp_replace(text, r"^[ \t\f]*+;?[ \t\f]*+", "")))
+
+    def piece(text, i):
+        lead = F.regexp_extract(F.get(pieces, i), _LINE_END, 0)
+        return (F.when(i == F.size(docs), head(i))
+                .when(gone(i), F.substring(head(i), F.lit(1), F.length(head(i)) - F.length(lead)))
+                .when(F.get(docs, i)["sole"], F.concat(head(i), F.lit("pass"))).otherwise(head(i)))
+
+    return F.array_join(F.transform(pieces, piece), "")
+
+
 def strip_docstrings(nt: DataFrame, dim: DataFrame) -> DataFrame:
-    """``code_id, stripped, docstrings`` — the lines
-    of every function/class docstring removed (a docstring that was the whole
+    """``code_id, stripped, docstrings`` — every function/class docstring
+    removed (a docstring that was the whole
     body becomes ``pass``, D27), line ends normalised; the removed docstrings
     (cleaned like ``inspect.cleandoc``) joined by a blank line.  Null for a
-    text that does not parse."""
-    from progcorpus.functions.lines import clean_docstrings
+    text that does not parse.  A text's docstrings are gathered and meet it once."""
+    from progcorpus.functions.lines import clean_docstrings, cut_spans
 
-    # one row per docstring, read by 4 branches
+    # one row per docstring, read by two branches
     docs = materialize(docstring_nodes(nt), key="code_id", num_buckets=buckets_of(dim))
-    lines = dim.select("code_id", F.posexplode(F.split("code", "\r\n|\r|\n", -1)).alias("ix", "text")) \
-        .withColumn("line", (F.col("ix") + 1).cast("int"))
-    # a docstring on lines of its own loses those lines; one that shares its
-    # line with code (``def f(): "doc"; return 1``) is replaced by ``pass``
-    # the text before the docstring on its first line and after it on its last
-    # line, cut from the program by character offsets (one row per text joined)
-    after = F.substr(F.col("code"), (F.col("end_off") + 1).cast("int"))
-    ends = (docs.join(dim, on="code_id", how="inner")
-            .withColumn("_lead", F.substring(F.col("code"), (F.col("off") - F.col("col") + 1).cast("int"),
-                                             F.col("col")))
-            .withColumn("_tail", F.regexp_extract(after, "^[^\\r\\n]*", 0))
-            .drop("code"))
-    ends = ends.withColumn(
-        "_whole", (F.col("line") != F.col("end_line"))
-        | (F.col("_lead").rlike("^[ \\t\\f]*$") & F.col("_tail").rlike("^[ \\t\\f]*(#.*)?$")))
-    dropped = ends.select("code_id", F.explode(F.sequence("line", "end_line")).alias("line"))
-    passes = (ends.where(F.col("_whole") & F.col("sole"))
-              .select("code_id", "line", F.concat(F.repeat(F.lit(" "), F.col("col")), F.lit("pass")).alias("text"))
-              .unionByName(ends.where(~F.col("_whole")).select(
-                  "code_id", "line", F.concat("_lead", F.lit("pass"), "_tail").alias("text"))))
-    kept = (lines.join(dropped, on=["code_id", "line"], how="left_anti").select("code_id", "line", "text")
-            .unionByName(passes))
-    text = kept.groupBy("code_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("stripped"))
+    lists = docs.groupBy("code_id").agg(F.array_sort(F.collect_list(F.struct("off", "end_off", "sole"))).alias("_d"))
+    d, code = F.col("_d"), F.col("code")
+    between = F.transform(F.sequence(F.lit(0), F.size(d)), lambda i: F.struct(
+        F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(d, i - 1)["end_off"]).alias("a"),
+        F.when(i == F.size(d), F.length(code).cast("long")).otherwise(F.get(d, i)["off"]).alias("b")))
+    pieces = cut_spans(code, between, lambda s, cut: cut(s["a"], s["b"]))
+    text = F.when(d.isNull(), code).otherwise(F.get(F.transform(F.array(pieces), lambda p: _without(p, d)), F.lit(0)))
     docstrings = clean_docstrings(docs, "value").groupBy("code_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("expr_id", F.col("value").alias("doc")))), lambda s: s["doc"]), "\n\n")
         .alias("docstrings"))
     ok = parse_status(nt).where(F.col("compile_error").isNull()).select("code_id")
-    return (dim.select("code_id").join(ok, on="code_id", how="left_semi")
-            .join(text, on="code_id", how="left").join(docstrings, on="code_id", how="left")
+    return (dim.join(ok, on="code_id", how="left_semi").join(lists, on="code_id", how="left")
+            .select("code_id", F.regexp_replace(text, "\r\n|\r", "\n").alias("stripped"))
+            .join(docstrings, on="code_id", how="left")
             .select("code_id", "stripped", F.coalesce("docstrings", F.lit("")).alias("docstrings")))
 
 

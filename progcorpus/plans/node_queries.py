@@ -27,7 +27,7 @@ class _Corpus:
         self.code_col = code_col
         self.subs = T.with_code_id(base, code_col)
         self.dim = T.code_dim(self.subs, code_col)
-        self._job = self._nt = self._ft = None
+        self._job = self._nt = self._unparsed = None
 
     @property
     def job(self):
@@ -42,10 +42,18 @@ class _Corpus:
         return self._nt
 
     @property
-    def ft(self):
-        if self._ft is None:
-            self._ft = FN.function_table(self.job, self.dim)
-        return self._ft
+    def unparsed(self):
+        """The texts that do not parse, and their tokens."""
+        if self._unparsed is None:
+            dim = N.unparsed(self.nt, self.dim)
+            self._unparsed = dim, T.token_table(dim)
+        return self._unparsed
+
+    @property
+    def token_functions(self):
+        """The function table of the texts that do not parse."""
+        dim, job = self.unparsed
+        return FN.function_table(job, dim)
 
     def pairs(self):
         return self.subs.select("code_id", "func_name").distinct()
@@ -123,14 +131,14 @@ SELECT d.code_id, {_named('gtf.name')} AS name,
 FROM d JOIN gtf USING (v)""", ctes(DIM, _tree_functions_sql()))
 def q_function_map(spark, sf):
     c = _Corpus(spark, sf)
-    return N.function_map(c.nt, c.dim, c.ft)
+    return N.function_map(c.nt, c.dim, c.token_functions)
 
 
 @query("first_function_name", f"SELECT d.code_id, {_named('gs.first_function')} AS first_function "
                               "FROM d JOIN gs USING (v)", ctes(DIM, golden_scalars()))
 def q_first_function_name(spark, sf):
     c = _Corpus(spark, sf)
-    return N.first_function_name(c.nt, c.dim, c.ft)
+    return N.first_function_name(c.nt, c.dim, FN.definitions(c.unparsed[1]))
 
 
 @query("strip_docstrings", """
@@ -203,7 +211,7 @@ FROM completions c LEFT JOIN (SELECT v, arg_min(string, ix) AS s FROM gf WHERE n
   USING (v)""", ctes(golden_funcs()))
 def q_predicted_function_b(spark, sf):
     c = _Corpus(spark, sf, code_col="completion", source="completions")
-    fm = N.function_map(c.nt, c.dim, c.ft)
+    fm = N.function_map(c.nt, c.dim, c.token_functions)
     return N.predicted_function_b(fm, c.subs).select("sub_id", "predicted")
 
 

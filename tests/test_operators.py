@@ -156,13 +156,13 @@ def test_subroutines_substring_rule(spark):
     assert strict == ["xh"]
 
 
-def test_inline_docstring_becomes_pass(spark):
+def test_inline_docstring_goes_with_its_separator(spark):
     rows = [(1, "f", 'def f(): "doc"; return 1\n'), (2, "f", 'def f(a):\n    "doc"  # c\n    return a')]
     subs = T.with_code_id(_subs(rows, spark))
     dim = T.code_dim(subs)
     out = {r.code_id: (r.stripped, r.docstrings) for r in N.strip_docstrings(N.node_table(dim), dim).collect()}
     got = {s: out[c] for s, c in [(r.sub_id, r.code_id) for r in subs.collect()]}
-    assert got[1] == ("def f(): pass; return 1\n", "doc")
+    assert got[1] == ("def f(): return 1\n", "doc")
     assert got[2] == ("def f(a):\n    return a", "doc")
 
 
@@ -223,17 +223,29 @@ def test_canonical_form_property(spark):
     check()
 
 
-def test_sorted_median_matches_statistics(spark):
+def test_group_median_matches_statistics(spark):
     import random
     import statistics
     from collections import Counter
 
-    from pyspark.sql import functions as F
+    from progcorpus.operators.ordering import group_median
 
     random.seed(3)
     groups = [[random.randint(0, 9) for _ in range(random.randint(1, 40))] for _ in range(30)]
-    rows = [(g, float(v), c) for g, vals in enumerate(groups) for v, c in Counter(vals).items()]
+    rows = [(g, float(v), c) for g, vals in enumerate(groups) for v, c in Counter(vals).items()] + [(None, 1.0, 5)]
     df = spark.createDataFrame(rows, "g int, v double, c long")
-    arr = df.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("h"))
-    got = {r.g: r.m for r in arr.select("g", sampling.sorted_median(F.col("h")).alias("m")).collect()}
+    got = {r.g: r["median"] for r in group_median(df, ["g"], "v", "c").collect()}
     assert got == {g: float(statistics.median(vals)) for g, vals in enumerate(groups)}
+
+
+def test_running_sums_over_many_partitions(spark, monkeypatch):
+    from progcorpus.operators import ordering
+
+    monkeypatch.setattr(ordering, "TASK_ROWS", 7)
+    rows = [(g, v, v % 5 + 1) for g in ("hot", "cold") for v in range(60 if g == "hot" else 3)]
+    df = spark.createDataFrame(rows, "g string, v int, c long")
+    got = {(r.g, r.v): r.running for r in ordering.group_running_sum(df, ["g"], "v", "c").collect()}
+    assert got == {(g, v): sum(c for h, u, c in rows if h == g and u <= v) for g, v, _ in rows}
+    numbered = ordering.group_row_number(df, ["g"], [F.col("v").desc()])
+    assert {(r.g, r.v): r.rn for r in numbered.collect()} == {
+        (g, v): sum(h == g and u >= v for h, u, _ in rows) for g, v, _ in rows}
