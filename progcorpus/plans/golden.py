@@ -380,7 +380,91 @@ GOLDEN = {0: {'tokenizes': True,
                           '    return a')],
       'positional_args': 'a b',
       'n_indent': 1,
-      'n_dedent': 1}}
+      'n_dedent': 1},
+ 16: {'tokenizes': True,
+     'compile_error': None,
+     'n_nodes': 26,
+     'variables': 'a b',
+     'multi_function': True,
+     'first_function': 'helper',
+     'n_tokens': 33,
+     'operators': {},
+     'numbers': {},
+     'strings': {'f"{helper(a)}#{d["#k"]}"': '29'},
+     'variable_locations': {'a': '4,11,19', 'b': '22'},
+     'defs': 2,
+     'def_positions': '0,15',
+     'max_indent_depth': 1,
+     'operator_seq': '',
+     'adjacency_md5': 'b185a1dda1665bcb991ceaaf87a73736',
+     'tree_functions': [('helper', 'def helper(a):\n    return a'),
+                        ('task_0', 'def task_0(a, b):\n    return f"{helper(a)}#{d["#k"]}"')],
+     'positional_args': 'a b',
+     'n_indent': 2,
+     'n_dedent': 2},
+ 17: {'tokenizes': True,
+     'compile_error': None,
+     'n_nodes': 26,
+     'variables': 'a x',
+     'multi_function': True,
+     'first_function': 'helper',
+     'n_tokens': 33,
+     'operators': {},
+     'numbers': {},
+     'strings': {'f"{helper(x)}#{d["#k"]}"': '29'},
+     'variable_locations': {'a': '4,11,22', 'x': '19'},
+     'defs': 2,
+     'def_positions': '0,15',
+     'max_indent_depth': 1,
+     'operator_seq': '',
+     'adjacency_md5': 'b185a1dda1665bcb991ceaaf87a73736',
+     'tree_functions': [('helper', 'def helper(a):\n    return a'),
+                        ('task_0', 'def task_0(x, a):\n    return f"{helper(x)}#{d["#k"]}"')],
+     'positional_args': 'x a',
+     'n_indent': 2,
+     'n_dedent': 2},
+ 18: {'tokenizes': True,
+     'compile_error': None,
+     'n_nodes': 16,
+     'variables': 'max',
+     'multi_function': True,
+     'first_function': 'helper',
+     'n_tokens': 37,
+     'operators': {},
+     'numbers': {'1': '12', '2': '15'},
+     'strings': {},
+     'variable_locations': {'max': '10,24'},
+     'defs': 2,
+     'def_positions': '0,20',
+     'max_indent_depth': 1,
+     'operator_seq': '',
+     'adjacency_md5': '533b296bb4205725fbcf4198253b649d',
+     'tree_functions': [('helper', 'def helper():\n    return max(1, 2)'),
+                        ('task_0', 'def task_0(max):\n    return helper()')],
+     'positional_args': 'max',
+     'n_indent': 2,
+     'n_dedent': 2},
+ 19: {'tokenizes': True,
+     'compile_error': None,
+     'n_nodes': 16,
+     'variables': 'min',
+     'multi_function': True,
+     'first_function': 'helper',
+     'n_tokens': 37,
+     'operators': {},
+     'numbers': {'1': '12', '2': '15'},
+     'strings': {},
+     'variable_locations': {'min': '10,24'},
+     'defs': 2,
+     'def_positions': '0,20',
+     'max_indent_depth': 1,
+     'operator_seq': '',
+     'adjacency_md5': '533b296bb4205725fbcf4198253b649d',
+     'tree_functions': [('helper', 'def helper():\n    return min(1, 2)'),
+                        ('task_0', 'def task_0(min):\n    return helper()')],
+     'positional_args': 'min',
+     'n_indent': 2,
+     'n_dedent': 2}}
 
 # Relevant part per template ("{f}" = the question's function),
 # and equivalence class inside a question (None = no class, dropped).
@@ -392,9 +476,13 @@ RELEVANT = {
     6: "WHOLE", 7: "def {f}(a, b):", 8: "", 9: "WHOLE",
     10: "def {f}(a, b):\n    return b", 11: "WHOLE", 12: "",
     13: "def {f}(a, b):\r\n    return a * b", 14: "", 15: "WHOLE",
+    16: 'def helper(a):\n    return a\ndef {f}(a, b):\n    return f"{helper(a)}#{d["#k"]}"',
+    17: 'def helper(a):\n    return a\ndef {f}(x, a):\n    return f"{helper(x)}#{d["#k"]}"',
+    18: "def helper():\n    return max(1, 2)\ndef {f}(max):\n    return helper()",
+    19: "def helper():\n    return min(1, 2)\ndef {f}(min):\n    return helper()",
 }
 CLASS = {0: "A", 1: "A", 2: "B", 3: "C", 4: "D", 5: "E", 6: None, 7: None, 8: None, 9: "B",
-         10: "F", 11: "G", 12: None, 13: "H", 14: None, 15: "I"}
+         10: "F", 11: "G", 12: None, 13: "H", 14: None, 15: "I", 16: "J", 17: "J", 18: "K", 19: "L"}
 
 # Functions of each template in source order, (name, text);
 # "WHOLE" = from the first "def" to the end of the text.
@@ -406,6 +494,10 @@ FUNCS = {
     10: [("{f}", "def {f}(a, b):\n    return a\n"), ("{f}", "def {f}(a, b):\n    return b")],
     11: [("{f}", "WHOLE")], 12: [("other", "WHOLE")], 13: [("{f}", "def {f}(a, b):\r\n    return a * b\r\n")],
     14: [], 15: [("{f}", "WHOLE")],
+    16: [("helper", "def helper(a):\n    return a\n\n"), ("{f}", 'def {f}(a, b):\n    return f"{helper(a)}#{d["#k"]}"')],
+    17: [("helper", "def helper(a):\n    return a\n\n"), ("{f}", 'def {f}(x, a):\n    return f"{helper(x)}#{d["#k"]}"')],
+    18: [("helper", "def helper():\n    return max(1, 2)\n\n"), ("{f}", "def {f}(max):\n    return helper()")],
+    19: [("helper", "def helper():\n    return min(1, 2)\n\n"), ("{f}", "def {f}(min):\n    return helper()")],
 }
 # Cleaned text per template (None = does not tokenize).
 CLEAN = {
@@ -413,6 +505,10 @@ CLEAN = {
     4: "def helper(u):\n    return u ** 2\ndef {f}(a, b):\n    return helper(a) // b",
     5: "WHOLE", 6: "WHOLE", 7: "WHOLE", 8: None, 9: "WHOLE", 10: "WHOLE", 11: "WHOLE", 12: "WHOLE",
     13: "def {f}(a, b):\n    return a * b", 14: "", 15: "WHOLE",
+    16: 'def helper(a):\n    return a\ndef {f}(a, b):\n    return f"{helper(a)}#{d["#k"]}"',
+    17: 'def helper(a):\n    return a\ndef {f}(x, a):\n    return f"{helper(x)}#{d["#k"]}"',
+    18: "def helper():\n    return max(1, 2)\ndef {f}(max):\n    return helper()",
+    19: "def helper():\n    return min(1, 2)\ndef {f}(min):\n    return helper()",
 }
 
 # Whitespace-preserving token stream per template (stdlib tokenizer).
@@ -572,4 +668,32 @@ TOKENS = {0: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP
       ('UNIMPORTANT_WS', '    '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '='),
       ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('UNIMPORTANT_WS', ' '), ('OP', '+'), ('UNIMPORTANT_WS', ' '),
       ('NUMBER', '1'), ('NEWLINE', '\n'), ('UNIMPORTANT_WS', '    '), ('NAME', 'return'),
-      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')]}
+      ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')],
+ 16: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'helper'), ('OP', '('), ('NAME', 'a'), ('OP', ')'),
+     ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '),
+     ('NAME', 'a'), ('NEWLINE', '\n'), ('NL', '\n'), ('DEDENT', ''), ('NAME', 'def'),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'a'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'b'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+     ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('STRING', 'f"{helper(a)}#{d["#k"]}"'), ('NEWLINE', ''),
+     ('DEDENT', ''), ('ENDMARKER', '')],
+ 17: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'helper'), ('OP', '('), ('NAME', 'a'), ('OP', ')'),
+     ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '),
+     ('NAME', 'a'), ('NEWLINE', '\n'), ('NL', '\n'), ('DEDENT', ''), ('NAME', 'def'),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'task_0'), ('OP', '('), ('NAME', 'x'), ('OP', ','),
+     ('UNIMPORTANT_WS', ' '), ('NAME', 'a'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'), ('INDENT', '    '),
+     ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('STRING', 'f"{helper(x)}#{d["#k"]}"'), ('NEWLINE', ''),
+     ('DEDENT', ''), ('ENDMARKER', '')],
+ 18: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'helper'), ('OP', '('), ('OP', ')'), ('OP', ':'),
+     ('NEWLINE', '\n'), ('INDENT', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'max'),
+     ('OP', '('), ('NUMBER', '1'), ('OP', ','), ('UNIMPORTANT_WS', ' '), ('NUMBER', '2'), ('OP', ')'),
+     ('NEWLINE', '\n'), ('NL', '\n'), ('DEDENT', ''), ('NAME', 'def'), ('UNIMPORTANT_WS', ' '),
+     ('NAME', 'task_0'), ('OP', '('), ('NAME', 'max'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'),
+     ('INDENT', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'helper'), ('OP', '('),
+     ('OP', ')'), ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')],
+ 19: [('NAME', 'def'), ('UNIMPORTANT_WS', ' '), ('NAME', 'helper'), ('OP', '('), ('OP', ')'), ('OP', ':'),
+     ('NEWLINE', '\n'), ('INDENT', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'min'),
+     ('OP', '('), ('NUMBER', '1'), ('OP', ','), ('UNIMPORTANT_WS', ' '), ('NUMBER', '2'), ('OP', ')'),
+     ('NEWLINE', '\n'), ('NL', '\n'), ('DEDENT', ''), ('NAME', 'def'), ('UNIMPORTANT_WS', ' '),
+     ('NAME', 'task_0'), ('OP', '('), ('NAME', 'min'), ('OP', ')'), ('OP', ':'), ('NEWLINE', '\n'),
+     ('INDENT', '    '), ('NAME', 'return'), ('UNIMPORTANT_WS', ' '), ('NAME', 'helper'), ('OP', '('),
+     ('OP', ')'), ('NEWLINE', ''), ('DEDENT', ''), ('ENDMARKER', '')]}

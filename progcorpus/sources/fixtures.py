@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from progcorpus.sources.tables import read_table
 
 # ---------------------------------------------------------------------------
-# The sixteen program templates of FIXTURES.md §3.  ``{f}`` is
+# The twenty program templates of FIXTURES.md §3.  ``{f}`` is
 # replaced by the question's function name.
 # ---------------------------------------------------------------------------
 TEMPLATES: list[str] = [
@@ -41,7 +41,14 @@ TEMPLATES: list[str] = [
     "\n\ndef {f}(a, b):\r\n    return a * b\r\n",
     "",
     "def {f}(a, b):\n" + "    a = a + 1\n" * 30 + "    return a",
+    'def helper(a):\n    return a\n\ndef {f}(a, b):\n    return f"{helper(a)}#{d["#k"]}"',
+    'def helper(a):\n    return a\n\ndef {f}(x, a):\n    return f"{helper(x)}#{d["#k"]}"',
+    "def helper():\n    return max(1, 2)\n\ndef {f}(max):\n    return helper()",
+    "def helper():\n    return min(1, 2)\n\ndef {f}(min):\n    return helper()",
 ]
+# Remainders of a row's number by 150 that have a template of their
+# own; all others have the template of the remainder by 15.
+RARE = {14: 15, 29: 16, 44: 17, 59: 18, 74: 19}
 # The test string of every tested question, and the prelude of
 # question task_9.
 TEST_TEMPLATE = "assert {f}(1, 2) == 3 and {f}(2, 2) == 4"
@@ -69,7 +76,9 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sub_id, func_name, func_code, description, test, correct, ref_sol``."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     func_name = _question("o_orderkey", "o_custkey")
-    v = F.when(F.col("o_orderkey") % 150 == 14, F.lit(15)).otherwise(F.col("o_orderkey") % 15)
+    v = F.col("o_orderkey") % 15
+    for rest, template in RARE.items():
+        v = F.when(F.col("o_orderkey") % 150 == rest, F.lit(template)).otherwise(v)
     test = F.when((F.col("func_name") == "task_8") | (F.col("sub_id") % 4 == 0), F.lit(None)) \
         .otherwise(F.concat(F.when(F.col("func_name") == "task_9", F.lit(TASK9_PRELUDE)).otherwise(F.lit("")),
                             F.replace(F.lit(TEST_TEMPLATE), F.lit("{f}"), F.col("func_name"))))
@@ -95,7 +104,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated programs ``sub_id, func_name, completion``."""
     p = read_table(spark, sf_dir, "part").select("p_partkey")
     func_name = _question("p_partkey", "p_partkey")
-    body = F.replace(_template_col((F.col("p_partkey") % 16).cast("int")), F.lit("{f}"), func_name)
+    body = F.replace(_template_col((F.col("p_partkey") % len(TEMPLATES)).cast("int")), F.lit("{f}"), func_name)
     return p.select(F.col("p_partkey").alias("sub_id"), func_name.alias("func_name"),
                     F.concat(F.lit(COMPLETION_HEADER), body).alias("completion"))
 
@@ -135,7 +144,7 @@ SUBMISSIONS_SQL = f"""
 submissions_v AS (
   SELECT o_orderkey AS sub_id,
          {_sql_question('o_orderkey', 'o_custkey')} AS func_name,
-         CAST(CASE WHEN o_orderkey % 150 = 14 THEN 15 ELSE o_orderkey % 15 END AS INTEGER) AS v,
+         CAST(CASE o_orderkey % 150 {' '.join(f'WHEN {r} THEN {t}' for r, t in RARE.items())} ELSE o_orderkey % 15 END AS INTEGER) AS v,
          o_orderstatus = 'F' AS correct,
          o_orderkey % 100 = 0 AS ref_sol
   FROM orders),
@@ -152,9 +161,9 @@ observed AS (
   SELECT l_orderkey AS sub_id, l_linenumber AS case_no, l_returnflag <> 'R' AS passed FROM lineitem),
 completions AS (
   SELECT p_partkey AS sub_id, {_sql_question('p_partkey', 'p_partkey')} AS func_name,
-         {sql_str(COMPLETION_HEADER)} || replace({_sql_template('CAST(p_partkey % 16 AS INTEGER)')}, '{{f}}',
+         {sql_str(COMPLETION_HEADER)} || replace({_sql_template(f'CAST(p_partkey % {len(TEMPLATES)} AS INTEGER)')}, '{{f}}',
                  {_sql_question('p_partkey', 'p_partkey')}) AS completion,
-         CAST(p_partkey % 16 AS INTEGER) AS v
+         CAST(p_partkey % {len(TEMPLATES)} AS INTEGER) AS v
   FROM part),
 cmodal AS (SELECT func_name, func_code AS destination FROM (
   SELECT func_name, func_code, row_number() OVER (PARTITION BY func_name ORDER BY count(*) DESC, min(sub_id)) AS rn

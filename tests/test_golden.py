@@ -16,4 +16,5 @@ def test_golden_values_are_current():
 
 def test_fixture_node_counts():
     # FIXTURES.md §4
-    assert [GOLDEN[v]["n_nodes"] for v in range(16)] == [17, 17, 12, 19, 24, 21, 0, 0, 0, 12, 15, 44, 12, 12, 1, 248]
+    assert [GOLDEN[v]["n_nodes"] for v in range(20)] == [17, 17, 12, 19, 24, 21, 0, 0, 0, 12, 15, 44, 12, 12, 1, 248,
+                                                            26, 26, 16, 16]

@@ -40,4 +40,4 @@ def test_query_matches_oracle(spark, duck, name):
 def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["sub_id", "func_name", "func_code"]
-    assert df.count() == 549  # FIXTURES.md §5, sf0.001
+    assert df.count() == 585  # FIXTURES.md §5, sf0.001

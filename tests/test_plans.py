@@ -59,7 +59,7 @@ def test_code_dim_combines_copies_map_side(spark):
 
     subs = with_code_id(fx.submissions(spark, SF))
     dim = code_dim(subs)
-    assert dim.count() == 708          # FIXTURES.md §5: distinct texts at sf0.001
+    assert dim.count() == 744          # FIXTURES.md §5: distinct texts at sf0.001
     # the dedup before the first shuffle of the corpus is a partial aggregate
     from pyspark.sql import functions as F
     agg = subs.select("code_id", "func_code").groupBy("code_id").agg(F.any_value("func_code"))
