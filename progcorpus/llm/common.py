@@ -4,16 +4,44 @@ from __future__ import annotations
 
 import sys
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from progcorpus.session import checkpoint_dir
+from progcorpus.session import checkpoint_dir, job_tables
+
+
+# folders named by ``scratch`` while a ``job_scratch`` block is open
+_OWNED: list[list[str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def job_scratch(spark: SparkSession):
+    """Owns the scratch folders made inside the block, and the tables of
+    ``session.materialize``: at its end they are deleted, so results must have been
+    written elsewhere before."""
+    _OWNED.append([])
+    try:
+        with job_tables(spark):
+            yield
+    finally:
+        for path in _OWNED.pop():
+            drop(spark, path)
 
 
 def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
