@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from progcorpus.llm import bpe, linededup, ngramjoin, phraseindex, toxicity
-from progcorpus.llm.common import store
+from progcorpus.llm.common import drop, job_scratch, scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,16 @@ ORACLE_SQL = None   # the classifier and the tokenizer have no SQL; tests/llm/te
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.  A stage's scratch goes when its result is
+    written, and that result when the next one has read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch(spark, f"pipeline-{name}")
+        with job_scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        if last:
+            drop(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), path
     return docs
