@@ -34,8 +34,10 @@ single row is its own next one; an empty table gives no rows.  Other columns are
 ignored.  Equal identity lanes have likeness 1; texts without words are alike only
 if equal.
 
-Scale: texts move once, into ranges of ids.  The ranges' bounds come from the ids
-alone (one id per range is collected), and the first row of the next range is
+Scale: texts move once, into ranges of ``(id, beginning of the text)``, a partition each,
+so an id that many rows share is cut apart too.  The ranges' bounds come from these
+keys alone (one of at most 72 bytes per range is collected; there are at most
+``RANGES``, which grow with the data), and the first row of the next range is
 added to every range, so no row waits for another task.
 """
 
@@ -52,7 +54,9 @@ from progcorpus.llm.textblocks import NONSPACE, chain, mix, words
 
 IDENTITY, LIKENESS = 32, 128        # lanes
 RUN = 3                             # words of a run
-RANGE_BYTES = 16 << 20              # text of one range of ids
+RANGE_BYTES = 16 << 20              # text of one range, at least
+RANGES = 1 << 16                    # ranges, at most
+BEGIN = 16                          # code points of a text that rows of one id are ranged by
 STEP = 1 << 15                      # runs whose signs are expanded at a time
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -206,13 +210,22 @@ def _edit_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def _range_starts(docs: DataFrame, range_bytes: int) -> list:
-    """The first id of every range, in order (ranges are cut from the ids alone)."""
+def _keys(ids, begins):
+    """``(id, beginning)`` as byte strings in the same order; null ids first."""
+    # a null id shares its code with the least one: such rows only share a range
+    return [(0 if i is None else int(i) + (1 << 63)).to_bytes(8, "big") + (b or "").encode() for i, b in zip(ids, begins)]
+
+
+def _range_starts(docs: DataFrame, range_bytes: int) -> list[bytes]:
+    """The first key of every range, in order (ranges are cut from the keys alone)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // range_bytes))
-    first = (docs.select("doc_id").repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id().alias("p"))
-             .agg(F.min(F.struct("doc_id")).alias("first")).select("first.doc_id").distinct().collect())
-    return sorted((r.doc_id for r in first), key=lambda x: (x is not None, x))
+    n = max(1, min(RANGES, -(-total // range_bytes)))
+    keys = docs.select("doc_id", F.substring("text", 1, BEGIN).alias("begin"))
+    first = (keys.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("begin").asc_nulls_first())
+             .groupBy(F.spark_partition_id().alias("p"))
+             .agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.coalesce("begin", F.lit("")).alias("begin")))
+                  .alias("k")).select("k.doc_id", "k.begin").collect())
+    return sorted(set(_keys([r.doc_id for r in first], [r.begin for r in first])))
 
 
 def edit_likeness(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -223,21 +236,26 @@ def edit_likeness(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     starts = _range_starts(docs, range_bytes)
     if not starts:
         return spark.createDataFrame([], SCHEMA)
-    lowest = -(1 << 63)
-    bounds = spark.sparkContext.broadcast(np.array([lowest if s is None else s for s in starts]))
+    bounds = spark.sparkContext.broadcast(starts)
 
-    @F.pandas_udf("long")
-    def bucket_of(ids):
-        import pandas as pd
+    @F.pandas_udf("struct<bucket int, head boolean>")
+    def range_of(ids, begins):
+        from bisect import bisect_right
 
-        return pd.Series(np.maximum(np.searchsorted(bounds.value, ids.to_numpy(), side="right") - 1, 0))
+        import pandas as pd
 
-    heads = spark.createDataFrame([(s, (b - 1) % len(starts)) for b, s in enumerate(starts)], "_id long, bucket long")
-    guards = (docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("bucket")
-              .agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("_t"))
-              .select(F.lit(None).cast("long").alias("doc_id"), F.col("_t.text").alias("text"), "bucket",
-                      F.lit(True).alias("guard")))
-    bucket = bucket_of(F.coalesce("doc_id", F.lit(lowest)))
-    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(False).alias("guard")).union(guards)
-    return (rows.repartition(len(starts), "bucket").sortWithinPartitions("bucket", "guard", "doc_id", "text")
+        at = bounds.value
+        keys = _keys(ids.tolist(), begins.tolist())
+        bucket = [max(0, bisect_right(at, k) - 1) for k in keys]
+        return pd.DataFrame({"bucket": np.array(bucket, np.int32), "head": [at[b] == k for b, k in zip(bucket, keys)]})
+
+    # ids as strings: pandas would turn a column with nulls into floats
+    placed = docs.withColumn("r", range_of(F.col("doc_id").cast("string"), F.substring("text", 1, BEGIN)))
+    n = len(starts)
+    heads = (placed.where("r.head").groupBy("r.bucket").agg(F.min(F.struct(
+        F.col("doc_id").isNotNull().alias("known"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("t")))
+    guards = heads.select(F.lit(None).cast("long").alias("doc_id"), F.col("t.text").alias("text"),
+                          F.pmod(F.col("bucket") - 1, F.lit(n)).cast("int").alias("bucket"), F.lit(True).alias("guard"))
+    rows = placed.select("doc_id", "text", F.col("r.bucket").alias("bucket"), F.lit(False).alias("guard")).union(guards)
+    return (rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "guard", "doc_id", "text")
             .mapInArrow(_edit_batches, SCHEMA))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from progcorpus.llm import multisethash as M
 
@@ -87,3 +88,13 @@ def test_likeness_follows_the_shared_share(sf_docs):
     assert np.median([r.near_next for r in long]) < 0.2
     assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next))
     assert all((r.fingerprint == r.edited_fingerprint) <= (r.near_edited == 1) for r in rows)
+
+
+def test_an_id_that_a_third_of_the_rows_share_is_cut_apart(docs_of):
+    rnd = random.Random(9)
+    rows = [(5 if i % 3 == 0 else i - 100, f"{rnd.randrange(10 ** 6)} {text(rnd, 4)}") for i in range(300)]
+    rows += [(None, "null id é"), (None, None), (5, None), (5, ""), (-(1 << 63), "least"), ((1 << 63) - 1, "é" * 40)]
+    got = M.edit_likeness(docs_of(rows), range_bytes=1000)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < len(rows) / 6
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(rows), key=str)
