@@ -118,25 +118,23 @@ def attach_docstring(code, docstring) -> Column:
 
 def dedent(col) -> Column:
     """F11 ``textwrap.dedent``: blank out whitespace-only lines, then remove
-    the longest common run of leading spaces/tabs of the other lines."""
+    the longest common run of leading spaces/tabs of the other lines (what the
+    least and the greatest of these runs have in common)."""
     lines = F.transform(F.split(_c(col), "\n", -1),
                         lambda l: F.when(l.rlike("^[ \\t]+$"), F.lit("")).otherwise(l))
-    margins = F.transform(F.filter(lines, lambda l: l != ""),
-                          lambda l: F.regexp_extract(l, "^[ \\t]*", 0))
-
-    def common(acc, m):
-        n = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.length(acc), F.length(m)), F.lit(1))),
-                        F.lit(0),
-                        lambda k, i: F.when((k == i - 1) & (i <= F.least(F.length(acc), F.length(m)))
-                                            & (F.substring(acc, i, 1) == F.substring(m, i, 1)), i)
-                        .otherwise(k))
-        return F.substring(acc, 1, n)
-
-    margin = F.when(F.size(margins) == 0, F.lit("")).otherwise(
-        F.aggregate(margins, _at(margins, 1), common))
-    return F.array_join(F.transform(lines, lambda l: F.when(l.startswith(margin),
-                                                              F.substr(l, F.length(margin) + 1))
-                                    .otherwise(l)), "\n")
+
+    def cut(lines):         # a lambda's variable, so the lines are made once
+        margins = F.transform(F.filter(lines, lambda l: l != ""), lambda l: F.regexp_extract(l, "^[ \\t]*", 0))
+        low, high = F.array_min(margins), F.array_max(margins)
+        shared = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), F.lit(0),
+            lambda k, i: F.when((k == i - 1) & (i <= F.length(low)) & (F.substring(low, i, F.lit(1)) == F.substring(high, i, F.lit(1))), i)
+            .otherwise(k))
+        size = F.coalesce(shared, F.lit(0))
+        return F.get(F.transform(F.array(size), lambda n: F.array_join(
+            F.transform(lines, lambda l: F.substr(l, n + 1)), "\n")), F.lit(0))
+
+    return F.get(F.transform(F.array(lines), cut), F.lit(0))
 
 
 def clean_docstrings(df, col: str):

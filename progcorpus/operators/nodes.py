@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from progcorpus.functions.lines import dedent
 from progcorpus.session import buckets_of, materialize, splittable
 
 NODE_SCHEMA = ("code_id string, node_id int, parent_id int, child_ix int, bfs_ix int, depth int, "
@@ -216,9 +217,11 @@ def _parse_batches(batches):
         yield pa.RecordBatch.from_pydict(cols, schema=schema)
 
 
-def node_table(dim: DataFrame) -> DataFrame:
+def node_table(dim: DataFrame, dedented: bool = False) -> DataFrame:
     """Node rows (plus one error row per text that does not parse),
-    materialised once: every tree job reads it.
+    materialised once: every tree job reads it.  With ``dedented`` the margin that
+    all lines share is taken off first (F11; offsets are then those of the
+    dedented text).
 
     The batch function is shipped by value: Python workers need only the
     standard library (``ast``, ``re``) and pyarrow, not this package."""
@@ -227,7 +230,8 @@ def node_table(dim: DataFrame) -> DataFrame:
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return materialize(dim.select("code_id", "code").mapInArrow(_parse_batches, NODE_SCHEMA), key="code_id",
+    code = dedent("code") if dedented else F.col("code")
+    return materialize(dim.select("code_id", code.alias("code")).mapInArrow(_parse_batches, NODE_SCHEMA), key="code_id",
                        num_buckets=buckets_of(dim))
 
 

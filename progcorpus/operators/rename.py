@@ -99,7 +99,8 @@ class PairJob:
         texts = (self.pairs.select(F.col("source").alias("func_code"))
                  .unionByName(self.pairs.select(F.col("destination").alias("func_code"))))
         self.dim = code_dim(texts)
-        self.nt = node_table(self.dim)
+        # arguments are those of the program without its common margin
+        self.nt = node_table(self.dim, dedented=True)
         triples = materialize(self.pairs.select("src_id", "dst_id", "func_name").distinct())
         wanted = (triples.select(F.col("src_id").alias("code_id"), "func_name")
                   .unionByName(triples.select(F.col("dst_id").alias("code_id"), "func_name")).distinct())

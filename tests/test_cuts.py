@@ -108,7 +108,8 @@ def test_renaming_fills_one_template_per_destination(spark):
     dst = "def f(a, b, *c, k=1):\n    # a\n    return f'{a}' + a.a + b(a=a)\n"
     rows = [(1, "f", "def f(x, y): return x", dst), (2, "f", "def f(p): return p", dst), (3, "f", "def f(): return 0", dst),
             (4, "f", "def f(b, a, z): return z", dst), (5, "f", "def f(x): return x", "def f(): return 1\n"),
-            (6, "f", "def g(x): return x", dst), (7, "f", "def f(x): return x", "def f(a):\n    return (a\n")]
+            (6, "f", "def g(x): return x", dst), (7, "f", "def f(x): return x", "def f(a):\n    return (a\n"),
+            (8, "f", "    def f(x, y):\n        return x\n    z = f(1, 2)\n", dst)]
     job = PairJob(spark.createDataFrame(rows, "pair_id int, func_name string, source string, destination string"))
     got = {(r.src_id, r.dst_id): r.renamed for r in job.renamed().collect()}
     by = {r.pair_id: got.get((r.src_id, r.dst_id)) for r in job.pairs.collect()}
@@ -116,4 +117,5 @@ def test_renaming_fills_one_template_per_destination(spark):
     def filled(a, b):
         return f"def f({a}, {b}, *c, k=1):\n    # a\n    return f'{{a}}' + {a}.{a} + {b}({a}={a})\n"
 
-    assert by == {1: filled("x", "y"), 2: filled("p", "b"), 3: dst, 4: filled("b", "a"), 5: "def f(): return 1\n", 6: None, 7: None}
+    assert by == {1: filled("x", "y"), 2: filled("p", "b"), 3: dst, 4: filled("b", "a"), 5: "def f(): return 1\n", 6: None, 7: None,
+                  8: filled("x", "y")}

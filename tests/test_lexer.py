@@ -125,6 +125,25 @@ def test_documents_match_stdlib(spark):
             assert mine == ref
 
 
+def test_document_verdicts_match_stdlib(spark):
+    import __spark_entry__ as E
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = E.queries()["token_status_documents"](spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ref = py_tokens(texts[r.doc_id])
+        assert r.tokenizes == (ref is not None)
+        if ref is None:
+            assert r.n_tokens is None and r.max_indent_depth is None
+            continue
+        depth = [0]
+        for k, _ in ref:
+            depth.append(depth[-1] + (k == "INDENT") - (k == "DEDENT"))
+        assert (r.n_tokens, r.max_indent_depth) == (len(ref), max(depth))
+
+
 SPAN_PROGRAMS = [
     "class A:\n    def m(self):\n        return 1\n\n    @staticmethod\n    def n():\n        pass\n# tail\nx = 1\n",
     "def f(a):\n    def g(b):\n        if b:\n            return 1\n        return 2\n    # note\n    return g(a)\n",
