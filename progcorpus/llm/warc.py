@@ -54,6 +54,7 @@ REVISIT_BYTES = 1000            # least payload that is revisited
 RECORDS_PER_FILE = 100_000      # most records of one archive
 CHUNK = 1 << 18                 # bytes inflated at a time
 STRETCH = 8 << 20               # bytes of an archive that one read fetches
+TASK_BYTES = 64 << 20           # bytes of archives that one task reads
 LEVEL = 6                       # compression of the rewritten members
 
 # fixed values of the format
@@ -198,6 +199,10 @@ def _rewrite(source, target, archive: str, index) -> None:
         offset += length
 
 
+def _target_name(path: str) -> str:
+    return os.path.basename(path).removesuffix(".gz").removesuffix(".txt").removesuffix(".warc") + ".warc.gz"
+
+
 def _normalise_batches(target_folder: str):
     def run(batches):
         import uuid
@@ -208,7 +213,7 @@ def _normalise_batches(target_folder: str):
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, p = local_path(path)
-                name = os.path.basename(p).removesuffix(".gz").removesuffix(".txt").removesuffix(".warc") + ".warc.gz"
+                name = _target_name(p)
                 tmp = f"{out}/_{uuid.uuid4().hex}"
                 with fs.open_input_stream(p, compression=None, buffer_size=1 << 20) as source, \
                         out_fs.open_output_stream(f"{tmp}.gz", compression=None, buffer_size=1 << 20) as target, \
@@ -221,11 +226,17 @@ def _normalise_batches(target_folder: str):
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Rewrite every ``.gz`` archive below ``source`` into ``target``; the index."""
+    """Rewrite every ``.gz`` archive below ``source`` into ``target``; the index.  Sources
+    that would get the same name (``x.gz`` and ``x.warc.gz``) are refused."""
     ship(__name__, "progcorpus.llm.common")
     fs, path = local_path(target)
     fs.create_dir(path, recursive=True)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^(.*?)(?:\.warc)?(?:\.txt)?\.gz$", "$1")
+    twice = files.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("b")) \
+        .where(F.col("n") > 1).first()
+    if twice is not None:
+        raise ValueError(f"both {twice.a} and {twice.b} would be rewritten as {_target_name(twice.a)}")
     files.mapInArrow(_normalise_batches(target), "path string").write.format("noop").mode("overwrite").save()
     return read_index(spark, target)
 
@@ -296,7 +307,10 @@ def read_records(spark: SparkSession, folder: str, payload: bool = False) -> Dat
     ``payload``, the payload bytes too (null for revisits)."""
     ship(__name__, "progcorpus.llm.common")
     index = read_index(spark, folder).select("archive", "offset", "length")
-    spread = index.repartition("archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # index rows are a few bytes each; the tasks are sized by the bytes they fetch
+    tasks = max(1, -(-total // TASK_BYTES), min(spark.sparkContext.defaultParallelism, -(-total // STRETCH)))
+    spread = index.repartition(tasks, "archive", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("archive", "offset")
     return spread.mapInArrow(_read_batches(folder, payload), RECORD_SCHEMA + (", payload binary" if payload else ""))
 
 

@@ -75,6 +75,40 @@ def test_damaged_archives_are_named(spark, raw):
         warc.normalise(spark, src, common.scratch(spark, "t"))
 
 
+def test_sources_of_one_name_are_refused(spark):
+    src = common.scratch(spark, "t")
+    fs, base = common.local_path(src)
+    for name in ("x.gz", "y.gz", "sub/x.warc.gz"):
+        fs.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+            f.write(gzip.compress(b""))
+    with fs.open_output_stream(f"{base}/x.txt.gz", compression=None) as f:
+        f.write(gzip.compress(b""))
+    with pytest.raises(ValueError, match="x.warc.gz"):
+        warc.normalise(spark, src, common.scratch(spark, "t"))
+
+
+def test_reads_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH", 2000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 4000)
+    rows = [(i, f"{i} {hashlib.sha256(str(i).encode()).hexdigest() * 20}") for i in range(300)]
+    src, dst = (common.scratch(spark, "t") for _ in range(2))
+    warc.write_archives(pages(spark, rows), src)
+    warc.normalise(spark, src, dst)
+    read = warc.read_records(spark, dst)
+    size = sum(r.length for r in warc.read_index(spark, dst).collect())
+    assert read.rdd.getNumPartitions() >= size // 4000 > 4
+    assert read.count() == len(rows)
+
+
+def test_clashing_names(spark):
+    names = ["archive", "offset", "length", "type", "id", "refers_to", "digest", "payload_digest", "record_type", "_top", "n"]
+    rows = [(i, f"http://h/{i}", "same " * 300, *["v"] * len(names)) for i in range(5)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    got = sorted(map(tuple, warc.round_trip(table).collect()), key=str)
+    assert got == brute([r[:1] + r[2:3] for r in rows])
+
+
 def test_pages(spark, sf_docs):
     import os
 
