@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import ChainMap
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,7 +42,8 @@ DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 s
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1) << np.int64(62)      # the key of "no mergeable pair"
 SIDE_BY_SIDE = 64                       # longest pre-token merged in a matrix
-CACHE = 500_000                         # pre-tokens whose ids a task keeps
+CACHE = 500_000                         # pre-tokens whose ids a task keeps, of at most SIDE_BY_SIDE bytes each
+CACHE_BYTES = 128 << 20                 # what they may take, ids included (about)
 
 
 def byte_chars() -> dict[str, int]:
@@ -90,6 +92,7 @@ class Encoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         self.ranks = None
         self.cache: dict[str, list[int]] = {}
+        self.held = 0           # bytes that the cache takes, about
 
     def pairs(self, left: np.ndarray, right: np.ndarray):
         """``(rank, merged id)`` of each pair; rank -1 where it can't merge."""
@@ -200,19 +203,24 @@ class Encoder:
                 put(before, key(before, at))
         return [i for i, keep in zip(ids, alive) if keep]
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Encode pre-tokens not met yet, those of similar length together."""
+    def _learn(self, fresh: list[str]) -> dict:
+        """Encode pre-tokens not met yet, those of similar length together.  Returns the
+        ids of the long ones, which are not kept."""
         by_width: dict[int, list[str]] = {}
+        long = {}
         for w in fresh:
             size = len(w.encode())
             if size > SIDE_BY_SIDE:
-                self.cache[w] = self._single(w.encode())
+                long[w] = self._single(w.encode())
             else:
                 by_width.setdefault(max(2, 1 << (size - 1).bit_length()), []).append(w)
         for group in by_width.values():
             for i in range(0, len(group), 16384):
                 part = group[i:i + 16384]
-                self.cache.update(zip(part, self._matrix([w.encode() for w in part])))
+                ids = self._matrix([w.encode() for w in part])
+                self.cache.update(zip(part, ids))
+                self.held += sum(200 + len(w) + 8 * len(x) for w, x in zip(part, ids))
+        return long
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
@@ -224,10 +232,10 @@ class Encoder:
             for p in ps:
                 if not isinstance(p, str):
                     met.update(p)
-        if len(self.cache) + len(met) > CACHE:
-            self.cache = {}
-        self._learn([w for w in met if w not in self.cache])
-        get, out = self.cache.__getitem__, []
+        if len(self.cache) + len(met) > CACHE or self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
+        long = self._learn([w for w in met if w not in self.cache])
+        get, out = (ChainMap(long, self.cache) if long else self.cache).__getitem__, []
         for ps in cut:
             ids: list[int] = []
             for p in ps:
