@@ -167,18 +167,34 @@ def assign(docs: DataFrame, shards: int = SHARDS, dims=DIMENSIONS, bits: int = B
                       F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def shard_columns(columns: list[str], own: bool = False) -> tuple[str, str, str]:
+    """The names of a written table's bytes, shard and slot columns: ``_bytes``, ``_shard``
+    and ``_slot``, with more underscores in front where the rows have such names
+    themselves.  ``own``: ``columns`` are those of a written table."""
+    def name(n):
+        while n in columns:
+            n = "_" + n
+        return n[1:] if own else n
+
+    return name("_bytes"), name("_shard"), name("_slot")
+
+
 def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, dims=DIMENSIONS, bits: int = BITS) -> None:
     """Whole rows as Parquet, one folder per shard, in curve order inside."""
-    out = _ranked(docs, docs.columns, dims, bits, shards)
-    (out.select(*docs.columns, F.col("_size").alias("_bytes"), "_shard", "_slot")
-     .repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-     .write.partitionBy("_shard").parquet(folder))
+    size, shard, slot = shard_columns(docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_hs_row")
+    keyed = docs.select(row, "doc_id", "text", *(F.col(f"`{d}`") for d in dims if d != "size"))
+    out = _ranked(keyed, ["doc_id", "_hs_row"], dims, bits, shards)
+    (out.select(*(F.col(f"_hs_row.`{c}`").alias(c) for c in docs.columns), F.col("_size").alias(size), F.col("_shard").alias(shard),
+                F.col("_slot").alias(slot))
+     .repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(folder))
 
 
 def manifest(written: DataFrame, dims=DIMENSIONS) -> DataFrame:
     """``_shard, rows`` and ``min_<dim>, max_<dim>`` of a table read from ``write_shards``."""
-    names = {d: "_bytes" if d == "size" else d for d in dims}
-    return written.groupBy("_shard").agg(
+    size, shard, _ = shard_columns(written.columns, own=True)
+    names = {d: size if d == "size" else d for d in dims}
+    return written.groupBy(F.col(shard).alias("_shard")).agg(
         F.count("*").alias("rows"),
         *(f(f"`{c}`").alias(f"{n}_{d}") for d, c in names.items() for f, n in ((F.min, "min"), (F.max, "max"))))
 

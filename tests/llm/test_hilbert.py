@@ -107,3 +107,19 @@ def test_names_with_a_common_beginning_prune(spark):
     touched = H.prune(H.manifest(back), source=("common_crawl_2023", "common_crawl_2023"))
     assert back.where((F.col("source") == "common_crawl_2023") & ~F.col("_shard").isin(touched)).count() == 0
     assert 0 < len(touched) < 32
+
+
+def test_clashing_names(spark):
+    names = ["_size", "_crc", "_place", "_shard", "_slot", "_bytes", "__shard", "_part", "_row", "_c0", "size"]
+    rows = [(i, f"text {i}" * (i % 7), "en" if i % 3 else "de", f"s{i % 5}", *[f"v{i}"] * len(names)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    plain = docs.select("doc_id", "text", "lang", "source")
+    assert sorted(map(tuple, H.assign(docs, 8).collect())) == sorted(map(tuple, H.assign(plain, 8).collect()))
+    folder = common.scratch(spark, "hilbert-test")
+    H.write_shards(docs, folder, 8)
+    back = spark.read.parquet(folder)
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(rows)
+    m = H.manifest(back)
+    assert sum(r.rows for r in m.collect()) == 200
+    touched = H.prune(m, source=("s1", "s1"))
+    assert back.where((F.col("source") == "s1") & ~F.col("___shard").isin(touched)).count() == 0
