@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lexer import indent_width, lex, token_kind
-from progcorpus.session import buckets_for, buckets_of, materialize
+from progcorpus.session import buckets_for, buckets_of, materialize, splittable
 
 TOKEN_COLS = ["code_id", "pos", "kind", "src", "line", "seg", "off", "bracket_depth", "indent_depth"]
 
@@ -402,3 +402,13 @@ def indent_profile(job: TokenJob) -> DataFrame:
         F.max("indent_depth").cast("int").alias("max_indent_depth"),
         F.count_if(F.col("kind") == "INDENT").cast("long").alias("n_indent"),
         F.count_if(F.col("kind") == "DEDENT").cast("long").alias("n_dedent"))
+
+
+def token_profile(df: DataFrame, code_col: str = "func_code") -> DataFrame:
+    """P6 and W9 per row: ``df`` with ``tokenizes`` and, for a text that does, ``n_tokens``
+    and ``max_indent_depth``; each distinct text is tokenized once."""
+    rows = with_code_id(df, code_col)
+    job = token_table(code_dim(rows, code_col))
+    per_text = splittable(job.status.join(indent_profile(job), on="code_id", how="left").select(
+        "code_id", "tokenizes", F.when(F.col("tokenizes"), F.col("n_tokens")).alias("n_tokens"), "max_indent_depth"))
+    return rows.join(per_text, on="code_id", how="left").drop("code_id")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from progcorpus.operators.tokens import code_dim, rebuild, token_table
+from progcorpus.operators.tokens import code_dim, rebuild, token_profile, token_table
 from progcorpus.sources.fixtures import TEMPLATES
 from pytokens import py_tokens
 
@@ -126,11 +126,9 @@ def test_documents_match_stdlib(spark):
 
 
 def test_document_verdicts_match_stdlib(spark):
-    import __spark_entry__ as E
-
-    sf = "/root/testdata/sf0.001"
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = E.queries()["token_status_documents"](spark, sf).collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = token_profile(docs, "text").collect()
     assert len(got) == len(texts)
     for r in got:
         ref = py_tokens(texts[r.doc_id])
