@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progcorpus.llm.common import ship, text_blocks
+from progcorpus.llm.common import share, ship, text_blocks
 
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -295,7 +295,7 @@ def _arrays(encoder: Encoder, texts: list[str]):
 
 def _run(docs: DataFrame, path: str, make, names: list[str], schema: str) -> DataFrame:
     ship(__name__, "progcorpus.llm.common")
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    vocabulary = share(docs.sparkSession, Vocabulary(path))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_batches(vocabulary, make, names), schema)
 
 
@@ -321,7 +321,7 @@ def encode_checked(docs: DataFrame, path: str) -> DataFrame:
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``."""
     ship(__name__, "progcorpus.llm.common")
-    vocabulary = tokens.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    vocabulary = share(tokens.sparkSession, Vocabulary(path))
 
     def run(batches):
         import pyarrow as pa

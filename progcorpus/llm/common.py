@@ -60,6 +60,30 @@ def ship(*modules: str) -> None:
         cloudpickle.register_pickle_by_value(sys.modules[m])
 
 
+class Shared:
+    """A broadcast value whose class travels with it (a plain broadcast names the class, so
+    executors would need this package on their path)."""
+
+    def __init__(self, broadcast):
+        self.broadcast = broadcast
+
+    @property
+    def value(self):
+        import pickle
+
+        if not hasattr(self, "_value"):
+            self._value = pickle.loads(self.broadcast.value)
+        return self._value
+
+    def __getstate__(self):
+        return {"broadcast": self.broadcast}
+
+
+def share(spark: SparkSession, value) -> Shared:
+    """Broadcast ``value``; modules of its classes must have been shipped."""
+    return Shared(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
+
+
 def local_path(uri: str):
     """``(filesystem, path)`` of a shared folder for use inside a task."""
     from pyarrow import fs

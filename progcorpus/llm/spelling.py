@@ -50,7 +50,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progcorpus.llm.common import ship, store, text_blocks, utf8
+from progcorpus.llm.common import share, ship, store, text_blocks, utf8
 from progcorpus.llm.textblocks import LOWER
 
 LEAST_LENGTH, LEAST_COUNT = 6, 5
@@ -411,9 +411,8 @@ def near_words(vocabulary: DataFrame, trees: dict[int, KdTree] | None = None) ->
     """``word, n_near, best_n, best``: the number of near words and the best of them;
     words without near words have no row."""
     ship(__name__, "progcorpus.llm.common", "progcorpus.llm.textblocks")
-    spark = vocabulary.sparkSession
     trees = fit_cells(vocabulary) if trees is None else trees
-    shared = spark.sparkContext.broadcast(trees)
+    shared = share(vocabulary.sparkSession, trees)
     words = vocabulary.select("word", "n")
     room = F.greatest(F.lit(1), F.least(F.lit(CELL), F.floor(F.lit(CELL_BYTES) / (F.col("length") + 4 * LETTERS))))
     full = words.mapInArrow(_cell_batches(shared), "length int, cell int").groupBy("length", "cell").agg(

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from progcorpus.llm.common import ship, store, text_blocks, utf8
+from progcorpus.llm.common import share, ship, store, text_blocks, utf8
 from progcorpus.llm.textblocks import ALNUM, mix, words
 
 SAMPLE = 16_000         # labelled documents the classifier is fitted on, at most about
@@ -316,7 +316,7 @@ def _score_batches(model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document (see the module docstring)."""
     ship(__name__, "progcorpus.llm.common", "progcorpus.llm.textblocks")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
         _score_batches(shared), SCHEMA)
 
@@ -325,7 +325,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) with a score below 0.5, by a model fitted on
     ``docs`` and ``labels``."""
     ship(__name__, "progcorpus.llm.common", "progcorpus.llm.textblocks")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared = share(docs.sparkSession, fit(docs, labels))
 
     def run(batches):
         import pyarrow as pa
