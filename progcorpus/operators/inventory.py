@@ -21,7 +21,17 @@ OPERATORS = ["+", "-", "**", "/", "//", "%", "@", "<<", ">>", "&", "|", "^", "~"
 def operator_relation(spark, operators: list[str] | None = None) -> DataFrame:
     """The operator set as a relation (20 rows);
     callers may pass their own list."""
-    return spark.createDataFrame([(o,) for o in (operators or OPERATORS)], "op string")
+    ops = OPERATORS if operators is None else operators
+    # made from one row, so its size is known to the planner (rows from Python have none)
+    return spark.range(1).select(F.explode(F.array(*[F.lit(o) for o in ops]).cast("array<string>")).alias("op"))
+
+
+def with_variables(tokens: DataFrame, variables: DataFrame) -> DataFrame:
+    """``tokens`` with ``_is_var``: whether the text is one of the program's variables.  The
+    names meet the tokens as one list per text, so both sides keep the layout by text."""
+    v = variables.groupBy("code_id").agg(F.collect_set("ident").alias("_vars"))
+    return tokens.join(v, on="code_id", how="left").withColumn(
+        "_is_var", F.coalesce(F.array_contains("_vars", F.col("src")), F.lit(False))).drop("_vars")
 
 
 def positions_of(tokens: DataFrame, construct: str, cond: Column) -> DataFrame:
@@ -45,13 +55,12 @@ def construct_inventory(tokens: DataFrame, ops: DataFrame, variables: DataFrame
     not variable names (J3).
 
     A token belongs to at most one construct, so every token is classified
-    once (variables join on ``(code_id, src)``)
+    once (the variables come as one list per text)
     and one aggregation collects all constructs: the tokens are read once."""
     t = tokens.join(ops.select(F.col("op").alias("src")).distinct()
                     .withColumn("_is_op", F.lit(True)), on="src", how="left")
     if variables is not None:
-        v = variables.select("code_id", F.col("ident").alias("src"), F.lit(True).alias("_is_var")).distinct()
-        t = t.join(v, on=["code_id", "src"], how="left")
+        t = with_variables(t, variables)
     else:
         t = t.withColumn("_is_var", F.lit(None).cast("boolean"))
     construct = (F.when(F.col("_is_op"), F.lit("operators"))
@@ -68,15 +77,13 @@ def construct_inventory(tokens: DataFrame, ops: DataFrame, variables: DataFrame
 
 def variable_locations(tokens: DataFrame, variables: DataFrame) -> DataFrame:
     """Tokens whose text is one of the program's variables."""
-    v = variables.select("code_id", F.col("ident").alias("src")).distinct()
-    return positions_of(tokens.join(v, on=["code_id", "src"], how="left_semi"), "variables", F.lit(True))
+    return positions_of(with_variables(tokens, variables), "variables", F.col("_is_var"))
 
 
 def string_tokens(tokens: DataFrame, variables: DataFrame) -> DataFrame:
     """STRING tokens whose text is not a variable name (anti join)."""
-    v = variables.select("code_id", F.col("ident").alias("src")).distinct()
-    s = tokens.where(F.col("kind") == "STRING").join(v, on=["code_id", "src"], how="left_anti")
-    return positions_of(s, "strings", F.lit(True))
+    s = tokens.where(F.col("kind") == "STRING")
+    return positions_of(with_variables(s, variables), "strings", ~F.col("_is_var"))
 
 
 def operator_histogram(tokens: DataFrame, ops: DataFrame, subs: DataFrame,
