@@ -12,38 +12,51 @@ functions that capture them too, but not where a helper, a nested function, a
 keyword or the module has the same spelling.  The order is the first binding in
 preorder, so arguments come first.
 
-The fingerprint is the node count and the sums of the eight 32-bit slices of each
-node's SHA-256 (over preorder id, parent, field, position in field, type,
-renamed identifier, context, literal): a plain aggregation with partial
-combine, no per-program list is built.  Two programs that differ only in local
-names and layout get the same fingerprint; positions are not part of it.
+A usual program (up to ``SHORT`` characters) is renamed inside its row, by array
+expressions over its nodes that look each name up in lists of the program's
+bindings.  These look-ups grow with names x bindings, so longer programs take the
+same steps as joins of node rows, by sort and not by list.
+
+The fingerprint is the node count and the SHA-256 of the renamed tree (preorder id,
+parent, field, position in field, type, renamed identifier, context, literal of
+each node).  Two programs that differ only in local names and layout get the same
+fingerprint, whichever way they were renamed; positions are not part of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from progcorpus.operators.nodes import nodes_only
+from progcorpus.functions.tokenstate import let
+from progcorpus.operators.nodes import NodeJob, nodes_only
 from progcorpus.operators.sampling import modal_keys
 from progcorpus.session import splittable
 
 _COMPREHENSIONS = ["ListComp", "SetComp", "DictComp", "GeneratorExp"]
+_FIELDS = ["node_id", "parent_id", "field", "child_ix", "type", "ident", "ctx", "ltype", "literal", "scope_id", "scope_path"]
+SHORT = 4096            # characters of a text whose names are looked up inside its row
+_NAMES = "'([^']*)'"    # the names in the literal of a ``global`` or ``nonlocal``
 
 
-def _binding():
+def _binding(of=F.col):
     """Nodes that bind a name in their scope."""
-    return ((F.col("type") == "arg")
-            | ((F.col("type") == "Name") & F.col("ctx").isin("Store", "Del"))
-            | F.col("type").isin("FunctionDef", "AsyncFunctionDef", "ClassDef", "alias", "ExceptHandler",
-                                 "MatchAs", "MatchStar", "MatchMapping"))
+    return ((of("type") == "arg")
+            | ((of("type") == "Name") & of("ctx").isin("Store", "Del"))
+            | of("type").isin("FunctionDef", "AsyncFunctionDef", "ClassDef", "alias", "ExceptHandler",
+                              "MatchAs", "MatchStar", "MatchMapping"))
 
 
-def wanted_function(nt: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The function a program defines under the wanted name at module level
-    (the last such definition wins, as execution would bind it):
-    ``code_id, func_name, fid``."""
-    top = nodes_only(nt).where(F.col("type").isin("FunctionDef", "AsyncFunctionDef") & (F.col("parent_id") == 0)) \
+def wanted_id(nodes, name) -> Column:
+    """The node of the function a program defines under the wanted name at module level
+    (the last such definition wins, as execution would bind it); null if there is none."""
+    top = F.filter(nodes, lambda n: n["type"].isin("FunctionDef", "AsyncFunctionDef") & (n["parent_id"] == 0) & (n["ident"] == name))
+    return F.array_max(F.transform(top, lambda n: n["node_id"]))
+
+
+def wanted_function(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``wanted_id`` over node rows: ``code_id, func_name, fid``."""
+    top = nodes_only(rows).where(F.col("type").isin("FunctionDef", "AsyncFunctionDef") & (F.col("parent_id") == 0)) \
         .select("code_id", F.col("ident").alias("func_name"), F.col("node_id").alias("fid"))
     return top.join(pairs, on=["code_id", "func_name"], how="inner") \
         .groupBy("code_id", "func_name").agg(F.max("fid").alias("fid"))
@@ -53,7 +66,7 @@ def _declared(n: DataFrame) -> DataFrame:
     """Names of ``global`` and ``nonlocal`` statements: ``code_id, node_id, place, scope_id, type, ident``."""
     return (n.where(F.col("type").isin("Global", "Nonlocal"))
             .select("code_id", "node_id", "scope_id", "type",
-                    F.posexplode(F.regexp_extract_all("literal", F.lit("'([^']*)'"), 1)).alias("place", "ident")))
+                    F.posexplode(F.regexp_extract_all("literal", F.lit(_NAMES), 1)).alias("place", "ident")))
 
 
 def _visible_scopes(n: DataFrame) -> DataFrame:
@@ -111,10 +124,10 @@ def resolve(occurrences: DataFrame, scopes: DataFrame, bindings: DataFrame) -> D
             .groupBy("code_id", "node_id", "place", "ident").agg(F.max_by("owner", "seen").alias("owner")))
 
 
-def renamed_nodes(nt: DataFrame, target: DataFrame) -> DataFrame:
-    """The nodes of the programs in ``target``, per wanted function, with ``new_ident``
+def renamed_nodes(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """The node rows of the programs in ``target``, per wanted function, with ``new_ident``
     (null: keeps its name) and ``new_literal`` (the names of a ``nonlocal``)."""
-    n = nodes_only(nt).join(target.select("code_id").distinct(), on="code_id", how="left_semi")
+    n = nodes_only(rows).join(target.select("code_id").distinct(), on="code_id", how="left_semi")
     scopes, bindings = _visible_scopes(n), name_bindings(n)
     names = local_names(n, target, bindings)
     idents = names.select("code_id", "ident").distinct()
@@ -135,19 +148,89 @@ def renamed_nodes(nt: DataFrame, target: DataFrame) -> DataFrame:
             .join(said, on=["code_id", "func_name", "node_id"], how="left"))
 
 
-def canonical_form(nt: DataFrame, pairs: DataFrame) -> DataFrame:
+def renamed_in_row(nodes, fid) -> Column:
+    """The nodes of one program as ``_node`` structs, the local names of the function
+    ``fid`` renamed: what ``renamed_nodes`` finds by joins."""
+    def key(scope, ident):
+        return F.concat(scope.cast("string"), F.lit(":"), ident)
+
+    def said(n):
+        return F.regexp_extract_all(n["literal"], F.lit(_NAMES), F.lit(1))
+
+    def renamed(ns):
+        def kind(scope):
+            return F.get(ns, scope)["type"]
+
+        def declared(*kinds):
+            return F.flatten(F.transform(F.filter(ns, lambda n: n["type"].isin(*kinds)),
+                                         lambda n: F.transform(said(n), lambda x: key(n["scope_id"], x))))
+
+        def home(n):        # a comprehension belongs to the nearest scope around it that is none
+            return F.array_max(F.filter(n["scope_path"], lambda s: ~kind(s).isin(*_COMPREHENSIONS)))
+
+        owners = F.concat(F.array(fid), F.transform(F.filter(
+            ns, lambda n: n["type"].isin(*_COMPREHENSIONS) & (home(n) == fid)), lambda n: n["node_id"]))
+        binding = F.transform(F.filter(ns, lambda n: _binding(lambda c: n[c]) & n["ident"].isNotNull()), lambda n: F.struct(
+            n["scope_id"].alias("scope"), n["ident"].alias("ident"), key(n["scope_id"], n["ident"]).alias("key")))
+
+        def with_bindings(p):   # p: binding, owners, declared, globals
+            own = F.filter(p["binding"], lambda b: F.array_contains(p["owners"], b["scope"]) & ~F.array_contains(p["declared"], b["key"]))
+
+            def with_names(names):      # local names by their first binding
+                idents = F.array_distinct(F.transform(names, lambda b: b["ident"]))
+                return let(F.struct(F.array_distinct(F.transform(names, lambda b: b["key"])).alias("keys"), idents.alias("idents")),
+                           lambda q: let(F.array_distinct(F.concat(p["globals"], F.transform(F.filter(
+                               p["binding"], lambda b: F.array_contains(q["idents"], b["ident"]) & ~F.array_contains(p["declared"], b["key"])),
+                               lambda b: b["key"]))), lambda bound: rows(q, bound)))
+
+            return let(own, with_names)
+
+        def rows(q, bound):     # q: keys, idents; bound: keys of all scopes that bind such a name
+            def new(scope, ident):
+                # the nearest scope that binds the name; scopes further in have larger preorder ids
+                seen = F.array_max(F.filter(F.get(ns, scope)["scope_path"], lambda s: (
+                    (s == scope) | (kind(s) != "ClassDef")) & F.array_contains(bound, key(s, ident))))
+                place = let(seen, lambda s: F.array_position(q["keys"], key(s, ident)))
+                return F.when(F.array_contains(q["idents"], ident), let(place, lambda i: F.when(
+                    i > 0, F.concat(F.lit("x_"), (i - 1).cast("string")))))
+
+            def row(n):
+                literal = F.when(n["type"] == "Nonlocal", F.array_join(F.transform(
+                    said(n), lambda x: F.coalesce(new(n["scope_id"], x), x)), ",")).otherwise(n["literal"])
+                return _node(lambda c: n[c], F.coalesce(new(n["scope_id"], n["ident"]), n["ident"]), literal)
+
+            return F.transform(ns, row)
+
+        return let(F.struct(binding.alias("binding"), owners.alias("owners"), declared("Global", "Nonlocal").alias("declared"),
+                            declared("Global").alias("globals")), with_bindings)
+
+    return let(nodes, renamed)
+
+
+def _node(of, ident, literal) -> Column:
+    """What the fingerprint holds of a node."""
+    return F.struct(*[of(c).alias(c) for c in ("node_id", "parent_id", "field", "child_ix", "type")], ident.alias("ident"),
+                    of("ctx").alias("ctx"), of("ltype").alias("ltype"), literal.alias("literal"))
+
+
+def canonical_form(nt: NodeJob, pairs: DataFrame) -> DataFrame:
     """A10: ``code_id, func_name, normalized`` for every
     distinct (text, wanted name); no row when the text does not parse or does
     not define the name at module level (the class is then null)."""
-    n = renamed_nodes(nt, wanted_function(nt, pairs))
+    pairs = pairs.where(F.col("func_name").isNotNull())
+    short = (nt.where(F.length("code") <= SHORT).over(pairs).trees(*_FIELDS)
+             .withColumn("_fid", wanted_id("nodes", F.col("func_name"))).where(F.col("_fid").isNotNull())
+             .select("code_id", "func_name", renamed_in_row(F.col("nodes"), F.col("_fid")).alias("_n")))
+    long = nt.where(F.length("code") > SHORT)
+    n = short
+    if not long.texts.isEmpty():
+        rows = long.rows(*_FIELDS)
+        found = renamed_nodes(rows, wanted_function(rows, pairs))
+        n = n.unionByName(found.groupBy("code_id", "func_name").agg(F.array_sort(F.collect_list(_node(
+            F.col, F.coalesce("new_ident", "ident"), F.coalesce("new_literal", "literal")))).alias("_n")))
     # fields are named in the JSON text, so a null and its neighbour can't trade places
-    row = F.to_json(F.struct("node_id", "parent_id", "field", "child_ix", "type",
-                             F.coalesce("new_ident", "ident").alias("ident"), "ctx", "ltype",
-                             F.coalesce("new_literal", "literal").alias("literal")))
-    n = n.select("code_id", "func_name", F.sha2(row, 256).alias("_h"))
-    slices = [F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long")).cast("string") for i in range(8)]
-    canon = n.groupBy("code_id", "func_name").agg(
-        F.concat_ws(":", F.count(F.lit(1)).cast("string"), *slices).alias("normalized"))
+    canon = n.select("code_id", "func_name", F.concat_ws(
+        ":", F.size("_n").cast("string"), F.sha2(F.to_json("_n"), 256)).alias("normalized"))
     # one row per distinct (text, name), read by several branches downstream
     return splittable(canon)
 

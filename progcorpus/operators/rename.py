@@ -11,74 +11,97 @@ at module level gets no argument rows and a null text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from progcorpus.operators.dedup import wanted_function
-from progcorpus.operators.nodes import nodes_only
-from progcorpus.operators.tokens import TokenJob, tokenized
-from progcorpus.session import splittable
-
-
-def positional_arguments(nt: DataFrame, target: DataFrame) -> DataFrame:
-    """``code_id, func_name, arg_ix, arg``: positional parameters (positional
-    only, then regular) of the wanted function (``target`` from
-    ``dedup.wanted_function``), in order."""
-    n = nodes_only(nt)
-    arguments = n.where(F.col("type") == "arguments").select(
-        "code_id", F.col("parent_id").alias("fid"), F.col("node_id").alias("_args"))
-    params = n.where((F.col("type") == "arg") & F.col("field").isin("posonlyargs", "args")).select(
-        "code_id", F.col("parent_id").alias("_args"), "field", "child_ix", F.col("ident").alias("arg"))
-    j = target.join(arguments, on=["code_id", "fid"], how="inner").join(params, on=["code_id", "_args"], how="inner")
-    w = Window.partitionBy("code_id", "func_name").orderBy(
-        F.when(F.col("field") == "posonlyargs", 0).otherwise(1), "child_ix")
-    return j.select("code_id", "func_name", (F.row_number().over(w) - 1).cast("int").alias("arg_ix"), "arg")
-
-
-def argument_pairs(triples: DataFrame, args: DataFrame) -> DataFrame:
-    """``src_id, dst_id, func_name, arg_ix, src_arg, dst_arg`` (inner
-    join on the index = zip to the shorter list)."""
-    s = args.select(F.col("code_id").alias("src_id"), "func_name", "arg_ix", F.col("arg").alias("src_arg"))
-    d = args.select(F.col("code_id").alias("dst_id"), "func_name", "arg_ix", F.col("arg").alias("dst_arg"))
-    return (triples.join(s, on=["src_id", "func_name"], how="inner")
-            .join(d, on=["dst_id", "func_name", "arg_ix"], how="inner")
-            .select("src_id", "dst_id", "func_name", "arg_ix", "src_arg", "dst_arg"))
-
-
-def templates(wanted: DataFrame, args: DataFrame, job: TokenJob) -> DataFrame:
-    """``code_id, func_name, template`` for each of ``wanted``: a program as pieces, split at the tokens that
-    name a positional argument of the wanted function: an array of ``(n, text,
-    arg_ix, arg)``, the text before the n-th such token and the argument it names
-    (null after the last)."""
-    named = args.select("code_id", "func_name", "arg_ix", F.col("arg").alias("src"), F.lit("NAME").alias("kind"))
-    tk = (tokenized(job).select("code_id", "pos", "kind", "src")
-          .join(wanted.select("code_id", "func_name"), on="code_id", how="inner")
-          .join(named, on=["code_id", "func_name", "src", "kind"], how="left"))
-    before = Window.partitionBy("code_id", "func_name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    tk = tk.withColumn("n", F.coalesce(F.count("arg_ix").over(before), F.lit(0)))
-    plain = F.when(F.col("arg_ix").isNull(), F.struct("pos", "src"))
-    pieces = tk.groupBy("code_id", "func_name", "n").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(plain)), lambda x: x["src"]), "").alias("text"),
-        F.max("arg_ix").alias("arg_ix"), F.max(F.when(F.col("arg_ix").isNotNull(), F.col("src"))).alias("arg"))
-    return pieces.groupBy("code_id", "func_name").agg(
-        F.array_sort(F.collect_list(F.struct("n", "text", "arg_ix", "arg"))).alias("template"))
-
-
-def rename_arguments(triples: DataFrame, args: DataFrame, job: TokenJob) -> DataFrame:
+from progcorpus.functions.lines import cut_spans
+from progcorpus.functions.tokenstate import let, read_tokens
+from progcorpus.operators.dedup import wanted_id
+from progcorpus.operators.nodes import NodeJob
+from progcorpus.operators.tokens import TokenJob
+from progcorpus.session import buckets_of, materialize, splittable
+
+
+def positional_arguments(nt: NodeJob, wanted: DataFrame) -> DataFrame:
+    """``code_id, func_name, args``: positional parameters (positional
+    only, then regular) of the wanted function, in order, for each of ``wanted``
+    whose text defines it at module level."""
+    def names(ns):
+        own = F.filter(ns, lambda n: (n["type"] == "arguments") & (n["parent_id"] == F.col("_fid")))["node_id"]
+        params = F.filter(ns, lambda n: (n["type"] == "arg") & n["field"].isin("posonlyargs", "args")
+                          & (n["parent_id"] == F.get(own, F.lit(0))))
+        return F.transform(F.array_sort(F.transform(params, lambda n: F.struct(
+            F.when(n["field"] == "posonlyargs", 0).otherwise(1).alias("kind"), n["child_ix"].alias("ix"),
+            n["ident"].alias("arg")))), lambda x: x["arg"])
+
+    return (nt.over(wanted).trees("node_id", "parent_id", "child_ix", "field", "type", "ident")
+            .withColumn("_fid", wanted_id("nodes", F.col("func_name"))).where(F.col("_fid").isNotNull())
+            .select("code_id", "func_name", let(F.col("nodes"), names).alias("args")))
+
+
+def valid_triples(triples: DataFrame, args: DataFrame) -> DataFrame:
+    """``src_id, dst_id, func_name, src_args, dst_args`` of the triples whose source and
+    destination both define the function."""
+    for side in ("src", "dst"):
+        triples = triples.join(args.select(F.col("code_id").alias(f"{side}_id"), "func_name", F.col("args").alias(f"{side}_args")),
+                               on=[f"{side}_id", "func_name"], how="inner")
+    return triples.select("src_id", "dst_id", "func_name", "src_args", "dst_args")
+
+
+def argument_pairs(triples: DataFrame) -> DataFrame:
+    """``src_id, dst_id, func_name, arg_ix, src_arg, dst_arg`` (the lists zipped to the
+    shorter one) of ``valid_triples``."""
+    both = F.transform(F.slice("src_args", F.lit(1), F.size("dst_args")), lambda s, i: F.struct(
+        i.alias("arg_ix"), s.alias("src_arg"), F.get("dst_args", i).alias("dst_arg")))
+    return triples.select("src_id", "dst_id", "func_name", F.inline(both))
+
+
+def templates(args: DataFrame, job: TokenJob) -> DataFrame:
+    """``code_id, func_name, template`` for each of ``args`` whose text tokenizes: a program as pieces, split at the
+    tokens that name a positional argument of the wanted function: an array of ``(text,
+    arg_ix, arg)``, the text before such a token and the argument it names
+    (null after the last).  The tokens are read inside the text's row."""
+    wanted = args.groupBy("code_id").agg(F.collect_list(F.struct("func_name", "args")).alias("_w"))
+
+    def made(tokens):
+        def template(w):
+            named = F.filter(F.transform(tokens, lambda t: F.struct(
+                t["off"].alias("off"), t["src"].alias("src"), F.when(t["kind"] == "NAME", F.array_position(w["args"], t["src"]))
+                .alias("place"))), lambda t: t["place"] > 0)
+
+            def pieces(ts):
+                ends = F.concat(F.transform(ts, lambda t, i: F.struct(
+                    F.when(i == 0, F.lit(0).cast("long")).otherwise(_end(F.get(ts, i - 1))).alias("a"), t["off"].alias("b"),
+                    (t["place"] - 1).cast("int").alias("arg_ix"), t["src"].alias("arg"))), F.array(F.struct(
+                        F.coalesce(_end(F.get(ts, F.size(ts) - 1)), F.lit(0).cast("long")).alias("a"),
+                        F.length("code").cast("long").alias("b"), F.lit(None).cast("int").alias("arg_ix"),
+                        F.lit(None).cast("string").alias("arg"))))
+                return cut_spans(F.col("code"), ends, lambda s, cut: F.struct(
+                    cut(s["a"], s["b"]).alias("text"), s["arg_ix"].alias("arg_ix"), s["arg"].alias("arg")))
+
+            return F.struct(w["func_name"].alias("func_name"), let(named, pieces).alias("template"))
+
+        return F.transform("_w", template)
+
+    read = let(read_tokens(F.col("raw")), lambda r: F.when(r["tokenizes"], made(r["tokens"])))
+    return job.lexed.join(wanted, on="code_id", how="inner").select("code_id", F.inline(read))
+
+
+def _end(token):
+    return token["off"] + F.length(token["src"])
+
+
+def rename_arguments(triples: DataFrame, job: TokenJob) -> DataFrame:
     """``src_id, dst_id, func_name, renamed`` — the destination's template filled with
-    the source's arguments (its own where the source has fewer).  ``triples``
-    must hold only pairs whose source and destination define the function;
-    ``args`` are the positional arguments of all of them, ``job`` the tokens of the
+    the source's arguments (its own where the source has fewer).  ``triples`` are
+    ``valid_triples``, ``job`` the tokens of the
     destinations.  A destination is stored once, however many sources it has; a
     result row is made by one look-up per piece."""
-    names = args.groupBy("code_id", "func_name").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("arg_ix", "arg"))), lambda x: x["arg"]).alias("_names"))
-    wanted = triples.select(F.col("dst_id").alias("code_id"), "func_name").distinct()
-    made = splittable(templates(wanted, args, job))
+    args = triples.groupBy(F.col("dst_id").alias("code_id"), "func_name").agg(F.any_value("dst_args").alias("args"))
+    made = splittable(templates(args, job))
     filled = F.array_join(F.transform("template", lambda p: F.concat(
-        p["text"], F.coalesce(F.get("_names", p["arg_ix"]), p["arg"], F.lit("")))), "")
+        p["text"], F.coalesce(F.get("src_args", p["arg_ix"]), p["arg"], F.lit("")))), "")
     return (triples.join(made.withColumnRenamed("code_id", "dst_id"), on=["dst_id", "func_name"], how="left")
-            .join(splittable(names).withColumnRenamed("code_id", "src_id"), on=["src_id", "func_name"], how="left")
             .select("src_id", "dst_id", "func_name", filled.alias("renamed")))
 
 
@@ -92,7 +115,6 @@ class PairJob:
     def __init__(self, pairs: DataFrame):
         from progcorpus.operators.nodes import node_table
         from progcorpus.operators.tokens import code_dim
-        from progcorpus.session import buckets_of, materialize
 
         self.pairs = (pairs.withColumn("src_id", F.sha2("source", 256))
                       .withColumn("dst_id", F.sha2("destination", 256)))
@@ -104,20 +126,15 @@ class PairJob:
         triples = materialize(self.pairs.select("src_id", "dst_id", "func_name").distinct())
         wanted = (triples.select(F.col("src_id").alias("code_id"), "func_name")
                   .unionByName(triples.select(F.col("dst_id").alias("code_id"), "func_name")).distinct())
-        target = materialize(wanted_function(self.nt, wanted), key="code_id", num_buckets=buckets_of(self.dim))
-        defined = target.select("code_id", "func_name")
         # a pair whose source or destination lacks the function has no result
-        self.triples = materialize(
-            triples.join(defined.withColumnRenamed("code_id", "src_id"), on=["src_id", "func_name"], how="left_semi")
-            .join(defined.withColumnRenamed("code_id", "dst_id"), on=["dst_id", "func_name"], how="left_semi"))
-        self.args = materialize(positional_arguments(self.nt, target), key="code_id", num_buckets=buckets_of(self.dim))
-        self.arg_pairs = materialize(argument_pairs(self.triples, self.args))
+        self.args = materialize(positional_arguments(self.nt, wanted.where(F.col("func_name").isNotNull())))
+        self.triples = materialize(valid_triples(triples, self.args))
+        self.arg_pairs = argument_pairs(self.triples)
 
     def renamed(self) -> DataFrame:
         """``src_id, dst_id, func_name, renamed`` per valid triple."""
         from progcorpus.operators.tokens import token_table
-        from progcorpus.session import buckets_of, materialize
 
         dst = self.dim.join(self.triples.select(F.col("dst_id").alias("code_id")).distinct(),
                             on="code_id", how="left_semi")
-        return rename_arguments(self.triples, self.args, token_table(materialize(dst, "code_id", buckets_of(self.dim))))
+        return rename_arguments(self.triples, token_table(materialize(dst, "code_id", buckets_of(self.dim))))
