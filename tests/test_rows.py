@@ -6,6 +6,7 @@ import glob
 import pytest
 
 import __spark_entry__ as E
+from progcorpus.operators import functions as FN
 from progcorpus.operators import nodes as N
 from progcorpus.operators import tokens as T
 
@@ -24,6 +25,22 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["function_map", "first_function_name"])
+def test_functions_are_found_without_moving_a_text(spark, name):
+    plan = _plan(E.queries()[name](spark, SF))
+    assert not any(x in plan for x in ("Exchange", "Join", "Window", "Union")) and plan.count("MapInArrow") == 1, plan
+
+
+def test_function_map_of_both_kinds(spark):
+    dim = dim_of(spark, CODES)
+    nt, ft = N.node_table(dim), FN.function_table(T.token_table(dim), dim)
+    got = sorted(map(tuple, N.function_map(nt, dim).collect()))
+    assert got == sorted(map(tuple, N.function_map(nt, dim, ft).collect()))
+    assert {(n, i) for _, n, i, _ in got} >= {("two", 0), ("two", 1), ("one", 0), ("f", 0), ("f", 1), ("k", 0), ("m", 0), ("t1", 1)}
+    first = sorted(map(tuple, N.first_function_name(nt, dim).collect()))
+    assert first == sorted(map(tuple, N.first_function_name(nt, dim, FN.definitions(T.token_table(dim))).collect()))
+
+
 def test_picked_nodes_are_those_of_the_whole_walk():
     lean = tuple(c for c in N.FIELDS if c not in N._RESOLVED)
     at = [N.FIELDS.index(c) for c in lean]
