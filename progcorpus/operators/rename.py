@@ -15,28 +15,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lines import cut_spans
-from progcorpus.functions.tokenstate import let, read_tokens
-from progcorpus.operators.dedup import wanted_id
-from progcorpus.operators.nodes import NodeJob
+from progcorpus.functions.tokenstate import let, read_if_tokenizes, scan
+from progcorpus.operators.nodes import FUNCTIONS, NodeJob
 from progcorpus.operators.tokens import TokenJob
 from progcorpus.session import buckets_of, materialize, splittable
 
 
-def positional_arguments(nt: NodeJob, wanted: DataFrame) -> DataFrame:
+_DEFINED = "struct<name:string,fid:int,aid:int,args:array<string>>"
+
+
+def positional_arguments(nt: NodeJob) -> DataFrame:
     """``code_id, func_name, args``: positional parameters (positional
-    only, then regular) of the wanted function, in order, for each of ``wanted``
-    whose text defines it at module level."""
-    def names(ns):
-        own = F.filter(ns, lambda n: (n["type"] == "arguments") & (n["parent_id"] == F.col("_fid")))["node_id"]
-        params = F.filter(ns, lambda n: (n["type"] == "arg") & n["field"].isin("posonlyargs", "args")
-                          & (n["parent_id"] == F.get(own, F.lit(0))))
-        return F.transform(F.array_sort(F.transform(params, lambda n: F.struct(
-            F.when(n["field"] == "posonlyargs", 0).otherwise(1).alias("kind"), n["child_ix"].alias("ix"),
-            n["ident"].alias("arg")))), lambda x: x["arg"])
+    only, then regular), in order, of each function that a text defines at module level (the last
+    definition of a name).  A text is read once, whatever names are wanted of it, and does not move:
+    its functions and arguments pass in preorder, the function they belong to is the state."""
+    none, nothing = F.array().cast(f"array<{_DEFINED}>"), F.array().cast("array<string>")
+
+    def step(s, n):
+        top = n["type"].isin(*FUNCTIONS) & (n["parent_id"] == 0)
+        own = (n["type"] == "arguments") & (n["parent_id"] == s["fid"])
+        param = (n["type"] == "arg") & n["field"].isin("posonlyargs", "args") & (n["parent_id"] == s["aid"])
+
+        def state(name, fid, aid, args):
+            return F.struct(name.alias("name"), fid.alias("fid"), aid.alias("aid"), args.alias("args")).cast(_DEFINED)
+
+        new = (F.when(top, state(n["ident"], n["node_id"], F.lit(None).cast("int"), nothing))
+               .when(own, state(s["name"], s["fid"], n["node_id"], s["args"]))
+               .when(param, state(s["name"], s["fid"], s["aid"], F.concat(s["args"], F.array(n["ident"])))).otherwise(s))
+        return F.struct(new.alias("s"), F.when(top & s["fid"].isNotNull(), F.array(s)).otherwise(none).alias("o"))
+
+    def last(fs):       # by name and place; the last of each name
+        return F.filter(fs, lambda f, i: ~f["name"].eqNullSafe(F.get(fs, i + 1)["name"]))
 
-    return (nt.over(wanted).trees("node_id", "parent_id", "child_ix", "field", "type", "ident")
-            .withColumn("_fid", wanted_id("nodes", F.col("func_name"))).where(F.col("_fid").isNotNull())
-            .select("code_id", "func_name", let(F.col("nodes"), names).alias("args")))
+    trees = nt.trees("node_id", "parent_id", "field", "type", "ident", types=(*FUNCTIONS, "arguments", "arg"))
+    zero = F.lit(None).cast(_DEFINED)
+    defined = let(scan(F.array_sort("nodes"), zero, _DEFINED, _DEFINED, step), lambda r: let(F.array_sort(F.concat(
+        r["o"], F.when(r["s"]["fid"].isNotNull(), F.array(r["s"])).otherwise(none))), last))
+    return trees.select("code_id", F.inline(F.transform(defined, lambda f: F.struct(f["name"].alias("func_name"), f["args"].alias("args")))))
 
 
 def valid_triples(triples: DataFrame, args: DataFrame) -> DataFrame:
@@ -83,8 +98,8 @@ def templates(args: DataFrame, job: TokenJob) -> DataFrame:
 
         return F.transform("_w", template)
 
-    read = let(read_tokens(F.col("raw")), lambda r: F.when(r["tokenizes"], made(r["tokens"])))
-    return job.lexed.join(wanted, on="code_id", how="inner").select("code_id", F.inline(read))
+    read = read_if_tokenizes(F.col("raw"), lambda r: made(r["tokens"]))
+    return job.of(wanted).select("code_id", F.inline(read))
 
 
 def _end(token):
@@ -123,11 +138,9 @@ class PairJob:
         self.dim = code_dim(texts)
         # arguments are those of the program without its common margin
         self.nt = node_table(self.dim, dedented=True)
-        triples = materialize(self.pairs.select("src_id", "dst_id", "func_name").distinct())
-        wanted = (triples.select(F.col("src_id").alias("code_id"), "func_name")
-                  .unionByName(triples.select(F.col("dst_id").alias("code_id"), "func_name")).distinct())
+        triples = self.pairs.select("src_id", "dst_id", "func_name").distinct()
+        self.args = materialize(positional_arguments(self.nt))
         # a pair whose source or destination lacks the function has no result
-        self.args = materialize(positional_arguments(self.nt, wanted.where(F.col("func_name").isNotNull())))
         self.triples = materialize(valid_triples(triples, self.args))
         self.arg_pairs = argument_pairs(self.triples)
 

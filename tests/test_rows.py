@@ -2,12 +2,15 @@
 
 import ast
 import glob
+import textwrap
 
 import pytest
 
 import __spark_entry__ as E
+from progcorpus.functions.lines import dedent
 from progcorpus.operators import functions as FN
 from progcorpus.operators import nodes as N
+from progcorpus.operators import rename as R
 from progcorpus.operators import tokens as T
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +58,33 @@ def test_picked_nodes_are_those_of_the_whole_walk():
             assert [(r[6], r[7], r[16]) for r in want] == [(r[6], r[7], r[16]) for r in got]
             got, _ = N._flatten(code, ("type", "literal"), types)
             assert sorted(map(repr, got)) == sorted(repr(r) for r in N._flatten(code, ("type", "literal"))[0] if r[6] in types)
+
+
+def test_arguments_of_every_function_in_one_pass(spark):
+    many = "".join(f"def f{i}(a{i}, b): pass\n" for i in range(300))
+    dim = dim_of(spark, CODES + [many])
+    args = R.positional_arguments(N.node_table(dim))
+    rows = args.join(dim, "code_id").collect()
+    got = {r.func_name: r.args for r in rows if r.code == CODES[0]}
+    assert got == {"f": ["u", "v"], "h": ["z"]}
+    assert {r.func_name: r.args for r in rows if r.code == many} == {f"f{i}": [f"a{i}", "b"] for i in range(300)}
+    assert len(rows) == 302
+    assert "Exchange" not in _plan(R.positional_arguments(N.node_table(dim, dedented=True)))
+
+
+def test_templates_lex_after_the_join(spark):
+    dim = dim_of(spark, CODES)
+    args = R.positional_arguments(N.node_table(dim)).localCheckpoint()
+    plan = _plan(R.templates(args, T.token_table(dim))).split("Initial Plan")[0]
+    # a plan's first lines are its last steps: no token is made below the join
+    above, below = plan.split("Join", 1)
+    assert "regexp_extract_all" in above and "regexp_extract_all" not in below, plan
+
+
+def test_dedent_of_flush_texts(spark):
+    texts = ["def f():\n    return 1", "  a\n  b", "a\n   \n b", "  a\nb\n \t", "\n  a\n\n    b\n", "x\n\t\ny", "", " ", "\n", "  a\n b\n"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", dedent("t").alias("d")).collect()
+    assert [r.d for r in sorted(got)] == [textwrap.dedent(t) for t in texts]
+    # a line break of Java's patterns ends a blank line too
+    rows = spark.createDataFrame([("a\r\n  \r\n b",), ("\r\n  a",), (" \u2028\nb",)], "t string").select("t", dedent("t").alias("d")).collect()
+    assert {r.t: r.d for r in rows} == {"a\r\n  \r\n b": "a\r\n\n b", "\r\n  a": "\r\n  a", " \u2028\nb": "\nb"}
