@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from progcorpus.functions.lines import cut_spans
-from progcorpus.functions.tokenstate import let, read_if_tokenizes, scan
+from progcorpus.functions.tokenstate import let, of_line, read_if_tokenizes, scan, with_offsets
 from progcorpus.operators.nodes import FUNCTIONS, NodeJob
 from progcorpus.operators.tokens import TokenJob
 from progcorpus.session import buckets_of, materialize, splittable
@@ -78,11 +78,17 @@ def templates(args: DataFrame, job: TokenJob) -> DataFrame:
     (null after the last).  The tokens are read inside the text's row."""
     wanted = args.groupBy("code_id").agg(F.collect_list(F.struct("func_name", "args")).alias("_w"))
 
-    def made(tokens):
+    raw = F.col("raw")
+
+    def made(r):
         def template(w):
-            named = F.filter(F.transform(tokens, lambda t: F.struct(
-                t["off"].alias("off"), t["src"].alias("src"), F.when(t["kind"] == "NAME", F.array_position(w["args"], t["src"]))
-                .alias("place"))), lambda t: t["place"] > 0)
+            # only a line that holds an argument has its tokens placed (a token that reads as one is a name)
+            def of_piece(x):
+                return let(of_line(raw, x), lambda ts: F.when(F.arrays_overlap(ts, w["args"]), F.filter(F.transform(
+                    with_offsets(ts, x["off"]), lambda t: F.struct(t["off"].alias("off"), t["src"].alias("src"), F.array_position(
+                        w["args"], t["src"]).alias("place"))), lambda t: t["place"] > 0)))
+
+            named = F.flatten(F.filter(F.transform(r["lines"], of_piece), lambda ts: ts.isNotNull()))
 
             def pieces(ts):
                 ends = F.concat(F.transform(ts, lambda t, i: F.struct(
@@ -98,7 +104,7 @@ def templates(args: DataFrame, job: TokenJob) -> DataFrame:
 
         return F.transform("_w", template)
 
-    read = read_if_tokenizes(F.col("raw"), lambda r: made(r["tokens"]))
+    read = read_if_tokenizes(raw, F.col("marks"), made, offsets=True)
     return job.of(wanted).select("code_id", F.inline(read))
 
 
